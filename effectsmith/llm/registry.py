@@ -3,13 +3,30 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from effectsmith.llm import bpe, quality, tool_calls, url_rules
-from effectsmith.llm.tables import table
+from effectsmith.llm import bpe, decontaminate, html_text, langid, quality, simhash, tool_calls, toxicity, url_rules
+from effectsmith.llm.tables import fold, table
 
 WORD_BPE = "/opt/tokenizers/word_bpe_49k.json"
 
 
+def op1_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.learned(docs, usable=~fold("doc_id", 5, 0))
+    return langid.labelled(docs, model).select("doc_id", fold("doc_id", 5, 0).alias("held_out"), "lang_pred", "score")
+
+
+def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extracted(table(spark, sf_dir, "pages"))
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.learned(docs, table(spark, sf_dir, "labels"), usable=~fold("doc_id", 4, 2))
+    return toxicity.scored(docs, model).select("doc_id", fold("doc_id", 4, 2).alias("held_out"), "score", "predicted")
+
+
 def op4_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     calls, results = tool_calls.from_turns(table(spark, sf_dir, "conversations"))
     return tool_calls.linked(calls, results, tool_calls.chat_schemas(spark)).select(
@@ -29,10 +46,24 @@ def op8_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.filter_urls(table(spark, sf_dir, "pages"))
 
 
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
+    "op1_language_crf": op1_language_crf,
+    "op2_html_text": op2_html_text,
+    "op3_toxicity": op3_toxicity,
     "op4_tool_calls": op4_tool_calls,
     "op5_bpe": op5_bpe,
     "op7_quality_rules": op7_quality_rules,
     "op8_url_rules": op8_url_rules,
+    "op9_simhash": op9_simhash,
+    "op10_decontaminate": op10_decontaminate,
 }
 ORACLES: dict[str, str] = {}
