@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from effectsmith.llm import bpe, decontaminate, html_text, langid, quality, simhash, tool_calls, toxicity, url_rules
+import corpus_pipeline
+from effectsmith.llm import bpe, decontaminate, html_text, langid, lm, quality, simhash, tool_calls, toxicity, url_rules
 from effectsmith.llm.tables import fold, table
 
 WORD_BPE = "/opt/tokenizers/word_bpe_49k.json"
@@ -38,6 +39,12 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), WORD_BPE)
 
 
+def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = lm.scored(docs, docs.filter(~fold("doc_id", 5, 1)))
+    return found.select("doc_id", fold("doc_id", 5, 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(table(spark, sf_dir, "documents"))
 
@@ -61,9 +68,11 @@ QUERIES = {
     "op3_toxicity": op3_toxicity,
     "op4_tool_calls": op4_tool_calls,
     "op5_bpe": op5_bpe,
+    "op6_lm_score": op6_lm_score,
     "op7_quality_rules": op7_quality_rules,
     "op8_url_rules": op8_url_rules,
     "op9_simhash": op9_simhash,
     "op10_decontaminate": op10_decontaminate,
+    "pipeline": corpus_pipeline.run,
 }
 ORACLES: dict[str, str] = {}
