@@ -2,5 +2,591 @@
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from effectsmith.functions import expressions as ex
+from effectsmith.functions.lineage import shared_dir
+from effectsmith.functions.shipping import shipped
+from effectsmith.operators import audit, design, effects, hits, render, series
+from effectsmith.plans import derived as d
+from effectsmith.sources import readers, writers
+from effectsmith.streaming import hits_stream
+
 QUERIES: dict = {}
-ORACLES: dict = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _qp(spark: SparkSession, sf: str) -> DataFrame:
+    return hits.histogram(d.hits(spark, sf), d.manifest(spark, sf))
+
+
+def _sig(c: str) -> F.Column:
+    """A double to nine significant digits, as both engines can say it."""
+    return F.round(F.col(c), 6).alias(c)
+
+
+# --- hits to counts -------------------------------------------------------------------------------
+
+
+@query(f"{d.QP_WITH} SELECT sample_id, electrode, sum(qps) AS qps, max(qps) AS max_bin_qps FROM qp GROUP BY ALL")
+def jon1_nearest_site_totals(spark, sf):
+    return hits.electrode_totals(_qp(spark, sf))
+
+
+@query(f"{d.QP_WITH} SELECT * FROM qp")
+def agg1_histogram(spark, sf):
+    return _qp(spark, sf)
+
+
+@query(f"WITH {d.HITS_SQL}, {d.MANIFEST_SQL}, {d.SURFACE_SQL} SELECT sample_id, count(*) AS n, sum(CAST(t_ns AS BIGINT)) AS t FROM surface GROUP BY ALL")
+def flt1_flt2_surface_hits(spark, sf):
+    rows = hits.surface_hits(hits.with_manifest(d.hits(spark, sf), d.manifest(spark, sf)))
+    return rows.groupBy("sample_id").agg(F.count("*").alias("n"), F.sum(F.col("t_ns").cast("long")).alias("t"))
+
+
+@query(f"{d.QP_WITH} SELECT bin, count(*) AS cells, sum(qps) AS qps FROM qp GROUP BY bin")
+def jon2_nearest_bin(spark, sf):
+    return _qp(spark, sf).groupBy("bin").agg(F.count("*").alias("cells"), F.sum("qps").alias("qps"))
+
+
+@query(f"{d.QP_WITH} SELECT sample_id, electrode, sum(qps) AS qps FROM qp GROUP BY ROLLUP (sample_id, electrode)")
+def agg4_totals_rollup(spark, sf):
+    return hits.totals_rollup(_qp(spark, sf))
+
+
+@query(
+    f"{d.QP_WITH} SELECT m.sample_id, CAST(e.electrode AS INTEGER) AS electrode, 1001 AS bins, coalesce(sum(qps), 0) AS qps,"
+    " 1001 - count(bin) AS empty_bins FROM manifest m CROSS JOIN (SELECT unnest(range(0, 17)) AS electrode) e"
+    " LEFT JOIN (SELECT sample_id, electrode, bin, qps FROM qp) q ON q.sample_id = m.sample_id AND q.electrode = e.electrode"
+    " GROUP BY m.sample_id, e.electrode"
+)
+def agg2_dense_grid(spark, sf):
+    whole = hits.dense(_qp(spark, sf), d.manifest(spark, sf))
+    zero = F.lit(0.0)
+    held = F.aggregate("qps", zero, lambda a, x: a + x)
+    # a surviving hit can round to no quasiparticle: its bin is held with zero, so empties are counted from the sparse side
+    sparse = _qp(spark, sf).groupBy("sample_id", "electrode").agg(F.count("*").alias("held_bins"))
+    return whole.join(sparse, ["sample_id", "electrode"], "left").select(
+        "sample_id", "electrode", F.size("qps").alias("bins"), held.alias("qps"), (1001 - F.coalesce("held_bins", F.lit(0))).alias("empty_bins")
+    )
+
+
+@query(
+    f"WITH {d.HITS_SQL}, {d.MANIFEST_SQL} SELECT m.sample_id, m.sample_name, count(h.sample_id) AS hit_rows,"
+    " count(*) FILTER (energy_ev > 0 AND abs(z_m - chip_z) <= 1e-8::DOUBLE + 1e-5::DOUBLE * abs(chip_z)) AS surface_hits"
+    " FROM manifest m LEFT JOIN hits h USING (sample_id) GROUP BY ALL"
+)
+def agg8_hit_counts(spark, sf):
+    return hits.hit_counts(d.hits(spark, sf), d.manifest(spark, sf))
+
+
+LISTING_SQL = "listing AS (SELECT DISTINCT 'Morris_' || l_suppkey AS sample_name FROM lineitem WHERE l_suppkey % 3 <> 0)"
+
+
+def _listing(spark, sf):
+    rows = d.table(spark, sf, "lineitem").filter("l_suppkey % 3 <> 0")
+    return rows.select(F.concat(F.lit("Morris_"), F.col("l_suppkey").cast("string")).alias("sample_name")).distinct()
+
+
+@query(
+    f"WITH {d.MANIFEST_SQL}, {LISTING_SQL} SELECT sample_id, sample_name, CASE WHEN l.sample_name IS NULL THEN 'skipped' ELSE 'available' END AS state"
+    " FROM manifest m LEFT JOIN listing l USING (sample_name)"
+)
+def jon4_available_and_skipped(spark, sf):
+    manifest, listing = d.manifest(spark, sf), _listing(spark, sf)
+    names = ["sample_id", "sample_name"]
+    there = hits.available(manifest, listing).select(*names, F.lit("available").alias("state"))
+    return there.unionByName(hits.skipped(manifest, listing).select(*names, F.lit("skipped").alias("state")))
+
+
+# --- series ---------------------------------------------------------------------------------------
+
+ODE_SQL = """pairs AS (SELECT q.sample_id, q.electrode, m.pt, CAST(round_even(m.pt / 0.3::DOUBLE, 0) AS INTEGER) AS n_p, m.r, m.s,
+  i_ph / (n_cooper * height * width * thickness * n_sim) AS scale, 2.0::DOUBLE * sqrt(2.0::DOUBLE * (gap / 4.135667696e-15::DOUBLE) * f_01) * 1e-6::DOUBLE AS factor
+  FROM (SELECT DISTINCT sample_id, electrode FROM qp) q JOIN manifest m USING (sample_id))"""
+# counts enter at their bin and leave n_p bins later; between changes the fold goes on step by step
+FOLD_SQL = f"""WITH RECURSIVE {d.HITS_SQL}, {d.MANIFEST_SQL}, {d.SURFACE_SQL}, {d.QP_SQL}, {ODE_SQL},
+ moves AS MATERIALIZED (SELECT sample_id, electrode, step, sum(c) AS c FROM (SELECT sample_id, electrode, bin AS step, qps AS c FROM qp
+  UNION ALL SELECT q.sample_id, q.electrode, q.bin + p.n_p, -q.qps FROM qp q JOIN pairs p USING (sample_id, electrode)) GROUP BY ALL),
+ start AS MATERIALIZED (SELECT * FROM pairs),
+ fold AS (SELECT sample_id, electrode, n_p, r, s, scale, 0 AS i, 0.0::DOUBLE AS run, 0.0::DOUBLE AS x, 0.0::DOUBLE AS peak, 0.0::DOUBLE AS total FROM start
+  UNION ALL SELECT sample_id, electrode, n_p, r, s, scale, i + 1, run2, x2, greatest(peak, x2), total + x2 FROM
+   (SELECT *, x + (-r * x * x - s * x + run2 * scale) * 0.3::DOUBLE AS x2 FROM
+    (SELECT f.*, f.run + coalesce(m.c, 0) AS run2 FROM fold f LEFT JOIN moves m ON m.sample_id = f.sample_id AND m.electrode = f.electrode AND m.step = f.i WHERE f.i < 1000 + f.n_p))),
+ rates AS (SELECT f.sample_id, f.electrode, f.peak * p.factor AS peak, (f.total - f.x / 2) * ((300.0::DOUBLE + p.pt) / (1000 + p.n_p)) * p.factor AS area
+  FROM fold f JOIN pairs p USING (sample_id, electrode) WHERE f.i = 1000 + f.n_p)"""
+
+
+@query(f"{FOLD_SQL} SELECT sample_id, electrode, round(peak, 6) AS peak, round(area, 6) AS area FROM rates")
+def win3_recurrence(spark, sf):
+    shipped(spark)
+    return series.summaries(_qp(spark, sf), d.manifest(spark, sf)).select("sample_id", "electrode", _sig("peak"), _sig("area"))
+
+
+@query(
+    f"{FOLD_SQL}, tot AS (SELECT sample_id, sum(qps) AS total_qps, max(electrode) AS last_electrode FROM qp GROUP BY 1),"
+    " best AS (SELECT sample_id, max(peak) AS peak, sum(area) AS area FROM rates GROUP BY 1),"
+    " cnt AS (SELECT m.sample_id, m.sample_name, m.gap, count(h.sample_id) AS n FROM manifest m LEFT JOIN hits h USING (sample_id) GROUP BY ALL)"
+    " SELECT c.sample_name, c.gap AS top_gap_ev, c.n AS num_surface_hits, 17 AS sites, coalesce(total_qps, 0) AS total_qps,"
+    " round(coalesce(peak, 0), 6) AS peak_dg_mhz, round(coalesce(area, 0), 5) AS total_integrated_dg"
+    " FROM cnt c LEFT JOIN tot USING (sample_id) LEFT JOIN best USING (sample_id)"
+)
+def snk7_study_summary(spark, sf):
+    shipped(spark)
+    manifest, qp = d.manifest(spark, sf), _qp(spark, sf)
+    rows = series.study_summary(hits.hit_counts(d.hits(spark, sf), manifest), qp, manifest)
+    return rows.select(
+        "sample_name", "top_gap_ev", "num_surface_hits", F.size("electrode_qps").alias("sites"), "total_qps",
+        F.round("peak_dg_mhz", 6).alias("peak_dg_mhz"), F.round("total_integrated_dg", 5).alias("total_integrated_dg"),
+    )
+
+
+@query(
+    f"{d.QP_WITH}, {ODE_SQL}, moves AS (SELECT sample_id, electrode, step, sum(c) AS c FROM (SELECT sample_id, electrode, bin AS step, qps AS c FROM qp"
+    " UNION ALL SELECT q.sample_id, q.electrode, q.bin + p.n_p, -q.qps FROM qp q JOIN pairs p USING (sample_id, electrode)) GROUP BY ALL)"
+    " SELECT sample_id, electrode, n_p, step, round(1e6::DOUBLE * (sum(c) OVER (PARTITION BY sample_id, electrode ORDER BY step) * scale), 6) AS g_millionths FROM moves JOIN pairs USING (sample_id, electrode)"
+)
+def win1_box_convolution(spark, sf):
+    rows = series.convolved(_qp(spark, sf), d.manifest(spark, sf))
+    return rows.select("sample_id", "electrode", "n_p", "step", F.round(F.col("g") * 1e6, 6).alias("g_millionths"))
+
+
+@query(f"{FOLD_SQL} SELECT f.sample_id, f.electrode, 1001 + f.n_p AS points, round(max(f.peak) * max(p.factor), 6) AS peak FROM fold f JOIN pairs p USING (sample_id, electrode) GROUP BY ALL")
+def snk6_full_series(spark, sf):
+    shipped(spark)
+    rows = series.full_series(_qp(spark, sf), d.manifest(spark, sf))
+    return rows.select("sample_id", "electrode", F.size("t").alias("points"), F.round(F.array_max("dg"), 6).alias("peak"))
+
+
+@query(
+    "SELECT user_id, round(coalesce(sum(piece), 0), 3) AS area FROM (SELECT user_id, (value + lag(value) OVER w) / 2 * ((epoch_us(ts) - lag(epoch_us(ts)) OVER w) / 1e6) AS piece"
+    " FROM events WINDOW w AS (PARTITION BY user_id ORDER BY epoch_us(ts), event_id)) GROUP BY user_id"
+)
+def win4_trapezoid(spark, sf):
+    e = d.table(spark, sf, "events").select("user_id", "value", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
+    w = Window.partitionBy("user_id").orderBy("us", "event_id")
+    piece = (F.col("value") + F.lag("value").over(w)) / 2 * ((F.col("us") - F.lag("us").over(w)) / 1e6)
+    return e.select("user_id", piece.alias("piece")).groupBy("user_id").agg(F.round(F.coalesce(F.sum("piece"), F.lit(0.0)), 3).alias("area"))
+
+
+@query("SELECT user_id, round((max(epoch_us(ts)) - min(epoch_us(ts))) / (count(*) - 1) / 1e6, 6) AS mean_step, count(*) AS n FROM events GROUP BY user_id HAVING count(*) > 1")
+def win2_mean_spacing(spark, sf):
+    e = d.table(spark, sf, "events").select("user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
+    return series.mean_spacing(e, ["user_id"], "us").filter("n > 1").select("user_id", F.round(F.col("mean_step") / 1e6, 6).alias("mean_step"), "n")
+
+
+# --- designs --------------------------------------------------------------------------------------
+
+
+def _design(spark, sf):
+    return design.morris_design(d.trajectories(spark, sf), d.params(spark, sf))
+
+
+@query(f"WITH {d.DESIGN_SQL} SELECT traj, step, var_idx, flip, level, u, value, sample_id FROM design")
+def gen2_morris_design(spark, sf):
+    return _design(spark, sf)
+
+
+@query("WITH g AS (SELECT p_partkey, p_brand, p_size FROM part), e AS (SELECT p_partkey, p_brand, p_size, unnest(range(0, p_size % 3 + 1)) AS elem FROM g)"
+       " SELECT CAST(row_number() OVER (ORDER BY p_partkey, elem) - 1 AS INTEGER) AS var_idx, p_partkey AS grp_ord, CAST(elem AS INTEGER) AS elem, CAST(p_size % 3 + 1 AS INTEGER) AS n_elem,"
+       " CASE WHEN p_size % 3 > 0 THEN p_brand || '_' || (elem + 1) ELSE p_brand END AS name, elem * 0.5::DOUBLE AS lo, elem * 1.5::DOUBLE AS hi FROM e")
+def gen1_expand_groups(spark, sf):
+    elems = F.sequence(F.lit(0), F.col("p_size") % 3)
+    groups = d.table(spark, sf, "part").select(
+        F.col("p_partkey").alias("grp_ord"), F.col("p_brand").alias("command"), F.transform(elems, lambda i: i * F.lit(0.5)).alias("lo"), F.transform(elems, lambda i: i * F.lit(1.5)).alias("hi")
+    )
+    return design.expanded(groups)
+
+
+SOBOL_DIMS = 10
+SOBOL_SQL = (
+    "WITH v(dim, k, v) AS (VALUES " + ", ".join(f"({m}, {k}, {v}::BIGINT)" for m in range(SOBOL_DIMS) for k, v in enumerate(design.directions(m))) + "),"
+    " i AS (SELECT o_orderkey AS i, xor(o_orderkey, o_orderkey >> 1) AS gray FROM orders), n AS (SELECT DISTINCT dim FROM v)"
+    " SELECT i.i, n.dim, coalesce(x.x, 0) / 4294967296.0::DOUBLE AS u FROM i CROSS JOIN n LEFT JOIN"
+    " (SELECT i.i, v.dim, bit_xor(v.v) AS x FROM i JOIN v ON ((gray >> k) & 1) = 1 GROUP BY ALL) x ON x.i = i.i AND x.dim = n.dim"
+)
+
+
+@query(SOBOL_SQL)
+def gen3_sobol_points(spark, sf):
+    return design.sobol_points(d.table(spark, sf, "orders").select(F.col("o_orderkey").alias("i")), SOBOL_DIMS)
+
+
+@query(
+    f"WITH {d.PARAMS_SQL}, h AS (SELECT c_custkey AS sample_id, var_idx, \"default\" AS m, {d.HASH_SQL.format(chr(39) + 'gauss:a:' + chr(39) + ' || c_custkey || ' + chr(39) + ':' + chr(39) + ' || var_idx')} AS a,"
+    f" {d.HASH_SQL.format(chr(39) + 'gauss:b:' + chr(39) + ' || c_custkey || ' + chr(39) + ':' + chr(39) + ' || var_idx')} AS b FROM customer, params)"
+    " SELECT sample_id, var_idx, round_even((m + 0.1::DOUBLE * abs(m) * (sqrt(-2.0::DOUBLE * ln((a + 1) / 4294967297.0::DOUBLE)) * cos(6.283185307179586::DOUBLE * (b / 4294967296.0::DOUBLE)))) * 1e7::DOUBLE, 0) / 1e7::DOUBLE AS value FROM h"
+)
+def gen4_gaussian_design(spark, sf):
+    return design.gaussian_design(d.table(spark, sf, "customer").select(F.col("c_custkey").alias("sample_id")), d.params(spark, sf), 0.1)
+
+
+@query("SELECT p_partkey, round_even(((p_size / 50.0::DOUBLE) * (p_retailprice - 1.0::DOUBLE) + 1.0::DOUBLE) * 1e5::DOUBLE, 0) / 1e5::DOUBLE AS value, p_retailprice / 0.5::DOUBLE AS mean FROM part")
+def gen5_gen6_gen7_scale_round(spark, sf):
+    value = design.scaled(F.col("p_size") / F.lit(50.0), F.lit(1.0), F.col("p_retailprice"))
+    return d.table(spark, sf, "part").select("p_partkey", ex.rounded(value, 5).alias("value"), design.mean_from_bound(F.col("p_retailprice"), 0.5).alias("mean"))
+
+
+@query(f"WITH {d.DESIGN_SQL} SELECT a.sample_id, a.var_idx, CASE WHEN a.var_idx = 0 THEN 2 * b.value ELSE a.value END AS value FROM design a JOIN design b ON a.sample_id = b.sample_id AND b.var_idx = 6")
+def gen8_derived_variable(spark, sf):
+    return design.derived_double(_design(spark, sf).select("sample_id", "var_idx", "value"), 6, 0)
+
+
+@query(
+    f"WITH {d.PARAMS_SQL}, risky AS (SELECT DISTINCT n_name AS name FROM nation JOIN supplier ON s_nationkey = n_nationkey WHERE s_acctbal < 0), kept AS (SELECT * FROM params WHERE name NOT IN (SELECT name FROM risky))"
+    " SELECT name, CAST(row_number() OVER (ORDER BY var_idx) - 1 AS INTEGER) AS var_idx, target FROM kept"
+)
+def gen9_safe_catalog(spark, sf):
+    nation = d.table(spark, sf, "nation")
+    risky = d.table(spark, sf, "supplier").filter("s_acctbal < 0").join(nation, F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("n_name").alias("name"))
+    return design.safe_catalog(d.params(spark, sf), risky).select("name", "var_idx", "target")
+
+
+@query(
+    "WITH a AS (SELECT p_partkey, p_size, p_type FROM part WHERE p_partkey % 7 <> 0), b AS (SELECT p_partkey, CASE WHEN p_partkey % 5 = 0 THEN p_size + 1 ELSE p_size END AS p_size, p_type FROM part WHERE p_partkey % 11 <> 0)"
+    " SELECT coalesce(a.p_partkey, b.p_partkey) AS p_partkey, CASE WHEN b.p_partkey IS NULL THEN 'only_a' WHEN a.p_partkey IS NULL THEN 'only_b'"
+    " WHEN a.p_size IS NOT DISTINCT FROM b.p_size AND a.p_type IS NOT DISTINCT FROM b.p_type THEN 'same' ELSE 'changed' END AS verdict FROM a FULL JOIN b ON a.p_partkey = b.p_partkey"
+)
+def gen10_set3_catalog_difference(spark, sf):
+    part = d.table(spark, sf, "part")
+    b = part.filter("p_partkey % 11 <> 0").withColumn("p_size", F.when(F.col("p_partkey") % 5 == 0, F.col("p_size") + 1).otherwise(F.col("p_size")))
+    return design.catalog_difference(part.filter("p_partkey % 7 <> 0"), b, "p_partkey", ["p_size", "p_type"])
+
+
+@query(f"WITH {d.DESIGN_SQL} SELECT DISTINCT sample_id, 'Morris_' || sample_id AS sample_name FROM design WHERE sample_id < 1000")
+def gen11_gen12_named_first_samples(spark, sf):
+    first = design.first_samples(_design(spark, sf), 1000)
+    return first.select("sample_id", design.sample_name("Morris_", F.col("sample_id")).alias("sample_name")).distinct()
+
+
+@query(f"WITH {d.DESIGN_SQL} SELECT sample_id, max(value) FILTER (var_idx = 0) AS \"NATION_0\", max(value) FILTER (var_idx = 5) AS \"NATION_5\" FROM design GROUP BY sample_id")
+def gen13_named_values(spark, sf):
+    return design.named_values(_design(spark, sf), d.params(spark, sf), "ode").select("sample_id", "NATION_0", "NATION_5")
+
+
+@query(f"WITH {d.DESIGN_SQL} SELECT count(DISTINCT sample_id) AS samples, count(DISTINCT var_idx) AS variables, count(*) AS cells FROM design")
+def agg9_design_counts(spark, sf):
+    return design.design_counts(_design(spark, sf))
+
+
+@query(f"WITH {d.DESIGN_SQL} SELECT var_idx, count(DISTINCT value) AS n_levels, min(value) AS least, max(value) AS most FROM design GROUP BY var_idx")
+def agg10_aud9_set4_level_census(spark, sf):
+    rows = design.level_census(_design(spark, sf))
+    return rows.select("var_idx", "n_levels", F.element_at("levels", 1).alias("least"), F.element_at("levels", -1).alias("most"))
+
+
+# --- effects --------------------------------------------------------------------------------------
+
+EFFECT_SQL = f"""WITH {d.DESIGN_SQL}, y AS (SELECT l_suppkey AS traj, CAST(l_orderkey % 26 AS INTEGER) AS step, avg(l_quantity) AS y FROM lineitem GROUP BY ALL),
+ ee AS (SELECT a.traj, a.step, a.var_idx, (y1.y - y0.y) / (a.u - b.u) AS ee FROM design a JOIN design b ON a.traj = b.traj AND a.var_idx = b.var_idx AND a.step = a.flip AND b.step = a.flip - 1
+  JOIN y y1 ON y1.traj = a.traj AND y1.step = a.step JOIN y y0 ON y0.traj = a.traj AND y0.step = a.step - 1)"""
+
+
+def _effects(spark, sf):
+    return effects.elementary_effects(_design(spark, sf), d.outcome(spark, sf, 26))
+
+
+@query(f"{EFFECT_SQL} SELECT traj, step, var_idx, round(ee, 6) AS ee FROM ee")
+def win5_jon8_elementary_effects(spark, sf):
+    return _effects(spark, sf).select("traj", "step", "var_idx", _sig("ee"))
+
+
+@query(f"{EFFECT_SQL} SELECT var_idx, count(*) AS n, round(avg(ee), 6) AS mu, round(avg(abs(ee)), 6) AS mu_star, round(stddev_samp(ee), 6) AS sigma FROM ee GROUP BY var_idx")
+def agg18_effect_statistics(spark, sf):
+    return effects.effect_statistics(_effects(spark, sf)).select("var_idx", "n", _sig("mu"), _sig("mu_star"), _sig("sigma"))
+
+
+# --- documents ------------------------------------------------------------------------------------
+
+COMMANDS_SQL = """commands AS (SELECT doc, command, command || ' 7.5' AS new_line FROM (SELECT doc, string_split(text, ' ')[1] AS command FROM lines WHERE line_no = 2) WHERE command <> '')"""
+TEXT_SQL = f"WITH {d.LINES_SQL}, {COMMANDS_SQL}"
+MATCH_SQL = "starts_with(b, trim(command)) AND (length(b) = length(trim(command)) OR regexp_full_match(substr(b, length(trim(command)) + 1, 1), '\\s'))"
+FOUND_SQL = f"""bare AS (SELECT doc, line_no, starts_with(s, '#') AS commented, CASE WHEN starts_with(s, '#') THEN regexp_replace(substr(s, 2), '^\\s+', '') ELSE s END AS b
+  FROM (SELECT doc, line_no, regexp_replace(text, '^\\s+', '') AS s FROM lines)),
+ best AS (SELECT c.doc, c.command, min(CASE WHEN commented THEN 1000000000 ELSE 0 END + line_no) AS k FROM commands c JOIN bare USING (doc) WHERE {MATCH_SQL} GROUP BY ALL),
+ found AS (SELECT c.doc, c.command, c.new_line, CAST(k % 1000000000 AS INTEGER) AS line_no FROM commands c LEFT JOIN best USING (doc, command))"""
+
+
+def _commands(spark, sf):
+    second = d.lines(spark, sf).filter("line_no = 2").select("doc", F.split("text", " ")[0].alias("command")).filter("command <> ''")
+    return second.withColumn("new_line", F.concat("command", F.lit(" 7.5")))
+
+
+@query(f"WITH {d.LINES_SQL} SELECT doc, count(*) AS n_lines, max(length(text)) AS longest FROM lines GROUP BY doc")
+def src4_text_lines(spark, sf):
+    return d.lines(spark, sf).groupBy("doc").agg(F.count("*").alias("n_lines"), F.max(F.length("text")).cast("long").alias("longest"))
+
+
+@query(f"{TEXT_SQL}, {FOUND_SQL} SELECT l.doc, l.line_no, md5(coalesce(f.new_line, l.text)) AS text FROM lines l LEFT JOIN found f ON f.doc = l.doc AND f.line_no = l.line_no")
+def txt6_replace_first_line(spark, sf):
+    rows = render.replaced_first(d.lines(spark, sf), _commands(spark, sf), allow_commented=True, append_if_missing=True)
+    return rows.select("doc", "line_no", F.md5("text").alias("text"))
+
+
+@query(f"{TEXT_SQL} SELECT l.doc, l.line_no, md5(CASE WHEN c.command IS NOT NULL AND starts_with(l.text, c.command) THEN c.new_line ELSE l.text END) AS text FROM lines l LEFT JOIN commands c USING (doc)")
+def txt7_replace_all_prefix(spark, sf):
+    return render.replaced_all(d.lines(spark, sf), _commands(spark, sf)).select("doc", "line_no", F.md5("text").alias("text"))
+
+
+@query(
+    f"{TEXT_SQL}, asked AS (SELECT doc, command FROM commands UNION ALL SELECT doc, 'zz' || command FROM commands),"
+    " first AS (SELECT a.doc, a.command, arg_min(s, line_no) AS line FROM asked a JOIN (SELECT doc, line_no, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS s FROM lines) USING (doc) WHERE starts_with(s, command) GROUP BY ALL)"
+    " SELECT doc, command, md5(coalesce(regexp_replace(substr(line, length(command) + 1), '^\\s+|\\s+$', '', 'g'), '<missing>')) AS value FROM asked LEFT JOIN first USING (doc, command)"
+)
+def txt10_find_value(spark, sf):
+    c = _commands(spark, sf).select("doc", "command")
+    asked = c.unionByName(c.select("doc", F.concat(F.lit("zz"), F.col("command")).alias("command")))
+    return render.command_values(d.lines(spark, sf), asked).select("doc", "command", F.md5("value").alias("value"))
+
+
+@query(
+    "WITH v AS (SELECT l_orderkey AS sample_id, l_linenumber AS elem, l_extendedprice AS value, l_partkey FROM lineitem)"
+    " SELECT sample_id, 'set ' || string_agg(value::VARCHAR, ',' ORDER BY elem, value::VARCHAR) AS text FROM v GROUP BY sample_id"
+)
+def txt4_vector_command(spark, sf):
+    v = d.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("sample_id"), F.lit("set ").alias("command"), F.col("l_linenumber").alias("elem"), F.col("l_extendedprice").alias("value"))
+    return render.vector_commands(v, ",").select("sample_id", "text")
+
+
+@query(
+    "SELECT p_partkey, '/a/setP ' || (p_retailprice / 100000000::DOUBLE)::VARCHAR AS scalar, '/a/setN ' || CAST(round_even(p_retailprice / 7::DOUBLE, 0) AS INTEGER) AS whole,"
+    " '/a/setU ' || p_retailprice::VARCHAR || ' um' AS unit, 'scat  ' || p_retailprice::VARCHAR || 'e-42 s3' AS entry FROM part"
+)
+def txt1_txt2_txt3_txt5_commands(spark, sf):
+    price = F.col("p_retailprice")
+    return d.table(spark, sf, "part").select(
+        "p_partkey", render.command_text(F.lit("/a/setP "), price / F.lit(1e8)).alias("scalar"), render.int_command_text(F.lit("/a/setN "), price / 7).alias("whole"),
+        render.command_text(F.lit("/a/setU "), price, F.lit(" um")).alias("unit"), render.config_entry(F.lit("scat "), price, F.lit("e-42 s3")).alias("entry"),
+    )
+
+
+@query(
+    f"WITH {d.MANIFEST_SQL} SELECT sample_id, CAST(line_no AS INTEGER) AS line_no, CASE WHEN line_no = 2 THEN '/main/setTopGap ' || gap::VARCHAR WHEN line_no = 4 THEN '/run/beamOn 10000' ELSE '# line ' || line_no END AS text"
+    " FROM manifest, (SELECT unnest(range(1, 6)) AS line_no)"
+)
+def txt8_txt9_rendered_documents(spark, sf):
+    manifest = d.manifest(spark, sf)
+    template = spark.range(1, 6).select(F.lit("macro").alias("doc"), F.col("id").cast("int").alias("line_no"), F.concat(F.lit("# line "), F.col("id").cast("string")).alias("text"))
+    gap = manifest.select("sample_id", F.lit("macro").alias("doc"), F.lit(2).alias("line_no"), render.command_text(F.lit("/main/setTopGap "), F.col("gap")).alias("text"), F.lit(2).alias("precedence"))
+    beam = manifest.select("sample_id", F.lit("macro").alias("doc"), F.lit(4).alias("line_no"), F.lit("/run/beamOn 10000").alias("text"), F.lit(1).alias("precedence"))
+    return render.rendered(template, gap.unionByName(beam)).select("sample_id", "line_no", "text")
+
+
+@query(
+    "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice + l_quantity + coalesce(l_tax, 0) AS total, l_quantity AS first FROM lineitem"
+)
+def txt11_txt12_parse_numbers(spark, sf):
+    item = d.table(spark, sf, "lineitem")
+    text = F.concat(F.col("l_extendedprice").cast("string"), F.lit(" ,, "), F.col("l_quantity").cast("string"), F.lit(","), F.coalesce(F.col("l_tax"), F.lit(0.0)).cast("string"))
+    n = render.number_list(text)
+    return item.select(
+        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", (n[0] + n[1] + n[2]).alias("total"), render.first_number(F.concat(F.lit(" "), F.col("l_quantity").cast("string"), F.lit(" um"))).alias("first")
+    )
+
+
+@query(
+    "SELECT s_suppkey, CASE WHEN s_suppkey % 5 = 0 THEN 'missing command' WHEN s_suppkey % 7 = 0 THEN 'site lengths differ' WHEN s_suppkey % 11 = 0 THEN 'no site' END AS problem,"
+    " s_suppkey % 4 < 3 AND s_acctbal BETWEEN 0 AND 1000 AS valid FROM supplier"
+)
+def txt16_txt17_validation(spark, sf):
+    k = F.col("s_suppkey")
+    none = F.array().cast("array<double>")
+    rows = d.table(spark, sf, "supplier").select(
+        k, "s_acctbal", F.when(k % 5 != 0, 1e-4).alias("gap"), F.lit(2.6e-4).alias("chip_z"),
+        F.when((k % 11 == 0) & (k % 7 != 0), none).otherwise(F.array(F.lit(1.0), F.lit(2.0))).alias("qx"),
+        F.when((k % 11 == 0) & (k % 7 != 0), none).when(k % 7 == 0, F.array(F.lit(1.0))).otherwise(F.array(F.lit(1.0), F.lit(2.0))).alias("qy"),
+        F.array(F.lit("full"), F.lit("none"), F.lit("random"), F.lit("loud"))[(k % 4).cast("int")].alias("log_mode"), (F.col("s_acctbal") / 1000).alias("log_fraction"),
+    )
+    return render.checked_settings(render.checked_manifest(rows)).select("s_suppkey", "problem", "valid")
+
+
+@query(
+    "SELECT c_custkey, ('0x' || substr(sha256('morris:' || c_name), 1, 8))::BIGINT AS first_half, CASE WHEN c_custkey % 4 = 0 THEN true WHEN c_custkey % 4 = 1 THEN false"
+    " ELSE (('0x' || substr(sha256('morris:' || c_name), 1, 8))::BIGINT * 4294967296.0::DOUBLE + ('0x' || substr(sha256('morris:' || c_name), 9, 8))::BIGINT) / 18446744073709551616.0::DOUBLE < 0.25 END AS kept FROM customer"
+)
+def txt18_hash_sampling(spark, sf):
+    k = F.col("c_custkey") % 4
+    mode = F.when(k == 0, "full").when(k == 1, "none").otherwise("random")
+    name = F.col("c_name")
+    half = F.conv(F.substring(F.sha2(F.concat(F.lit("morris:"), name), 256), 1, 8), 16, 10).cast("long")
+    return d.table(spark, sf, "customer").select("c_custkey", half.alias("first_half"), ex.keeps_log(mode, F.lit(0.25), F.lit("morris"), name).alias("kept"))
+
+
+@query(
+    "WITH s AS (SELECT event_id, greatest(CAST(trunc(value * 20 - 500) AS BIGINT), 0) AS s FROM events) SELECT event_id, CASE WHEN s >= 3600 THEN format('{}h {:02d}m {:02d}s', s // 3600, s % 3600 // 60, s % 60)"
+    " WHEN s >= 60 THEN format('{}m {:02d}s', s // 60, s % 60) ELSE format('{}s', s) END AS text FROM s"
+)
+def txt19_duration_text(spark, sf):
+    return d.table(spark, sf, "events").select("event_id", ex.duration_text(F.col("value") * 20 - 500).alias("text"))
+
+
+# --- audits ---------------------------------------------------------------------------------------
+
+
+@query(
+    f"WITH {d.DESIGN_SQL}, flagged AS (SELECT traj, step, value < 0.0003::DOUBLE AS inert FROM design WHERE var_idx = 1), k AS (SELECT *, row_number() OVER (PARTITION BY traj ORDER BY step) - row_number() OVER (PARTITION BY traj, inert ORDER BY step) AS g FROM flagged)"
+    " SELECT traj, inert, min(step) AS first, max(step) AS last, count(*) AS n FROM k GROUP BY traj, inert, g"
+)
+def aud1_flt4_inert_islands(spark, sf):
+    rows = _design(spark, sf).filter("var_idx = 1").select("traj", "step", audit.inert(F.col("value"), F.lit(0.0003)).alias("inert"))
+    return audit.islands(rows, "traj", "step", "inert")
+
+
+@query("SELECT l_linenumber, count(*) AS n, count(*) FILTER (l_linenumber = 1 AND l_quantity * 1e-5::DOUBLE >= 2 * 0.000096::DOUBLE) AS at_risk FROM lineitem GROUP BY l_linenumber")
+def aud2_flt5_hang_risk(spark, sf):
+    risk = audit.hang_risk(F.col("l_linenumber"), F.col("l_quantity") * 1e-5, F.lit(0.000096))
+    return d.table(spark, sf, "lineitem").groupBy("l_linenumber").agg(F.count("*").alias("n"), F.count_if(risk).alias("at_risk"))
+
+
+PATTERNS = {"fatal": "(?i)(terminate|idiot)", "warning": "(?i)(warn|edst)", "dense": "[#*$%]"}
+
+
+@query(
+    f"WITH {d.LINES_SQL} SELECT doc, count(*) FILTER (regexp_matches(text, '(?i)(terminate|idiot)')) AS fatal, count(*) FILTER (regexp_matches(text, '(?i)(warn|edst)')) AS warning,"
+    " count(*) FILTER (regexp_matches(text, '[#*$%]')) AS dense, count(*) AS lines FROM lines GROUP BY ROLLUP (doc)"
+)
+def aud5_agg14_log_patterns(spark, sf):
+    return audit.pattern_counts(d.lines(spark, sf), PATTERNS)
+
+
+@query(
+    f"WITH {d.RUNS_SQL} SELECT {d.CLASS_SQL} AS class, count(*) AS n, round(avg(wall_s), 6) AS mean_wall_s, max(wall_s) AS max_wall_s, round(max(peak_rss_mb), 6) AS max_rss_mb,"
+    " round(avg(wall_s) * 6912 / 4 / 3600, 6) AS hours FROM runs GROUP BY 1"
+)
+def aud6_agg16_agg17_run_statistics(spark, sf):
+    runs = d.runs(spark, sf).withColumn("class", audit.run_class(F.col("status"), F.col("rc"), F.col("timed_out")))
+    rows = audit.capacity(audit.run_statistics(runs), 6912, 4)
+    return rows.select("class", "n", _sig("mean_wall_s"), "max_wall_s", _sig("max_rss_mb"), _sig("hours"))
+
+
+@query(f"WITH {d.RUNS_SQL} SELECT run_id, round(peak_rss_mb, 6) AS peak_rss_mb FROM runs WHERE peak_rss_mb > 1000")
+def aud7_runaway_memory(spark, sf):
+    return audit.runaway(d.runs(spark, sf), 1000.0).select("run_id", _sig("peak_rss_mb"))
+
+
+@query(
+    f"WITH {d.RUNS_SQL}, p AS (SELECT user_id, run_id, count(*) OVER (PARTITION BY user_id ORDER BY finished_at, run_id ROWS UNBOUNDED PRECEDING) AS done, count(*) OVER (PARTITION BY user_id) AS total,"
+    " epoch_us(finished_at) - min(epoch_us(finished_at)) OVER (PARTITION BY user_id) AS elapsed_us FROM runs)"
+    " SELECT user_id, run_id, done, total, elapsed_us, round(CASE WHEN elapsed_us > 0 THEN (total - done) * (elapsed_us / 1e6) / done END, 3) AS left_s FROM p WHERE done <= 5 OR done % 10 = 0 OR done = total"
+)
+def agg12_ord3_progress(spark, sf):
+    runs = d.runs(spark, sf).withColumn("finished_at", F.col("finished_at").cast("timestamp"))
+    rows = audit.reported(audit.progress(runs, "user_id"), 10)
+    return rows.select("user_id", "run_id", "done", "total", "elapsed_us", F.round("left_s", 3).alias("left_s"))
+
+
+@query(f"WITH {d.RUNS_SQL} SELECT user_id, count(*) FILTER (rc <> 0) AS n_failed, count(*) AS n_runs, max(message) FILTER (rc <> 0) AS last_message FROM runs GROUP BY user_id")
+def agg11_failures(spark, sf):
+    return audit.failures(d.runs(spark, sf).withColumn("failed", F.col("rc") != 0), "user_id")
+
+
+@query(
+    "WITH r AS (SELECT l_suppkey, ('0x' || substr(md5(concat_ws('|', l_orderkey::VARCHAR, l_linenumber::VARCHAR, l_returnflag)), 1, 8))::BIGINT AS h,"
+    " ('0x' || substr(md5(concat_ws('|', l_orderkey::VARCHAR, l_linenumber::VARCHAR, CASE WHEN l_suppkey % 9 = 0 AND l_linenumber = 1 THEN 'X' ELSE l_returnflag END)), 1, 8))::BIGINT AS g FROM lineitem)"
+    " SELECT l_suppkey, CASE WHEN l_suppkey % 13 = 0 THEN 'only_a' WHEN sum(h) = sum(g) AND bit_xor(h) = bit_xor(g) THEN 'identical' ELSE 'differs' END AS verdict FROM r GROUP BY l_suppkey"
+)
+def aud8_agg15_jon9_run_identity(spark, sf):
+    item = d.table(spark, sf, "lineitem").select("l_suppkey", "l_orderkey", "l_linenumber", "l_returnflag")
+    changed = F.when((F.col("l_suppkey") % 9 == 0) & (F.col("l_linenumber") == 1), "X").otherwise(F.col("l_returnflag"))
+    other = item.filter("l_suppkey % 13 <> 0").withColumn("l_returnflag", changed)
+    columns = ["l_orderkey", "l_linenumber", "l_returnflag"]
+    return audit.compared_runs(audit.fingerprint(item, "l_suppkey", columns), audit.fingerprint(other, "l_suppkey", columns), "l_suppkey")
+
+
+@query(
+    f"WITH {d.HITS_SQL}, {d.MANIFEST_SQL}, per AS (SELECT m.sample_id, m.gap, count(h.sample_id) FILTER (energy_ev > 0) AS n FROM manifest m LEFT JOIN hits h USING (sample_id) GROUP BY ALL)"
+    " SELECT gap, min(n) AS least, max(n) AS most, count(*) FILTER (n = 0) AS without FROM per GROUP BY gap"
+)
+def agg13_aud4_hits_by_level(spark, sf):
+    live = d.hits(spark, sf).filter("energy_ev > 0").groupBy("sample_id").agg(F.count("*").alias("n"))
+    per = d.manifest(spark, sf).join(live, "sample_id", "left").select("gap", F.coalesce("n", F.lit(0)).alias("n"))
+    return per.groupBy("gap").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.count_if(F.col("n") == 0).alias("without"))
+
+
+@query(
+    f"{TEXT_SQL}, first AS (SELECT doc, min(line_no) FILTER (starts_with(text, command)) AS line_no, any_value(command) AS command FROM lines JOIN commands USING (doc) GROUP BY doc)"
+    " SELECT doc, line_no = 2 AS in_place, length(command) > 3 AS long_name FROM first"
+)
+def aud3_win6_document_checks(spark, sf):
+    pairs = d.lines(spark, sf).join(_commands(spark, sf), "doc").filter(F.col("text").startswith(F.col("command")))
+    w = Window.partitionBy("doc").orderBy("line_no")
+    first = pairs.withColumn("k", F.row_number().over(w)).filter("k = 1")
+    return first.select("doc", (F.col("line_no") == 2).alias("in_place"), (F.length("command") > 3).alias("long_name"))
+
+
+# --- files and streams ----------------------------------------------------------------------------
+
+
+def _fresh(spark, name: str) -> str:
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query(f"WITH {d.HITS_SQL} SELECT 'Morris_' || sample_id AS sample_name, count(*) AS n, round(sum(energy_ev), 9) AS energy, sum(CAST(t_ns AS BIGINT)) AS t FROM hits WHERE sample_id % 10 = 3 OR sample_id % 10 = 7 OR sample_id >= 0 GROUP BY ALL")
+def src2_src7_hits_csv(spark, sf):
+    path = _fresh(spark, "hits-csv")
+    named = d.hits(spark, sf).withColumn("sample_name", F.concat(F.lit("Morris_"), F.col("sample_id").cast("string")))
+    writers.write_hits_csv(named.repartition("sample_name"), path)
+    rows = readers.hits_csv(spark, path, r"file=([^/]+?)_hitsfile")
+    return rows.groupBy("sample_name").agg(F.count("*").alias("n"), F.round(F.sum("energy_ev"), 9).alias("energy"), F.sum(F.col("t_ns").cast("long")).alias("t"))
+
+
+@query(f"WITH {d.MANIFEST_SQL} SELECT sample_name, gap, len(qx) AS sites, pt FROM manifest")
+def src3_snk2_manifest_jsonl(spark, sf):
+    path = _fresh(spark, "manifest")
+    records = d.manifest(spark, sf).withColumn("hits_file", F.concat("sample_name", F.lit("_hitsfile.txt")))
+    writers.append_manifest(records.filter("sample_id % 2 = 0"), path)
+    writers.append_manifest(records.filter("sample_id % 2 = 1"), path)
+    return readers.manifest_jsonl(spark, path).select("sample_name", "gap", F.size("qx").alias("sites"), "pt")
+
+
+@query(f"WITH {d.DESIGN_SQL} SELECT sample_id, 'NATION_' || var_idx AS name, value FROM design")
+def src5_snk1_design_csv(spark, sf):
+    path = _fresh(spark, "design")
+    params = d.params(spark, sf)
+    names = [r["name"] for r in params.orderBy("var_idx").select("name").collect()]
+    long = _design(spark, sf).join(params.select("var_idx", "name"), "var_idx").select("sample_id", "name", "value")
+    writers.write_design_csv(long, names, path)
+    return readers.design_csv(spark, path)
+
+
+@query(f"WITH {d.LINES_SQL} SELECT count(*) AS lines, count(DISTINCT doc) AS docs, sum(length(text)) AS letters FROM lines WHERE doc % 50 = 0 OR doc >= 0")
+def src6_snk3_snk4_documents(spark, sf):
+    path = _fresh(spark, "documents")
+    lines = d.lines(spark, sf).withColumn("part", F.col("doc") % 16)
+    lines.select("part", F.concat_ws("\t", F.col("doc").cast("string"), F.col("text")).alias("text"), "line_no", "doc").repartition("part").sortWithinPartitions("part", "doc", "line_no").select(
+        "part", "text"
+    ).write.partitionBy("part").text(path)
+    back = spark.read.text(path).select(F.split("value", "\t", 2).alias("p"))
+    return back.agg(F.count("*").alias("lines"), F.count_distinct(F.col("p")[0]).alias("docs"), F.sum(F.length(F.col("p")[1])).alias("letters"))
+
+
+@query(f"{d.QP_WITH} SELECT sample_id, electrode, sum(qps) AS qps, count(*) AS bins FROM qp GROUP BY ALL")
+def snk5_snk8_array_sink(spark, sf):
+    path = _fresh(spark, "qp-arrays")
+    arrays = _qp(spark, sf).groupBy("sample_id", "electrode").agg(F.array_sort(F.collect_list(F.struct("bin", "qps"))).alias("held"))
+    for _ in range(2):  # writing again gives the same table
+        writers.write_arrays(arrays, path)
+    rows = spark.read.parquet(path)
+    return rows.select("sample_id", "electrode", F.aggregate("held", F.lit(0.0), lambda a, x: a + x["qps"]).alias("qps"), F.size("held").cast("long").alias("bins"))
+
+
+@query(f"{d.QP_WITH} SELECT * FROM qp")
+def str1_str2_str3_streamed_histogram(spark, sf):
+    slices, out, state = (_fresh(spark, n) for n in ("stream-hits", "stream-counts", "stream-state"))
+    d.hits(spark, sf).repartition(8).write.parquet(slices)
+    query = hits_stream.start(spark, slices, d.manifest(spark, sf), out, state, files_per_batch=3)
+    query.awaitTermination()
+    return hits_stream.state(spark, out)
