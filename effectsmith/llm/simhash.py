@@ -190,3 +190,139 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     labelled = roots.join(own, "root").select(F.col("node").alias("fp"), "least_id").unionByName(own.withColumnRenamed("root", "fp"))
     labels = firsts.join(labelled, "fp", "left").select("fp", F.coalesce("least_id", "first_id").alias("component_id"))
     return hashed.join(written(labels, "simhash-labels"), "fp")
+
+
+# --- near copies: word fingerprints, Golay keys of segment pairs, exact verification ----------------
+
+SHINGLE, SIMILARITY, MOST_BITS = 5, 0.8, 14
+
+
+def words_of(text: str | None) -> list[bytes]:
+    return (text or "").encode("utf-8", "surrogatepass").translate(FOLD).split()
+
+
+def word_fingerprint(words: list[bytes]) -> int:
+    """SimHash of the distinct words: one changed word is one changed feature, not five."""
+    own = set(words)
+    if not own:
+        return 0
+    hashes = np.fromiter(map(xxhash.xxh64_intdigest, own, repeat(SEED)), dtype=">u8", count=len(own))
+    ones = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * ones > len(own)).tobytes(), "big")
+
+
+def shingle_hashes(words: list[bytes]) -> np.ndarray:
+    """Distinct 64-bit hashes of the runs of SHINGLE words; fewer words are one run."""
+    if len(words) <= SHINGLE:
+        return np.array([xxhash.xxh64_intdigest(b" ".join(words), SEED)] if words else [], dtype=np.uint64)
+    runs = map(b" ".join, zip(*[words[i:] for i in range(SHINGLE)], strict=False))
+    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, runs, repeat(SEED)), dtype=np.uint64, count=len(words) - SHINGLE + 1))
+
+
+def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = []
+        for text in batch.column("text").to_pylist():
+            words = words_of(text)
+            rows.append((word_fingerprint(words), xxhash.xxh3_128_digest(b" ".join(words))))
+        fps = np.array([r[0] for r in rows], dtype=np.uint64).view(np.int64)
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps), pa.array([r[1] for r in rows], pa.binary())], ["doc_id", "fp", "text_id"])
+
+
+def _shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for start in range(0, batch.num_rows, 500):
+            part = batch.slice(start, 500)
+            words = [words_of(t) for t in part.column("text").to_pylist()]
+            sets = [shingle_hashes(w).view(np.int64) for w in words]
+            ids = [xxhash.xxh3_128_digest(b" ".join(w)) for w in words]
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.binary()), pa.array(sets, pa.list_(pa.int64()))], ["text_id", "shingles"])
+
+
+def pair_keys(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Row numbers and keys: for each two of the three segments, every two of their codeword indices."""
+    bits = fps.view(np.uint64) if fps.dtype == np.int64 else fps.astype(np.uint64)
+    index, new = [], []
+    for low, size in SEGMENTS:
+        one = np.sort(golay_indices(((bits >> np.uint64(low)) & np.uint64((1 << size) - 1)).astype(np.int64)), axis=1)
+        first = np.ones(one.shape, dtype=bool)
+        first[:, 1:] = one[:, 1:] != one[:, :-1]
+        index.append(one)
+        new.append(first)
+    rows, keys = [], []
+    for a, b in ((0, 1), (1, 2), (2, 0)):
+        row, i, j = np.nonzero(new[a][:, :, None] & new[b][:, None, :])
+        rows.append(row)
+        keys.append((a << 24) | (index[a][row, i] << 12) | index[b][row, j])
+    return np.concatenate(rows), np.concatenate(keys)
+
+
+def _pair_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for start in range(0, batch.num_rows, 1024):
+            part = batch.slice(start, 1024)
+            fps, copies = (part.column(c).to_numpy(zero_copy_only=False) for c in ("fp", "copies"))
+            row, key = pair_keys(fps)
+            yield pa.RecordBatch.from_arrays([pa.array(fps[row]), pa.array(copies[row]), pa.array(key)], ["fp", "copies", "key"])
+
+
+def candidate_links(fps: DataFrame) -> DataFrame:
+    """(a, b): pairs of distinct fingerprints (fp, copies) that share a key, at most MOST_BITS apart.
+
+    Two keys of 12 bits are shared when two of the three segments are within reach of a common codeword:
+    sure up to 2 differing bits in each, likely for 3 and 4. A key with more than BUCKET holders links
+    each of them to the holder with most copies, so a group of thousands of near copies costs one row a
+    member and key, not a row a pair.
+    """
+    keyed = fps.mapInArrow(_pair_keys, "fp long, copies long, key long")
+    held = keyed.groupBy("key").agg(
+        F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b"), F.max(F.struct("copies", "fp")).alias("centre")
+    )
+    held = written(held.filter("n > 1").select("key", "n", "a", "b", F.col("centre.fp").alias("centre")), "near-keys")
+    near = lambda a, b: differing(a, b) <= MOST_BITS
+    two = held.filter("n = 2").select("a", "b").filter(near(F.col("a"), F.col("b")))
+    more = keyed.select("fp", "key").join(held.filter("n > 2").select("key", "n", "centre"), "key")
+    more = written(more.filter((F.col("n") <= BUCKET) | ((F.col("fp") != F.col("centre")) & near(F.col("fp"), F.col("centre")))), "near-members")
+    groups = more.filter(f"n <= {BUCKET}").groupBy("key").agg(F.array_sort(F.collect_set("fp")).alias("fps"))
+    pairs = groups.select(F.explode("fps").alias("a"), "fps").select("a", F.explode(F.filter("fps", lambda b: (b > F.col("a")) & near(F.col("a"), b))).alias("b"))
+    stars = more.filter(f"n > {BUCKET}").select(F.least("fp", "centre").alias("a"), F.greatest("fp", "centre").alias("b"))
+    return two.unionByName(pairs).unionByName(stars).distinct()
+
+
+def near_copies(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """(doc_id, component_id) of every row: exact copies and texts whose sets of five-word runs have a
+    Jaccard similarity of at least ``similarity`` are linked; candidates come from Golay keys of word
+    fingerprints, every link is verified on the whole texts.
+
+    Case is folded and white space is one blank, so texts that differ in these alone are exact copies.
+    Wordless texts are copies of each other. Rows without doc_id link exactly, and never name a component.
+    """
+    rows = docs.select("doc_id", "text")
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    described = written(rows.mapInArrow(_described, f"doc_id {kind}, fp long, text_id binary"), "near-rows")
+    texts = described.groupBy("text_id").agg(F.first("fp").alias("fp"), F.min("doc_id").alias("first_id"), F.count("*").alias("copies"))
+    texts = written(texts, "near-texts")
+    named = texts.filter("first_id is not null")
+    # of several texts with one fingerprint, the one with most copies stands for it
+    spokesmen = named.groupBy("fp").agg(F.sum("copies").alias("copies"), F.max(F.struct("copies", "first_id", "text_id")).alias("s"), F.count("*").alias("n_texts"))
+    spokesmen = written(spokesmen.select("fp", "copies", "n_texts", F.col("s.first_id").alias("node"), F.col("s.text_id").alias("text_id")), "near-spokesmen")
+    links = candidate_links(spokesmen.select("fp", "copies"))
+    of = lambda side: spokesmen.select(F.col("fp").alias(side), F.col("node").alias(f"{side}_node"), F.col("text_id").alias(f"{side}_text"))
+    across = links.join(of("a"), "a").join(of("b"), "b").select("a_node", "a_text", "b_node", "b_text")
+    shared = spokesmen.filter("n_texts > 1").select("fp", F.col("node").alias("b_node"), F.col("text_id").alias("b_text"))
+    within = named.join(shared, "fp").filter("text_id <> b_text").select(F.col("first_id").alias("a_node"), F.col("text_id").alias("a_text"), "b_node", "b_text")
+    candidates = written(across.unionByName(within), "near-candidates")
+    nodes = candidates.select(F.col("a_node").alias("doc_id")).unionByName(candidates.select(F.col("b_node").alias("doc_id"))).distinct()
+    sets = rows.join(nodes, "doc_id", "left_semi").mapInArrow(_shingle_sets, "text_id binary, shingles array<long>").dropDuplicates(["text_id"])
+    sets = written(sets, "near-shingles")
+    side = lambda c: sets.select(F.col("text_id").alias(f"{c}_text"), F.col("shingles").alias(c))
+    size = sets.select(F.col("text_id").alias("t"), F.size("shingles").alias("n"))
+    sized = candidates.join(size.toDF("a_text", "na"), "a_text").join(size.toDF("b_text", "nb"), "b_text")
+    # sets so different in size cannot be this similar: no text is joined for them
+    possible = sized.filter(F.least("na", "nb") >= F.lit(similarity) * F.greatest("na", "nb"))
+    both = possible.join(side("a"), "a_text").join(side("b"), "b_text")
+    common = F.size(F.array_intersect("a", "b"))
+    alike = both.filter(common >= F.lit(similarity) * (F.col("na") + F.col("nb") - common))
+    roots = components(written(alike.select(F.col("a_node").alias("a"), F.col("b_node").alias("b")), "near-links"))
+    named_root = texts.join(roots.withColumnRenamed("node", "first_id"), "first_id", "left").select("text_id", F.coalesce("root", "first_id").alias("component_id"))
+    return described.select("doc_id", "text_id").join(written(named_root, "near-labels"), "text_id").select("doc_id", "component_id")
