@@ -306,8 +306,8 @@ def learned(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, usab
     got = rows.mapInArrow(_word_sets, "toxic int, text string, words array<string>").toPandas()
     if not len(got) or got["toxic"].nunique() < 2:
         return Grammar()
-    # near copies say the same thing: one text for each least word hash
-    got["key"] = [min((hash_word(w) for w in words), default=0) for words in got["words"]]
+    # near copies say the same thing: one text for each four least word hashes
+    got["key"] = [str(sorted(hash_word(w) for w in words)[:4]) for words in got["words"]]
     got = got.sort_values(["key", "text"], na_position="first").drop_duplicates(["key", "toxic"])
     sets = [set(w) for w in got["words"]]
     is_toxic = got["toxic"].to_numpy() == 1
