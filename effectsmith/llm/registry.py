@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from effectsmith.llm import bpe, decontaminate, html_text, langid, lm, quality, simhash, tool_calls, toxicity, url_rules
+from effectsmith.llm.oracles import ORACLES
 from effectsmith.llm.tables import fold, table
 
 WORD_BPE = "/opt/tokenizers/word_bpe_49k.json"
@@ -46,7 +47,7 @@ def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.judged(table(spark, sf_dir, "documents"))
+    return quality.judged(table(spark, sf_dir, "documents")).withColumn("host_rate", F.round("host_rate", 6))
 
 
 def op8_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,4 +76,4 @@ QUERIES = {
     "op10_decontaminate": op10_decontaminate,
     "pipeline": corpus_pipeline.run,
 }
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES"]

@@ -29,3 +29,17 @@ def test_whole_tables_give_whole_results(spark):
     n = spark.read.parquet(f"{SF}/documents.parquet").count()
     for name in ("op1_language_crf", "op3_toxicity", "op6_lm_score", "op9_simhash"):
         assert registry.QUERIES[name](spark, SF).count() == n
+
+
+@pytest.mark.parametrize("name", sorted(registry.ORACLES))
+def test_query_equals_sql(spark, name):
+    import glob
+
+    import duckdb
+
+    from tests.test_registry import rows_of
+
+    con = duckdb.connect()
+    for f in glob.glob(f"{SF}/*.parquet"):
+        con.execute(f"create view {os.path.basename(f)[:-8]} as select * from '{f}'")
+    assert rows_of(registry.QUERIES[name](spark, SF).toPandas()) == rows_of(con.execute(registry.ORACLES[name]).df())
