@@ -38,7 +38,9 @@ PRIME = np.uint64(0x9E3779B97F4A7C15)
 
 
 def words_of(text: str | None) -> list[str]:
-    return WORD.findall(text.lower()) if text else []
+    """Lower-case words; none where all of them are number signs such as fractions, which are no letters."""
+    words = WORD.findall(text.lower()) if text else []
+    return words if any(c.isalpha() for w in words for c in w) else []
 
 
 def features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:

@@ -21,6 +21,39 @@ def test_stages_keep_the_columns_and_only_remove(spark):
     assert {r["doc_id"] for r in whole.select("doc_id").collect()} == before
 
 
+def test_run_equals_a_brute_force_version(spark):
+    from tokenizers import Tokenizer
+
+    from effectsmith.llm import langid, simhash, toxicity
+    from effectsmith.llm.tables import fold
+    from tests.llm.test_native_operators import brute
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    grammar = toxicity.learned(docs, spark.read.parquet(f"{SF}/labels.parquet"), usable=~fold("doc_id", 4, 2))
+    rows = {r["doc_id"]: r["text"] for r in docs.select("doc_id", "text").collect()}
+    left = {i: t for i, t in rows.items() if grammar.score(t) < 0.3 and langid.words_of(t)}
+    sets = {i: set(simhash.shingle_hashes(simhash.words_of(t)).tolist()) for i, t in left.items()}
+    root = {i: i for i in left}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    ids = sorted(left)
+    for n, i in enumerate(ids):
+        for j in ids[:n]:
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    left = {i: t for i, t in left.items() if find(i) == i}
+    items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    leaked = {d for d, _ in brute(list(left.items()), items)}
+    library = Tokenizer.from_file(corpus_pipeline.WORD_BPE)
+    expected = {i: " ".join(map(str, library.encode(t, add_special_tokens=False).ids)) for i, t in left.items() if i not in leaked}
+    assert {r["doc_id"]: r["ids"] for r in corpus_pipeline.run(spark, SF).collect()} == expected
+
+
 def test_every_number_has_one_query():
     assert sorted(int(k[2:].split("_")[0]) for k in registry.QUERIES if k != "pipeline") == list(range(1, 11))
 

@@ -153,7 +153,7 @@ def test_code_switched_words_and_odd_texts(spark):
     syllables = {"xx": ["ka", "lo", "mi", "ru"], "yy": ["sch", "ung", "eit", "ber"]}
     make = lambda lang, n: " ".join("".join(rng.choice(syllables[lang], 3)) for _ in range(n))
     rows = [(i, make(lang, 40), lang) for i in range(200) for lang in [("xx", "yy")[i % 2]]]
-    odd = [(900, None, "xx"), (901, "123 !!", "yy"), (902, make("xx", 30), None), (903, make("xx", 5000), None)]
+    odd = [(900, None, "xx"), (901, "123 ½ ² !!", "yy"), (902, make("xx", 30), None), (903, make("xx", 5000), None)]
     docs = spark.createDataFrame(rows + odd, "doc_id long, text string, lang string").withColumn("score", F.lit(5))
     model = langid.learned(docs.filter("doc_id < 150"))
     got = {r["doc_id"]: r for r in langid.labelled(docs, model).collect()}
