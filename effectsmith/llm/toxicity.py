@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-PER_CLASS = 2500
+PER_CLASS = 1500
 NEED = 4
 THRESHOLD = 0.3
 MIN_ODDS = 2.8
@@ -51,6 +51,7 @@ FIXED_WEIGHT = 2.0
 OTHER, TARGET, NEGATION, REPORT, END, THREAT, INSULT = "otnr.xi"
 FIRST_LEARNED = 0xE000
 FIRST_MARK = chr(FIRST_LEARNED)
+BUCKETS = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -213,17 +214,23 @@ def affixes(word: str) -> list[str]:
 
 def choose_patterns(toxic: list[set[str]], clean: list[set[str]], need: int = NEED) -> dict[str, float]:
     """Greedy cover of the toxic word sets by patterns that the clean ones hardly hold."""
+    least = max(3, len(toxic) // 200)
+    # upper bounds of the patterns' document counts, in a fixed number of buckets: only patterns that may
+    # stand in enough texts get an entry of their own
+    bound = np.zeros(BUCKETS, dtype=np.int32)
+    for words in toxic:
+        bound[list({hash_word(p) % BUCKETS for w in words for p in affixes(w)})] += 1
+    may = bound >= least
     once: dict[str, list[int]] = defaultdict(list)
     twice: dict[str, list[int]] = defaultdict(list)
     words_with: Counter[str] = Counter()
     for i, words in enumerate(toxic):
-        held = Counter(p for w in words for p in affixes(w))
+        held = Counter(p for w in words for p in affixes(w) if may[hash_word(p) % BUCKETS])
         words_with.update(held)
         for p, n in held.items():
             once[p].append(i)
             if n > 1:
                 twice[p].append(i)
-    least = max(3, len(toxic) // 200)
     once = {p: d for p, d in once.items() if len(d) >= least}
     clean_once, clean_twice, clean_words = Counter(), Counter(), Counter()
     for words in clean:
@@ -275,19 +282,8 @@ def fit_curve(points: np.ndarray, label: np.ndarray) -> tuple[float, float, floa
     return float(w[0]), float(w[1] / 6.0), float(w[2] / 6.0)
 
 
-def word_set(text: str | None) -> list[str]:
-    return sorted(set(re.findall(r"[^\W\d_]+", (text or "").lower())))
-
-
-def _word_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        texts = batch.column("text").to_pylist()
-        for start in range(0, len(texts), 500):
-            part = batch.slice(start, 500)
-            yield pa.RecordBatch.from_arrays(
-                [part.column("toxic"), part.column("text"), pa.array([word_set(t) for t in part.column("text").to_pylist()], pa.list_(pa.string()))],
-                ["toxic", "text", "words"],
-            )
+def word_set(text: str | None) -> set[str]:
+    return set(re.findall(r"[^\W\d_]+", (text or "").lower()))
 
 
 def learned(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, usable=None) -> Grammar:
@@ -302,16 +298,14 @@ def learned(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, usab
     order = F.xxhash64("doc_id")
     parts = [marks.filter(F.col("toxic") == c).orderBy(order, "doc_id").limit(per_class) for c in (0, 1)]
     sample = parts[0].unionByName(parts[1])
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("toxic", "text")
-    got = rows.mapInArrow(_word_sets, "toxic int, text string, words array<string>").toPandas()
+    got = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("toxic", "text").toPandas()
     if not len(got) or got["toxic"].nunique() < 2:
         return Grammar()
     # near copies say the same thing: one text for each four least word hashes
-    got["key"] = [str(sorted(hash_word(w) for w in words)[:4]) for words in got["words"]]
+    got["key"] = [str(sorted(map(hash_word, word_set(t)))[:4]) for t in got["text"]]
     got = got.sort_values(["key", "text"], na_position="first").drop_duplicates(["key", "toxic"])
-    sets = [set(w) for w in got["words"]]
     is_toxic = got["toxic"].to_numpy() == 1
-    own = Grammar(choose_patterns([s for s, t in zip(sets, is_toxic, strict=True) if t], [s for s, t in zip(sets, is_toxic, strict=True) if not t]))
+    own = Grammar(choose_patterns(*[[word_set(t) for t in got["text"][is_toxic == c]] for c in (True, False)]))
     points = np.array([own.features(t) for t in got["text"]])
     own.curve = fit_curve(points, is_toxic.astype(float))
     return own
