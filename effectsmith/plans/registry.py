@@ -12,7 +12,7 @@ from effectsmith.functions.lineage import shared_dir
 from effectsmith.functions.shipping import shipped
 from effectsmith.operators import audit, design, effects, hits, render, series
 from effectsmith.plans import derived as d
-from effectsmith.sources import readers, writers
+from effectsmith.sources import catalog, readers, writers
 from effectsmith.streaming import hits_stream
 
 QUERIES: dict = {}
@@ -288,6 +288,21 @@ def agg10_aud9_set4_level_census(spark, sf):
     return rows.select("var_idx", "n_levels", F.element_at("levels", 1).alias("least"), F.element_at("levels", -1).alias("most"))
 
 
+CATALOG_VALUES = ", ".join(f"({r[0]}, {r[7]!r}::DOUBLE, {r[8]!r}::DOUBLE)" for r in catalog.rows())
+STUDY_SQL = f"""WITH p(var_idx, lo, hi) AS (VALUES {CATALOG_VALUES}), each AS (SELECT s_suppkey AS traj, var_idx, lo, hi,
+ {d.HASH_SQL.format("'morris:order:' || s_suppkey || ':' || var_idx")} AS o, {d.HASH_SQL.format("'morris:level:' || s_suppkey || ':' || var_idx")} AS b FROM supplier, p),
+ f AS (SELECT *, row_number() OVER (PARTITION BY traj ORDER BY o, var_idx) AS flip FROM each),
+ l AS (SELECT var_idx, lo, hi, step, CASE WHEN (step < flip) = ((b // 2) % 2 = 0) THEN b % 2 ELSE 2 + b % 2 END AS level FROM f, (SELECT unnest(range(0, {len(catalog.rows()) + 1})) AS step)),
+ v AS (SELECT var_idx, round_even((level / 3.0::DOUBLE * (hi - lo) + lo) * 1e6::DOUBLE, 0) / 1e6::DOUBLE AS value FROM l)"""
+
+
+@query(f"{STUDY_SQL} SELECT var_idx, count(*) AS cells, count(DISTINCT value) AS n_levels, min(value) AS least, max(value) AS most FROM v GROUP BY var_idx")
+def src1_jon5_study_design(spark, sf):
+    """The detector study's own catalog (53 variables), one trajectory a supplier."""
+    rows = design.morris_design(d.trajectories(spark, sf), catalog.catalog(spark))
+    return rows.groupBy("var_idx").agg(F.count("*").alias("cells"), F.count_distinct("value").alias("n_levels"), F.min("value").alias("least"), F.max("value").alias("most"))
+
+
 # --- effects --------------------------------------------------------------------------------------
 
 EFFECT_SQL = f"""WITH {d.DESIGN_SQL}, y AS (SELECT l_suppkey AS traj, CAST(l_orderkey % 26 AS INTEGER) AS step, avg(l_quantity) AS y FROM lineitem GROUP BY ALL),
@@ -385,6 +400,37 @@ def txt8_txt9_rendered_documents(spark, sf):
     return render.rendered(template, gap.unionByName(beam)).select("sample_id", "line_no", "text")
 
 
+@query(f"WITH {d.MANIFEST_SQL} SELECT sample_id, 'Morris_' || sample_id AS sample_name, gap, len(qx) AS sites, list_sum(qx) AS sum_x, list_sum(qy) AS sum_y, chip_z, thickness, n_sim, NULL::VARCHAR AS problem FROM manifest")
+def txt13_txt14_txt15_manifest(spark, sf):
+    """Documents are rendered for every sample and the manifest is read back from their lines."""
+    m = d.manifest(spark, sf)
+    joined = lambda c: F.concat(F.lit(" "), F.array_join(F.transform(c, ex.float_text), ", "))
+    texts = F.array(
+        render.command_text(F.lit("/main/detector_param/setTopGap "), F.col("gap")),
+        F.lit("/main/detector_param/setSubThickness 525"),
+        F.concat(F.lit("  /main/detector_param/setTopThickness "), ex.float_text(F.col("thickness")), F.lit(" um")),
+        F.concat(F.lit("/main/electrode_param/setXLocations"), joined("qx")),
+        F.concat(F.lit("/main/electrode_param/setYLocations"), joined("qy")),
+        F.lit("# /run/beamOn 5"),
+        F.concat(F.lit("/run/beamOn "), F.col("n_sim").cast("long").cast("string")),
+    )
+    lines = m.select(F.col("sample_id").alias("doc"), F.posexplode(texts).alias("line_no", "text"))
+    names = {"setTopGap": "gap", "setSubThickness": "sub", "setTopThickness": "top", "setXLocations": "x", "setYLocations": "y", "beamOn": "beam"}
+    asked = m.select(F.col("sample_id").alias("doc"), F.explode(F.array(*[F.lit(f"/main/{p}/{n}") for p, n in (
+        ("detector_param", "setTopGap"), ("detector_param", "setSubThickness"), ("detector_param", "setTopThickness"), ("electrode_param", "setXLocations"), ("electrode_param", "setYLocations"))], F.lit("/run/beamOn"))).alias("command"))
+    found = render.command_values(lines, asked).withColumn("k", F.element_at(F.create_map(*[F.lit(x) for p in names.items() for x in p]), F.element_at(F.split("command", "/"), -1)))
+    wide = found.groupBy(F.col("doc").alias("sample_id")).pivot("k", list(names.values())).agg(F.first("value"))
+    records = wide.select(
+        "sample_id", design.sample_name("Morris_", F.col("sample_id")).alias("sample_name"), F.col("gap").try_cast("double").alias("gap"),
+        render.number_list(F.col("x")).alias("qx"), render.number_list(F.col("y")).alias("qy"),
+        render.chip_z(F.col("sub").try_cast("double")).alias("chip_z"), render.first_number(F.col("top")).alias("thickness"), F.col("beam").try_cast("double").alias("n_sim"),
+    )
+    total = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x)
+    return render.checked_manifest(records).select(
+        "sample_id", "sample_name", "gap", F.size("qx").cast("long").alias("sites"), total("qx").alias("sum_x"), total("qy").alias("sum_y"), "chip_z", "thickness", "n_sim", "problem"
+    )
+
+
 @query(
     "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice + l_quantity + coalesce(l_tax, 0) AS total, l_quantity AS first FROM lineitem"
 )

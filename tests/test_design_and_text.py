@@ -127,3 +127,16 @@ def test_audits(spark):
     b = spark.createDataFrame([("x", 2), ("x", 1), ("z", 1)], "k string, v int")
     verdict = {r["k"]: r["verdict"] for r in audit.compared_runs(audit.fingerprint(a, "k", ["v"]), audit.fingerprint(b, "k", ["v"]), "k").collect()}
     assert verdict == {"x": "identical", "y": "only_a", "z": "only_b"}
+
+
+def test_catalog_of_the_study(spark):
+    from effectsmith.sources import catalog
+
+    rows = catalog.catalog(spark).collect()
+    assert (len({r["grp_ord"] for r in rows}), len(rows)) == (50, 53)
+    assert all(r["lo"] <= r["hi"] for r in rows) and [r["var_idx"] for r in rows] == list(range(53))
+    assert catalog.catalog(spark, safe=True).count() == 43
+    limits = design.level_census(design.morris_design(spark.range(40).withColumnRenamed("id", "traj"), catalog.catalog(spark)))
+    by_name = {r["name"]: r["levels"] for r in limits.join(catalog.catalog(spark), "var_idx").collect()}
+    assert by_name["/main/detector_param/setTopQPLim "] == [2.0, 3.0, 4.0, 5.0]
+    assert by_name["/main/detector_param/setTopGap "] == [9.6e-05, 0.000159, 0.000223, 0.000286]
