@@ -139,12 +139,13 @@ def links(fps: DataFrame) -> DataFrame:
     held = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).filter("n > 1")
     held = written(held, "simhash-keys")
     two = held.filter("n = 2").select("a", "b").filter(differing(F.col("a"), F.col("b")) <= 2)
-    few = keyed.join(held.filter(f"n > 2 and n <= {BUCKET}").select("key"), "key")
+    # the planner takes the keys for as small as the fingerprints: the hint keeps them from being broadcast
+    few = keyed.join(held.filter(f"n > 2 and n <= {BUCKET}").select("key").hint("shuffle_hash"), "key")
     groups = few.groupBy("key").agg(F.array_sort(F.collect_set("fp")).alias("fps"))
     pairs = groups.select(F.explode("fps").alias("a"), "fps").select(
         "a", F.explode(F.filter("fps", lambda b: (b > F.col("a")) & (differing(F.col("a"), b) <= 2))).alias("b")
     )
-    crowded = keyed.join(held.filter(f"n > {BUCKET}").select("key"), "key", "left_semi").select("fp").distinct()
+    crowded = keyed.join(held.filter(f"n > {BUCKET}").select("key").hint("shuffle_hash"), "key", "left_semi").select("fp").distinct()
     near = F.array(F.col("fp"), *[F.col("fp").bitwiseXOR(F.lit(-(1 << 63) if i == 63 else 1 << i)) for i in range(64)])
     balls = crowded.select("fp", F.explode(near).alias("word"))
     centres = balls.groupBy("word").agg(F.min("fp").alias("a"), F.count("*").alias("n")).filter("n > 1").select("word", "a")
@@ -271,21 +272,28 @@ def candidate_links(fps: DataFrame) -> DataFrame:
 
     Two keys of 12 bits are shared when two of the three segments are within reach of a common codeword:
     sure up to 2 differing bits in each, likely for 3 and 4. A key with more than BUCKET holders links
-    each of them to the holder with most copies, so a group of thousands of near copies costs one row a
-    member and key, not a row a pair.
+    each of them to the holder with most copies (a member to two such holders in all), so a group of thousands
+    of near copies costs a few rows a member, not a row a pair.
     """
     keyed = fps.mapInArrow(_pair_keys, "fp long, copies long, key long")
     held = keyed.groupBy("key").agg(
         F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b"), F.max(F.struct("copies", "fp")).alias("centre")
     )
-    held = written(held.filter("n > 1").select("key", "n", "a", "b", F.col("centre.fp").alias("centre")), "near-keys")
+    held = held.filter("n > 1").select("key", "n", "a", "b", F.col("centre.fp").alias("centre"), F.col("centre.copies").alias("weight"))
+    held = written(held, "near-keys")
     near = lambda a, b: differing(a, b) <= MOST_BITS
     two = held.filter("n = 2").select("a", "b").filter(near(F.col("a"), F.col("b")))
-    more = keyed.select("fp", "key").join(held.filter("n > 2").select("key", "n", "centre"), "key")
+    # as in links(): without the hint the planner would broadcast the keys
+    more = keyed.select("fp", "key").join(held.filter("n > 2").select("key", "n", "centre", "weight").hint("shuffle_hash"), "key")
     more = written(more.filter((F.col("n") <= BUCKET) | ((F.col("fp") != F.col("centre")) & near(F.col("fp"), F.col("centre")))), "near-members")
     groups = more.filter(f"n <= {BUCKET}").groupBy("key").agg(F.array_sort(F.collect_set("fp")).alias("fps"))
     pairs = groups.select(F.explode("fps").alias("a"), "fps").select("a", F.explode(F.filter("fps", lambda b: (b > F.col("a")) & near(F.col("a"), b))).alias("b"))
-    stars = more.filter(f"n > {BUCKET}").select(F.least("fp", "centre").alias("a"), F.greatest("fp", "centre").alias("b"))
+    # of the centres of its crowded keys a member meets two: the one with most copies and the nearest
+    apart = differing(F.col("fp"), F.col("centre"))
+    chosen = more.filter(f"n > {BUCKET}").groupBy("fp").agg(
+        F.max(F.struct("weight", (-apart).alias("near"), "centre")).alias("x"), F.min(F.struct(apart.alias("apart"), "centre")).alias("y")
+    )
+    stars = chosen.select("fp", F.explode(F.array("x.centre", "y.centre")).alias("c")).select(F.least("fp", "c").alias("a"), F.greatest("fp", "c").alias("b"))
     return two.unionByName(pairs).unionByName(stars).distinct()
 
 
