@@ -193,23 +193,30 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return hashed.join(written(labels, "simhash-labels"), "fp")
 
 
-# --- near copies: word fingerprints, Golay keys of segment pairs, exact verification ----------------
+# --- near copies: word fingerprints, Golay keys, exact verification ---------------------------------
 
 SHINGLE, SIMILARITY, MOST_BITS = 5, 0.8, 14
+#: Odd multipliers that give further fingerprints from one hash a word.
+MULTIPLIERS = (1, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
 
 
 def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").translate(FOLD).split()
 
 
-def word_fingerprint(words: list[bytes]) -> int:
-    """SimHash of the distinct words: one changed word is one changed feature, not five."""
+def word_fingerprints(words: list[bytes]) -> list[int]:
+    """SimHashes of the distinct words: one changed word is one changed feature, not five."""
     own = set(words)
     if not own:
-        return 0
-    hashes = np.fromiter(map(xxhash.xxh64_intdigest, own, repeat(SEED)), dtype=">u8", count=len(own))
-    ones = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * ones > len(own)).tobytes(), "big")
+        return [0] * len(MULTIPLIERS)
+    hashes = np.fromiter(map(xxhash.xxh64_intdigest, own, repeat(SEED)), dtype=np.uint64, count=len(own))
+    found = []
+    for m in MULTIPLIERS:
+        mixed = hashes * np.uint64(m)
+        mixed ^= mixed >> np.uint64(32)
+        bits = np.unpackbits(mixed.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+        found.append(int.from_bytes(np.packbits(2 * bits > len(own)).tobytes(), "big"))
+    return found
 
 
 def shingle_hashes(words: list[bytes]) -> np.ndarray:
@@ -225,9 +232,10 @@ def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = []
         for text in batch.column("text").to_pylist():
             words = words_of(text)
-            rows.append((word_fingerprint(words), xxhash.xxh3_128_digest(b" ".join(words))))
-        fps = np.array([r[0] for r in rows], dtype=np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps), pa.array([r[1] for r in rows], pa.binary())], ["doc_id", "fp", "text_id"])
+            rows.append((word_fingerprints(words), xxhash.xxh3_128_digest(b" ".join(words))))
+        fps = np.array([r[0] for r in rows], dtype=np.uint64).reshape(-1, len(MULTIPLIERS)).view(np.int64)
+        lists = pa.array(list(fps), pa.list_(pa.int64()))
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists, pa.array([r[1] for r in rows], pa.binary())], ["doc_id", "fps", "text_id"])
 
 
 def _shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -240,42 +248,27 @@ def _shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.binary()), pa.array(sets, pa.list_(pa.int64()))], ["text_id", "shingles"])
 
 
-def pair_keys(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Row numbers and keys: for each two of the three segments, every two of their codeword indices."""
-    bits = fps.view(np.uint64) if fps.dtype == np.int64 else fps.astype(np.uint64)
-    index, new = [], []
-    for low, size in SEGMENTS:
-        one = np.sort(golay_indices(((bits >> np.uint64(low)) & np.uint64((1 << size) - 1)).astype(np.int64)), axis=1)
-        first = np.ones(one.shape, dtype=bool)
-        first[:, 1:] = one[:, 1:] != one[:, :-1]
-        index.append(one)
-        new.append(first)
-    rows, keys = [], []
-    for a, b in ((0, 1), (1, 2), (2, 0)):
-        row, i, j = np.nonzero(new[a][:, :, None] & new[b][:, None, :])
-        rows.append(row)
-        keys.append((a << 24) | (index[a][row, i] << 12) | index[b][row, j])
-    return np.concatenate(rows), np.concatenate(keys)
-
-
-def _pair_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _copy_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for start in range(0, batch.num_rows, 1024):
-            part = batch.slice(start, 1024)
-            fps, copies = (part.column(c).to_numpy(zero_copy_only=False) for c in ("fp", "copies"))
-            row, key = pair_keys(fps)
-            yield pa.RecordBatch.from_arrays([pa.array(fps[row]), pa.array(copies[row]), pa.array(key)], ["fp", "copies", "key"])
+        for start in range(0, batch.num_rows, 2048):
+            part = batch.slice(start, 2048)
+            copies = part.column("copies").to_numpy(zero_copy_only=False)
+            fps = np.array(part.column("fps").to_pylist(), dtype=np.int64)
+            for number in range(fps.shape[1]):
+                row, key = fuzzy_keys(np.ascontiguousarray(fps[:, number]))
+                yield pa.RecordBatch.from_arrays([pa.array(fps[row, 0]), pa.array(copies[row]), pa.array(key | (number << 36))], ["fp", "copies", "key"])
 
 
 def candidate_links(fps: DataFrame) -> DataFrame:
-    """(a, b): pairs of distinct fingerprints (fp, copies) that share a key, at most MOST_BITS apart.
+    """(a, b): pairs of distinct first fingerprints (fps array, copies) that share a key, at most MOST_BITS apart.
 
-    Two keys of 12 bits are shared when two of the three segments are within reach of a common codeword:
-    sure up to 2 differing bits in each, likely for 3 and 4. A key with more than BUCKET holders links
+    Keys are those of ``fuzzy_keys`` for each of the fingerprints: one is shared for sure when any of them
+    differ in 2 bits or fewer, and likely when one untouched segment stands before one with few errors. With
+    about 34 bits a key, unlike texts seldom share one, however many there are. A key with more than BUCKET holders links
     each of them to the holder with most copies (a member to two such holders in all), so a group of thousands
     of near copies costs a few rows a member, not a row a pair.
     """
-    keyed = fps.mapInArrow(_pair_keys, "fp long, copies long, key long")
+    keyed = fps.mapInArrow(_copy_keys, "fp long, copies long, key long")
     held = keyed.groupBy("key").agg(
         F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b"), F.max(F.struct("copies", "fp")).alias("centre")
     )
@@ -307,14 +300,14 @@ def near_copies(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """
     rows = docs.select("doc_id", "text")
     kind = rows.schema["doc_id"].dataType.simpleString()
-    described = written(rows.mapInArrow(_described, f"doc_id {kind}, fp long, text_id binary"), "near-rows")
-    texts = described.groupBy("text_id").agg(F.first("fp").alias("fp"), F.min("doc_id").alias("first_id"), F.count("*").alias("copies"))
-    texts = written(texts, "near-texts")
+    described = written(rows.mapInArrow(_described, f"doc_id {kind}, fps array<long>, text_id binary"), "near-rows")
+    texts = described.groupBy("text_id").agg(F.first("fps").alias("fps"), F.min("doc_id").alias("first_id"), F.count("*").alias("copies"))
+    texts = written(texts.withColumn("fp", F.col("fps")[0]), "near-texts")
     named = texts.filter("first_id is not null")
     # of several texts with one fingerprint, the one with most copies stands for it
-    spokesmen = named.groupBy("fp").agg(F.sum("copies").alias("copies"), F.max(F.struct("copies", "first_id", "text_id")).alias("s"), F.count("*").alias("n_texts"))
-    spokesmen = written(spokesmen.select("fp", "copies", "n_texts", F.col("s.first_id").alias("node"), F.col("s.text_id").alias("text_id")), "near-spokesmen")
-    links = candidate_links(spokesmen.select("fp", "copies"))
+    spokesmen = named.groupBy("fp").agg(F.sum("copies").alias("copies"), F.max(F.struct("copies", "first_id", "text_id", "fps")).alias("s"), F.count("*").alias("n_texts"))
+    spokesmen = written(spokesmen.select("fp", "copies", "n_texts", F.col("s.fps").alias("fps"), F.col("s.first_id").alias("node"), F.col("s.text_id").alias("text_id")), "near-spokesmen")
+    links = candidate_links(spokesmen.select("fps", "copies"))
     of = lambda side: spokesmen.select(F.col("fp").alias(side), F.col("node").alias(f"{side}_node"), F.col("text_id").alias(f"{side}_text"))
     across = links.join(of("a"), "a").join(of("b"), "b").select("a_node", "a_text", "b_node", "b_text")
     shared = spokesmen.filter("n_texts > 1").select("fp", F.col("node").alias("b_node"), F.col("text_id").alias("b_text"))
