@@ -26,13 +26,14 @@ give an empty result. Only doc_id and text are read.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from effectsmith.functions.lineage import written
@@ -193,32 +194,19 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return hashed.join(written(labels, "simhash-labels"), "fp")
 
 
-# --- near copies: word fingerprints, Golay keys, exact verification ---------------------------------
+# --- near copies: prefix-filter join on five-word runs, exact verification ---------------------------
 
-SHINGLE, SIMILARITY, MOST_BITS = 5, 0.8, 14
-#: Odd multipliers that give further fingerprints from one hash a word.
-MULTIPLIERS = (1, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
+SHINGLE, SIMILARITY = 5, 0.8
+#: The order of runs: one in ORDER_PART texts is counted for it, at most COMMON runs come last.
+ORDER_PART, COMMON = 8, 200_000
+#: Work of crowded runs, never results: when and how often holders are compared with a few before with all.
+FEW, CENTRES, TURNS = 4, 8, 2
 
 
 def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").translate(FOLD).split()
 
 
-def word_fingerprints(words: list[bytes]) -> list[int]:
-    """SimHashes of the distinct words: one changed word is one changed feature, not five."""
-    own = set(words)
-    if not own:
-        return [0] * len(MULTIPLIERS)
-    hashes = np.fromiter(map(xxhash.xxh64_intdigest, own, repeat(SEED)), dtype=np.uint64, count=len(own))
-    found = []
-    for m in MULTIPLIERS:
-        mixed = hashes * np.uint64(m)
-        mixed ^= mixed >> np.uint64(32)
-        bits = np.unpackbits(mixed.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-        found.append(int.from_bytes(np.packbits(2 * bits > len(own)).tobytes(), "big"))
-    return found
-
-
 def shingle_hashes(words: list[bytes]) -> np.ndarray:
     """Distinct 64-bit hashes of the runs of SHINGLE words; fewer words are one run."""
     if len(words) <= SHINGLE:
@@ -227,103 +215,169 @@ def shingle_hashes(words: list[bytes]) -> np.ndarray:
     return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, runs, repeat(SEED)), dtype=np.uint64, count=len(words) - SHINGLE + 1))
 
 
+def set_of(text: str | None) -> tuple[bytes, np.ndarray]:
+    """Name (128 bits) and runs of a text; texts with equal sets of runs have one name."""
+    own = shingle_hashes(words_of(text))
+    return xxhash.xxh3_128_digest(own.tobytes()), own
+
+
+def node_of(name: bytes) -> int:
+    """The name's first 64 bits, signed: for keys alone, links are verified by whole names."""
+    return int.from_bytes(name[:8], "big", signed=True)
+
+
+def prefix_length(n: int, similarity: float) -> int:
+    """Sets this similar have a run in common among the first so many of each, in any order of all runs."""
+    return n - math.ceil(similarity * n - 1e-9) + 1
+
+
 def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = []
-        for text in batch.column("text").to_pylist():
-            words = words_of(text)
-            rows.append((word_fingerprints(words), xxhash.xxh3_128_digest(b" ".join(words))))
-        fps = np.array([r[0] for r in rows], dtype=np.uint64).reshape(-1, len(MULTIPLIERS)).view(np.int64)
-        lists = pa.array(list(fps), pa.list_(pa.int64()))
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists, pa.array([r[1] for r in rows], pa.binary())], ["doc_id", "fps", "text_id"])
+        names = [set_of(t)[0] for t in batch.column("text").to_pylist()]
+        nodes = pa.array([node_of(n) for n in names], pa.int64())
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(names, pa.binary()), nodes], ["doc_id", "set_id", "node"])
 
 
 def _shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for start in range(0, batch.num_rows, 500):
-            part = batch.slice(start, 500)
-            words = [words_of(t) for t in part.column("text").to_pylist()]
-            sets = [shingle_hashes(w).view(np.int64) for w in words]
-            ids = [xxhash.xxh3_128_digest(b" ".join(w)) for w in words]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.binary()), pa.array(sets, pa.list_(pa.int64()))], ["text_id", "shingles"])
+            sets = [set_of(t) for t in batch.column("text").slice(start, 500).to_pylist()]
+            lists = pa.array([own.view(np.int64) for _, own in sets], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array([name for name, _ in sets], pa.binary()), lists], ["set_id", "shingles"])
 
 
-def _copy_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _order_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for start in range(0, batch.num_rows, 2048):
-            part = batch.slice(start, 2048)
-            copies = part.column("copies").to_numpy(zero_copy_only=False)
-            fps = np.array(part.column("fps").to_pylist(), dtype=np.int64)
-            for number in range(fps.shape[1]):
-                row, key = fuzzy_keys(np.ascontiguousarray(fps[:, number]))
-                yield pa.RecordBatch.from_arrays([pa.array(fps[row, 0]), pa.array(copies[row]), pa.array(key | (number << 36))], ["fp", "copies", "key"])
-
-
-def candidate_links(fps: DataFrame) -> DataFrame:
-    """(a, b): pairs of distinct first fingerprints (fps array, copies) that share a key, at most MOST_BITS apart.
-
-    Keys are those of ``fuzzy_keys`` for each of the fingerprints: one is shared for sure when any of them
-    differ in 2 bits or fewer, and likely when one untouched segment stands before one with few errors. With
-    about 34 bits a key, unlike texts seldom share one, however many there are. A key with more than BUCKET holders links
-    each of them to the holder with most copies (a member to two such holders in all), so a group of thousands
-    of near copies costs a few rows a member, not a row a pair.
+        for start in range(0, batch.num_rows, 2000):
+            sets = dict(map(set_of, batch.column("text").slice(start, 2000).to_pylist()))
+            held = [own for name, own in sets.items() if name[-1] % ORDER_PART == 0]
+            if held:
+                key, c = np.unique(np.concatenate(held), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(c)], ["key", "c"])
+
+
+def common_runs(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """At most COMMON runs that many texts hold, ascending, and their counts.
+
+    They fix only the order of runs, so that passages of many texts are no keys; links do not depend on it.
     """
-    keyed = fps.mapInArrow(_copy_keys, "fp long, copies long, key long")
-    held = keyed.groupBy("key").agg(
-        F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b"), F.max(F.struct("copies", "fp")).alias("centre")
-    )
-    held = held.filter("n > 1").select("key", "n", "a", "b", F.col("centre.fp").alias("centre"), F.col("centre.copies").alias("weight"))
-    held = written(held, "near-keys")
-    near = lambda a, b: differing(a, b) <= MOST_BITS
-    two = held.filter("n = 2").select("a", "b").filter(near(F.col("a"), F.col("b")))
-    # as in links(): without the hint the planner would broadcast the keys
-    more = keyed.select("fp", "key").join(held.filter("n > 2").select("key", "n", "centre", "weight").hint("shuffle_hash"), "key")
-    more = written(more.filter((F.col("n") <= BUCKET) | ((F.col("fp") != F.col("centre")) & near(F.col("fp"), F.col("centre")))), "near-members")
-    groups = more.filter(f"n <= {BUCKET}").groupBy("key").agg(F.array_sort(F.collect_set("fp")).alias("fps"))
-    pairs = groups.select(F.explode("fps").alias("a"), "fps").select("a", F.explode(F.filter("fps", lambda b: (b > F.col("a")) & near(F.col("a"), b))).alias("b"))
-    # of the centres of its crowded keys a member meets two: the one with most copies and the nearest
-    apart = differing(F.col("fp"), F.col("centre"))
-    chosen = more.filter(f"n > {BUCKET}").groupBy("fp").agg(
-        F.max(F.struct("weight", (-apart).alias("near"), "centre")).alias("x"), F.min(F.struct(apart.alias("apart"), "centre")).alias("y")
-    )
-    stars = chosen.select("fp", F.explode(F.array("x.centre", "y.centre")).alias("c")).select(F.least("fp", "c").alias("a"), F.greatest("fp", "c").alias("b"))
-    return two.unionByName(pairs).unionByName(stars).distinct()
+    counts = rows.select("text").mapInArrow(_order_counts, "key long, c long").groupBy("key").agg(F.sum("c").alias("c")).filter("c > 2")
+    counts = written(counts, "near-common")
+    held, least = 0, math.inf
+    steps = counts.groupBy(F.floor(F.log2("c") * 8).alias("step")).agg(F.count("*").alias("n")).collect()  # some hundred rows
+    for row in sorted(steps, key=lambda r: -r["step"]):
+        held += row["n"]
+        if held > COMMON:
+            break
+        least = 2 ** (row["step"] / 8) * (1 - 1e-9)
+    got = counts.filter(F.col("c") >= least).toPandas()
+    keys = got["key"].to_numpy(dtype=np.int64).view(np.uint64)
+    order = np.argsort(keys)
+    return keys[order], got["c"].to_numpy(dtype=np.int64)[order]
+
+
+def prefix_keys(own: np.ndarray, common: np.ndarray, counts: np.ndarray, similarity: float) -> np.ndarray:
+    """The first ``prefix_length`` runs of a set: uncommon ones by hash, then common ones by count and hash."""
+    if len(common):
+        at = np.minimum(np.searchsorted(common, own), len(common) - 1)
+        own = own[np.lexsort((own, np.where(common[at] == own, counts[at], 0)))]
+    return own[: prefix_length(len(own), similarity)]
+
+
+def set_keys(rows: DataFrame, similarity: float) -> DataFrame:
+    """(key, node, n, place): every run of every set's prefix, once, with the set's size and its place."""
+    shared = rows.sparkSession.sparkContext.broadcast(common_runs(rows))  # at most COMMON runs
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common, counts = shared.value
+        for batch in batches:
+            for start in range(0, batch.num_rows, 1000):
+                sets = dict(map(set_of, batch.column("text").slice(start, 1000).to_pylist()))
+                named = [(node_of(name), len(own), prefix_keys(own, common, counts, similarity)) for name, own in sets.items() if len(own)]
+                if named:
+                    long = np.array([len(k) for _, _, k in named])
+                    columns = [np.concatenate([k for _, _, k in named]).view(np.int64), np.repeat(np.array([x[0] for x in named], dtype=np.int64), long)]
+                    columns += [np.repeat(np.array([x[1] for x in named], dtype=np.int32), long), np.concatenate([np.arange(x, dtype=np.int32) for x in long])]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "node", "n", "place"])
+
+    keyed = rows.select("text").mapInArrow(run, "key long, node long, n int, place int")
+    return keyed.repartition("key").groupBy("key", "node").agg(F.first("n").alias("n"), F.first("place").alias("place"))
+
+
+def may_link(a: str, b: str, similarity: float) -> Column:
+    """Whether two sets whose first common run stands at these places (of these sizes) can be this similar."""
+    na, nb = F.col(f"{a}n"), F.col(f"{b}n")
+    rest = F.least(na - F.col(f"{a}place"), nb - F.col(f"{b}place"))
+    return rest >= F.lit(similarity / (1 + similarity)) * (na + nb) - 1e-9
+
+
+def near_links(named: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): links of set names with the same components as all pairs of at least this similarity.
+
+    Two such sets share a run of their prefixes, and at the first they share the rest of both is long enough
+    (``may_link``). First every set is compared with one holder of each of its keys. Keys whose holders are
+    still in several components go on: while they would give more than FEW pairs a row, their sets are
+    compared with CENTRES other holders (at most TURNS times); at last all pairs across components are. So a
+    group of thousands of near copies costs a few rows a member, and no pair across components goes untested.
+    """
+    key = Window.partitionBy("key")
+    held = set_keys(named, similarity).withColumn("holders", F.count("*").over(key)).filter("holders > 1")
+    held = written(held.withColumn("c", F.min(F.struct("node", "n", "place")).over(key)).select("key", "node", "n", "place", F.col("c.node").alias("cnode"), F.col("c.n").alias("cn"), F.col("c.place").alias("cplace")), "near-keys")
+    stars = held.filter((F.col("node") != F.col("cnode")) & may_link("", "c", similarity)).select(F.col("cnode").alias("a"), F.col("node").alias("b"))
+    stars = written(stars.distinct(), "near-stars")
+    links, done = verified(named, sets, stars, similarity), stars
+    found = links
+    for turn in range(1, TURNS + 1):
+        roots = components(links)
+        of = sets.join(roots.withColumnRenamed("node", "set_id"), "set_id", "left").groupBy("node").agg(F.min(F.coalesce("root", "set_id")).alias("root"))
+        rooted = held.select("key", "node", "n", "place").join(written(of, "near-roots"), "node")
+        mixed = rooted.withColumn("low", F.min("root").over(key)).withColumn("high", F.max("root").over(key)).filter("low <> high")
+        mixed = written(mixed.select("key", "node", "n", "place", "root"), "near-mixed")
+        side = lambda c, rows: rows.select("key", *[F.col(x).alias(f"{c}{x}") for x in ("node", "n", "place", "root")])
+        parts = mixed.groupBy("key", "root").agg(F.count("*").cast("double").alias("m")).groupBy("key").agg(F.sum("m").alias("m"), F.sum(F.col("m") * F.col("m")).alias("q"))
+        left = parts.agg(F.sum("m").alias("rows"), F.sum((F.col("m") * F.col("m") - F.col("q")) / 2).alias("pairs")).first()
+        last = turn == TURNS or (left["pairs"] or 0) <= FEW * (left["rows"] or 0) or found.isEmpty()
+        others = mixed
+        if not last:  # some holders of every key, the same ones of the keys that a group shares
+            others = mixed.withColumn("at", F.row_number().over(key.orderBy(F.xxhash64("node", F.lit(turn)), "node"))).filter(f"at <= {CENTRES}")
+        across = side("x", mixed).join(side("y", others), "key").filter((F.col("xroot") != F.col("yroot")) & may_link("x", "y", similarity))
+        pairs = across.select(F.least("xnode", "ynode").alias("a"), F.greatest("xnode", "ynode").alias("b")) if not last else across.filter("xnode < ynode").select(F.col("xnode").alias("a"), F.col("ynode").alias("b"))
+        pairs = written(pairs.distinct().join(done, ["a", "b"], "left_anti"), "near-pairs")
+        found = verified(named, sets, pairs, similarity)
+        links, done = links.unionByName(found), done.unionByName(pairs)
+        if last:
+            break
+    return links
+
+
+def verified(named: DataFrame, sets: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
+    """(a, b) set names of those pairs of nodes whose whole sets are this similar."""
+    nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    texts = sets.join(nodes, "node", "left_semi").select(F.col("first_id").alias("doc_id")).distinct()
+    lists = named.join(texts, "doc_id", "left_semi").mapInArrow(_shingle_sets, "set_id binary, shingles array<long>").dropDuplicates(["set_id"])
+    lists = written(lists.join(sets.select("set_id", "node"), "set_id"), "near-shingles")
+    side = lambda c: lists.select(F.col("node").alias(c), F.col("set_id").alias(f"{c}_set"), F.col("shingles").alias(f"{c}_runs"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    common = F.size(F.array_intersect("a_runs", "b_runs"))
+    alike = both.filter(common >= F.lit(similarity) * (F.size("a_runs") + F.size("b_runs") - common))
+    return written(alike.select(F.col("a_set").alias("a"), F.col("b_set").alias("b")), "near-links")
 
 
 def near_copies(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, component_id) of every row: exact copies and texts whose sets of five-word runs have a
-    Jaccard similarity of at least ``similarity`` are linked; candidates come from Golay keys of word
-    fingerprints, every link is verified on the whole texts.
+    Jaccard similarity of at least ``similarity`` are linked. The join is exact: every such pair is
+    connected (``near_links``), and every link is verified on the whole sets.
 
     Case is folded and white space is one blank, so texts that differ in these alone are exact copies.
     Wordless texts are copies of each other. Rows without doc_id link exactly, and never name a component.
     """
     rows = docs.select("doc_id", "text")
     kind = rows.schema["doc_id"].dataType.simpleString()
-    described = written(rows.mapInArrow(_described, f"doc_id {kind}, fps array<long>, text_id binary"), "near-rows")
-    texts = described.groupBy("text_id").agg(F.first("fps").alias("fps"), F.min("doc_id").alias("first_id"), F.count("*").alias("copies"))
-    texts = written(texts.withColumn("fp", F.col("fps")[0]), "near-texts")
-    named = texts.filter("first_id is not null")
-    # of several texts with one fingerprint, the one with most copies stands for it
-    spokesmen = named.groupBy("fp").agg(F.sum("copies").alias("copies"), F.max(F.struct("copies", "first_id", "text_id", "fps")).alias("s"), F.count("*").alias("n_texts"))
-    spokesmen = written(spokesmen.select("fp", "copies", "n_texts", F.col("s.fps").alias("fps"), F.col("s.first_id").alias("node"), F.col("s.text_id").alias("text_id")), "near-spokesmen")
-    links = candidate_links(spokesmen.select("fps", "copies"))
-    of = lambda side: spokesmen.select(F.col("fp").alias(side), F.col("node").alias(f"{side}_node"), F.col("text_id").alias(f"{side}_text"))
-    across = links.join(of("a"), "a").join(of("b"), "b").select("a_node", "a_text", "b_node", "b_text")
-    shared = spokesmen.filter("n_texts > 1").select("fp", F.col("node").alias("b_node"), F.col("text_id").alias("b_text"))
-    within = named.join(shared, "fp").filter("text_id <> b_text").select(F.col("first_id").alias("a_node"), F.col("text_id").alias("a_text"), "b_node", "b_text")
-    candidates = written(across.unionByName(within), "near-candidates")
-    nodes = candidates.select(F.col("a_node").alias("doc_id")).unionByName(candidates.select(F.col("b_node").alias("doc_id"))).distinct()
-    sets = rows.join(nodes, "doc_id", "left_semi").mapInArrow(_shingle_sets, "text_id binary, shingles array<long>").dropDuplicates(["text_id"])
-    sets = written(sets, "near-shingles")
-    side = lambda c: sets.select(F.col("text_id").alias(f"{c}_text"), F.col("shingles").alias(c))
-    size = sets.select(F.col("text_id").alias("t"), F.size("shingles").alias("n"))
-    sized = candidates.join(size.toDF("a_text", "na"), "a_text").join(size.toDF("b_text", "nb"), "b_text")
-    # sets so different in size cannot be this similar: no text is joined for them
-    possible = sized.filter(F.least("na", "nb") >= F.lit(similarity) * F.greatest("na", "nb"))
-    both = possible.join(side("a"), "a_text").join(side("b"), "b_text")
-    common = F.size(F.array_intersect("a", "b"))
-    alike = both.filter(common >= F.lit(similarity) * (F.col("na") + F.col("nb") - common))
-    roots = components(written(alike.select(F.col("a_node").alias("a"), F.col("b_node").alias("b")), "near-links"))
-    named_root = texts.join(roots.withColumnRenamed("node", "first_id"), "first_id", "left").select("text_id", F.coalesce("root", "first_id").alias("component_id"))
-    return described.select("doc_id", "text_id").join(written(named_root, "near-labels"), "text_id").select("doc_id", "component_id")
+    described = written(rows.mapInArrow(_described, f"doc_id {kind}, set_id binary, node long"), "near-rows")
+    sets = written(described.groupBy("set_id", "node").agg(F.min("doc_id").alias("first_id")), "near-sets")
+    roots = components(near_links(rows.filter("doc_id is not null"), sets.filter("first_id is not null"), similarity))
+    rooted = sets.join(roots.withColumnRenamed("node", "set_id"), "set_id", "left").select("set_id", "first_id", F.coalesce("root", "set_id").alias("root"))
+    rooted = written(rooted, "near-rooted")
+    least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    labels = rooted.join(least, "root").select("set_id", "component_id")
+    return described.select("doc_id", "set_id").join(written(labels, "near-labels"), "set_id").select("doc_id", "component_id")

@@ -354,3 +354,40 @@ def test_near_copies_equal_brute_force(spark):
     got = {r["doc_id"]: r["component_id"] for r in simhash.near_copies(docs_of(spark, [" ".join(w) for w in texts])).collect()}
     assert sum(got[i] != find(i) for i in range(len(texts))) <= 0.02 * len(texts)
     assert all(find(i) == find(got[i]) for i in range(len(texts)))  # nothing unlike is merged
+
+
+def near_roots(texts):
+    """Least number of each text's component by all pairs of five-word runs at 0.8."""
+    sets = [set(zip(*[w[i:] for i in range(5)], strict=False)) for w in texts]
+    root = list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    return [find(i) for i in range(len(texts))]
+
+
+def near_found(spark, texts):
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_copies(docs_of(spark, [" ".join(w) for w in texts])).collect()}
+    return [got[i] for i in range(len(texts))]
+
+
+def test_near_copies_that_differ_by_a_block(spark):
+    rng = np.random.default_rng(21)
+    new = lambda n: [f"v{min(int(x), 4999)}" for x in rng.zipf(1.3, n)]
+    texts = []
+    for n in (150, 600):
+        for _ in range(20):
+            words = new(n)
+            part = n // 6
+            texts += [words, words + new(part), words[: n - part], words[part:] + words[:part]]
+    expected = near_roots(texts)
+    assert sum(e != i for i, e in enumerate(expected)) > 80
+    assert near_found(spark, texts) == expected
