@@ -391,3 +391,20 @@ def test_near_copies_that_differ_by_a_block(spark):
     expected = near_roots(texts)
     assert sum(e != i for i, e in enumerate(expected)) > 80
     assert near_found(spark, texts) == expected
+
+
+def test_near_copies_among_many_that_share_a_template(spark):
+    rng = np.random.default_rng(22)
+    new = lambda n: [f"v{int(x)}" for x in rng.integers(0, 50000, n)]
+    frame = new(170)
+    texts = [frame]
+    for _ in range(40):  # below 0.8 to each other, but each has one near copy of its own
+        own = new(32)
+        texts += [frame + own, frame[2:] + own]
+    chain = frame + new(40)
+    for i in range(30):  # edits of edits: neighbours are alike, the ends are not
+        chain = chain[:150] + new(4) + chain[154:] if i % 2 else new(5) + chain[5:]
+        texts.append(chain)
+    expected = near_roots(texts)
+    assert len(set(expected)) > 1
+    assert near_found(spark, texts) == expected
