@@ -408,3 +408,17 @@ def test_near_copies_among_many_that_share_a_template(spark):
     expected = near_roots(texts)
     assert len(set(expected)) > 1
     assert near_found(spark, texts) == expected
+
+
+def test_near_copies_among_texts_of_the_same_words(spark):
+    rng = np.random.default_rng(23)
+    words = [f"v{i}" for i in range(200)]
+    texts = []
+    for _ in range(20):  # one set of words in many orders, each with a near copy
+        own = [words[int(i)] for i in rng.permutation(200)]
+        other = own.copy()
+        other[100], other[101] = other[101], other[100]
+        texts += [own, other]
+    expected = near_roots(texts)
+    assert expected == [i - i % 2 for i in range(40)]
+    assert near_found(spark, texts) == expected
