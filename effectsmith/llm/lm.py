@@ -7,7 +7,8 @@ bytes); a token of a class has the class's probability times its smoothed share
 
 Training passes over all training documents in their partitions: each task starts from the same weights,
 takes every STRIDE-th position, lowers the noise-contrastive loss with noise shared by a minibatch, and
-gives its weights back; they are averaged by positions in a grouped sum. ROUNDS such rounds are made.
+gives its weights back; they are averaged by positions in a grouped sum. Each of the ROUNDS rounds starts
+one position later, so that every position of every document is a target once.
 Scoring normalises exactly: batched matrix products give the log normaliser of every context pair once.
 
 Counts of the commonest tokens (at most HEAD rows) are broadcast; all other tokens of a
@@ -36,7 +37,8 @@ from effectsmith.functions.lineage import written
 HEAD = 200_000
 WORDS, CLASSES, WIDTH = 448, 64, 24
 OUTPUTS = WORDS + CLASSES
-NOISE, BATCH, STRIDE, ROUNDS, RATE = 64, 512, 4, 2, 0.08
+NOISE, BATCH, STRIDE, RATE = 64, 512, 4, 0.08
+ROUNDS = STRIDE  # a round takes every STRIDE-th position from its own start: together, every position once
 FLUSH, CACHE = 250_000, 200_000
 END = b"\n"
 FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")

@@ -210,6 +210,20 @@ def test_scorer_is_normalised_and_nce_learns():
     assert total == pytest.approx(1.0, rel=1e-3)
 
 
+def test_every_position_is_a_training_target_once(spark, monkeypatch, tmp_path):
+    def noted(w, past, target, one, two, noise, log_noise, rate):
+        with open(tmp_path / f"{os.getpid()}", "a") as out:
+            out.write("".join(f"{t} " for t in target.tolist()))
+
+    monkeypatch.setattr(lm, "nce_step", noted)
+    texts = [" ".join(f"w{i}x{j}" for j in range(i)) for i in range(12)]
+    train = docs_of(spark, texts)
+    lm.learned(train, lm.written(lm.vocabulary(train), "test"))
+    got = Counter(int(x) for f in tmp_path.iterdir() for x in f.read_text().split())
+    assert sum(got.values()) == sum(len(lm.tokens_of(t)) for t in texts)
+    assert max(Counter(got).values()) == len(texts)  # the end of each text; every other word occurs once
+
+
 def test_class_column_is_class_of(spark):
     tokens = [b"a", b"ab", b"xyz\xc3\xa9", b"\n"]
     frame = spark.createDataFrame([(bytearray(t),) for t in tokens], "t binary")
