@@ -5,10 +5,12 @@ The model's outputs are the WORDS commonest tokens and CLASSES classes of the ot
 bytes); a token of a class has the class's probability times its smoothed share of the class. With
 ``q = C1 v(w1) + C2 v(w2)`` of the two tokens before, the score of output w is ``r(w) q + b(w)``.
 
-Training passes over all training documents in their partitions: each task starts from the same weights,
-takes every STRIDE-th position, lowers the noise-contrastive loss with noise shared by a minibatch, and
-gives its weights back; they are averaged by positions in a grouped sum. Each of the ROUNDS rounds starts
-one position later, so that every position of every document is a target once.
+Training: texts are coded once to output numbers and written (two bytes a token, long texts in chunks
+that carry their two tokens before). A hash of each chunk deals it to one of ROUNDS rounds and, in the
+round, to one of N / (ROUNDS * SHARD_TOKENS) shards, so rounds and shards follow the data and not its
+partitions. A round starts all shards from the same weights and Adagrad sums, each shard passes over its
+chunks in hash order with its own random numbers, and both are averaged by positions in grouped sums.
+Every position of every training text is a target once.
 Scoring normalises exactly: batched matrix products give the log normaliser of every context pair once.
 
 Counts of the commonest tokens (at most HEAD rows) are broadcast; all other tokens of a
@@ -37,8 +39,8 @@ from effectsmith.functions.lineage import written
 HEAD = 200_000
 WORDS, CLASSES, WIDTH = 448, 64, 24
 OUTPUTS = WORDS + CLASSES
-NOISE, BATCH, STRIDE, RATE = 64, 512, 4, 0.08
-ROUNDS = STRIDE  # a round takes every STRIDE-th position from its own start: together, every position once
+NOISE, BATCH, RATE, ROUNDS = 64, 512, 0.08, 4
+SHARD_TOKENS, CHUNK = 250_000, 1 << 15
 FLUSH, CACHE = 250_000, 200_000
 END = b"\n"
 FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -115,26 +117,32 @@ class Weights:
         return cls(*parts)
 
 
+def summed(rows: np.ndarray, index: np.ndarray, size: int) -> np.ndarray:
+    """(size, width): sums of the rows of each index."""
+    order = np.argsort(index, kind="stable")
+    at = index[order]
+    first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+    out = np.zeros((size, rows.shape[1]), dtype=np.float32)
+    out[at[first]] = np.add.reduceat(rows[order], first, axis=0)
+    return out
+
+
 def nce_step(w: Weights, past: list[np.ndarray], target: np.ndarray, one: np.ndarray, two: np.ndarray, noise: np.ndarray, log_noise: np.ndarray, rate: float) -> None:
     """One Adagrad step of noise-contrastive estimation on a minibatch with shared noise."""
     n = len(target)
     v1, v2 = w.v[one], w.v[two]
     q = v1 @ w.c1.T + v2 @ w.c2.T
     rt, rn = w.r[target], w.r[noise]
-    k = np.log(float(len(noise)))
-    true = np.einsum("ij,ij->i", rt, q) + w.b[target] - (log_noise[target] + k)
-    false = q @ rn.T + w.b[noise] - (log_noise[noise] + k)
+    bias = w.b - log_noise - np.float32(np.log(float(len(noise))))
+    true = np.einsum("ij,ij->i", rt, q) + bias[target]
+    false = q @ rn.T + bias[noise]
     g_true = (1 / (1 + np.exp(-np.clip(true, -30, 30))) - 1).astype(np.float32)
     g_false = (1 / (1 + np.exp(-np.clip(false, -30, 30)))).astype(np.float32)
     dq = g_true[:, None] * rt + g_false @ rn
-    dv, dr, db = np.zeros_like(w.v), np.zeros_like(w.r), np.zeros_like(w.b)
-    np.add.at(dr, target, g_true[:, None] * q)
-    np.add.at(dr, noise, g_false.T @ q)
-    np.add.at(db, target, g_true)
-    np.add.at(db, noise, g_false.sum(axis=0))
-    np.add.at(dv, one, dq @ w.c1)
-    np.add.at(dv, two, dq @ w.c2)
-    for x, g, p in zip((w.v, w.r, w.b, w.c1, w.c2), (dv, dr, db, dq.T @ v1, dq.T @ v2), past, strict=True):
+    dr = summed(g_true[:, None] * q, target, len(w.r)) + summed(g_false.T @ q, noise, len(w.r))
+    db = np.bincount(target, weights=g_true, minlength=len(w.b)) + np.bincount(noise, weights=g_false.sum(axis=0), minlength=len(w.b))
+    dv = summed(np.concatenate([dq @ w.c1, dq @ w.c2]), np.concatenate([one, two]), len(w.v))
+    for x, g, p in zip((w.v, w.r, w.b, w.c1, w.c2), (dv, dr, db.astype(np.float32), dq.T @ v1, dq.T @ v2), past, strict=True):
         g /= n
         p += g * g
         x -= (rate * g / np.sqrt(p)).astype(np.float32)
@@ -165,56 +173,91 @@ def before(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return padded[1:-1], padded[:-2]
 
 
-def train_round(training: DataFrame, words: list[bytes], share: np.ndarray, weights: Weights, phase: int) -> Weights:
-    """Weights after one round over all training documents, averaged over tasks by positions."""
-    shared = training.sparkSession.sparkContext.broadcast((words, share, weights.flat()))  # fixed size
+def coded(training: DataFrame, words: list[bytes]) -> DataFrame:
+    """(place, ids): the output numbers of every training text in chunks, each after the two numbers before
+    it; ``place`` is a hash of the chunk and its document."""
+    shared = training.sparkSession.sparkContext.broadcast(words)  # WORDS tokens
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, share, flat = shared.value
-        own, code = Weights.of(flat), Coder(words)
-        g = np.random.default_rng(phase)
-        log_noise = np.log(share).astype(np.float32)
-        past = [np.full(s, 1e-4, dtype=np.float32) for s in Weights.shapes()]
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        waiting = seen = 0
-        cumulative = np.cumsum(share)
-
-        def learn(rest: bool) -> None:
-            nonlocal waiting, held, seen
-            t, a, b = (np.concatenate([h[i] for h in held]) for i in range(3))
-            order = g.permutation(len(t))
-            stop = len(t) if rest else len(t) - len(t) % BATCH
-            for s in range(0, stop, BATCH):
-                pick = order[s : s + BATCH]
-                noise = np.minimum(np.searchsorted(cumulative, g.random(NOISE) * cumulative[-1]), OUTPUTS - 1)
-                nce_step(own, past, t[pick], a[pick], b[pick], noise, log_noise, RATE)
-            seen += stop
-            left = order[stop:]
-            held, waiting = [(t[left], a[left], b[left])], len(left)
+        code = Coder(shared.value)
+        for whole in batches:
+            for start in range(0, whole.num_rows, 1000):
+                batch = whole.slice(start, 1000)
+                owner, at, ids = [], [], []
+                for row, text in enumerate(batch.column("text").to_pylist()):
+                    numbers = np.concatenate([[OUTPUTS, OUTPUTS], code(tokens_of(text))]).astype("<i2")
+                    for s in range(0, len(numbers) - 2, CHUNK):
+                        owner.append(row)
+                        at.append(s)
+                        ids.append(numbers[s : s + CHUNK + 2].tobytes())
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(owner, pa.int64())), pa.array(at, pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "at", "ids"])
+
+    rows = training.select("doc_id", "text")
+    chunks = rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, at long, ids binary")
+    return chunks.select(F.xxhash64("doc_id", "at", "ids").alias("place"), "ids")
+
+
+def train_shard(state: np.ndarray, share: np.ndarray, chunks: list[np.ndarray], seed: list[int]) -> tuple[int, np.ndarray]:
+    """Positions and state (weights, then Adagrad sums) after one pass over the chunks of a shard."""
+    half = len(state) // 2
+    own, past = Weights.of(state[:half].copy()), Weights.of(state[half:].copy())
+    sums = [past.v, past.r, past.b, past.c1, past.c2]
+    g = np.random.default_rng(seed)
+    log_noise, cumulative = np.log(share).astype(np.float32), np.cumsum(share)
+    target, one, two = (np.concatenate([c[2 - k : len(c) - k] for c in chunks]).astype(np.int64) for k in range(3))
+    order = g.permutation(len(target))
+    for s in range(0, len(target), BATCH):
+        pick = order[s : s + BATCH]
+        noise = np.minimum(np.searchsorted(cumulative, g.random(NOISE) * cumulative[-1]), OUTPUTS - 1)
+        nce_step(own, sums, target[pick], one[pick], two[pick], noise, log_noise, RATE)
+    return len(target), np.concatenate([own.flat(), past.flat()])
+
+
+def train_round(chunks: DataFrame, share: np.ndarray, state: np.ndarray, turn: int, shards: int) -> np.ndarray:
+    """State after one round over its chunks, averaged over the shards by positions."""
+    spark = chunks.sparkSession
+    shared = spark.sparkContext.broadcast((share, state))  # fixed size
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        share, state = shared.value
+        held: list[np.ndarray] = []
+        shard = None
+
+        def learned() -> pa.RecordBatch:
+            n, after = train_shard(state, share, held, [turn, shard])
+            return pa.RecordBatch.from_arrays([pa.array([float(n)]), pa.array([n * after.astype(np.float64)], pa.list_(pa.float64()))], ["n", "w"])
+
+        for batch in batches:
+            for number, ids in zip(batch.column("shard").to_pylist(), batch.column("ids").to_pylist(), strict=True):
+                if held and number != shard:
+                    yield learned()
+                    held = []
+                shard = number
+                held.append(np.frombuffer(ids, dtype="<i2"))
+        if held:
+            yield learned()
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, w = 0.0, None
         for batch in batches:
-            for text in batch.column("text").to_pylist():
-                ids = code(tokens_of(text))
-                one, two = before(ids)
-                at = slice(phase % STRIDE, None, STRIDE)
-                held.append((ids[at], one[at], two[at]))
-                waiting += len(ids[at])
-                if waiting > 100 * BATCH:
-                    learn(False)
-        if waiting:
-            learn(True)
-        if seen:
-            yield pa.RecordBatch.from_arrays([pa.array([float(seen)]), pa.array([own.flat().astype(np.float64)], pa.list_(pa.float64()))], ["n", "w"])
-
-    parts = training.select("text").mapInArrow(run, "n double, w array<double>")
+            for m, x in zip(batch.column("n").to_pylist(), batch.column("w"), strict=True):
+                x = x.values.to_numpy(zero_copy_only=False)
+                n, w = n + m, x.copy() if w is None else w + x
+        if w is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([w], pa.list_(pa.float64()))], ["n", "w"])
+
+    dealt = chunks.filter(F.pmod("place", F.lit(ROUNDS)) == turn).select(F.pmod(F.shiftright("place", 8), F.lit(shards)).alias("shard"), "place", "ids")
+    dealt = dealt.repartition(shards, "shard").sortWithinPartitions("shard", "place", "ids")
+    parts = written(dealt.mapInArrow(run, "n double, w array<double>"), "lm-shards")  # one row a shard
+    parts = parts.repartition(math.isqrt(shards) + 1).mapInArrow(added, "n double, w array<double>")
     each = parts.select("n", F.posexplode("w").alias("place", "x"))
-    mean = each.groupBy("place").agg((F.sum(F.col("n") * F.col("x")) / F.sum("n")).alias("x"))
+    mean = each.groupBy("place").agg((F.sum("x") / F.sum("n")).alias("x"))
     got = mean.orderBy("place").toPandas()  # one row a parameter
-    return Weights.of(got["x"].to_numpy()) if len(got) else weights
+    return got["x"].to_numpy().astype(np.float32) if len(got) else state
 
 
 class Scorer:
-    """Log10 probabilities of outputs after every pair of outputs, from tables of fixed size."""
+    """Log10 probabilities of outputs after every pair of outputs, from tables of fixed size (made once)."""
 
     def __init__(self, w: Weights) -> None:
         self.b = w.b.astype(np.float32)
@@ -237,7 +280,7 @@ class Scorer:
 class Model:
     """Scorer, words, HEAD counts and the classes' totals; N and V of the training tokens."""
 
-    weights: Weights
+    scorer: Scorer
     words: list[bytes]
     head: dict[bytes, int]
     class_total: np.ndarray
@@ -276,10 +319,14 @@ def learned(training: DataFrame, vocab: DataFrame) -> Model:
     class_total = np.maximum(class_total, 0.5)
     share = np.concatenate([[head.get(t, 0) + 0.5 for t in words], np.full(WORDS - len(words), 1e-6), class_total])
     share = share / share.sum()
-    weights = Weights.initial(share)
-    for phase in range(ROUNDS):
-        weights = train_round(training, words, share, weights, phase)
-    return Model(weights, words, head, class_total, int(total["n"] or 0), int(total["v"]))
+    first_weights = Weights.initial(share).flat()
+    state = np.concatenate([first_weights, np.full_like(first_weights, 1e-4)])
+    n = int(total["n"] or 0)
+    if n:
+        chunks = written(coded(training, words), "lm-ids")
+        for turn in range(ROUNDS):
+            state = train_round(chunks, share, state, turn, max(1, n // (ROUNDS * SHARD_TOKENS)))
+    return Model(Scorer(Weights.of(state[: len(first_weights)])), words, head, class_total, n, int(total["v"]))
 
 
 def scored(docs: DataFrame, training: DataFrame) -> DataFrame:
@@ -287,11 +334,11 @@ def scored(docs: DataFrame, training: DataFrame) -> DataFrame:
     vocab = written(vocabulary(training), "lm-vocabulary")
     model = learned(training, vocab)
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)  # HEAD counts and weights: fixed size
+    shared = spark.sparkContext.broadcast(model)  # HEAD counts and the scorer's tables: fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
-        score, head, code = Scorer(own.weights), own.head, Coder(own.words)
+        score, head, code = own.scorer, own.head, Coder(own.words)
         log_count = {t: math.log10(c + 0.5) for t, c in head.items()}
         log_class = np.log10(own.class_total)
         words, held, nan = code.number, log_count.get, math.nan

@@ -211,11 +211,20 @@ def test_scorer_is_normalised_and_nce_learns():
 
 
 def test_every_position_is_a_training_target_once(spark, monkeypatch, tmp_path):
-    def noted(w, past, target, one, two, noise, log_noise, rate):
+    def noted(state, share, chunks, seed):
         with open(tmp_path / f"{os.getpid()}", "a") as out:
-            out.write("".join(f"{t} " for t in target.tolist()))
+            out.write("".join(f"{t} " for c in chunks for t in c[2:].tolist()))
+        return sum(len(c) - 2 for c in chunks), state
 
-    monkeypatch.setattr(lm, "nce_step", noted)
+    seen = []
+    monkeypatch.setattr(lm, "nce_step", lambda w, past, target, *_: seen.extend(target.tolist()))
+    share = np.full(lm.OUTPUTS, 1 / lm.OUTPUTS)
+    flat = lm.Weights.initial(share).flat()
+    chunks = [np.arange(n, dtype="<i2") for n in (700, 5, 3)]
+    lm.train_shard(np.concatenate([flat, flat]), share, chunks, [0, 0])
+    assert sorted(seen) == sorted(t for c in chunks for t in c[2:].tolist())
+    # and over all rounds and shards every chunk is passed on once
+    monkeypatch.setattr(lm, "train_shard", noted)
     texts = [" ".join(f"w{i}x{j}" for j in range(i)) for i in range(12)]
     train = docs_of(spark, texts)
     lm.learned(train, lm.written(lm.vocabulary(train), "test"))
@@ -224,6 +233,26 @@ def test_every_position_is_a_training_target_once(spark, monkeypatch, tmp_path):
     assert max(Counter(got).values()) == len(texts)  # the end of each text; every other word occurs once
 
 
+def test_scores_do_not_depend_on_partitions(spark, monkeypatch):
+    monkeypatch.setattr(lm, "SHARD_TOKENS", 200)  # several shards on a small table
+    docs = spark.range(60).selectExpr("id as doc_id", "concat_ws(' ', transform(sequence(0, 30), i -> concat('w', (id * i) % 17))) as text")
+    scores = []
+    for n in (1, 5):
+        spread = docs.repartition(n)
+        scores.append({r["doc_id"]: r["score"] for r in lm.scored(spread, spread).collect()})
+    assert scores[0] == pytest.approx(scores[1], abs=1e-6)
+
+
+def test_long_texts_are_learned_from_in_chunks(spark, monkeypatch):
+    monkeypatch.setattr(lm, "CHUNK", 5)
+    docs = spark.createDataFrame([(1, " ".join("abcdefghijkl")), (None, "x y"), (2, None)], "doc_id long, text string")
+    words = [lm.END, *[c.encode() for c in "abcdefghijkl"]]
+    got = [list(map(int, __import__("numpy").frombuffer(r["ids"], dtype="<i2"))) for r in lm.coded(docs, words).collect()]
+    whole = [lm.OUTPUTS, lm.OUTPUTS, *range(1, 13), 0]
+    assert [whole[s : s + 7] for s in (0, 5, 10)] == sorted((g for g in got if len(g) > 3 and set(g) <= set(whole)), key=lambda g: whole.index(g[-1]) or 99)
+    assert sorted(len(g) - 2 for g in got) == [1, 3, 3, 5, 5]
+
+
 def test_class_column_is_class_of(spark):
     tokens = [b"a", b"ab", b"xyz\xc3\xa9", b"\n"]
     frame = spark.createDataFrame([(bytearray(t),) for t in tokens], "t binary")
