@@ -2,35 +2,46 @@
 
 Each page is read into blocks with the place they stand in: inside an article (or main), inside a part
 that HTML itself names as furniture (nav, header, footer, aside, form, adverts, notices, comments ...),
-or neither. The token streams of a host's pages are concatenated and a suffix array over them, built by
-prefix doubling, shows every substring of MIN_RUN tokens or more that stands in MIN_PAGES different
-pages. What it covers is boilerplate and is removed; the unique runs stay. An article guards its own
-text, as a passage that articles share is a copied article: its tokens stay out of the streams, and on a
-page with an article nothing else is main text.
-
-Pages are range-partitioned by (host, page), so a host with a third of all pages is spread over many
-tasks and small hosts stay whole; inside a task the rows of a host are cut into groups of at most
-GROUP_TOKENS tokens, so no array grows with the data.
-
-Defined results: null or empty html gives empty text; a null url is a host of its own; repeated rows are
-extracted each and count as one page when their ids are equal; an empty table gives an empty result.
+or neither. The token streams of a host's pages, all blocks of them, are concatenated and a suffix array
+over them, built by prefix doubling, shows on how many different pages each substring of MIN_RUN tokens
+stands. Tokens covered by runs that stand on enough pages are boilerplate and are removed; the unique
+runs stay. How many pages are enough depends on the place: for a loose block MIN_PAGES and the share
+LOOSE_SHARE of the host's pages, inside an article MIN_PAGES and ARTICLE_SHARE (a passage that a few
+articles share is a copied article, one on half of all pages is a template), for furniture none: it is
+boilerplate wherever it stands. Loose unique runs of a page with an article are main text only if they
+have more words than what is left of the article (a teaser).
+
+A host of at most SLICE pages is one array. A larger one, such as a host with a third of all pages, is
+dealt by a hash of the page to slices of about SLICE pages. A run on a share of the host's pages stands
+on that share of the pages of at least one slice, so the slices' arrays give all candidates; the
+candidates' pages are counted over the whole host by a partial-aggregated grouped sum, and what is
+decided goes back to all slices. So neither slices nor partitions change a result, and no array grows
+with the data.
+
+Defined results: null or empty html gives empty text; a page whose url has no host (null url) is
+a host of its own; repeated rows are extracted each, and rows of equal id and html count as one page; an empty table gives an empty result.
 Only page_id, url and html are read.
 """
 
 from __future__ import annotations
 
 import html
+import math
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from effectsmith.functions.lineage import written
+
 MIN_RUN = 6
 MIN_PAGES = 3
-GROUP_TOKENS = 1_500_000
+LOOSE_SHARE, ARTICLE_SHARE = 0.01, 0.5
+SLICE = 1000
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
 BLANKS = re.compile(r"\s+")
@@ -42,7 +53,7 @@ BLOCK = frozenset(
     " h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table"
     " tbody td tfoot th thead tr ul".split()
 )
-FURNITURE = frozenset("nav header footer aside form menu dialog button select option input label fieldset head figcaption".split()) - {"figcaption"}
+FURNITURE = frozenset("nav header footer aside form menu dialog button select option input label fieldset head".split())
 CORE = frozenset(["article", "main"])
 ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar alertdialog".split())
 MARKS = frozenset(
@@ -178,14 +189,14 @@ def suffix_array(stream: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray
     return np.argsort(rank, kind="stable"), rank
 
 
-def repeated(stream: np.ndarray, page: np.ndarray, min_run: int, min_pages: int) -> np.ndarray:
-    """Mask of the tokens covered by a run of ``min_run`` tokens that stands in ``min_pages`` pages.
+def run_pages(stream: np.ndarray, page: np.ndarray, min_run: int = MIN_RUN) -> np.ndarray:
+    """For every token, the number of different pages on which the ``min_run`` tokens from it stand.
 
     Block ends are tokens that occur once, so no run crosses a block.
     """
     n = len(stream)
     if n < min_run:
-        return np.zeros(n, dtype=bool)
+        return np.ones(n, dtype=np.int64)
     order, rank = suffix_array(stream, min_run)
     sorted_rank, sorted_page = rank[order], page[order]
     start = np.ones(n, dtype=bool)
@@ -194,72 +205,183 @@ def repeated(stream: np.ndarray, page: np.ndarray, min_run: int, min_pages: int)
     # pages of one group: positions stand in stream order inside it, so a page's positions are together
     new_page = start.copy()
     new_page[1:] |= sorted_page[1:] != sorted_page[:-1]
-    pages = np.bincount(group, weights=new_page)
-    chosen = order[pages[group] >= min_pages]
+    pages = np.empty(n, dtype=np.int64)
+    pages[order] = np.bincount(group, weights=new_page).astype(np.int64)[group]
+    return pages
+
+
+def covered(starts: np.ndarray, min_run: int = MIN_RUN) -> np.ndarray:
+    """Mask of the tokens in a run of ``min_run`` tokens that starts where ``starts`` is true."""
+    n = len(starts)
+    chosen = np.flatnonzero(starts)
     edge = np.bincount(chosen, minlength=n + min_run) - np.bincount(chosen + min_run, minlength=n + min_run)[: n + min_run]
     return np.cumsum(edge[:n]) > 0
 
 
-def main_texts(pages: list[tuple[object, str | None]], min_run: int = MIN_RUN, min_pages: int = MIN_PAGES) -> list[str]:
-    """Main text of the pages (id, html) of one host."""
-    ids: dict[str, int] = {}
+Block = tuple[int, str]
+
+
+def streams(pages: list[tuple[object, list[Block]]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Tokens (32-bit word hashes; block ends are negative and unique), page numbers and places."""
+    code: dict[str, int] = {}
+    number: dict[object, int] = {}
     tokens: list[int] = []
     of_page: list[int] = []
-    read: list[list[tuple[int, str, int]]] = []
-    number: dict[object, int] = {}
-    separator = -1
-    for page_id, source in pages:
-        who = number.setdefault(page_id, len(number))
-        blocks = []
-        for where, text in blocks_of(source):
-            blocks.append((where, text, len(tokens)))
-            if where != ARTICLE:
-                words = text.split(" ")
-                tokens += [ids.setdefault(w, len(ids)) for w in words]
-                tokens.append(separator)
-                separator -= 1
-                of_page += [who] * (len(words) + 1)
-        read.append(blocks)
-    covered = repeated(np.array(tokens, dtype=np.int64), np.array(of_page, dtype=np.int64), min_run, min_pages)
-    out = []
-    for blocks in read:
-        kept = [text for where, text, _ in blocks if where == ARTICLE]
-        if not kept:
-            for where, text, first in blocks:
-                if where == LOOSE:
-                    words = text.split(" ")
-                    unique = [w for w, c in zip(words, covered[first : first + len(words)].tolist(), strict=True) if not c]
-                    kept += [" ".join(unique)] if unique else []
-        out.append(" ".join(kept))
+    of_place: list[int] = []
+    end = -1
+    for page, blocks in pages:
+        who = number.setdefault(page, len(number))
+        for place, text in blocks:
+            words = text.split(" ")
+            for w in words:
+                if w not in code:
+                    code[w] = xxhash.xxh32_intdigest(w.encode("utf-8", "surrogatepass"))
+            tokens += map(code.__getitem__, words)
+            tokens.append(end)
+            end -= 1
+            of_page += [who] * (len(words) + 1)
+            of_place += [place] * (len(words) + 1)
+    return np.array(tokens, dtype=np.int64), np.array(of_page, dtype=np.int64), np.array(of_place, dtype=np.int64)
+
+
+def run_hashes(stream: np.ndarray, min_run: int = MIN_RUN) -> np.ndarray:
+    """64-bit hash of the ``min_run`` tokens from every token (as far as the stream goes)."""
+    n = max(len(stream) - min_run + 1, 0)
+    out = np.zeros(n, dtype=np.uint64)
+    for k in range(min_run):
+        out = (out ^ (out >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15) + stream[k : k + n].astype(np.uint64)
+    out *= np.uint64(0xBF58476D1CE4E5B9)
+    return (out ^ (out >> np.uint64(32))).view(np.int64)
+
+
+def whole_runs(stream: np.ndarray, min_run: int = MIN_RUN) -> np.ndarray:
+    """Mask of the tokens from which ``min_run`` tokens stand inside one block."""
+    ends = np.concatenate([[0], np.cumsum(stream < 0)])
+    n = max(len(stream) - min_run + 1, 0)
+    return ends[min_run : min_run + n] == ends[:n]
+
+
+def needed(share: float, n_pages: int, min_pages: int = MIN_PAGES) -> int:
+    return max(min_pages, math.ceil(share * n_pages - 1e-9))
+
+
+def texts_of(pages: list[tuple[object, list[Block]]], n_pages: int | None = None, known: tuple[np.ndarray, np.ndarray] | None = None, min_run: int = MIN_RUN, min_pages: int = MIN_PAGES) -> list[str]:
+    """Main text of the pages (page, blocks) of one host, or of a slice of it.
+
+    Of a slice ``n_pages`` is the number of the whole host's pages and ``known`` has ascending hashes of its
+    runs on enough pages and the number of their pages; else both come from the pages given.
+    """
+    stream, of_page, of_place = streams(pages)
+    if known is None:
+        n_pages = len({p for p, _ in pages})
+        count = run_pages(stream, of_page, min_run)
+    else:
+        runs, held = known
+        count = np.ones(len(stream), dtype=np.int64)
+        if len(runs):
+            own = run_hashes(stream, min_run)
+            at = np.minimum(np.searchsorted(runs, own), len(runs) - 1)
+            count[: len(own)] = np.where((runs[at] == own) & whole_runs(stream, min_run), held[at], 1)
+    enough = np.where(of_place == ARTICLE, needed(ARTICLE_SHARE, n_pages, min_pages), needed(LOOSE_SHARE, n_pages, min_pages))
+    boilerplate = covered(count >= enough, min_run) | (of_place == BOILER)
+    out, first = [], 0
+    for _, blocks in pages:
+        kept: list[tuple[int, list[str]]] = []
+        for place, text in blocks:
+            words = text.split(" ")
+            unique = [w for w, c in zip(words, boilerplate[first : first + len(words)].tolist(), strict=True) if not c]
+            first += len(words) + 1
+            if unique:
+                kept.append((place, unique))
+        words_in = {p: sum(len(u) for q, u in kept if q == p) for p in (LOOSE, ARTICLE)}
+        if words_in[ARTICLE] >= words_in[LOOSE]:
+            kept = [(p, u) for p, u in kept if p == ARTICLE]
+        out.append(" ".join(" ".join(u) for _, u in kept))
     return out
 
 
-def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[object, str | None, str, str | None]]]:
-    """Consecutive rows of one host, at most about GROUP_TOKENS tokens (eight characters each) a group."""
-    group: list = []
-    size, host = 0, None
+def main_texts(pages: list[tuple[object, str | None]], min_run: int = MIN_RUN, min_pages: int = MIN_PAGES) -> list[str]:
+    """Main text of the pages (id, html) of one host."""
+    return texts_of([((page_id, source), blocks_of(source)) for page_id, source in pages], min_run=min_run, min_pages=min_pages)
+
+
+def _coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        columns = [batch.column(c).to_pylist() for c in ("page_id", "url", "host", "html")]
-        for page_id, url, own, source in zip(*columns, strict=True):
-            if group and (own != host or size > 8 * GROUP_TOKENS):
+        codes = [streams([(0, blocks_of(source))])[0] for source in batch.column("html").to_pylist()]
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("host", "slice", "page")), pa.array([np.maximum(c, -1).astype(np.int64) for c in codes], pa.list_(pa.int64()))], ["host", "slice", "page", "codes"])
+
+
+def _slices(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[list[tuple]]:
+    """Consecutive rows of equal host and slice: about SLICE pages."""
+    group: list[tuple] = []
+    for batch in batches:
+        for row in zip(*(batch.column(c).to_pylist() for c in columns), strict=True):
+            if group and group[0][:2] != row[:2]:
                 yield group
-                group, size = [], 0
-            host = own
-            group.append((page_id, url, source))
-            size += len(source or "")
+                group = []
+            group.append(row)
     if group:
         yield group
 
 
+def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for group in _slices(batches, ["host", "slice", "page", "codes"]):
+        pages = {row[2]: row[3] for row in group}
+        stream = np.array([x for codes in pages.values() for x in codes], dtype=np.int64)
+        ends = stream < 0
+        stream[ends] = -1 - np.arange(int(ends.sum()))  # block ends occur once
+        count = run_pages(stream, np.repeat(np.arange(len(pages)), [len(c) for c in pages.values()]))
+        own = run_hashes(stream)
+        chosen = np.unique(own[(count[: len(own)] >= math.ceil(LOOSE_SHARE * len(pages) - 1e-9)) & whole_runs(stream)])
+        yield pa.RecordBatch.from_arrays([pa.array([group[0][0]] * len(chosen), pa.string()), pa.array(chosen, pa.int64())], ["host", "run"])
+
+
+def _page_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for start in range(0, batch.num_rows, 200):
+            part = batch.slice(start, 200)
+            streams_ = [np.array(c, dtype=np.int64) for c in part.column("codes").to_pylist()]
+            runs = [np.unique(run_hashes(s)[whole_runs(s)]) for s in streams_]
+            owner = pa.array(np.repeat(np.arange(len(runs)), [len(r) for r in runs]))
+            yield pa.RecordBatch.from_arrays([part.column("host").take(owner), part.column("page").take(owner), pa.array(np.concatenate(runs) if runs else [], pa.int64())], ["host", "page", "run"])
+
+
+def decided(rows: DataFrame, hot: DataFrame) -> DataFrame:
+    """(host, n, slices, runs, counts): the runs on enough pages of each host of many slices.
+
+    ``rows``: (host, slice, page, html) of these hosts. A run needs LOOSE_SHARE of the pages, so a host's
+    runs are at most 1 / LOOSE_SHARE times the tokens of a mean page.
+    """
+    coded = rows.mapInArrow(_coded, "host string, slice long, page long, codes array<long>")
+    sliced = coded.repartition("host", "slice").sortWithinPartitions("host", "slice", "page")
+    candidates = written(sliced.mapInArrow(_candidates, "host string, run long").distinct(), "html-candidates")
+    met = coded.select("host", "page", "codes").mapInArrow(_page_runs, "host string, page long, run long").join(candidates, ["host", "run"], "left_semi")
+    counted = met.groupBy("host", "run").agg(F.count_distinct("page").alias("pages")).join(hot, "host")
+    enough = counted.filter(F.col("pages") >= F.greatest(F.lit(MIN_PAGES), F.ceil(F.lit(LOOSE_SHARE) * F.col("n") - 1e-9)))
+    lists = enough.groupBy("host").agg(F.array_sort(F.collect_list(F.struct("run", "pages"))).alias("r")).select("host", F.col("r.run").alias("runs"), F.col("r.pages").alias("counts"))
+    return hot.join(lists, "host", "left")
+
+
+def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = [blocks_of(source) for source in batch.column("html").to_pylist()]
+        columns = [pa.array([[p for p, _ in b] for b in found], pa.list_(pa.int32())), pa.array([[t for _, t in b] for b in found], pa.list_(pa.string()))]
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("host", "slice", "page", "page_id", "url")), *columns], ["host", "slice", "page", "page_id", "url", "places", "texts"])
+
+
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for group in _groups(batches):
-        texts = main_texts([(page_id, source) for page_id, _, source in group])
+    for group in _slices(batches, ["host", "slice", "page", "page_id", "url", "places", "texts", "n", "runs", "counts"]):
+        n_pages = known = None
+        if group[0][7] is not None:  # what is decided about the host comes first
+            n_pages, known = group[0][7], tuple(np.array(x or [], dtype=np.int64) for x in group[0][8:10])
+            group = group[1:]
+        texts = texts_of([(row[2], list(zip(row[5], row[6], strict=True))) for row in group], n_pages, known)
         for start in range(0, len(group), 1000):
             part, text = group[start : start + 1000], texts[start : start + 1000]
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array([p[0] for p in part], pa.int64()),
-                    pa.array([p[1] for p in part], pa.string()),
+                    pa.array([p[3] for p in part], pa.int64()),
+                    pa.array([p[4] for p in part], pa.string()),
                     pa.array(text, pa.string()),
                     pa.array([len(t) for t in text], pa.int64()),
                 ],
@@ -267,9 +389,18 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def extracted(pages: DataFrame) -> DataFrame:
+def extracted(pages: DataFrame, slice_pages: int = SLICE) -> DataFrame:
     """(page_id, url, text, n_chars) of every page."""
-    host = F.coalesce(F.lower(F.regexp_extract("url", r"^[\s\S]*?://([^/?#]*)", 1)), F.lit(""))
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", host.alias("host"), "html")
-    spread = rows.repartitionByRange("host", F.xxhash64("page_id")).sortWithinPartitions("host", F.xxhash64("page_id"), "page_id")
-    return spread.mapInArrow(_extract, "page_id long, url string, text string, n_chars long")
+    host, page = F.lower(F.regexp_extract("url", r"^[\s\S]*?://([^/?#]*)", 1)), F.xxhash64("page_id", "html")
+    own = F.concat(F.lit("/"), page.cast("string"))  # no host has a slash
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.when(host != "", host).otherwise(own).alias("host"), page.alias("page"), "html")
+    sizes = rows.groupBy("host").agg(F.count_distinct("page").alias("n"))
+    hot = written(sizes.filter(F.col("n") > slice_pages).withColumn("slices", F.ceil(F.col("n") / slice_pages)), "html-hosts")
+    dealt = rows.join(hot, "host", "left").withColumn("slice", F.when(F.col("slices").isNull(), F.lit(0)).otherwise(F.pmod("page", F.col("slices"))).cast("long"))
+    known = decided(dealt.filter("slices is not null").select("host", "slice", "page", "html"), hot)
+    first = known.select("host", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1)).alias("slice"), "n", "runs", "counts")
+    texts = dealt.select("host", "slice", "page", "page_id", "url", "html").mapInArrow(
+        _parsed, "host string, slice long, page long, page_id long, url string, places array<int>, texts array<string>"
+    )
+    every = texts.unionByName(first, allowMissingColumns=True).repartition("host", "slice")
+    return every.sortWithinPartitions("host", "slice", F.col("n").isNull(), "page").mapInArrow(_extract, "page_id long, url string, text string, n_chars long")

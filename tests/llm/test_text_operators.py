@@ -60,6 +60,67 @@ def test_runs_repeated_on_a_host_are_removed():
     assert html_text.main_texts([pages[0]] * 4)[0].startswith(line)  # one page, four times
 
 
+def article_pages(n, banner_on, host="a.x"):
+    banner = "read this banner about our cookies on every page"
+    return [
+        (i, f"http://{host}/{i}", "<nav>home news about help</nav><article>" + (f"<p>{banner}</p>" if i < banner_on else "") + f"<p>article {i} says this and {i * 7} that in its own words</p></article>")
+        for i in range(n)
+    ]
+
+
+def test_a_template_inside_articles_goes_and_a_copied_passage_stays():
+    for n, on, gone in ((6, 6, True), (6, 3, True), (8, 3, False), (2, 2, False)):
+        texts = html_text.main_texts([(i, page) for i, _, page in article_pages(n, on)])
+        assert ["banner" in t for t in texts] == [not gone and i < on for i in range(n)], (n, on)
+        assert all(f"article {i} says this" in t and "home" not in t for i, t in enumerate(texts))
+
+
+def test_a_teaser_is_not_all_main_text():
+    page = "<article>teaser of it</article><div>the long main text stands outside of any article here</div>"
+    assert html_text.main_texts([(1, page)]) == ["teaser of it the long main text stands outside of any article here"]
+    assert html_text.main_texts([(1, "<article>the whole long article</article><div>loose end</div>")]) == ["the whole long article"]
+
+
+def brute_extraction(rows):
+    """Windows counted in a dictionary instead of an array."""
+    hosts = {}
+    for i, url, source in rows:
+        hosts.setdefault(re.match(r"https?://([^/]*)", url)[1] if url else ("none", i, source), []).append((i, source))
+    out = []
+    for members in hosts.values():
+        read = {m: html_text.blocks_of(m[1]) for m in members}
+        on = {}
+        for m, blocks in read.items():
+            for _, t in blocks:
+                words = t.split(" ")
+                for j in range(len(words) - 5):
+                    on.setdefault(tuple(words[j : j + 6]), set()).add(m)
+        for m in members:
+            kept = []
+            for place, t in read[m]:
+                words, gone = t.split(" "), set()
+                for j in range(len(words) - 5):
+                    least = max(3, -(-len(read) // 2) if place == 1 else -(-len(read) // 100))
+                    if len(on[tuple(words[j : j + 6])]) >= least:
+                        gone |= set(range(j, j + 6))
+                if place != 2 and (left := [w for j, w in enumerate(words) if j not in gone]):
+                    kept.append((place, left))
+            n = {p: sum(len(w) for q, w in kept if q == p) for p in (0, 1)}
+            out.append((m[0], " ".join(" ".join(w) for p, w in kept if p == 1 or n[1] < n[0])))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("slice_pages", [1000, 4])
+def test_extraction_equals_brute_force_whatever_slices_and_partitions(spark, slice_pages):
+    rows = article_pages(9, 9, "big.x") + [(100 + i, u, p) for i, u, p in article_pages(30, 16, "hot.x")] + [(200 + i, u, p) for i, u, p in article_pages(30, 12, "other.x")]
+    rows += [(300 + i, f"http://loose.x/{i}", f"<div>the same loose line on each page</div><p>but own {i} words</p>") for i in range(8)]
+    rows += [(400, None, "<p>read this banner about our cookies on every page</p>"), (401, "http://long.x/1", "<article>" + "many words " * 20_000 + "</article>"), (None, "http://hot.x/n", None), (100, *rows[9][1:])]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for n in (1, 6):
+        got = sorted(((r["page_id"], r["text"]) for r in html_text.extracted(frame.repartition(n), slice_pages).collect()), key=str)
+        assert got == brute_extraction(rows)
+
+
 def test_suffix_array_against_sorting():
     stream = np.random.default_rng(5).integers(0, 3, 300)
     order, rank = html_text.suffix_array(stream, 5)
