@@ -25,12 +25,19 @@ QUALITY = f"""WITH d AS (SELECT row_number() OVER () AS k, doc_id, source, coale
   length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols, len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(inside.n, 0) AS n_repeat_words
   FROM d JOIN lines USING (k) LEFT JOIN inside USING (k)),
  f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM s),
- h AS (SELECT source, count(*) AS n, count(*) FILTER (base_failed OR n_symbols > 0.5 * n_words OR n_dup_lines > 20) AS bad FROM f GROUP BY source),
- m AS (SELECT sum(bad) / sum(n) AS m, sum(n * (bad / n) * (bad / n)) / sum(n) AS s FROM h),
- p AS (SELECT m, least(greatest(m * (1 - m) / greatest(s - m * m, 1e-12) - 1, 1), 1e6) AS c FROM m),
- r AS (SELECT source, (bad + m * c) / (n + c) AS shrunk FROM h, p)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, round(shrunk, 6) AS host_rate, NOT base_failed AND shrunk <= 0.5 AS kept
-FROM f JOIN r ON f.source IS NOT DISTINCT FROM r.source"""
+ h AS (SELECT source, count(*) AS n, count(*) FILTER (n_words < 50) AS few, count(*) FILTER (100 * n_repeat_words > 50 * n_words) AS repeats,
+  count(*) FILTER (n_symbols > 0.5 * n_words) AS symbols, count(*) FILTER (n_dup_lines > 20) AS lines FROM f GROUP BY source),
+ u AS (UNPIVOT h ON few, repeats, symbols, lines INTO NAME rule VALUE bad),
+ m AS (SELECT rule, sum(bad) / sum(n) AS m, sum(bad * bad / n) / sum(n) AS s FROM u GROUP BY rule),
+ p AS (SELECT rule, m, least(greatest(m * (1 - m) / greatest(s - m * m, 1e-12) - 1, 1), 1e6) AS c FROM m),
+ r AS (SELECT source, rule, n, m, c, (bad + m * c) / (n + c) AS rate FROM u JOIN p USING (rule)),
+ v AS (SELECT source, rule, rate, rate - 0.5 * sqrt(rate * (1 - rate) / (n + c + 1)) > m + 1e-12 AS is_bad FROM r),
+ w AS (SELECT source, max(rate) FILTER (rule = 'few') AS few_rate, max(rate) FILTER (rule = 'repeats') AS repeats_rate, max(rate) FILTER (rule = 'symbols') AS symbols_rate,
+  max(rate) FILTER (rule = 'lines') AS lines_rate, bool_or(is_bad) FILTER (rule = 'symbols') AS symbols_bad, bool_or(is_bad) FILTER (rule = 'lines') AS lines_bad FROM v GROUP BY source)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, round(few_rate, 6) AS few_rate, round(repeats_rate, 6) AS repeats_rate,
+ round(symbols_rate, 6) AS symbols_rate, round(lines_rate, 6) AS lines_rate,
+ NOT (base_failed OR greatest(few_rate, repeats_rate, symbols_rate, lines_rate) > 0.5 OR (n_symbols > 0.5 * n_words AND symbols_bad) OR (n_dup_lines > 20 AND lines_bad)) AS kept
+FROM f JOIN w ON f.source IS NOT DISTINCT FROM w.source"""
 
 _LETTERS = r"list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda w: w <> '')"
 

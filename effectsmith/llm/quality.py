@@ -1,9 +1,13 @@
 """Host-level quality rules: failures by domain, shrunk by an empirical beta prior.
 
 Per text: words, characters in words, symbols, repeated lines and words in repeated three-word windows.
-Per document these give rule failures; per host (the domain, here ``source``) failures are counted,
-partial counts first, so a host with a third of all rows is one small row per task; a beta prior fitted
-by moments over the hosts shrinks each host's rate; the host's verdict goes back to its documents.
+They give four rules. ``few`` and ``repeats`` (the base) fail a document by themselves; ``symbols`` and
+``lines`` are soft: one alone may be a table or a poem, so the host decides. Per host (the domain, here
+``source``) and rule, failures are counted, partial counts first, so a host with a third of all rows is
+one small row per task. For each rule a beta prior fitted by moments over the hosts shrinks the host's
+rate. A host is bad in a rule when its shrunk rate, less LEVEL posterior standard deviations, is above
+the prior's mean; a document that fails a soft rule goes when its host is bad in that rule. A host with a
+shrunk rate above MAX_HOST_RATE in any rule is junk, and all of its documents go.
 
 Defined results: a null text has no words and fails; a null host is a host of its own; repeated rows are
 counted and returned as often as they stand; an empty table gives an empty result; columns other than
@@ -27,6 +31,7 @@ MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 MAX_SYMBOLS_PER_WORD = 0.5
 MAX_DUP_LINES = 20
+LEVEL = 0.5
 MAX_HOST_RATE = 0.5
 STATS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 SYMBOL = re.compile(rb"[#*$%&|<>]")
@@ -72,35 +77,44 @@ def base_failed() -> Column:
     return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
 
 
-def any_rule_failed() -> Column:
-    return (
-        base_failed()
-        | (F.col("n_symbols") > MAX_SYMBOLS_PER_WORD * F.col("n_words"))
-        | (F.col("n_dup_lines") > MAX_DUP_LINES)
-    )
+RULES = {
+    "few": f"n_words < {MIN_WORDS}",
+    "repeats": f"100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words",
+    "symbols": f"n_symbols > {MAX_SYMBOLS_PER_WORD} * n_words",
+    "lines": f"n_dup_lines > {MAX_DUP_LINES}",
+}
+SOFT = ("symbols", "lines")
 
 
-def host_rates(stats: DataFrame) -> DataFrame:
-    """(host, n, failed, rate, shrunk): one row a host.
+def host_rates(stats: DataFrame, level: float = LEVEL) -> DataFrame:
+    """(host, n, and for each rule <rule>_rate, <rule>_bad): one row a host, rates shrunk.
 
-    Moments of the hosts' rates, weighted by their documents, give mean m and variance v; the prior
-    holds m(1-m)/v - 1 documents (bounded to 1..1e6), so a host with few documents is drawn to m.
+    For each rule the moments of the hosts' rates, weighted by their documents, give mean m and variance
+    v; the prior holds m(1-m)/v - 1 documents (bounded to 1..1e6), so a host with few documents is drawn
+    to m.
     """
-    hosts = stats.groupBy("host").agg(F.count("*").alias("n"), F.sum(any_rule_failed().cast("long")).alias("failed"))
-    hosts = hosts.withColumn("rate", F.col("failed") / F.col("n"))
-    mean = (F.sum("failed") / F.sum("n")).alias("m")
-    squares = (F.sum(F.col("n") * F.col("rate") * F.col("rate")) / F.sum("n")).alias("s")
-    row = hosts.agg(mean, squares).first()
-    m, s = float(row["m"] or 0.0), float(row["s"] or 0.0)
-    k = min(max(m * (1 - m) / max(s - m * m, 1e-12) - 1, 1.0), 1e6)
-    return hosts.withColumn("shrunk", (F.col("failed") + F.lit(m * k)) / (F.col("n") + F.lit(k)))
-
-
-def judged(docs: DataFrame, host_col: str = "source", max_host_rate: float = MAX_HOST_RATE) -> DataFrame:
-    """Counts, ``base_failed``, the host's shrunk failure rate and ``kept`` of every document."""
+    hosts = stats.groupBy("host").agg(F.count("*").alias("n"), *[F.count_if(F.expr(failed)).alias(rule) for rule, failed in RULES.items()])
+    hosts = written(hosts, "quality-hosts")
+    moments = [m for rule in RULES for m in (
+        (F.sum(rule) / F.sum("n")).alias(f"{rule}_m"), (F.sum(F.col(rule) * F.col(rule) / F.col("n")) / F.sum("n")).alias(f"{rule}_s"))]
+    row = hosts.agg(*moments).first()
+    columns = [F.col("host"), F.col("n")]
+    for rule in RULES:
+        m, s = float(row[f"{rule}_m"] or 0.0), float(row[f"{rule}_s"] or 0.0)
+        k = min(max(m * (1 - m) / max(s - m * m, 1e-12) - 1, 1.0), 1e6)
+        p = (F.col(rule) + F.lit(m * k)) / (F.col("n") + F.lit(k))
+        lower = p - F.lit(level) * F.sqrt(p * (1 - p) / (F.col("n") + F.lit(k + 1)))
+        columns += [p.alias(f"{rule}_rate"), (lower > m + 1e-12).alias(f"{rule}_bad")]
+    return hosts.select(*columns)
+
+
+def judged(docs: DataFrame, host_col: str = "source", level: float = LEVEL, max_host_rate: float = MAX_HOST_RATE) -> DataFrame:
+    """Counts, ``base_failed``, the host's shrunk rates and ``kept`` of every document."""
     stats = written(with_stats(docs, host_col), "quality-stats")
-    rates = host_rates(stats)
-    back = stats.join(rates.select("host", "shrunk"), stats["host"].eqNullSafe(rates["host"]), "left").drop(rates["host"])
+    rates = host_rates(stats, level).drop("n").withColumnRenamed("host", "of_host")
+    back = stats.join(rates, F.col("host").eqNullSafe(F.col("of_host")), "left")
     failed = base_failed()
-    kept = ~failed & (F.coalesce("shrunk", F.lit(0.0)) <= max_host_rate)
-    return back.select("doc_id", *STATS, failed.alias("base_failed"), F.col("shrunk").alias("host_rate"), kept.alias("kept"))
+    dropped = failed | (F.greatest(*[f"{r}_rate" for r in RULES]) > max_host_rate)
+    for rule in SOFT:
+        dropped = dropped | (F.expr(RULES[rule]) & F.col(f"{rule}_bad"))
+    return back.select("doc_id", *STATS, failed.alias("base_failed"), *[F.col(f"{r}_rate") for r in RULES], (~dropped).alias("kept"))

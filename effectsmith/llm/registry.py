@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,7 +11,7 @@ from effectsmith.llm import bpe, decontaminate, html_text, langid, lm, quality,
 from effectsmith.llm.oracles import ORACLES
 from effectsmith.llm.tables import fold, table
 
-WORD_BPE = "/opt/tokenizers/word_bpe_49k.json"
+WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
 
 def op1_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,7 +48,8 @@ def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.judged(table(spark, sf_dir, "documents")).withColumn("host_rate", F.round("host_rate", 6))
+    found = quality.judged(table(spark, sf_dir, "documents"))
+    return found.withColumns({f"{rule}_rate": F.round(f"{rule}_rate", 6) for rule in quality.RULES})
 
 
 def op8_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

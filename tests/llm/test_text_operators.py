@@ -355,6 +355,17 @@ def test_host_verdicts(spark):
     assert quality.judged(docs.limit(0)).count() == 0
 
 
+def test_soft_rules_are_decided_by_the_host(spark):
+    """A document of symbols goes where the host's rate stands out, and stays where it does not."""
+    prose = " ".join(f"w{i}" for i in range(80))
+    table = " ".join(f"c{i}|" for i in range(80))
+    rows = [(1000 * h + i, f"host{h}", (table if i < (12 if h == 7 else 2) else prose) + f" n{i}") for h in range(12) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    got = {r["doc_id"]: r["kept"] for r in quality.judged(docs).collect()}
+    assert {i for i, k in got.items() if not k} == {7000 + i for i in range(12)}
+    assert all(r["kept"] for r in quality.judged(docs, level=50.0).collect())
+
+
 # --- SimHash ---
 
 
