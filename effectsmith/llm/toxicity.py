@@ -1,19 +1,28 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
 A text becomes symbols, word by word: insult (with its learned weight), threat, target, negation,
-reporting word, clause end, or other. Four small transducers read the symbols and are composed into one:
-negation lowers what follows it within three words, reported speech lowers the rest of its clause, a
-target raises an insult of its clause, and a threat counts only with a target in its clause. The score
-comes from the weights of the matched clauses, not from words by themselves; a fitted logistic curve
-turns a document's clause weights into a score from 0 to 1.
+reporting word, clause end, or other. Four transducers read the symbols and are composed into one
+machine:
 
-The insult transducer is learned: from a sample of at most PER_CLASS labelled documents of each class
-(a bound on rows, by hash of the id), words, word beginnings and word endings that stand in toxic texts
-and hardly in others are chosen by greedy cover until each toxic text of the sample holds NEED of them.
+* negation marks insults and threats within three words after it as negated,
+* reported speech marks those in the rest of its clause as reported,
+* insult emits the weight of an insult by its marks, and more with a target in its clause, before or
+  after it,
+* threat emits a threat by its marks when a target is in its clause, at the later of the two.
+
+What waits for its target is kept in the state with its marks; a clause end brings every transducer back
+to its start. A clause weighs the sum of what the machine emits in it, so matched clauses count and not
+words by themselves; a fitted logistic curve over the clause weights gives a score from 0 to 1.
+
+The insult lexicon is learned: from a sample of at most PER_CLASS labelled documents of each class (a
+bound on rows, by hash of the id), words, word beginnings and word endings that stand in toxic texts and
+hardly in others are chosen by greedy cover until each toxic text of the sample holds NEED of them. Each
+choice serves 1/200 of the toxic sample, so there are at most 200 * NEED.
 
 Defined results: null, empty or wordless texts match nothing and get the curve's least score; repeated
-rows are scored each; without labels of both classes the grammar has only its fixed words; an empty table
-gives an empty result. Only doc_id and text are read of documents, doc_id and toxic of labels.
+rows are scored each, and a sample id with several texts gives the least of them by hash; without labels
+of both classes the grammar has only its fixed words; an empty table gives an empty result. Only doc_id
+and text are read of documents, doc_id and toxic of labels.
 """
 
 from __future__ import annotations
@@ -31,6 +40,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from effectsmith.functions.lineage import written
+
 PER_CLASS = 1500
 NEED = 4
 THRESHOLD = 0.3
@@ -48,7 +59,13 @@ THREATS = frozenset("kill murder strangle slaughter behead stab shoot bomb lynch
 INSULTS = frozenset("idiot moron imbecile scum asshole bastard dumbass retard dickhead motherfucker connard salope abruti arschloch wichser hurensohn gilipollas cabrón imbécil".split())
 FIXED_WEIGHT = 2.0
 
-OTHER, TARGET, NEGATION, REPORT, END, THREAT, INSULT = "otnr.xi"
+OTHER, TARGET, NEGATION, REPORT, END = "otnr."
+#: Threats and insults by their marks: plain, negated, reported, both.
+THREATS_BY_MARK, INSULTS_BY_MARK = "0123", "4567"
+THREAT, INSULT = "0", "4"
+NEGATED, REPORTED, TARGETED = 0.4, 0.6, 0.5
+FACTORS = (1.0, NEGATED, REPORTED, NEGATED * REPORTED)
+ALPHABET = OTHER + TARGET + NEGATION + REPORT + END + THREATS_BY_MARK + INSULTS_BY_MARK
 FIRST_LEARNED = 0xE000
 FIRST_MARK = chr(FIRST_LEARNED)
 BUCKETS = 1 << 20
@@ -56,68 +73,88 @@ BUCKETS = 1 << 20
 
 @dataclass(frozen=True)
 class Transducer:
-    """States from 0; ``arcs[state, symbol] = (next state, output symbol, factor)``; a symbol without
-    arc goes through unchanged and leaves the state as it is."""
+    """States from 0; ``arcs[state, symbol] = (next state, output symbol, insult, threat)``: factors by
+    which the arc adds the weights of the last insult and threat read. A symbol without arc goes through
+    unchanged, adds nothing and leaves the state as it is."""
 
     states: int
-    arcs: dict[tuple[int, str], tuple[int, str, float]]
+    arcs: dict[tuple[int, str], tuple[int, str, float, float]]
 
-    def step(self, state: int, symbol: str) -> tuple[int, str, float]:
-        return self.arcs.get((state, symbol), (state, symbol, 1.0))
+    def step(self, state: int, symbol: str) -> tuple[int, str, float, float]:
+        return self.arcs.get((state, symbol), (state, symbol, 0.0, 0.0))
 
 
-def compose(first: Transducer, second: Transducer, symbols: str) -> Transducer:
-    """The transducer that reads with ``first`` and feeds its output to ``second``; factors multiply."""
+def compose(first: Transducer, second: Transducer, symbols: str = ALPHABET) -> Transducer:
+    """The transducer that reads with ``first`` and feeds its output to ``second``; what both add adds up."""
     arcs = {}
     for a in range(first.states):
         for b in range(second.states):
             for s in symbols:
-                next_a, out, x = first.step(a, s)
-                next_b, out, y = second.step(b, out)
-                arcs[a * second.states + b, s] = (next_a * second.states + next_b, out, x * y)
+                next_a, out, i, t = first.step(a, s)
+                next_b, out, j, u = second.step(b, out)
+                arcs[a * second.states + b, s] = (next_a * second.states + next_b, out, i + j, t + u)
     return Transducer(first.states * second.states, arcs)
 
 
-def negation_transducer(reach: int = 3, factor: float = 0.4) -> Transducer:
+def _marked(symbol: str, mark: int) -> str:
+    """The threat or insult with one more mark."""
+    family = THREATS_BY_MARK if symbol in THREATS_BY_MARK else INSULTS_BY_MARK
+    return family[family.index(symbol) | mark]
+
+
+def negation_transducer(reach: int = 3) -> Transducer:
+    """State: how many of the next words are still negated."""
     arcs = {}
     for state in range(reach + 1):
-        arcs[state, NEGATION] = (reach, NEGATION, 1.0)
-        arcs[state, END] = (0, END, 1.0)
+        arcs[state, NEGATION] = (reach, NEGATION, 0.0, 0.0)
+        arcs[state, END] = (0, END, 0.0, 0.0)
         if state:
-            for s in (OTHER, TARGET, REPORT):
-                arcs[state, s] = (state - 1, s, 1.0)
-            for s in (INSULT, THREAT):
-                arcs[state, s] = (state - 1, s, factor)
+            for s in OTHER + TARGET + REPORT:
+                arcs[state, s] = (state - 1, s, 0.0, 0.0)
+            for s in THREATS_BY_MARK + INSULTS_BY_MARK:
+                arcs[state, s] = (state - 1, _marked(s, 1), 0.0, 0.0)
     return Transducer(reach + 1, arcs)
 
 
-def report_transducer(factor: float = 0.6) -> Transducer:
-    return Transducer(2, {(0, REPORT): (1, REPORT, 1.0), (1, END): (0, END, 1.0), (1, INSULT): (1, INSULT, factor), (1, THREAT): (1, THREAT, factor)})
+def report_transducer() -> Transducer:
+    """States: nothing reported, the rest of the clause is."""
+    arcs = {(0, REPORT): (1, REPORT, 0.0, 0.0), (1, END): (0, END, 0.0, 0.0)}
+    for s in THREATS_BY_MARK + INSULTS_BY_MARK:
+        arcs[1, s] = (1, _marked(s, 2), 0.0, 0.0)
+    return Transducer(2, arcs)
 
 
-def target_transducer(factor: float = 1.5) -> Transducer:
-    return Transducer(2, {(0, TARGET): (1, TARGET, 1.0), (1, END): (0, END, 1.0), (1, INSULT): (1, INSULT, factor)})
+def insult_transducer() -> Transducer:
+    """States: nothing, target seen, or an insult with marks waits for its target (2 to 5)."""
+    arcs = {(0, TARGET): (1, TARGET, 0.0, 0.0)}
+    for state in range(1, 6):
+        arcs[state, END] = (0, END, 0.0, 0.0)
+    for mark, s in enumerate(INSULTS_BY_MARK):
+        arcs[1, s] = (1, s, FACTORS[mark] * (1 + TARGETED), 0.0)
+        for state in (0, 2, 3, 4, 5):
+            arcs[state, s] = (2 + mark, s, FACTORS[mark], 0.0)
+        arcs[2 + mark, TARGET] = (1, TARGET, FACTORS[mark] * TARGETED, 0.0)
+    return Transducer(6, arcs)
 
 
 def threat_transducer() -> Transducer:
-    """States: nothing, target seen, threat seen, both. A threat counts when a target is in its clause."""
-    return Transducer(
-        3,
-        {
-            (0, TARGET): (1, TARGET, 1.0), (1, END): (0, END, 1.0), (2, END): (0, END, 1.0),
-            (0, THREAT): (2, THREAT, 0.0), (1, THREAT): (1, THREAT, 1.0), (2, THREAT): (2, THREAT, 0.0),
-            (2, TARGET): (1, THREAT, 1.0),
-        },
-    )
-
-
-ALPHABET = OTHER + TARGET + NEGATION + REPORT + END + THREAT + INSULT
+    """States: nothing, target seen, or a threat with marks waits for its target (2 to 5)."""
+    arcs = {(0, TARGET): (1, TARGET, 0.0, 0.0)}
+    for state in range(1, 6):
+        arcs[state, END] = (0, END, 0.0, 0.0)
+    for mark, s in enumerate(THREATS_BY_MARK):
+        arcs[1, s] = (1, s, 0.0, FACTORS[mark])
+        for state in (0, 2, 3, 4, 5):
+            arcs[state, s] = (2 + mark, s, 0.0, 0.0)
+        arcs[2 + mark, TARGET] = (1, TARGET, 0.0, FACTORS[mark])
+    return Transducer(6, arcs)
 
 
 def grammar() -> Transducer:
-    whole = compose(negation_transducer(), report_transducer(), ALPHABET)
-    whole = compose(whole, target_transducer(), ALPHABET)
-    return compose(whole, threat_transducer(), ALPHABET)
+    whole = negation_transducer()
+    for part in (report_transducer(), insult_transducer(), threat_transducer()):
+        whole = compose(whole, part)
+    return whole
 
 
 @dataclass
@@ -178,24 +215,28 @@ class Grammar:
         line = "".join(map(cache.__getitem__, raw))
         if not self.strong.search(line):
             return []
-        out, state, weight = [], 0, 0.0
+        out: list[float] = []
         step, held = self.machine.step, self.weight_of
+        # only stretches with an insult or threat add weight, and the machine stands at its start after END
         for clause in line.split(END):
             if not self.strong.search(clause):
                 continue
-            state, weight = 0, 0.0
-            for s in clause:
-                kind = INSULT if s >= FIRST_MARK else s
-                state, out_symbol, factor = step(state, kind)
-                if out_symbol in (INSULT, THREAT):
-                    weight += factor * held.get(s, FIXED_WEIGHT)
+            state, weight, last_insult, last_threat = 0, 0.0, 0.0, 0.0
+            for s in clause + END:
+                if s >= FIRST_MARK or s == INSULT:
+                    last_insult, s = held[s], INSULT
+                elif s == THREAT:
+                    last_threat = held[s]
+                state, _, insult, threat = step(state, s)
+                weight += insult * last_insult + threat * last_threat
             if weight > 0:
                 out.append(weight)
         return out
 
     def features(self, text: str | None) -> tuple[float, float]:
+        """Sum of the clauses' weights, and the heaviest clause."""
         weights = self.clauses(text)
-        return (min(sum(weights), 20.0), max(weights)) if weights else (0.0, 0.0)
+        return (sum(weights), max(weights)) if weights else (0.0, 0.0)
 
     def score(self, text: str | None) -> float:
         total, most = self.features(text)
@@ -255,7 +296,7 @@ def choose_patterns(toxic: list[set[str]], clean: list[set[str]], need: int = NE
     queue = [(-len(d), -weight[p], p) for p, (d, _) in good.items()]
     heapq.heapify(queue)
     chosen: dict[str, float] = {}
-    while queue and len(chosen) < 1000:
+    while queue:
         gain, _, p = heapq.heappop(queue)
         d, credit = good[p]
         now = int((left[d] > 0).sum())
@@ -270,7 +311,7 @@ def choose_patterns(toxic: list[set[str]], clean: list[set[str]], need: int = NE
 
 
 def fit_curve(points: np.ndarray, label: np.ndarray) -> tuple[float, float, float]:
-    """Logistic curve over (total, most) by gradient steps with a small ridge; slopes stay >= 0."""
+    """Logistic curve over the features by gradient steps with a small ridge; slopes stay >= 0."""
     x = np.column_stack([np.ones(len(points)), points / 6.0])
     w = np.array([-3.0, 1.0, 0.0])
     past = np.full(3, 1e-6)
@@ -298,19 +339,40 @@ def learned(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, usab
     order = F.xxhash64("doc_id")
     parts = [marks.filter(F.col("toxic") == c).orderBy(order, "doc_id").limit(per_class) for c in (0, 1)]
     sample = parts[0].unionByName(parts[1])
-    got = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("toxic", "text").toPandas()
+    texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
+    texts = texts.groupBy("doc_id", "toxic").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("t")).select("doc_id", "toxic", "t.text")
+    texts = written(texts, "toxic-sample")  # at most 2 * per_class rows
+    words = texts.select("doc_id", "toxic", "text").mapInArrow(_word_sets, f"doc_id {texts.schema['doc_id'].dataType.simpleString()}, toxic int, words array<string>")
+    got = written(words, "toxic-words").toPandas()  # different words only, however long a text is
     if not len(got) or got["toxic"].nunique() < 2:
         return Grammar()
     # near copies say the same thing: one text for each four least word hashes
-    got["key"] = [str(sorted(map(hash_word, word_set(t)))[:4]) for t in got["text"]]
-    got = got.sort_values(["key", "text"], na_position="first").drop_duplicates(["key", "toxic"])
+    got["key"] = [str(sorted(map(hash_word, w))[:4]) for w in got["words"]]
+    got = got.sort_values(["key", "doc_id"]).drop_duplicates(["key", "toxic"])
     is_toxic = got["toxic"].to_numpy() == 1
-    own = Grammar(choose_patterns(*[[word_set(t) for t in got["text"][is_toxic == c]] for c in (True, False)]))
-    points = np.array([own.features(t) for t in got["text"]])
-    own.curve = fit_curve(points, is_toxic.astype(float))
+    own = Grammar(choose_patterns(*[[set(w) for w in got["words"][is_toxic == c]] for c in (True, False)]))
+    points = {r["doc_id"]: (r["total"], r["most"]) for r in _featured(texts.select("doc_id", "text"), own).collect()}
+    own.curve = fit_curve(np.array([points[i] for i in got["doc_id"]]), is_toxic.astype(float))
     return own
 
 
+def _word_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        words = pa.array([sorted(word_set(t)) for t in batch.column("text").to_pylist()], pa.list_(pa.string()))
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic").cast(pa.int32()), words], ["doc_id", "toxic", "words"])
+
+
+def _featured(texts: DataFrame, model: Grammar) -> DataFrame:
+    """(doc_id, total, most) of every row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [model.features(t) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array([f[i] for f in found], pa.float64()) for i in (0, 1))], ["doc_id", "total", "most"])
+
+    return texts.mapInArrow(run, f"doc_id {texts.schema['doc_id'].dataType.simpleString()}, total double, most double")
+
+
 def hash_word(word: str) -> int:
     return zlib.crc32(word.encode("utf-8", "surrogatepass"))
 
@@ -318,7 +380,7 @@ def hash_word(word: str) -> int:
 def scored(docs: DataFrame, model: Grammar, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, score, predicted) of every row."""
     rows = docs.select("doc_id", "text")
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most 1000 patterns
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most 200 * NEED patterns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value

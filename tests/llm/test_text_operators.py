@@ -153,16 +153,63 @@ def test_grammar_weighs_clauses():
 
 def test_composition_equals_running_one_after_another():
     a, b = toxicity.negation_transducer(), toxicity.report_transducer()
-    both = toxicity.compose(a, b, toxicity.ALPHABET)
+    c = toxicity.compose(toxicity.insult_transducer(), toxicity.threat_transducer())
+    both = toxicity.compose(toxicity.compose(a, b, toxicity.ALPHABET), c)
     rng = np.random.default_rng(0)
     for _ in range(50):
         line = rng.choice(list(toxicity.ALPHABET), 20)
-        s = p = q = 0
+        s = p = q = r = 0
         for x in line:
-            s, out, w = both.step(s, x)
-            p, mid, u = a.step(p, x)
-            q, last, v = b.step(q, mid)
-            assert out == last and w == pytest.approx(u * v)
+            s, out, *added = both.step(s, x)
+            p, mid, *_ = a.step(p, x)
+            q, mid, *_ = b.step(q, mid)
+            r, last, *expected = c.step(r, mid)
+            assert out == last and added == pytest.approx(expected)
+
+
+def test_negation_report_and_target_in_any_order():
+    g = toxicity.Grammar()
+    total = lambda t: sum(g.clauses(t))
+    w = toxicity.FIXED_WEIGHT
+    assert total("i will kill you") == w > total("it was reported i will kill you") > total("i will not kill you") > 0
+    assert total("you i will not kill") == total("i will not kill you") == pytest.approx(0.4 * w)
+    assert total("idiot you are") == total("the idiot is you") == total("you idiot") == pytest.approx(1.5 * w) and total("idiot") == w
+    assert total("not an idiot are you") == pytest.approx(0.4 * 1.5 * w)
+    assert total("kill. you") == total("kill") == 0 and total("idiot. you") == w
+
+
+def brute_clause(symbols, weights):
+    """Weight of one clause from its symbols (o t n r i k), without automata."""
+    total = 0.0
+    places = {c: [i for i, s in enumerate(symbols) if s == c] for c in "tnrik"}
+    for i in places["i"] + places["k"]:
+        negated = any(i - 3 <= n < i for n in places["n"])
+        factor = (0.4 if negated else 1.0) * (0.6 if any(r < i for r in places["r"]) else 1.0)
+        before = any(t < i for t in places["t"])
+        kind = symbols[i]
+        after = not before and any(t > i and not any(i < j < t for j in places[kind]) for t in places["t"])
+        if kind == "i":
+            total += factor * weights[i] * (1.5 if before or after else 1.0)
+        elif before or after:
+            total += factor * weights[i]
+    return total
+
+
+def test_clauses_equal_a_brute_force_scorer():
+    words = {"o": "plain", "t": "you", "n": "not", "r": "said", "k": "kill"}
+    insults = {"grob": 2.0, "vile": 3.5, "zork": 1.25}
+    g = toxicity.Grammar({f"={w}": x for w, x in insults.items()})
+    rng = np.random.default_rng(4)
+    for _ in range(400):
+        symbols = list(rng.choice(list("oootnrik"), int(rng.integers(1, 14))))
+        text = [words.get(s) or str(rng.choice(list(insults))) for s in symbols]
+        expected = brute_clause(symbols, [insults.get(w, toxicity.FIXED_WEIGHT) for w in text])
+        assert sum(g.clauses(" ".join(text))) == pytest.approx(expected), text
+
+
+def test_very_long_text_is_scored_whole():
+    g = toxicity.Grammar({"=grob": 2.0})
+    assert g.clauses("plain word " * 100_000 + "you grob") == [3.0]
 
 
 def test_grammar_learns_and_handles_odd_tables(spark):
