@@ -207,18 +207,36 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").translate(FOLD).split()
 
 
+def run_hashes(texts: list[list[bytes]]) -> list[np.ndarray]:
+    """Distinct 64-bit hashes of the runs of SHINGLE words of each text; fewer words are one run.
+
+    A run's hash mixes the XXH64 of its words, each different word hashed once; no word is hash zero.
+    """
+    number: dict[bytes, int] = {}
+    place = number.setdefault
+    pad = [b""]  # no text has an empty word
+    lists = [words + pad * (SHINGLE - len(words)) if words else words for words in texts]
+    size = np.array([len(words) for words in lists], dtype=np.int64)
+    codes = np.array([place(w, len(number)) for words in lists for w in words], dtype=np.int64)
+    value = np.fromiter(map(xxhash.xxh64_intdigest, number, repeat(SEED)), dtype=np.uint64, count=len(number))
+    word = value[codes] if len(number) else np.zeros(0, dtype=np.uint64)
+    n = max(len(word) - SHINGLE + 1, 0)
+    run = np.zeros(n, dtype=np.uint64)
+    for k in range(SHINGLE):
+        run = (run ^ (run >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + word[k : k + n]
+    run = (run ^ (run >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    run ^= run >> np.uint64(32)
+    first = np.cumsum(size) - size
+    return [np.unique(run[f : f + m - SHINGLE + 1]) if m else run[:0] for f, m in zip(first.tolist(), size.tolist(), strict=True)]
+
+
 def shingle_hashes(words: list[bytes]) -> np.ndarray:
-    """Distinct 64-bit hashes of the runs of SHINGLE words; fewer words are one run."""
-    if len(words) <= SHINGLE:
-        return np.array([xxhash.xxh64_intdigest(b" ".join(words), SEED)] if words else [], dtype=np.uint64)
-    runs = map(b" ".join, zip(*[words[i:] for i in range(SHINGLE)], strict=False))
-    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, runs, repeat(SEED)), dtype=np.uint64, count=len(words) - SHINGLE + 1))
+    return run_hashes([words])[0]
 
 
-def set_of(text: str | None) -> tuple[bytes, np.ndarray]:
-    """Name (128 bits) and runs of a text; texts with equal sets of runs have one name."""
-    own = shingle_hashes(words_of(text))
-    return xxhash.xxh3_128_digest(own.tobytes()), own
+def sets_of(texts: list[str | None]) -> list[tuple[bytes, np.ndarray]]:
+    """Name (128 bits) and runs of each text; texts with equal sets of runs have one name."""
+    return [(xxhash.xxh3_128_digest(own.tobytes()), own) for own in run_hashes([words_of(t) for t in texts])]
 
 
 def node_of(name: bytes) -> int:
@@ -233,7 +251,8 @@ def prefix_length(n: int, similarity: float) -> int:
 
 def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        names = [set_of(t)[0] for t in batch.column("text").to_pylist()]
+        texts = batch.column("text").to_pylist()
+        names = [name for start in range(0, len(texts), 500) for name, _ in sets_of(texts[start : start + 500])]
         nodes = pa.array([node_of(n) for n in names], pa.int64())
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(names, pa.binary()), nodes], ["doc_id", "set_id", "node"])
 
@@ -241,7 +260,7 @@ def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for start in range(0, batch.num_rows, 500):
-            sets = [set_of(t) for t in batch.column("text").slice(start, 500).to_pylist()]
+            sets = sets_of(batch.column("text").slice(start, 500).to_pylist())
             lists = pa.array([own.view(np.int64) for _, own in sets], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([pa.array([name for name, _ in sets], pa.binary()), lists], ["set_id", "shingles"])
 
@@ -249,7 +268,7 @@ def _shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def _order_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for start in range(0, batch.num_rows, 2000):
-            sets = dict(map(set_of, batch.column("text").slice(start, 2000).to_pylist()))
+            sets = dict(sets_of(batch.column("text").slice(start, 2000).to_pylist()))
             held = [own for name, own in sets.items() if name[-1] % ORDER_PART == 0]
             if held:
                 key, c = np.unique(np.concatenate(held), return_counts=True)
@@ -292,7 +311,7 @@ def set_keys(rows: DataFrame, similarity: float) -> DataFrame:
         common, counts = shared.value
         for batch in batches:
             for start in range(0, batch.num_rows, 1000):
-                sets = dict(map(set_of, batch.column("text").slice(start, 1000).to_pylist()))
+                sets = dict(sets_of(batch.column("text").slice(start, 1000).to_pylist()))
                 named = [(node_of(name), len(own), prefix_keys(own, common, counts, similarity)) for name, own in sets.items() if len(own)]
                 if named:
                     long = np.array([len(k) for _, _, k in named])
@@ -364,9 +383,10 @@ def verified(named: DataFrame, sets: DataFrame, pairs: DataFrame, similarity: fl
 
 
 def near_copies(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """(doc_id, component_id) of every row: exact copies and texts whose sets of five-word runs have a
-    Jaccard similarity of at least ``similarity`` are linked. The join is exact: every such pair is
-    connected (``near_links``), and every link is verified on the whole sets.
+    """(doc_id, set_id, root, component_id) of every row: exact copies and texts whose sets of five-word
+    runs have a Jaccard similarity of at least ``similarity`` are linked. The join is exact: every such pair
+    is connected (``near_links``), and every link is verified on the whole sets. ``set_id`` names the text's
+    set, ``root`` the set that names the component.
 
     Case is folded and white space is one blank, so texts that differ in these alone are exact copies.
     Wordless texts are copies of each other. Rows without doc_id link exactly, and never name a component.
@@ -379,5 +399,33 @@ def near_copies(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     rooted = sets.join(roots.withColumnRenamed("node", "set_id"), "set_id", "left").select("set_id", "first_id", F.coalesce("root", "set_id").alias("root"))
     rooted = written(rooted, "near-rooted")
     least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    labels = rooted.join(least, "root").select("set_id", "component_id")
-    return described.select("doc_id", "set_id").join(written(labels, "near-labels"), "set_id").select("doc_id", "component_id")
+    labels = rooted.join(least, "root").select("set_id", "root", "component_id")
+    return described.select("doc_id", "set_id").join(written(labels, "near-labels"), "set_id").select("doc_id", "set_id", "root", "component_id")
+
+
+def _named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        texts = batch.column("text").to_pylist()
+        names = [name for start in range(0, len(texts), 500) for name, _ in sets_of(texts[start : start + 500])]
+        yield batch.append_column("copy_set", pa.array(names, pa.binary()))
+
+
+def one_of_each(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """Rows of ``docs``, all columns: one of each group of copies (``near_copies``), the one with the least
+    (doc_id, set of runs); of rows equal in both, the first by their JSON text.
+
+    Rows without doc_id cannot be named; all of them stay. Rows of one doc_id with different texts are
+    different documents.
+    """
+    found = written(near_copies(docs, similarity), "copies").filter("doc_id is not null")
+    chosen = written(found.groupBy("root").agg(F.min(F.struct("doc_id", "set_id")).alias("r")).select("r.doc_id", "r.set_id"), "copies-chosen")
+    repeated = written(found.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id"), "copies-ids")
+    named = docs.filter("doc_id is not null")
+    single = named.join(chosen.join(repeated, "doc_id", "left_anti"), "doc_id", "left_semi").select(*docs.columns)
+    # ids of several rows: their texts decide, by the set
+    struct = F.struct(*docs.columns)
+    several = named.join(repeated, "doc_id", "left_semi").select("doc_id", "text", struct.alias("row"))
+    several = several.mapInArrow(_named, several.schema.simpleString().removeprefix("struct<").removesuffix(">") + ",copy_set:binary")
+    several = several.join(chosen.select("doc_id", F.col("set_id").alias("copy_set")), ["doc_id", "copy_set"], "left_semi")
+    several = several.groupBy("doc_id", "copy_set").agg(F.min_by("row", F.to_json("row")).alias("row")).select("row.*")
+    return single.unionByName(several).unionByName(docs.filter("doc_id is null"))
