@@ -6,10 +6,10 @@ word itself (the lexicon). Transitions between labels of neighbouring words are
 Forward-backward gives each word's label probabilities, so switches inside a text show; a document's
 language is the label with the greatest mean probability, which is its score.
 
-Training: windows of WINDOW words from at most DOCS_PER_LANGUAGE documents a language (chosen by hash of
-the id), at most WINDOWS_PER_DOC spread over each whole text. Every word of a window carries its
-document's label; some windows are spliced from two languages, which teaches the transitions.
-Languages are those that occur in the training rows and are taken to be few (they fit the driver).
+Training: all windows of WINDOW words of the whole texts of at most DOCS_PER_LANGUAGE documents a language
+(those of least hash of the id and text, a bound on rows). Every word of a window carries its document's
+label; some windows are spliced from two languages, which teaches the transitions. Languages are those
+that occur in the training rows and are taken to be few (their weights fit the driver).
 
 Defined results: null text or text without letters: ``und`` with score 0, no labels; a text whose labels
 tie gets the first language by name; repeated rows are labelled each; without any training row all texts
@@ -24,12 +24,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 DOCS_PER_LANGUAGE = 250
 WINDOW = 24
-WINDOWS_PER_DOC = 12
 BUCKETS = 1 << 16
 ROUNDS = 18
 UNKNOWN = "und"
@@ -116,15 +115,15 @@ class Model:
         number: dict[str, int] = {}
         coded = [np.array([number.setdefault(w, len(number)) for w in words], dtype=np.int64) for words in split]
         names = list(number)
-        e = np.concatenate([emissions(names[i : i + 50_000], self.weights) for i in range(0, len(names), 50_000)] or [np.zeros((0, len(self.languages)))])
+        e = np.concatenate([emissions(names[i : i + 10_000], self.weights) for i in range(0, len(names), 10_000)] or [np.zeros((0, len(self.languages)))])
         e = e.astype(np.float32)
         out = [np.zeros((0, len(self.languages)), dtype=np.float32)] * len(texts)
         order = sorted((i for i in range(len(texts)) if len(coded[i])), key=lambda i: len(coded[i]))
         start = 0
         while start < len(order):
-            # sequences of like length together, at most about a million words with filling
+            # sequences of like length together, at most about 200,000 words with filling
             end = start + 1
-            while end < len(order) and end - start < 512 and (end - start + 1) * len(coded[order[end]]) <= 1_000_000:
+            while end < len(order) and end - start < 512 and (end - start + 1) * len(coded[order[end]]) <= 200_000:
                 end += 1
             part = order[start:end]
             length = np.array([len(coded[i]) for i in part])
@@ -204,9 +203,7 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         langs, found = [], []
         for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
             words = words_of(text)
-            starts = range(0, len(words), WINDOW)
-            step = -(-len(starts) // WINDOWS_PER_DOC) if len(starts) else 1
-            for s in starts[::step]:
+            for s in range(0, len(words), WINDOW):
                 langs.append(lang)
                 found.append(words[s : s + WINDOW])
         yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(found, pa.list_(pa.string()))], ["lang", "words"])
@@ -216,13 +213,9 @@ def learned(docs: DataFrame, usable=None, docs_per_language: int = DOCS_PER_LANG
     """Model from a hash sample of ``docs`` (doc_id, text, lang); ``usable``: condition on rows to learn from."""
     rows = docs.filter("text is not null and lang is not null and doc_id is not null")
     rows = rows.filter(usable) if usable is not None else rows
-    counts = {r["lang"]: r["n"] for r in rows.select("lang", "doc_id").groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    if not counts:
-        return train([])
-    share = F.lit(0)
-    for lang, n in counts.items():
-        share = F.when(F.col("lang") == lang, int(min(1.0, docs_per_language / n) * (1 << 30))).otherwise(share)
-    picked = rows.filter(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 30)) < share).select("lang", "text")
+    place = F.xxhash64("doc_id", "text", F.lit(7))
+    ranked = rows.select("lang", "text", F.row_number().over(Window.partitionBy("lang").orderBy(place, "doc_id")).alias("k"))
+    picked = ranked.filter(F.col("k") <= docs_per_language).select("lang", "text")
     got = picked.mapInArrow(_windows, "lang string, words array<string>").toPandas()
     got["words"] = [list(w) for w in got["words"]]
     pairs = sorted(zip(got["lang"], got["words"], strict=True))
@@ -237,8 +230,8 @@ def labelled(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for whole in batches:
-            for start in range(0, whole.num_rows, 2000):
-                batch = whole.slice(start, 2000)
+            for start in range(0, whole.num_rows, 1000):
+                batch = whole.slice(start, 1000)
                 found = own.predict(batch.column("text").to_pylist())
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id"), pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())],

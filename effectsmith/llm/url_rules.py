@@ -2,10 +2,14 @@
 
 Explicit host/path rules give a verdict where one fits. Their verdicts (or a label column of the
 caller) label URLs; FP-growth mines token combinations that go with a label; rules that pass the
-support and confidence bounds judge all other URLs. A rule is found through its tokens: the URL's
+support and confidence bounds judge all other URLs. A rule is dropped when one with a token less says
+the same at no less confidence: it could never decide. A rule is found through its tokens: the URL's
 tokens are joined with (token, rule) pairs, and a rule fits when all of its tokens were met.
 
-Work is done on distinct token sets, so a host with a third of all pages is matched once per set.
+Work is done on distinct token sets, so a host with a third of all pages is matched once per set. Sets
+that hold more than 1 / HOT_SETS of all rows (fewer than HOT_SETS, so they are broadcast) get their verdict
+where the rows lie; only the other sets are joined by a shuffle. A URL has at most a few tokens, however
+long it is (``tokens_of``), which bounds the combinations that mining can meet.
 
 Defined results: a null URL, or one without ``://``, has empty host and path and no tokens and gets
 the default verdict; repeated rows stay repeated; an empty table gives an empty result; columns other
@@ -24,7 +28,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
 MIN_SUPPORT = 0.002
 MIN_CONFIDENCE = 0.7
-MAX_TOKENS_IN_RULE = 3
+HOT_SETS = 256
+LABELS, SEGMENTS, KEYS = 4, 6, 6
 DEFAULT = "allow"
 MARK = "label="
 
@@ -50,14 +55,19 @@ def explicit_rule(host: Column, path: Column, rules=RULES) -> Column:
 
 
 def tokens_of(url: Column, host: Column, path: Column) -> Column:
-    """Distinct tokens: host labels, path segments with digit runs as ``#``, query keys."""
-    labels = F.transform(F.split(host, r"\."), lambda x: F.concat(F.lit("host:"), x))
-    segments = F.transform(
-        F.split(F.regexp_replace(F.lower(path), r"\d+", "#"), "/"), lambda x: F.concat(F.lit("path:"), x)
-    )
+    """Distinct tokens: host labels, path segments with digit runs as ``#``, query keys. The last LABELS
+    labels, first SEGMENTS segments and first KEYS keys are tokens each; what is left of each is one."""
+
+    def listed(kind: str, parts: Column, most: int) -> Column:
+        named = F.filter(parts, lambda x: x != "")
+        rest = F.array_join(F.slice(named, most + 1, F.greatest(F.size(named), F.lit(1))), " ")
+        each = F.transform(F.slice(named, 1, most), lambda x: F.concat(F.lit(kind), x))
+        return F.when(F.size(named) > most, F.concat(each, F.array(F.concat(F.lit(kind), rest)))).otherwise(each)
+
+    segments = F.split(F.regexp_replace(F.lower(path), r"\d+", "#"), "/")
     query = F.coalesce(F.regexp_extract(url, r"\?([^#]*)", 1), F.lit(""))
-    keys = F.transform(F.split(query, "&"), lambda x: F.concat(F.lit("query:"), F.substring_index(x, "=", 1)))
-    every = F.filter(F.concat(labels, segments, keys), lambda x: ~x.isin("host:", "path:", "query:"))
+    keys = F.transform(F.split(query, "&"), lambda x: F.substring_index(x, "=", 1))
+    every = F.concat(listed("host:", F.reverse(F.split(host, r"\.")), LABELS), listed("path:", segments, SEGMENTS), listed("query:", keys, KEYS))
     return F.when(host == "", F.array().cast("array<string>")).otherwise(F.array_sort(F.array_distinct(every)))
 
 
@@ -66,17 +76,22 @@ def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence:
     items = labelled.select(F.concat("tokens", F.array(F.concat(F.lit(MARK), F.col("label")))).alias("items"))
     model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(items)
     rules = model.associationRules.filter(
-        F.element_at("consequent", 1).startswith(MARK)
-        & (F.size("antecedent") <= MAX_TOKENS_IN_RULE)
-        & ~F.exists("antecedent", lambda x: x.startswith(MARK))
+        F.element_at("consequent", 1).startswith(MARK) & ~F.exists("antecedent", lambda x: x.startswith(MARK))
     )
-    return rules.select(
+    rules = rules.select(
         F.xxhash64(F.array_sort("antecedent"), "consequent").alias("rule_id"),
-        "antecedent",
+        F.array_sort("antecedent").alias("antecedent"),
         F.substring(F.element_at("consequent", 1), len(MARK) + 1, 100).alias("verdict"),
         "confidence",
         "support",
     )
+    rules = written(rules, "url-rules-mined")
+    # rules with one token more, by what is left without it
+    longer = rules.filter(F.size("antecedent") > 1).select("rule_id", "verdict", "confidence", F.explode("antecedent").alias("token"), "antecedent")
+    longer = longer.select("rule_id", "verdict", "confidence", F.array_remove("antecedent", F.col("token")).alias("antecedent"))
+    shorter = rules.select("antecedent", "verdict", F.col("confidence").alias("of_shorter"))
+    idle = longer.join(shorter, ["antecedent", "verdict"]).filter("of_shorter >= confidence").select("rule_id").distinct()
+    return rules.join(idle, "rule_id", "left_anti")
 
 
 def match(sets: DataFrame, rules: DataFrame) -> DataFrame:
@@ -127,10 +142,15 @@ def filter_urls(
         F.coalesce("given", "fit.verdict").alias("label"),
         tokens_of(F.col("url"), F.col("host"), F.col("path")).alias("tokens"),
     ).withColumn("set_id", F.xxhash64("tokens"))
+    seen = written(seen, "url-tokens")
     mined = written(mine(seen.filter("label is not null and size(tokens) > 0"), min_support, min_confidence), "url-rules")
-    sets = seen.filter("rule is null").groupBy("set_id").agg(F.first("tokens").alias("tokens"))
-    best = match(sets, mined)
-    return seen.join(best, "set_id", "left").select(
+    sets = seen.filter("rule is null").groupBy("set_id").agg(F.first("tokens").alias("tokens"), F.count("*").alias("n"))
+    best = written(sets.select("set_id", "n").join(match(sets, mined), "set_id", "left"), "url-best")
+    hot = best.filter(F.col("n") > seen.count() / HOT_SETS).select("set_id", F.struct("best").alias("hot"))
+    by_set = seen.withColumn("set_id", F.when(F.col("rule").isNull(), F.col("set_id"))).join(F.broadcast(hot), "set_id", "left")
+    others = by_set.filter("rule is null and hot is null").join(best.select("set_id", "best"), "set_id", "left")
+    ready = by_set.filter("rule is not null or hot is not null").withColumn("best", F.col("hot.best"))
+    return others.unionByName(ready).select(
         "page_id",
         "host",
         "path",

@@ -95,6 +95,41 @@ def test_mined_rules_judge_the_rest(spark):
     assert url_rules.filter_urls(spark.createDataFrame([], "page_id long, url string")).count() == 0
 
 
+def test_verdicts_equal_brute_force_mining(spark):
+    """Every subset of every labelled URL's tokens is counted; the best rule inside a URL judges it."""
+    from itertools import combinations
+
+    from effectsmith.llm.tables import table
+
+    pages = table(spark, "/root/testdata/sf0.001", "pages")
+    pages = pages.unionByName(pages.filter("page_id % 3 = 0"))  # repeated rows
+    parts = pages.withColumns({"host": url_rules.host_of(F.col("url")), "path": url_rules.path_of(F.col("url"))})
+    rows = parts.select("page_id", url_rules.explicit_rule(F.col("host"), F.col("path")).alias("fit"), url_rules.tokens_of(F.col("url"), F.col("host"), F.col("path")).alias("t")).collect()
+    labelled = [(frozenset(r["t"]), r["fit"]["verdict"]) for r in rows if r["fit"] and r["t"]]
+    sets = {frozenset(c) for t, _ in labelled for k in range(1, len(t) + 1) for c in combinations(sorted(t), k)}
+    rules = []
+    for a in sets:
+        held = [v for t, v in labelled if a <= t]
+        for v in ("allow", "block"):
+            n = held.count(v)
+            if n >= url_rules.MIN_SUPPORT * len(labelled) and n and n / len(held) >= url_rules.MIN_CONFIDENCE:
+                rules.append((n / len(held), n / len(labelled), len(a), v, a))
+    expected = []
+    for r in rows:
+        fits = [x[:4] for x in rules if x[4] <= set(r["t"])]
+        expected.append((r["page_id"], r["fit"]["verdict"] if r["fit"] else max(fits)[3] if fits else "allow"))
+    got = [(r["page_id"], r["verdict"]) for r in url_rules.filter_urls(pages).collect()]
+    assert sorted(got) == sorted(expected) and {v for _, v in got} == {"allow", "block"}
+
+
+def test_long_urls_have_few_tokens(spark):
+    url = "http://" + ".".join("abcdefgh") + "/" + "/".join("s" * i for i in range(1, 300)) + "?" + "&".join(f"k{i}=1" for i in range(90))
+    got = url_rules.filter_urls(spark.createDataFrame([(1, url), (None, url), (2, "http://a.net/")], "page_id long, url string"))
+    assert {(r["page_id"], r["verdict"]) for r in got.collect()} == {(1, "allow"), (None, "allow"), (2, "block")}
+    frame = spark.createDataFrame([(url,)], "url string").select(url_rules.tokens_of(F.col("url"), url_rules.host_of(F.col("url")), url_rules.path_of(F.col("url"))).alias("t"))
+    assert len(frame.first()["t"]) == url_rules.LABELS + url_rules.SEGMENTS + url_rules.KEYS + 3
+
+
 def brute(docs, items, threshold=0.8):
     import re
 
