@@ -239,6 +239,10 @@ def sets_of(texts: list[str | None]) -> list[tuple[bytes, np.ndarray]]:
     return [(xxhash.xxh3_128_digest(own.tobytes()), own) for own in run_hashes([words_of(t) for t in texts])]
 
 
+def names_of(texts: pa.Array) -> list[bytes]:
+    return [name for start in range(0, len(texts), 500) for name, _ in sets_of(texts.slice(start, 500).to_pylist())]
+
+
 def node_of(name: bytes) -> int:
     """The name's first 64 bits, signed: for keys alone, links are verified by whole names."""
     return int.from_bytes(name[:8], "big", signed=True)
@@ -251,8 +255,7 @@ def prefix_length(n: int, similarity: float) -> int:
 
 def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = batch.column("text").to_pylist()
-        names = [name for start in range(0, len(texts), 500) for name, _ in sets_of(texts[start : start + 500])]
+        names = names_of(batch.column("text"))
         nodes = pa.array([node_of(n) for n in names], pa.int64())
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(names, pa.binary()), nodes], ["doc_id", "set_id", "node"])
 
@@ -267,8 +270,8 @@ def _shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def _order_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for start in range(0, batch.num_rows, 2000):
-            sets = dict(sets_of(batch.column("text").slice(start, 2000).to_pylist()))
+        for start in range(0, batch.num_rows, 500):
+            sets = dict(sets_of(batch.column("text").slice(start, 500).to_pylist()))
             held = [own for name, own in sets.items() if name[-1] % ORDER_PART == 0]
             if held:
                 key, c = np.unique(np.concatenate(held), return_counts=True)
@@ -310,8 +313,8 @@ def set_keys(rows: DataFrame, similarity: float) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common, counts = shared.value
         for batch in batches:
-            for start in range(0, batch.num_rows, 1000):
-                sets = dict(sets_of(batch.column("text").slice(start, 1000).to_pylist()))
+            for start in range(0, batch.num_rows, 500):
+                sets = dict(sets_of(batch.column("text").slice(start, 500).to_pylist()))
                 named = [(node_of(name), len(own), prefix_keys(own, common, counts, similarity)) for name, own in sets.items() if len(own)]
                 if named:
                     long = np.array([len(k) for _, _, k in named])
@@ -405,9 +408,7 @@ def near_copies(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
 
 def _named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = batch.column("text").to_pylist()
-        names = [name for start in range(0, len(texts), 500) for name, _ in sets_of(texts[start : start + 500])]
-        yield batch.append_column("copy_set", pa.array(names, pa.binary()))
+        yield batch.append_column("copy_set", pa.array(names_of(batch.column("text")), pa.binary()))
 
 
 def one_of_each(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:

@@ -23,12 +23,12 @@ def fold(column: str, parts: int, number: int) -> Column:
 
 
 def texts_kept(docs: DataFrame, judge: Callable[[list[str | None]], list[bool]]) -> DataFrame:
-    """Whole rows of ``docs`` whose text ``judge`` keeps; it sees the texts of up to 2000 rows at once."""
+    """Whole rows of ``docs`` whose text ``judge`` keeps; it sees the texts of up to 1000 rows at once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for start in range(0, whole.num_rows, 2000):
-                batch = whole.slice(start, 2000)
+            for start in range(0, whole.num_rows, 1000):
+                batch = whole.slice(start, 1000)
                 yield batch.filter(pa.array(judge(batch.column("text").to_pylist()), pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -47,7 +47,7 @@ NEED = 4
 THRESHOLD = 0.3
 MIN_ODDS = 2.8
 MAX_CLEAN = 0.005
-CACHE_WORDS = 300_000
+CACHE_WORDS = 100_000
 WORD = re.compile(r"[^\W\d_]+|[.!?;:“”\"«»]")
 AFFIXES = (3, 4, 5, 6, 7)
 
@@ -385,7 +385,8 @@ def scored(docs: DataFrame, model: Grammar, threshold: float = THRESHOLD) -> Dat
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for batch in batches:
-            score = [own.score(t) for t in batch.column("text").to_pylist()]
+            texts = batch.column("text")
+            score = [own.score(t) for start in range(0, len(texts), 1000) for t in texts.slice(start, 1000).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(score, pa.float64()), pa.array([int(s >= threshold) for s in score], pa.int32())],
                 ["doc_id", "score", "predicted"],
