@@ -9,8 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; only where it is unset (tests), a local one."""
+    """The folder of ``spark.checkpoint.dir``; only where it is unset and Spark runs in one process (tests), a local one."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not spark.sparkContext.master.split("[")[0] == "local":
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     if not folder:
         folder = getattr(spark, "_effectsmith_dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark._effectsmith_dir = folder

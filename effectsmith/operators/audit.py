@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from effectsmith.operators.render import command_values
+
 
 def inert(energy: Column, threshold: Column) -> Column:
     """A sample whose particles start below the tracking threshold makes no hits."""
@@ -79,6 +81,20 @@ def failures(runs: DataFrame, key: str) -> DataFrame:
     return runs.groupBy(key).agg(F.count_if("failed").alias("n_failed"), F.count("*").alias("n_runs"), F.max(F.when(F.col("failed"), F.col("message"))).alias("last_message"))
 
 
+def failure_messages(runs: DataFrame, key: str) -> DataFrame:
+    """Every failed run with its message."""
+    return runs.filter("failed").select(key, "run_id", "message")
+
+
+def document_facts(lines: DataFrame, expected: DataFrame) -> DataFrame:
+    """(doc, fact, holds): whether the document's first line of a command has the expected value behind it.
+
+    ``expected``: (doc, fact, command, expected). A document without the command does not hold.
+    """
+    found = command_values(lines, expected)
+    return expected.join(found, ["doc", "command"], "left").select("doc", "fact", (F.col("value") == F.col("expected")).alias("holds"))
+
+
 def capacity(statistics: DataFrame, samples: int, workers: int) -> DataFrame:
     """Hours for a number of samples at the mean wall time of each class."""
     return statistics.withColumn("hours", F.col("mean_wall_s") * samples / workers / 3600)

@@ -34,13 +34,45 @@ JOE_KUO = [
     (7, 1, [1, 3, 7, 11, 23, 15, 103]),
 ]
 BITS = 32
+BLOCK = 4096
+
+
+def is_primitive(degree: int, inner: int) -> bool:
+    """Whether x^degree + ... + 1 over two elements is primitive; ``inner`` holds the coefficients between."""
+    poly, x = 1 << degree | inner << 1 | 1, 1
+    for k in range(1, 1 << degree):
+        x <<= 1
+        x ^= poly if x >> degree else 0
+        if x == 1:
+            return k == (1 << degree) - 1
+    return False
+
+
+def polynomial(number: int) -> tuple[int, int]:
+    """(degree, inner coefficients) of the primitive polynomials in ascending order, from 0."""
+    degree = 0
+    while True:
+        degree += 1
+        for inner in range(1 << (degree - 1)):
+            if is_primitive(degree, inner):
+                if number == 0:
+                    return degree, inner
+                number -= 1
 
 
 def directions(dim: int) -> list[int]:
-    """Direction numbers of a dimension (from 0), as 32-bit integers."""
+    """Direction numbers of a dimension (from 0), as 32-bit integers.
+
+    Dimensions behind the published table go on with the next primitive polynomials; their initial numbers
+    are odd numbers below 2, 4, 8 ... by a multiplicative rule.
+    """
     if dim == 0:
         return [1 << (BITS - 1 - i) for i in range(BITS)]
-    s, a, m = JOE_KUO[dim - 1]
+    if dim <= len(JOE_KUO):
+        s, a, m = JOE_KUO[dim - 1]
+    else:
+        s, a = polynomial(dim - 1)
+        m = [(dim * 2654435761 * (i + 1) >> 7) % (1 << i) * 2 + 1 for i in range(s)]
     v = [m[i] << (BITS - 1 - i) for i in range(s)]
     for i in range(s, BITS):
         x = v[i - s] ^ (v[i - s] >> s)
@@ -57,8 +89,12 @@ def expanded(groups: DataFrame) -> DataFrame:
     each = groups.select("grp_ord", "command", F.size("lo").alias("n_elem"), F.posexplode(F.arrays_zip("lo", "hi")).alias("elem", "b"))
     name = F.when(F.col("n_elem") > 1, F.concat("command", F.lit("_"), (F.col("elem") + 1).cast("string"))).otherwise(F.col("command"))
     named = each.select("grp_ord", "elem", "n_elem", name.alias("name"), F.col("b.lo").alias("lo"), F.col("b.hi").alias("hi"))
-    before = groups.select(F.col("grp_ord").alias("o"), F.size("lo").alias("k"))
-    offset = before.withColumn("first", F.sum("k").over(Window.orderBy("o")) - F.col("k")).select(F.col("o").alias("grp_ord"), "first")
+    # offsets by blocks of group numbers: only the blocks' totals, one row each, are summed in one task
+    before = groups.select(F.col("grp_ord").alias("o"), F.size("lo").alias("k"), F.floor(F.col("grp_ord") / BLOCK).alias("block"))
+    totals = before.groupBy("block").agg(F.sum("k").alias("t"))
+    starts = totals.select("block", (F.sum("t").over(Window.orderBy("block")) - F.col("t")).alias("start"))
+    inside = F.sum("k").over(Window.partitionBy("block").orderBy("o")) - F.col("k")
+    offset = before.withColumn("inside", inside).join(starts, "block").select(F.col("o").alias("grp_ord"), (F.col("start") + F.col("inside")).alias("first"))
     return named.join(offset, "grp_ord").select((F.col("first") + F.col("elem")).cast("int").alias("var_idx"), "grp_ord", "elem", "n_elem", "name", "lo", "hi")
 
 

@@ -48,25 +48,34 @@ def electrode_totals(qp: DataFrame) -> DataFrame:
     return qp.groupBy("sample_id", "electrode").agg(F.sum("qps").alias("qps"), F.max("qps").alias("max_bin_qps"))
 
 
+def greatest_total(qp: DataFrame) -> DataFrame:
+    """(sample_id, most_qps): the greatest electrode total of each sample."""
+    return electrode_totals(qp).groupBy("sample_id").agg(F.max("qps").alias("most_qps"))
+
+
 def totals_rollup(qp: DataFrame) -> DataFrame:
     """Counts by sample and electrode, by sample, and over all (nulls mark the levels)."""
     return qp.rollup("sample_id", "electrode").agg(F.sum("qps").alias("qps"))
 
 
 def dense(qp: DataFrame, manifest: DataFrame) -> DataFrame:
-    """(sample_id, electrode, qps array of all bins) for every site of every sample, zeros filled in.
+    """(sample_id, electrode, held_bins, qps array of all bins) for every site of every sample, zeros filled in.
 
-    Arrays are built where the sparse counts already are, a bounded number of bins a key.
+    Arrays are built where the sparse counts already are, a bounded number of bins a key: the held bins in
+    order, each behind the zeros since the one before it.
     """
-    filled = qp.groupBy("sample_id", "electrode").agg(F.map_from_entries(F.collect_list(F.struct("bin", "qps"))).alias("held"))
+    filled = qp.groupBy("sample_id", "electrode").agg(F.array_sort(F.collect_list(F.struct("bin", "qps"))).alias("held"))
     sites = manifest.select("sample_id", F.explode(F.sequence(F.lit(0), F.size("qx") - 1)).alias("electrode"))
     joined = sites.join(filled, ["sample_id", "electrode"], "left")
-    bins = F.sequence(F.lit(0), F.lit(BINS - 1))
-    zero = F.array_repeat(F.lit(0.0), BINS)
+    zeros = lambda n: F.array_repeat(F.lit(0.0), n)
+    last = F.concat(F.array(F.lit(-1)), F.col("held.bin"))
+    pieces = F.zip_with("held", F.slice(last, 1, F.size("held")), lambda h, p: F.concat(zeros((h["bin"] - p - 1).cast("int")), F.array(h["qps"])))
+    filled = F.concat(F.flatten(pieces), zeros((F.lit(BINS - 1) - F.element_at("held", -1)["bin"]).cast("int")))
     return joined.select(
         "sample_id",
         "electrode",
-        F.when(F.col("held").isNull(), zero).otherwise(F.transform(bins, lambda b: F.coalesce(F.element_at("held", b), F.lit(0.0)))).alias("qps"),
+        F.coalesce(F.size("held"), F.lit(0)).cast("long").alias("held_bins"),
+        F.when(F.col("held").isNull(), zeros(F.lit(BINS))).otherwise(filled).alias("qps"),
     )
 
 

@@ -44,7 +44,8 @@ def _stripped(text: Column) -> Column:
 
 
 def hits_of(lines: DataFrame, commands: DataFrame, allow_commented: bool) -> DataFrame:
-    """(doc, command, new_line, line_no): the line each command replaces; line_no is null if there is none.
+    """(doc, command, new_line, ord, line_no): the line each command replaces; line_no is null if there is none.
+    ``ord`` is the commands' own column of that name, their call order, or else the command.
 
     Lines join commands by document; the first uncommented match wins, else the first commented one.
     """
@@ -54,7 +55,8 @@ def hits_of(lines: DataFrame, commands: DataFrame, allow_commented: bool) -> Dat
     if not allow_commented:
         pairs = pairs.filter(~F.col("commented"))
     best = pairs.groupBy("doc", "command").agg(F.min(F.struct("commented", "line_no")).alias("best"))
-    return commands.join(best, ["doc", "command"], "left").select("doc", "command", "new_line", F.col("best.line_no").alias("line_no"))
+    order = F.col("ord") if "ord" in commands.columns else F.col("command")
+    return commands.join(best, ["doc", "command"], "left").select("doc", "command", "new_line", order.alias("ord"), F.col("best.line_no").alias("line_no"))
 
 
 def replaced_first(lines: DataFrame, commands: DataFrame, allow_commented: bool = False, append_if_missing: bool = False) -> DataFrame:
@@ -63,11 +65,11 @@ def replaced_first(lines: DataFrame, commands: DataFrame, allow_commented: bool
     Of several commands on one line the last in command order wins, as if applied one after another.
     """
     found = hits_of(lines, commands, allow_commented)
-    new = found.filter("line_no is not null").groupBy("doc", "line_no").agg(F.max_by("new_line", "command").alias("new_line"))
+    new = found.filter("line_no is not null").groupBy("doc", "line_no").agg(F.max_by("new_line", "ord").alias("new_line"))
     out = lines.join(new, ["doc", "line_no"], "left").select("doc", "line_no", F.coalesce("new_line", "text").alias("text"))
     if append_if_missing:
         last = lines.groupBy("doc").agg(F.max("line_no").alias("last"))
-        w = Window.partitionBy("doc").orderBy("command")
+        w = Window.partitionBy("doc").orderBy("ord", "command")
         missing = found.filter("line_no is null").join(last, "doc").withColumn("k", F.row_number().over(w))
         out = out.unionByName(missing.select("doc", (F.col("last") + F.col("k")).cast("int").alias("line_no"), F.col("new_line").alias("text")))
     return out

@@ -175,9 +175,9 @@ def study_summary(hit_counts: DataFrame, qp: DataFrame, manifest: DataFrame) ->
     )
 
 
-def trapezoid(points: DataFrame, keys: list[str], t: str, y: str) -> DataFrame:
-    """Trapezoid integral of y over t by key."""
-    w = Window.partitionBy(*keys).orderBy(t)
+def trapezoid(points: DataFrame, keys: list[str], t: str, y: str, *ties: str) -> DataFrame:
+    """Trapezoid integral of y over t by key; points of one t in the order of ``ties``."""
+    w = Window.partitionBy(*keys).orderBy(t, *ties)
     piece = (F.col(y) + F.lag(y).over(w)) / 2 * (F.col(t) - F.lag(t).over(w))
     return points.select(*keys, piece.alias("piece")).groupBy(*keys).agg(F.coalesce(F.sum("piece"), F.lit(0.0)).alias("area"))
 

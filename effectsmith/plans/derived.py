@@ -101,9 +101,9 @@ PARAMS_SQL = """params AS (SELECT n_nationkey AS var_idx, n_name AS name, 191e-6
  191e-6::DOUBLE * (n_nationkey + 1) * 1.5::DOUBLE AS hi, 191e-6::DOUBLE * (n_nationkey + 1) AS "default",
  CASE WHEN n_regionkey = 0 THEN 'ode' WHEN n_regionkey = 1 THEN 'config' ELSE 'macro' END AS target FROM nation)"""
 HASH_SQL = "('0x' || substr(md5({}), 1, 8))::BIGINT"
-DESIGN_SQL = f"""{PARAMS_SQL}, each AS (SELECT s_suppkey AS traj, var_idx, lo, hi,
+DESIGN_SQL = f"""{PARAMS_SQL}, each AS MATERIALIZED (SELECT s_suppkey AS traj, var_idx, lo, hi,
   {HASH_SQL.format("'morris:order:' || s_suppkey || ':' || var_idx")} AS o, {HASH_SQL.format("'morris:level:' || s_suppkey || ':' || var_idx")} AS b FROM supplier, params),
- flips AS (SELECT *, CAST(row_number() OVER (PARTITION BY traj ORDER BY o, var_idx) AS INTEGER) AS flip, (b // 2) % 2 = 0 AS up FROM each),
+ flips AS MATERIALIZED (SELECT *, CAST(row_number() OVER (PARTITION BY traj ORDER BY o, var_idx) AS INTEGER) AS flip, (b // 2) % 2 = 0 AS up FROM each),
  leveled AS (SELECT traj, CAST(step AS INTEGER) AS step, var_idx, flip, lo, hi,
   CAST(CASE WHEN step < flip THEN CASE WHEN up THEN b % 2 ELSE 2 + b % 2 END ELSE CASE WHEN up THEN 2 + b % 2 ELSE b % 2 END END AS INTEGER) AS level
   FROM flips, (SELECT unnest(range(0, (SELECT count(*) + 1 FROM nation))) AS step)),

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from effectsmith.functions import expressions as ex
-from effectsmith.functions.lineage import shared_dir
+from effectsmith.functions.lineage import shared_dir, written
 from effectsmith.functions.shipping import shipped
 from effectsmith.operators import audit, design, effects, hits, render, series
 from effectsmith.plans import derived as d
@@ -75,13 +76,14 @@ def agg4_totals_rollup(spark, sf):
 )
 def agg2_dense_grid(spark, sf):
     whole = hits.dense(_qp(spark, sf), d.manifest(spark, sf))
-    zero = F.lit(0.0)
-    held = F.aggregate("qps", zero, lambda a, x: a + x)
-    # a surviving hit can round to no quasiparticle: its bin is held with zero, so empties are counted from the sparse side
-    sparse = _qp(spark, sf).groupBy("sample_id", "electrode").agg(F.count("*").alias("held_bins"))
-    return whole.join(sparse, ["sample_id", "electrode"], "left").select(
-        "sample_id", "electrode", F.size("qps").alias("bins"), held.alias("qps"), (1001 - F.coalesce("held_bins", F.lit(0))).alias("empty_bins")
-    )
+    total = F.aggregate("qps", F.lit(0.0), lambda a, x: a + x)
+    # a surviving hit can round to no quasiparticle: its bin is held with zero, so empties are counted by the held bins
+    return whole.select("sample_id", "electrode", F.size("qps").alias("bins"), total.alias("qps"), (1001 - F.col("held_bins")).alias("empty_bins"))
+
+
+@query(f"{d.QP_WITH} SELECT sample_id, max(qps) AS most_qps FROM (SELECT sample_id, electrode, sum(qps) AS qps FROM qp GROUP BY ALL) GROUP BY sample_id")
+def agg5_greatest_total(spark, sf):
+    return hits.greatest_total(_qp(spark, sf))
 
 
 @query(
@@ -137,21 +139,24 @@ def win3_recurrence(spark, sf):
 
 
 @query(
-    f"{FOLD_SQL}, tot AS (SELECT sample_id, sum(qps) AS total_qps, max(electrode) AS last_electrode FROM qp GROUP BY 1),"
+    f"{FOLD_SQL}, {LISTING_SQL}, per AS (SELECT sample_id, electrode, sum(qps) AS q FROM qp GROUP BY 1, 2),"
+    f" tot AS (SELECT sample_id, sum(q) AS total_qps, {', '.join(f'max(q) FILTER (electrode = {e}) AS e{e}' for e in range(17))} FROM per GROUP BY 1),"
     " best AS (SELECT sample_id, max(peak) AS peak, sum(area) AS area FROM rates GROUP BY 1),"
     " cnt AS (SELECT m.sample_id, m.sample_name, m.gap, count(h.sample_id) AS n FROM manifest m LEFT JOIN hits h USING (sample_id) GROUP BY ALL)"
-    " SELECT c.sample_name, c.gap AS top_gap_ev, c.n AS num_surface_hits, 17 AS sites, coalesce(total_qps, 0) AS total_qps,"
+    f" SELECT c.sample_name, c.gap AS top_gap_ev, c.n AS num_surface_hits, {', '.join(f'coalesce(e{e}, 0) AS electrode_{e}_QPs' for e in range(17))}, coalesce(total_qps, 0) AS total_qps,"
     " round(coalesce(peak, 0), 6) AS peak_dg_mhz, round(coalesce(area, 0), 5) AS total_integrated_dg"
-    " FROM cnt c LEFT JOIN tot USING (sample_id) LEFT JOIN best USING (sample_id)"
+    " FROM cnt c JOIN listing USING (sample_name) LEFT JOIN tot USING (sample_id) LEFT JOIN best USING (sample_id)"
 )
 def snk7_study_summary(spark, sf):
+    """The summary file, a column an electrode, of the samples whose hits file is there; absent samples are skipped."""
     shipped(spark)
-    manifest, qp = d.manifest(spark, sf), _qp(spark, sf)
+    manifest = hits.available(d.manifest(spark, sf), _listing(spark, sf))
+    qp = written(hits.histogram(d.hits(spark, sf), manifest), "summary-counts")  # used for totals and for rates
     rows = series.study_summary(hits.hit_counts(d.hits(spark, sf), manifest), qp, manifest)
-    return rows.select(
-        "sample_name", "top_gap_ev", "num_surface_hits", F.size("electrode_qps").alias("sites"), "total_qps",
-        F.round("peak_dg_mhz", 6).alias("peak_dg_mhz"), F.round("total_integrated_dg", 5).alias("total_integrated_dg"),
-    )
+    path = _fresh(spark, "summary")
+    writers.write_summary_csv(rows, 17, path)
+    back = readers.summary_csv(spark, path, 17)
+    return back.withColumns({"peak_dg_mhz": F.round("peak_dg_mhz", 6), "total_integrated_dg": F.round("total_integrated_dg", 5)})
 
 
 @query(
@@ -172,14 +177,12 @@ def snk6_full_series(spark, sf):
 
 
 @query(
-    "SELECT user_id, round(coalesce(sum(piece), 0), 3) AS area FROM (SELECT user_id, (value + lag(value) OVER w) / 2 * ((epoch_us(ts) - lag(epoch_us(ts)) OVER w) / 1e6) AS piece"
+    "SELECT user_id, round(coalesce(sum(piece), 0) / 1e6, 3) AS area FROM (SELECT user_id, (value + lag(value) OVER w) / 2 * (epoch_us(ts) - lag(epoch_us(ts)) OVER w) AS piece"
     " FROM events WINDOW w AS (PARTITION BY user_id ORDER BY epoch_us(ts), event_id)) GROUP BY user_id"
 )
 def win4_trapezoid(spark, sf):
     e = d.table(spark, sf, "events").select("user_id", "value", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
-    w = Window.partitionBy("user_id").orderBy("us", "event_id")
-    piece = (F.col("value") + F.lag("value").over(w)) / 2 * ((F.col("us") - F.lag("us").over(w)) / 1e6)
-    return e.select("user_id", piece.alias("piece")).groupBy("user_id").agg(F.round(F.coalesce(F.sum("piece"), F.lit(0.0)), 3).alias("area"))
+    return series.trapezoid(e, ["user_id"], "us", "value", "event_id").select("user_id", F.round(F.col("area") / 1e6, 3).alias("area"))
 
 
 @query("SELECT user_id, round((max(epoch_us(ts)) - min(epoch_us(ts))) / (count(*) - 1) / 1e6, 6) AS mean_step, count(*) AS n FROM events GROUP BY user_id HAVING count(*) > 1")
@@ -211,7 +214,7 @@ def gen1_expand_groups(spark, sf):
     return design.expanded(groups)
 
 
-SOBOL_DIMS = 10
+SOBOL_DIMS = len(catalog.rows())  # the study samples every variable
 SOBOL_SQL = (
     "WITH v(dim, k, v) AS (VALUES " + ", ".join(f"({m}, {k}, {v}::BIGINT)" for m in range(SOBOL_DIMS) for k, v in enumerate(design.directions(m))) + "),"
     " i AS (SELECT o_orderkey AS i, xor(o_orderkey, o_orderkey >> 1) AS gray FROM orders), n AS (SELECT DISTINCT dim FROM v)"
@@ -240,7 +243,7 @@ def gen5_gen6_gen7_scale_round(spark, sf):
     return d.table(spark, sf, "part").select("p_partkey", ex.rounded(value, 5).alias("value"), design.mean_from_bound(F.col("p_retailprice"), 0.5).alias("mean"))
 
 
-@query(f"WITH {d.DESIGN_SQL} SELECT a.sample_id, a.var_idx, CASE WHEN a.var_idx = 0 THEN 2 * b.value ELSE a.value END AS value FROM design a JOIN design b ON a.sample_id = b.sample_id AND b.var_idx = 6")
+@query(f"WITH {d.DESIGN_SQL} SELECT sample_id, var_idx, CASE WHEN var_idx = 0 THEN 2 * max(value) FILTER (var_idx = 6) OVER (PARTITION BY sample_id) ELSE value END AS value FROM design")
 def gen8_derived_variable(spark, sf):
     return design.derived_double(_design(spark, sf).select("sample_id", "var_idx", "value"), 6, 0)
 
@@ -305,9 +308,10 @@ def src1_jon5_study_design(spark, sf):
 
 # --- effects --------------------------------------------------------------------------------------
 
-EFFECT_SQL = f"""WITH {d.DESIGN_SQL}, y AS (SELECT l_suppkey AS traj, CAST(l_orderkey % 26 AS INTEGER) AS step, avg(l_quantity) AS y FROM lineitem GROUP BY ALL),
- ee AS (SELECT a.traj, a.step, a.var_idx, (y1.y - y0.y) / (a.u - b.u) AS ee FROM design a JOIN design b ON a.traj = b.traj AND a.var_idx = b.var_idx AND a.step = a.flip AND b.step = a.flip - 1
-  JOIN y y1 ON y1.traj = a.traj AND y1.step = a.step JOIN y y0 ON y0.traj = a.traj AND y0.step = a.step - 1)"""
+EFFECT_SQL = f"""WITH {d.DESIGN_SQL}, y AS MATERIALIZED (SELECT l_suppkey AS traj, CAST(l_orderkey % 26 AS INTEGER) AS step, avg(l_quantity) AS y FROM lineitem GROUP BY ALL),
+ dy AS MATERIALIZED (SELECT y1.traj, y1.step, y1.y - y0.y AS dy FROM y y1 JOIN y y0 ON y0.traj = y1.traj AND y0.step = y1.step - 1),
+ moves AS MATERIALIZED (SELECT traj, step, var_idx, flip, u - lag(u) OVER (PARTITION BY traj, var_idx ORDER BY step) AS du FROM design),
+ ee AS (SELECT m.traj, m.step, m.var_idx, dy / du AS ee FROM (SELECT * FROM moves WHERE step = flip) m JOIN dy ON dy.traj = m.traj AND dy.step = m.step)"""
 
 
 def _effects(spark, sf):
@@ -539,6 +543,11 @@ def agg11_failures(spark, sf):
     return audit.failures(d.runs(spark, sf).withColumn("failed", F.col("rc") != 0), "user_id")
 
 
+@query(f"WITH {d.RUNS_SQL} SELECT user_id, run_id, message FROM runs WHERE rc <> 0")
+def agg11_failure_messages(spark, sf):
+    return audit.failure_messages(d.runs(spark, sf).withColumn("failed", F.col("rc") != 0), "user_id")
+
+
 @query(
     "WITH r AS (SELECT l_suppkey, ('0x' || substr(md5(concat_ws('|', l_orderkey::VARCHAR, l_linenumber::VARCHAR, l_returnflag)), 1, 8))::BIGINT AS h,"
     " ('0x' || substr(md5(concat_ws('|', l_orderkey::VARCHAR, l_linenumber::VARCHAR, CASE WHEN l_suppkey % 9 = 0 AND l_linenumber = 1 THEN 'X' ELSE l_returnflag END)), 1, 8))::BIGINT AS g FROM lineitem)"
@@ -573,6 +582,28 @@ def aud3_win6_document_checks(spark, sf):
     return first.select("doc", (F.col("line_no") == 2).alias("in_place"), (F.length("command") > 3).alias("long_name"))
 
 
+@query(
+    f"WITH {d.MANIFEST_SQL} SELECT sample_id, sample_id % 5 <> 0 AS hits_path_ok, sample_id % 7 <> 0 AS substrate_ok, sample_id % 11 <> 0 AS beam_on_ok FROM manifest"
+)
+def aud3_document_facts(spark, sf):
+    """Rendered documents against what the study needs: hits path of the sample, substrate thickness, events to run."""
+    m, k = d.manifest(spark, sf), F.col("sample_id")
+    texts = F.array(
+        F.concat(F.lit("/main/hits_file "), F.when(k % 5 == 0, "other").otherwise(F.col("sample_name")), F.lit("_hitsfile.txt")),
+        F.when(k % 7 != 0, F.lit("/main/detector_param/setSubThickness 525 um")).otherwise("# no substrate"),
+        F.concat(F.lit("/run/beamOn "), F.when(k % 11 == 0, F.lit("5")).otherwise(F.col("n_sim").cast("long").cast("string"))),
+    )
+    lines = m.select(k.alias("doc"), F.posexplode(texts).alias("line_no", "text"))
+    fact = lambda name, command, value: F.struct(F.lit(name).alias("fact"), F.lit(command).alias("command"), value.alias("expected"))
+    wanted = F.array(
+        fact("hits_path_ok", "/main/hits_file", F.concat("sample_name", F.lit("_hitsfile.txt"))),
+        fact("substrate_ok", "/main/detector_param/setSubThickness", F.lit("525 um")),
+        fact("beam_on_ok", "/run/beamOn", F.col("n_sim").cast("long").cast("string")),
+    )
+    checked = audit.document_facts(lines, m.select(k.alias("doc"), F.inline(wanted)))
+    return checked.groupBy(F.col("doc").alias("sample_id")).pivot("fact", ["hits_path_ok", "substrate_ok", "beam_on_ok"]).agg(F.first("holds"))
+
+
 # --- files and streams ----------------------------------------------------------------------------
 
 
@@ -580,7 +611,7 @@ def _fresh(spark, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-@query(f"WITH {d.HITS_SQL} SELECT 'Morris_' || sample_id AS sample_name, count(*) AS n, round(sum(energy_ev), 9) AS energy, sum(CAST(t_ns AS BIGINT)) AS t FROM hits WHERE sample_id % 10 = 3 OR sample_id % 10 = 7 OR sample_id >= 0 GROUP BY ALL")
+@query(f"WITH {d.HITS_SQL} SELECT 'Morris_' || sample_id AS sample_name, count(*) AS n, round(sum(energy_ev), 9) AS energy, sum(CAST(t_ns AS BIGINT)) AS t FROM hits GROUP BY ALL")
 def src2_src7_hits_csv(spark, sf):
     path = _fresh(spark, "hits-csv")
     named = d.hits(spark, sf).withColumn("sample_name", F.concat(F.lit("Morris_"), F.col("sample_id").cast("string")))
@@ -608,15 +639,49 @@ def src5_snk1_design_csv(spark, sf):
     return readers.design_csv(spark, path)
 
 
-@query(f"WITH {d.LINES_SQL} SELECT count(*) AS lines, count(DISTINCT doc) AS docs, sum(length(text)) AS letters FROM lines WHERE doc % 50 = 0 OR doc >= 0")
+@query(f"WITH {d.LINES_SQL} SELECT doc, count(*) AS lines, sum(length(text)) AS letters FROM lines GROUP BY doc")
 def src6_snk3_snk4_documents(spark, sf):
     path = _fresh(spark, "documents")
-    lines = d.lines(spark, sf).withColumn("part", F.col("doc") % 16)
-    lines.select("part", F.concat_ws("\t", F.col("doc").cast("string"), F.col("text")).alias("text"), "line_no", "doc").repartition("part").sortWithinPartitions("part", "doc", "line_no").select(
-        "part", "text"
-    ).write.partitionBy("part").text(path)
-    back = spark.read.text(path).select(F.split("value", "\t", 2).alias("p"))
-    return back.agg(F.count("*").alias("lines"), F.count_distinct(F.col("p")[0]).alias("docs"), F.sum(F.length(F.col("p")[1])).alias("letters"))
+    writers.write_documents(d.lines(spark, sf), path, "doc")  # a folder a document
+    back = readers.log_lines(spark, path, r"doc=([^/]+)/")
+    return back.groupBy(F.col("file").cast("long").alias("doc")).agg(F.count("*").alias("lines"), F.sum(F.length("text")).alias("letters"))
+
+
+@query(f"WITH {d.HITS_SQL} SELECT DISTINCT 'Morris_' || sample_id AS sample_name, true AS has_content FROM hits")
+def src7_file_listing(spark, sf):
+    path = _fresh(spark, "hits-listing")
+    named = d.hits(spark, sf).withColumn("sample_name", F.concat(F.lit("Morris_"), F.col("sample_id").cast("string")))
+    writers.write_hits_csv(named.repartition("sample_name"), path)
+    listed = readers.file_listing(spark, path, r"file=([^/]+?)_hitsfile")
+    return listed.groupBy("sample_name").agg((F.sum("length") > 0).alias("has_content"))
+
+
+@query(f"{d.QP_WITH} SELECT sample_id, sum(qps) AS qps, 'r1' AS run_id FROM qp GROUP BY sample_id")
+def snk9_fresh_run(spark, sf):
+    """A run's table under its own folder; writing the run again fails and leaves it as it is."""
+    path = _fresh(spark, "runs")
+    totals = _qp(spark, sf).groupBy("sample_id").agg(F.sum("qps").alias("qps"))
+    writers.write_fresh(totals, path, "r1")
+    try:
+        writers.write_fresh(totals.withColumn("qps", F.lit(-1.0)), path, "r1")
+    except AnalysisException as error:
+        if "EXISTS" not in str(error).upper():
+            raise
+    return spark.read.parquet(path).select("sample_id", "qps", "run_id")
+
+
+@query(f"WITH {d.DESIGN_SQL} SELECT count(DISTINCT sample_id) AS samples, 0 AS out_of_order FROM design")
+def ord1_design_in_order(spark, sf):
+    """Rows of the design file that stand behind a greater sample: within files, and from file to file."""
+    path = _fresh(spark, "design-order")
+    params = d.params(spark, sf)
+    names = [r["name"] for r in params.orderBy("var_idx").select("name").collect()]
+    writers.write_design_csv(_design(spark, sf).join(params.select("var_idx", "name"), "var_idx").select("sample_id", "name", "value"), names, path)
+    rows = spark.read.option("header", True).csv(path).select(F.col("sample_id").cast("long").alias("s"), F.col("_metadata.file_name").alias("file"), F.monotonically_increasing_id().alias("at"))
+    before = F.lag("s").over(Window.partitionBy("file").orderBy("at"))
+    files = rows.withColumn("bad", (before > F.col("s")).cast("int")).groupBy("file").agg(F.count("*").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"), F.min("s").alias("least"), F.max("s").alias("most"))
+    ends = files.withColumn("bad", F.col("bad") + F.coalesce((F.lag("most").over(Window.orderBy("file")) > F.col("least")).cast("int"), F.lit(0)))  # a row a file
+    return ends.agg(F.sum("n").alias("samples"), F.sum("bad").cast("int").alias("out_of_order"))
 
 
 @query(f"{d.QP_WITH} SELECT sample_id, electrode, sum(qps) AS qps, count(*) AS bins FROM qp GROUP BY ALL")

@@ -47,8 +47,18 @@ def design_csv(spark: SparkSession, path: str) -> DataFrame:
     return typed.unpivot("sample_id", [c for c in typed.columns if c != "sample_id"], "name", "value")
 
 
-def log_lines(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.text(path).select(F.col("_metadata.file_name").alias("file"), F.col("value").alias("text"))
+def log_lines(spark: SparkSession, path: str, pattern: str | None = None) -> DataFrame:
+    """(file, text) of every line of many text files; ``file`` is the file's name, or what the first group of
+    ``pattern`` finds in its path."""
+    file = F.regexp_extract(F.col("_metadata.file_path"), pattern, 1) if pattern else F.col("_metadata.file_name")
+    return spark.read.text(path).select(file.alias("file"), F.col("value").alias("text"))
+
+
+def summary_csv(spark: SparkSession, path: str, electrodes: int) -> DataFrame:
+    """The study's summary with its electrode columns."""
+    each = ", ".join(f"electrode_{i}_QPs double" for i in range(electrodes))
+    schema = f"sample_name string, top_gap_ev double, num_surface_hits long, {each}, total_qps double, peak_dg_mhz double, total_integrated_dg double"
+    return spark.read.schema(schema).option("header", True).csv(path)
 
 
 def file_listing(spark: SparkSession, path: str, pattern: str = r"([^/]+?)_hitsfile") -> DataFrame:
