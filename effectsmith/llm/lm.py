@@ -28,6 +28,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -119,33 +120,45 @@ class Weights:
 
 def summed(rows: np.ndarray, index: np.ndarray, size: int) -> np.ndarray:
     """(size, width): sums of the rows of each index."""
-    order = np.argsort(index, kind="stable")
-    at = index[order]
-    first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-    out = np.zeros((size, rows.shape[1]), dtype=np.float32)
-    out[at[first]] = np.add.reduceat(rows[order], first, axis=0)
-    return out
+    width = rows.shape[1]
+    places = index[:, None] * width + np.arange(width)
+    return np.bincount(places.ravel(), weights=rows.ravel(), minlength=size * width).reshape(size, width).astype(np.float32)
+
+
+def sigmoid(x: np.ndarray) -> np.ndarray:
+    """The logistic function, in the place of ``x``."""
+    np.clip(x, -30, 30, out=x)
+    np.negative(x, out=x)
+    np.exp(x, out=x)
+    x += 1
+    return np.reciprocal(x, out=x)
 
 
 def nce_step(w: Weights, past: list[np.ndarray], target: np.ndarray, one: np.ndarray, two: np.ndarray, noise: np.ndarray, log_noise: np.ndarray, rate: float) -> None:
     """One Adagrad step of noise-contrastive estimation on a minibatch with shared noise."""
     n = len(target)
-    v1, v2 = w.v[one], w.v[two]
-    q = v1 @ w.c1.T + v2 @ w.c2.T
-    rt, rn = w.r[target], w.r[noise]
+    q = (w.v @ w.c1.T).take(one, axis=0)
+    q += (w.v @ w.c2.T).take(two, axis=0)
+    rt, rn = w.r.take(target, axis=0), w.r.take(noise, axis=0)
     bias = w.b - log_noise - np.float32(np.log(float(len(noise))))
-    true = np.einsum("ij,ij->i", rt, q) + bias[target]
-    false = q @ rn.T + bias[noise]
-    g_true = (1 / (1 + np.exp(-np.clip(true, -30, 30))) - 1).astype(np.float32)
-    g_false = (1 / (1 + np.exp(-np.clip(false, -30, 30)))).astype(np.float32)
-    dq = g_true[:, None] * rt + g_false @ rn
-    dr = summed(g_true[:, None] * q, target, len(w.r)) + summed(g_false.T @ q, noise, len(w.r))
-    db = np.bincount(target, weights=g_true, minlength=len(w.b)) + np.bincount(noise, weights=g_false.sum(axis=0), minlength=len(w.b))
-    dv = summed(np.concatenate([dq @ w.c1, dq @ w.c2]), np.concatenate([one, two]), len(w.v))
-    for x, g, p in zip((w.v, w.r, w.b, w.c1, w.c2), (dv, dr, db.astype(np.float32), dq.T @ v1, dq.T @ v2), past, strict=True):
+    g_true = sigmoid(np.einsum("ij,ij->i", rt, q) + bias[target]) - 1
+    false = q @ rn.T
+    false += bias[noise]
+    g_false = sigmoid(false)
+    rt *= g_true[:, None]
+    dq = g_false @ rn
+    dq += rt
+    both = np.concatenate([target, noise])
+    dr = summed(np.concatenate([g_true[:, None] * q, g_false.T @ q]), both, len(w.r))
+    db = np.bincount(both, weights=np.concatenate([g_true, np.ones(n, np.float32) @ g_false]), minlength=len(w.b))
+    d1, d2 = summed(dq, one, len(w.v)), summed(dq, two, len(w.v))
+    dv = d1 @ w.c1 + d2 @ w.c2
+    for x, g, p in zip((w.v, w.r, w.b, w.c1, w.c2), (dv, dr, db.astype(np.float32), d1.T @ w.v, d2.T @ w.v), past, strict=True):
         g /= n
         p += g * g
-        x -= (rate * g / np.sqrt(p)).astype(np.float32)
+        g *= np.float32(rate)
+        g /= np.sqrt(p)
+        x -= g
 
 
 class Coder:
@@ -350,7 +363,7 @@ def scored(docs: DataFrame, training: DataFrame) -> DataFrame:
                     tokens = tokens_of(text)
                     ids = code(tokens)
                     # nan: not in the head, its count comes by the join
-                    logs = np.fromiter((held(t, nan) for t in tokens), dtype=np.float64, count=len(tokens))
+                    logs = np.fromiter(map(held, tokens, repeat(nan)), dtype=np.float64, count=len(tokens))
                     unknown = np.isnan(logs)
                     tail = Counter([tokens[i] for i in np.flatnonzero(unknown).tolist()])
                     logs[unknown] = 0.0
