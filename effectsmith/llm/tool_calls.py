@@ -15,19 +15,24 @@ Defined results: calls with a null id are dropped; of repeated ids the row with
 arguments) stays and ``n_calls`` counts them; of several results the least (pos, content) links and
 ``n_results`` counts them; results without a call are rows with status ``orphan``; a call that waits
 for an unknown id is a root with ``dangling`` true; on a cycle the level is null. Arguments that are
-not one JSON object, lack a required field, have an unknown field or a wrong type are not valid. A
-tool without schema is not valid. Empty tables give an empty result. Other columns are ignored.
+not one JSON object (one that repeats a name is none), lack a required field, have an unknown field or a
+wrong type are not valid; ``1.0`` and whole numbers of any size are integers. A tool without schema is not
+valid. Empty tables give an empty result. Other columns are ignored.
+
+Canonical JSON has its names in code point order and no blanks; whole numbers without fraction or exponent
+keep their digits, others have the shortest form of their 64-bit value (``1e3`` is 1000, ``1.50`` is 1.5,
+``1e-7`` stays), so equal values have one text. It is made by splitting at quotes: texts of any length pass.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from effectsmith.functions.lineage import written
 
 KEY = ["conv_id", "call_id"]
-TYPES = {"integer": "BIGINT", "number": "BIGINT|DOUBLE|FLOAT|DECIMAL.*", "string": "STRING", "boolean": "BOOLEAN", "array": "ARRAY.*", "object": "OBJECT.*"}
+TYPES = {"integer": "WHOLE", "number": "WHOLE|BIGINT|DOUBLE|FLOAT|DECIMAL.*", "string": "STRING", "boolean": "BOOLEAN", "array": "ARRAY.*", "object": "OBJECT.*"}
 
 
 def one_call_each(calls: DataFrame) -> DataFrame:
@@ -59,6 +64,39 @@ def levels(calls: DataFrame) -> DataFrame:
     return state.select(*KEY, F.when(F.col("target").isNull(), F.col("steps")).alias("level"), "dangling")
 
 
+def number_text(t: Column) -> Column:
+    """The canonical text of a JSON number."""
+    d = t.cast("double")
+    size = F.abs(d)
+    fixed = lambda places: F.regexp_replace(d.cast(f"decimal(38,{places})").cast("string"), r"\.?0+$", "")
+    short = F.regexp_replace(d.cast("string"), r"\.0(?![0-9])", "")
+    return (
+        F.when((size == 0) | t.rlike("^-?[0-9]+$"), F.when(size == 0, "0").otherwise(t))
+        .when((size >= 1e-3) & (size < 1e7), short)
+        .when((size >= 1e7) & (size < 1e21), fixed(12))
+        .when((size >= 1e-6) & (size < 1e-3), fixed(24))
+        .when(size < 1e-6, F.replace(short, F.lit("E"), F.lit("e")))
+        .when(size < float("inf"), F.replace(short, F.lit("E"), F.lit("e+")))
+        .otherwise(t)
+    )
+
+
+def canonical_numbers(json: Column) -> Column:
+    """``json`` (as ``to_json`` writes it) with canonical numbers; its strings stay.
+
+    Escaped backslashes and quotes become control characters, which no JSON text holds, so that every other
+    part between quotes is outside of strings.
+    """
+    back, quote = F.lit("\u0001"), F.lit("\u0002")
+    bare = F.replace(F.replace(json, F.lit("\\\\"), back), F.lit('\\"'), quote)
+    outside = lambda p: F.array_join(
+        F.transform(F.regexp_extract_all(p, F.lit("-?[0-9][0-9.eE+-]*|[^0-9-]+"), F.lit(0)), lambda t: F.when(t.rlike("^-?[0-9]"), number_text(t)).otherwise(t)), ""
+    )
+    parts = F.transform(F.split(bare, '"'), lambda p, i: F.when((i % 2 == 0) & p.rlike("[0-9]"), outside(p)).otherwise(p))
+    whole = F.array_join(parts, '"')
+    return F.replace(F.replace(whole, quote, F.lit('\\"')), back, F.lit("\\\\"))
+
+
 def validated(calls: DataFrame, schemas: DataFrame) -> DataFrame:
     """Adds ``canonical`` (sorted keys, no blanks) and ``errors`` (sorted; empty: valid)."""
     by_tool = schemas.groupBy("name").agg(
@@ -68,7 +106,14 @@ def validated(calls: DataFrame, schemas: DataFrame) -> DataFrame:
     read = calls.withColumn("tree", F.try_parse_json("arguments")).withColumn("fields", F.json_object_keys("arguments"))
     kinds = F.when(
         F.schema_of_variant("tree").startswith("OBJECT"),
-        F.expr("transform(map_entries(cast(tree as map<string,variant>)), e -> struct(e.key as key, schema_of_variant(e.value) as kind))"),
+        F.expr("transform(map_entries(cast(tree as map<string,variant>)), e -> struct(e.key as key, schema_of_variant(e.value) as kind, to_json(e.value) as text))"),
+    )
+    kinds = F.transform(
+        kinds,
+        lambda e: F.struct(
+            e["key"].alias("key"),
+            F.when(e["kind"].rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL.*)$") & number_text(e["text"]).rlike("^-?[0-9]+$"), "WHOLE").otherwise(e["kind"]).alias("kind"),
+        ),
     )
     wanted = F.create_map(*[F.lit(x) for pair in TYPES.items() for x in pair])
     joined = read.withColumn("kinds", kinds).join(by_tool, "name", "left")
@@ -92,7 +137,7 @@ def validated(calls: DataFrame, schemas: DataFrame) -> DataFrame:
             )
         )
     )
-    return joined.withColumn("errors", errors).withColumn("canonical", F.to_json("tree")).drop("tree", "fields", "kinds", "types", "needed")
+    return joined.withColumn("errors", errors).withColumn("canonical", canonical_numbers(F.to_json("tree"))).drop("tree", "fields", "kinds", "types", "needed")
 
 
 def linked(calls: DataFrame, results: DataFrame, schemas: DataFrame) -> DataFrame:

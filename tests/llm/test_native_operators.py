@@ -44,6 +44,25 @@ def test_calls_link_order_and_validate(spark):
     assert got[1, "zz"]["status"] == "orphan" and (3, None) not in got
 
 
+def test_canonical_numbers_and_integers(spark):
+    def text(a, b):
+        row = linked(spark, [(1, "a", "add", '{"b": %s, "a": %s}' % (b, a), None, 1)])[1, "a"]
+        return row["json"].split('"arguments":')[1].split(',"call_id"')[0], row["errors"]
+
+    big = "123456789012345678901234567890"
+    wanted = {"1e3": "1000", "1000.0": "1000", "1.50": "1.5", "-0.0": "0", "1E-7": "1e-7", "0.0001": "0.0001", "1e21": "1e+21", "12345678.5": "12345678.5", "1.5e10": "15000000000", "-2.5e-4": "-0.00025", big: big}
+    for given, want in wanted.items():
+        assert text("1", given) == ('{"a":1,"b":%s}' % want, ""), given
+        assert json.loads(want) == json.loads(given)
+    assert text("1.0", "1") == ('{"a":1,"b":1}', "") and text(big, "1")[1] == "" and text("1.5", "1")[1] == "type a"
+    # numbers in strings and after escapes stay, in nested values they do not
+    got, errors = text("[1.0,{\"x\":2e2}]", '"' + r"1.0 \\ \" 2.0" + '"')
+    assert got == r'{"a":[1,{"x":200}],"b":"1.0 \\ \" 2.0"}' and errors == "type a; type b"
+    long = '"' + r"\n1.0" * 200_000 + '"'
+    assert text("1", long)[0] == '{"a":1,"b":' + long + "}"
+    assert text("1", '1,"b":2')[1] == "not an object"
+
+
 def test_repeated_calls_long_chains_and_extra_columns(spark):
     n = 300
     chain = [(1, str(i), "add", '{"a":1,"b":2}', str(i - 1) if i else None, i) for i in range(n)]
