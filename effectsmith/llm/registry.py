@@ -1,4 +1,4 @@
-"""The ten queries of this subpackage and the pipeline, with SQL where SQL can say them."""
+"""The queries of this subpackage and the pipeline, with SQL where SQL can say them."""
 
 from __future__ import annotations
 
@@ -7,11 +7,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from effectsmith.llm import bpe, decontaminate, html_text, langid, lm, quality, simhash, tool_calls, toxicity, url_rules
+from effectsmith.llm import align, bpe, decontaminate, html_text, langid, lm, quality, simhash, tool_calls, toxicity, url_rules
 from effectsmith.llm.oracles import ORACLES
 from effectsmith.llm.tables import fold, table
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
+BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def op1_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,6 +67,10 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.aligned(table(spark, sf_dir, "documents"), BYTE_BPE, PIECES)
+
+
 QUERIES = {
     "op1_language_crf": op1_language_crf,
     "op2_html_text": op2_html_text,
@@ -76,6 +82,7 @@ QUERIES = {
     "op8_url_rules": op8_url_rules,
     "op9_simhash": op9_simhash,
     "op10_decontaminate": op10_decontaminate,
+    "op11_token_alignment": op11_token_alignment,
     "pipeline": corpus_pipeline.run,
 }
 __all__ = ["ORACLES", "QUERIES"]
