@@ -25,6 +25,7 @@ from itertools import chain
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
@@ -35,7 +36,7 @@ from effectsmith.functions.lineage import written
 from effectsmith.llm.bpe import byte_letters
 
 #: Rows and characters of a batch of documents.
-BATCH_ROWS, BATCH_CHARS = 2000, 3_000_000
+BATCH_ROWS, BATCH_CHARS = 1000, 1_000_000
 CACHE_SEGMENTS = 500_000
 #: Texts of these characters have no white space but blank and line end. No token of either side goes on over the
 #: place between another character and one of these two, or between a letter and a mark: the segments between
@@ -149,9 +150,10 @@ class Aligner:
     @staticmethod
     def links(a: pd.DataFrame, b: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
         """Row numbers in ``a`` and in ``b`` of all pairs of tokens that overlap."""
-        own_a, own_b = a[["doc", "start"]].assign(i=np.arange(len(a))), b[["doc", "start"]].assign(j=np.arange(len(b)))
-        over_a = pd.merge_asof(own_a, own_b, on="start", by="doc")["j"].to_numpy()
-        over_b = pd.merge_asof(own_b, own_a, on="start", by="doc")["i"].to_numpy()
+        # the key is document and place; both sides start at a document's first byte, so none is left for another's token
+        own_a, own_b = (pd.DataFrame({"key": (t["doc"] << 40) + t["start"], name: np.arange(len(t))}) for t, name in ((a, "i"), (b, "j")))
+        over_a = pd.merge_asof(own_a, own_b, on="key")["j"].to_numpy()
+        over_b = pd.merge_asof(own_b, own_a, on="key")["i"].to_numpy()
         # tokens that start together are found both ways
         later = a["start"].to_numpy()[over_b] < b["start"].to_numpy()
         return np.concatenate([np.arange(len(a)), over_b[later]]), np.concatenate([over_a, np.flatnonzero(later)])
@@ -193,7 +195,7 @@ def aligner(a_path: str, b_path: str) -> Aligner:
 def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Slices of at most BATCH_ROWS rows and, but for a longer text, BATCH_CHARS characters."""
     for whole in batches:
-        sizes = np.cumsum([len(t) if t else 0 for t in whole.column("text").to_pylist()]).tolist()
+        sizes = np.cumsum(pc.fill_null(pc.utf8_length(whole.column("text")), 0).to_numpy(zero_copy_only=False)).tolist()
         start = 0
         while start < whole.num_rows:
             limit = (sizes[start - 1] if start else 0) + BATCH_CHARS
