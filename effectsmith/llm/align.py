@@ -151,7 +151,7 @@ class Aligner:
     def links(a: pd.DataFrame, b: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
         """Row numbers in ``a`` and in ``b`` of all pairs of tokens that overlap."""
         # the key is document and place; both sides start at a document's first byte, so none is left for another's token
-        own_a, own_b = (pd.DataFrame({"key": (t["doc"] << 40) + t["start"], name: np.arange(len(t))}) for t, name in ((a, "i"), (b, "j")))
+        own_a, own_b = (pd.DataFrame({"key": t["doc"] * (1 << 40) + t["start"], name: np.arange(len(t))}) for t, name in ((a, "i"), (b, "j")))
         over_a = pd.merge_asof(own_a, own_b, on="key")["j"].to_numpy()
         over_b = pd.merge_asof(own_b, own_a, on="key")["i"].to_numpy()
         # tokens that start together are found both ways
