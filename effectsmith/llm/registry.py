@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from effectsmith.llm import align, bpe, decontaminate, html_text, langid, lm, quality, repair, simhash, tool_calls, toxicity, url_rules
+from effectsmith.llm import align, bpe, decontaminate, html_text, langid, lm, pii, quality, repair, simhash, tool_calls, toxicity, url_rules
 from effectsmith.llm.oracles import ORACLES
 from effectsmith.llm.tables import fold, table
 
@@ -71,6 +71,11 @@ def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align.aligned(table(spark, sf_dir, "documents"), BYTE_BPE, PIECES)
 
 
+def op12_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return pii.digests(docs, pii.learned(docs))
+
+
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.audited(repair.damaged(table(spark, sf_dir, "conversations")))
 
@@ -87,6 +92,7 @@ QUERIES = {
     "op9_simhash": op9_simhash,
     "op10_decontaminate": op10_decontaminate,
     "op11_token_alignment": op11_token_alignment,
+    "op12_personal_data": op12_personal_data,
     "op13_conversation_repair": op13_conversation_repair,
     "pipeline": corpus_pipeline.run,
 }
