@@ -37,6 +37,25 @@ def run_statistics(runs: DataFrame) -> DataFrame:
     )
 
 
+#: Size of the quantile sketches; their rank error is below RANK_ERROR with a probability of over 99 %.
+SKETCH_K, RANK_ERROR = 4096, 0.01
+
+
+def run_quantiles(runs: DataFrame, value: str, probabilities: list[float]) -> DataFrame:
+    """(class, probability, quantile, n, crash_rate) of each class of run and of ``all``, from one quantile sketch a
+    class; those of the classes are merged for all, so runs are read once. ``crash_rate`` is the share of teardown
+    crashes in the runs that completed. Nulls are in no sketch."""
+    held = runs.filter(F.col(value).isNotNull())
+    by_class = held.groupBy("class").agg(F.kll_sketch_agg_double(F.col(value).cast("double"), F.lit(SKETCH_K)).alias("sketch"), F.count("*").alias("n"))
+    whole = by_class.agg(
+        F.kll_merge_agg_double("sketch", F.lit(SKETCH_K)).alias("sketch"), F.sum("n").alias("n"),
+        (F.sum(F.when(F.col("class") == "teardown", F.col("n")).otherwise(0)) / F.sum(F.when(F.col("class").isin("ok", "teardown"), F.col("n")))).alias("crash_rate"),
+    )
+    every = whole.select(F.lit("all").alias("class"), "sketch", "n", "crash_rate").unionByName(by_class.withColumn("crash_rate", F.lit(None).cast("double")))
+    asked = [F.struct(F.lit(p).alias("probability"), F.kll_sketch_get_quantile_double("sketch", F.lit(p)).alias("quantile")) for p in probabilities]
+    return every.withColumn("q", F.explode(F.array(*asked))).select("class", "q.probability", "q.quantile", "n", "crash_rate")
+
+
 def runaway(runs: DataFrame, limit_mb: float) -> DataFrame:
     return runs.filter(F.col("peak_rss_mb") > limit_mb)
 

@@ -2,6 +2,9 @@
 
 lines: (doc, line_no, text), line_no from 1. commands: (doc, command, new_line). A command matches a line
 that, without leading blanks, starts with it and goes on with white space or ends.
+
+Lines and commands meet by an equi-join: a line emits its beginnings in the lengths that the commands of its
+document have, so what is joined is (document, beginning), however many commands a document has.
 """
 
 from __future__ import annotations
@@ -34,39 +37,57 @@ def vector_commands(values: DataFrame, separator: str) -> DataFrame:
     return values.groupBy("sample_id", "command").agg(F.concat(F.col("command"), F.array_join(F.transform(items, lambda e: e["t"]), separator)).alias("text"))
 
 
-def matches(text: Column, command: Column) -> Column:
-    key = F.trim(command)
-    return text.startswith(key) & F.coalesce((F.length(text) == F.length(key)) | F.substring(text, F.length(key) + 1, F.lit(1)).rlike(BLANK), F.lit(False))
-
-
 def _stripped(text: Column) -> Column:
     return F.regexp_replace(text, r"^\s+", "")
 
 
+def prefix_pairs(lines: DataFrame, commands: DataFrame, text: str, whole_words: bool) -> DataFrame:
+    """Columns of ``lines`` with each ``command`` of the document that ``text`` starts with; with ``whole_words`` only
+    where white space or the end follows. ``commands``: (doc, command), distinct. Null texts match nothing."""
+    lengths = commands.groupBy("doc").agg(F.collect_set(F.length("command")).alias("lengths"))
+    begun = lines.join(lengths, "doc").withColumn("n", F.explode("lengths")).drop("lengths").filter(F.col("n") <= F.length(text))
+    if whole_words:
+        begun = begun.filter((F.col("n") == F.length(text)) | F.substring(text, F.col("n") + 1, F.lit(1)).rlike(BLANK))
+    keyed = begun.withColumn("command", F.substring(text, F.lit(1), F.col("n"))).drop("n")
+    return keyed.join(commands, ["doc", "command"])
+
+
 def hits_of(lines: DataFrame, commands: DataFrame, allow_commented: bool) -> DataFrame:
     """(doc, command, new_line, ord, line_no): the line each command replaces; line_no is null if there is none.
     ``ord`` is the commands' own column of that name, their call order, or else the command.
 
-    Lines join commands by document; the first uncommented match wins, else the first commented one.
+    The first uncommented match wins, else the first commented one. White space around a command is no part of it.
     """
     bare = F.when(F.col("commented"), _stripped(F.expr("substring(stripped, 2)"))).otherwise(F.col("stripped"))
     prepared = lines.withColumn("stripped", _stripped(F.col("text"))).withColumn("commented", F.col("stripped").startswith("#")).withColumn("bare", bare)
-    pairs = commands.join(prepared.select("doc", "line_no", "commented", "bare"), "doc").filter(matches(F.col("bare"), F.col("command")))
     if not allow_commented:
-        pairs = pairs.filter(~F.col("commented"))
-    best = pairs.groupBy("doc", "command").agg(F.min(F.struct("commented", "line_no")).alias("best"))
+        prepared = prepared.filter(~F.col("commented"))
     order = F.col("ord") if "ord" in commands.columns else F.col("command")
-    return commands.join(best, ["doc", "command"], "left").select("doc", "command", "new_line", order.alias("ord"), F.col("best.line_no").alias("line_no"))
+    keyed = commands.select("doc", "command", "new_line", order.alias("ord"), F.regexp_replace("command", r"^\s+|\s+$", "").alias("key"))
+    keys = keyed.select("doc", F.col("key").alias("command")).distinct()
+    pairs = prefix_pairs(prepared.select("doc", "line_no", "commented", "bare"), keys, "bare", whole_words=True)
+    best = pairs.groupBy("doc", F.col("command").alias("key")).agg(F.min(F.struct("commented", "line_no")).alias("best"))
+    return keyed.join(best, ["doc", "key"], "left").select("doc", "command", "new_line", "ord", F.col("best.line_no").alias("line_no"))
 
 
-def replaced_first(lines: DataFrame, commands: DataFrame, allow_commented: bool = False, append_if_missing: bool = False) -> DataFrame:
-    """Lines with each command's first match replaced; missing commands are appended in command order.
+def stopping(problems: DataFrame, message: Column) -> DataFrame:
+    """No rows, but the job fails with the message of any row of ``problems``: the check is a filter, which no
+    column pruning takes away. To be united with the rows that are to be guarded."""
+    return problems.filter(F.raise_error(message).isNull())
+
+
+def replaced_first(lines: DataFrame, commands: DataFrame, allow_commented: bool = False, append_if_missing: bool = False, required: bool = False) -> DataFrame:
+    """Lines with each command's first match replaced; missing commands are appended in command order, or, if
+    required, stop the job with their name.
 
     Of several commands on one line the last in command order wins, as if applied one after another.
     """
     found = hits_of(lines, commands, allow_commented)
     new = found.filter("line_no is not null").groupBy("doc", "line_no").agg(F.max_by("new_line", "ord").alias("new_line"))
     out = lines.join(new, ["doc", "line_no"], "left").select("doc", "line_no", F.coalesce("new_line", "text").alias("text"))
+    if required and not append_if_missing:
+        absent = stopping(found.filter("line_no is null"), F.concat(F.lit("required command is missing from "), F.col("doc").cast("string"), F.lit(": "), F.trim("command")))
+        out = out.unionByName(absent.select("doc", "line_no", F.col("new_line").alias("text")))
     if append_if_missing:
         last = lines.groupBy("doc").agg(F.max("line_no").alias("last"))
         w = Window.partitionBy("doc").orderBy("ord", "command")
@@ -82,11 +103,21 @@ def missing_commands(lines: DataFrame, commands: DataFrame, allow_commented: boo
 
 def replaced_all(lines: DataFrame, commands: DataFrame) -> DataFrame:
     """Lines with every line that starts with the command's text replaced; no word boundary, no stripping."""
-    pairs = lines.join(commands, "doc").filter(F.col("text").startswith(F.col("command")))
+    pairs = prefix_pairs(lines.select("doc", "line_no", "text"), commands.select("doc", "command", "new_line"), "text", whole_words=False)
     new = pairs.groupBy("doc", "line_no").agg(F.max_by("new_line", "command").alias("new_line"))
     return lines.join(new, ["doc", "line_no"], "left").select("doc", "line_no", F.coalesce("new_line", "text").alias("text"))
 
 
+def first_lines(lines: DataFrame, commands: DataFrame) -> DataFrame:
+    """(doc, command, line_no, line): the first line that starts with each command, white space around it trimmed;
+    commands without a line are not there."""
+    asked = commands.select("doc", "command").distinct()
+    stripped = lines.select("doc", "line_no", F.regexp_replace("text", r"^\s+|\s+$", "").alias("line"))
+    pairs = prefix_pairs(stripped, asked, "line", whole_words=False)
+    first = pairs.groupBy("doc", "command").agg(F.min(F.struct("line_no", "line")).alias("f"))
+    return first.select("doc", "command", "f.line_no", "f.line")
+
+
 def rendered(template: DataFrame, overrides: DataFrame) -> DataFrame:
     """(sample_id, line_no, text): the template of each sample with its overridden lines.
 
@@ -100,11 +131,9 @@ def rendered(template: DataFrame, overrides: DataFrame) -> DataFrame:
 
 def command_values(lines: DataFrame, commands: DataFrame) -> DataFrame:
     """(doc, command, value): text behind the first line that starts with the command, trimmed; ``<missing>``."""
-    stripped = F.regexp_replace("text", r"^\s+|\s+$", "")
-    pairs = commands.select("doc", "command").distinct().join(lines.select("doc", "line_no", stripped.alias("line")), "doc").filter(F.col("line").startswith(F.col("command")))
-    first = pairs.groupBy("doc", "command").agg(F.min_by("line", "line_no").alias("line"))
     value = F.regexp_replace(F.expr("substring(line, length(command) + 1)"), r"^\s+|\s+$", "")
-    return commands.select("doc", "command").distinct().join(first, ["doc", "command"], "left").select("doc", "command", F.coalesce(value, F.lit("<missing>")).alias("value"))
+    found = commands.select("doc", "command").distinct().join(first_lines(lines, commands), ["doc", "command"], "left")
+    return found.select("doc", "command", F.coalesce(value, F.lit("<missing>")).alias("value"))
 
 
 def number_list(text: Column) -> Column:
@@ -121,15 +150,20 @@ def chip_z(thickness_um: Column) -> Column:
     return thickness_um * F.lit(1e-6) / F.lit(2.0)
 
 
-def checked_manifest(records: DataFrame) -> DataFrame:
-    """Adds ``problem``: missing value, sites of different length, or no site; null if the record is fine."""
+def checked_manifest(records: DataFrame, strict: bool = False) -> DataFrame:
+    """Adds ``problem``: missing value, sites of different length, or no site; null if the record is fine. With
+    ``strict`` the first record with a problem stops the job with its sample and problem."""
     problem = (
         F.when(F.col("gap").isNull() | F.col("chip_z").isNull(), "missing command")
         .when(F.col("qx").isNull() | F.col("qy").isNull(), "missing command")
         .when(F.size("qx") != F.size("qy"), "site lengths differ")
         .when(F.size("qx") == 0, "no site")
     )
-    return records.withColumn("problem", problem)
+    checked = records.withColumn("problem", problem)
+    if strict:
+        bad = stopping(checked.filter("problem is not null"), F.concat(F.col("sample_name"), F.lit(": "), F.col("problem")))
+        return checked.filter("problem is null").unionByName(bad)
+    return checked
 
 
 def checked_settings(settings: DataFrame) -> DataFrame:

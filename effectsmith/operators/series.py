@@ -14,8 +14,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from effectsmith.functions.expressions import BINS, DT_US, H_EV_S
-from effectsmith.operators.hits import electrode_totals
+from effectsmith.functions.expressions import BIN_NS, BINS, DT_US, H_EV_S
+from effectsmith.operators.hits import dense, electrode_totals
 
 ODE = ["gap", "f_01", "r", "s", "i_ph", "pt", "n_cooper", "height", "width", "thickness", "n_sim"]
 
@@ -149,6 +149,22 @@ def full_series(qp: DataFrame, manifest: DataFrame) -> DataFrame:
     return _pairs(qp, manifest).mapInPandas(run, "sample_id long, electrode int, t array<double>, dg array<double>")
 
 
+def qp_records(qp: DataFrame, manifest: DataFrame) -> DataFrame:
+    """One record a sample: (sample_id, sample_name, times in ns, qp_nos by electrode and bin, qx, qy, gap, chip_z); zeros
+    where nothing was counted. A record has as many numbers as sites times bins."""
+    rows = dense(qp, manifest).groupBy("sample_id").agg(F.array_sort(F.collect_list(F.struct("electrode", "qps"))).alias("each"))
+    times = F.transform(F.sequence(F.lit(0), F.lit(BINS - 1)), lambda i: i * F.lit(BIN_NS))
+    joined = manifest.select("sample_id", "sample_name", "qx", "qy", "gap", "chip_z").join(rows, "sample_id")
+    return joined.select("sample_id", "sample_name", times.alias("times"), F.col("each.qps").alias("qp_nos"), "qx", "qy", "gap", "chip_z")
+
+
+def dg_records(qp: DataFrame, manifest: DataFrame) -> DataFrame:
+    """One record a pair with counts: (sample_id, electrode, t in us, dg in MHz, al_gap in Hz, and the inputs of the
+    recurrence as they were used)."""
+    inputs = manifest.select("sample_id", (F.col("gap") / F.lit(H_EV_S)).alias("al_gap"), *[c for c in ODE if c != "gap"])
+    return full_series(qp, manifest).join(inputs, "sample_id")
+
+
 def study_summary(hit_counts: DataFrame, qp: DataFrame, manifest: DataFrame) -> DataFrame:
     """One row a sample with a hits file: totals by electrode (array), peak and integral; zeros if empty.
 

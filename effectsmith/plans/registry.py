@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from effectsmith.functions import expressions as ex
 from effectsmith.functions.lineage import shared_dir, written
 from effectsmith.functions.shipping import shipped
-from effectsmith.operators import audit, design, effects, hits, render, series
+from effectsmith.operators import asof, audit, compare, design, effects, hits, render, series, sites
 from effectsmith.plans import derived as d
 from effectsmith.sources import catalog, readers, writers
 from effectsmith.streaming import hits_stream
@@ -228,10 +228,26 @@ def gen3_sobol_points(spark, sf):
     return design.sobol_points(d.table(spark, sf, "orders").select(F.col("o_orderkey").alias("i")), SOBOL_DIMS)
 
 
+def _rational(coefficients: list[float], x: str) -> str:
+    out = f"{coefficients[0]!r}::DOUBLE"
+    for c in coefficients[1:]:
+        out = f"({out} * {x} + {c!r}::DOUBLE)"
+    return out
+
+
+GAUSS_DIMS = 25  # one variable a nation
+_TAIL = f"{_rational(design.NORMAL_C, 't')} / {_rational(design.NORMAL_D, 't')}"
+
+
 @query(
-    f"WITH {d.PARAMS_SQL}, h AS (SELECT c_custkey AS sample_id, var_idx, \"default\" AS m, {d.HASH_SQL.format(chr(39) + 'gauss:a:' + chr(39) + ' || c_custkey || ' + chr(39) + ':' + chr(39) + ' || var_idx')} AS a,"
-    f" {d.HASH_SQL.format(chr(39) + 'gauss:b:' + chr(39) + ' || c_custkey || ' + chr(39) + ':' + chr(39) + ' || var_idx')} AS b FROM customer, params)"
-    " SELECT sample_id, var_idx, round_even((m + 0.1::DOUBLE * abs(m) * (sqrt(-2.0::DOUBLE * ln((a + 1) / 4294967297.0::DOUBLE)) * cos(6.283185307179586::DOUBLE * (b / 4294967296.0::DOUBLE)))) * 1e7::DOUBLE, 0) / 1e7::DOUBLE AS value FROM h"
+    f"WITH {d.PARAMS_SQL}, v(dim, k, v, shift) AS (VALUES " + ", ".join(f"({m}, {k}, {v}::BIGINT, {design.digital_shift('gauss', m)}::BIGINT)" for m in range(GAUSS_DIMS) for k, v in enumerate(design.directions(m))) + "),"
+    " i AS (SELECT c_custkey AS i, xor(c_custkey, c_custkey >> 1) AS gray FROM customer),"
+    " x AS (SELECT i, dim, xor(any_value(shift), bit_xor(CASE WHEN ((gray >> k) & 1) = 1 THEN v ELSE 0 END)) AS x FROM i CROSS JOIN v GROUP BY ALL),"
+    " u AS (SELECT i AS sample_id, dim AS var_idx, (x + 0.5::DOUBLE) / 4294967296.0::DOUBLE AS u FROM x),"
+    f" t AS (SELECT *, u - 0.5::DOUBLE AS q, (u - 0.5::DOUBLE) * (u - 0.5::DOUBLE) AS r, sqrt(-2.0::DOUBLE * ln(CASE WHEN u < 0.5 THEN u ELSE 1.0::DOUBLE - u END)) AS t FROM u),"
+    f" z AS (SELECT sample_id, var_idx, CASE WHEN u < {design.NORMAL_TAIL}::DOUBLE THEN {_TAIL} WHEN u > 1 - {design.NORMAL_TAIL}::DOUBLE THEN -({_TAIL})"
+    f" ELSE {_rational(design.NORMAL_A, 'r')} * q / {_rational(design.NORMAL_B, 'r')} END AS z FROM t)"
+    " SELECT sample_id, CAST(var_idx AS INTEGER) AS var_idx, round_even((\"default\" + 0.1::DOUBLE * abs(\"default\") * z) * 1e7::DOUBLE, 0) / 1e7::DOUBLE AS value FROM z JOIN params USING (var_idx)"
 )
 def gen4_gaussian_design(spark, sf):
     return design.gaussian_design(d.table(spark, sf, "customer").select(F.col("c_custkey").alias("sample_id")), d.params(spark, sf), 0.1)
@@ -701,3 +717,216 @@ def str1_str2_str3_streamed_histogram(spark, sf):
     query = hits_stream.start(spark, slices, d.manifest(spark, sf), out, state, files_per_batch=3)
     query.awaitTermination()
     return hits_stream.state(spark, out)
+
+
+# --- joins on places ------------------------------------------------------------------------------
+
+GRID_SQL = "grid AS (SELECT c_acctbal / 20.0::DOUBLE AS value, min(c_custkey) AS point FROM customer GROUP BY c_acctbal)"
+
+
+@query(
+    f"WITH {GRID_SQL}, lo AS (SELECT e.event_id, e.value, g.value AS lv, g.point AS lp FROM events e ASOF LEFT JOIN grid g ON e.value >= g.value),"
+    " hi AS (SELECT e.event_id, g.value AS hv, g.point AS hp FROM events e ASOF LEFT JOIN grid g ON e.value <= g.value)"
+    " SELECT event_id, CASE WHEN hv IS NULL OR value - lv <= hv - value THEN lp ELSE hp END AS point, CASE WHEN hv IS NULL OR value - lv <= hv - value THEN lv ELSE hv END AS nearest FROM lo JOIN hi USING (event_id)"
+)
+def jon2_nearest_on_grid(spark, sf):
+    """Nearest point of an irregular grid, the customers' balances, to the value of every event."""
+    grid = d.table(spark, sf, "customer").select((F.col("c_acctbal") / 20.0).alias("value"), F.col("c_custkey").alias("point"))
+    found = asof.nearest(d.table(spark, sf, "events").select("event_id", "value"), grid, "value")
+    return found.select("event_id", "nearest.point", F.col("nearest.value").alias("nearest"))
+
+
+@query(
+    "WITH v AS (SELECT user_id, ts, min(event_id) AS viewed FROM events WHERE event_type = 'view' GROUP BY ALL) SELECT e.event_id, v.viewed, epoch_us(e.ts) - epoch_us(v.ts) AS since_us"
+    " FROM (SELECT * FROM events WHERE event_type = 'purchase') e ASOF LEFT JOIN v ON e.user_id = v.user_id AND e.ts >= v.ts"
+)
+def jon2_as_of_by_user(spark, sf):
+    """The last view of the same user at or before every purchase."""
+    events = d.table(spark, sf, "events").withColumn("at", F.unix_micros(F.col("ts").cast("timestamp")))
+    views = events.filter("event_type = 'view'").select("user_id", "at", F.col("event_id").alias("viewed"))
+    found = asof.as_of(events.filter("event_type = 'purchase'").select("event_id", "user_id", "at"), views, "at", ["user_id"])
+    return found.select("event_id", "before.viewed", (F.col("at") - F.col("before.at")).alias("since_us"))
+
+
+SITES_SQL = "sites AS (SELECT c_custkey AS site, (c_custkey * 7919 % 10007) / 1000.0::DOUBLE AS sx, (c_custkey * 104729 % 9973) / 1000.0::DOUBLE AS sy FROM customer)"
+
+
+@query(
+    f"WITH {SITES_SQL}, p AS (SELECT DISTINCT p_partkey AS point_id, (p_partkey * 37 % 801) / 80.0::DOUBLE AS x, (p_partkey * 53 % 797) / 80.0::DOUBLE AS y FROM part),"
+    " dist AS (SELECT point_id, site, sqrt((x - sx) * (x - sx) + (y - sy) * (y - sy)) AS dist FROM p CROSS JOIN sites),"
+    " best AS (SELECT point_id, min({'d': dist, 's': site}) AS b FROM dist GROUP BY point_id) SELECT point_id, b.s AS site, round(b.d, 9) AS distance FROM best"
+)
+def jon1_nearest_of_many_sites(spark, sf):
+    """Nearest of as many sites as there are customers, for a place of every part."""
+    k, c = F.col("p_partkey"), F.col("c_custkey")
+    points = d.table(spark, sf, "part").select(k.alias("point_id"), (k * 37 % 801 / 80.0).alias("x"), (k * 53 % 797 / 80.0).alias("y"))
+    places = d.table(spark, sf, "customer").select(c.alias("site"), (c * 7919 % 10007 / 1000.0).alias("sx"), (c * 104729 % 9973 / 1000.0).alias("sy"))
+    return sites.nearest_site(points, places).select("point_id", "site", F.round("distance", 9).alias("distance"))
+
+
+# --- versions of documents, commands ---------------------------------------------------------------
+
+VERSION_SQL = "other AS (SELECT doc, line_no, CASE WHEN line_no = 1 + doc % 7 THEN 'changed ' || doc ELSE text END AS text FROM lines)"
+
+
+def _other_version(lines):
+    """A version of every document with one line changed, in documents that are long enough."""
+    changed = F.col("line_no") == 1 + F.col("doc") % 7
+    return lines.withColumn("text", F.when(changed, F.concat(F.lit("changed "), F.col("doc").cast("string"))).otherwise(F.col("text")))
+
+
+@query(
+    f"WITH {d.LINES_SQL}, {VERSION_SQL}, u AS (SELECT doc, text FROM lines EXCEPT ALL SELECT doc, text FROM other), v AS (SELECT doc, text FROM other EXCEPT ALL SELECT doc, text FROM lines)"
+    " SELECT doc, md5(text) AS text, count(*) AS n FROM u GROUP BY doc, text UNION ALL SELECT doc, md5(text), -count(*) FROM v GROUP BY doc, text"
+)
+def set3_line_multiset(spark, sf):
+    """Lines that stand more often in one of two versions of a document, with how many times more."""
+    lines = d.lines(spark, sf)
+    return compare.multiset_difference(lines, _other_version(lines), ["doc", "text"]).select("doc", F.md5("text").alias("text"), "n")
+
+
+@query(
+    f"WITH {d.LINES_SQL}, {VERSION_SQL} SELECT doc, count(*) FILTER (l.text = o.text) AS equal, count(*) FILTER (l.text <> o.text) AS deleted, count(*) FILTER (l.text <> o.text) AS inserted,"
+    " max(CASE WHEN l.text <> o.text THEN line_no END) AS changed_line FROM lines l JOIN other o USING (doc, line_no) GROUP BY doc"
+)
+def set3_aligned_lines(spark, sf):
+    """Two versions of every document side by side: how many lines are equal, and which one is not."""
+    lines = d.lines(spark, sf)
+    rows = compare.aligned_lines(lines, _other_version(lines))
+    n = lambda v: F.count_if(F.col("verdict") == v).alias(v)
+    return rows.groupBy("doc").agg(n("equal"), n("deleted"), n("inserted"), F.max(F.when(F.col("verdict") == "deleted", F.col("line_a"))).cast("int").alias("changed_line"))
+
+
+ASKED_SQL = "asked AS (SELECT DISTINCT doc, command FROM (SELECT doc, command FROM commands UNION ALL SELECT doc, 'zz' || command FROM commands UNION ALL SELECT doc, 'the' FROM commands))"
+
+
+def _asked(spark, sf):
+    c = _commands(spark, sf).select("doc", "command")
+    return c.unionByName(c.select("doc", F.concat(F.lit("zz"), F.col("command")).alias("command"))).unionByName(c.select("doc", F.lit("the").alias("command"))).distinct()
+
+
+@query(
+    f"{TEXT_SQL}, {ASKED_SQL}, bare AS (SELECT doc, line_no, CASE WHEN starts_with(s, '#') THEN regexp_replace(substr(s, 2), '^\\s+', '') ELSE s END AS b FROM (SELECT doc, line_no, regexp_replace(text, '^\\s+', '') AS s FROM lines))"
+    f" SELECT doc, command FROM asked a WHERE NOT EXISTS (SELECT 1 FROM bare WHERE bare.doc = a.doc AND {MATCH_SQL})"
+)
+def txt6_txt16_missing_commands(spark, sf):
+    """Required commands that a document has no line for: what lenient rendering reports and strict rendering stops at."""
+    return render.missing_commands(d.lines(spark, sf), _asked(spark, sf).withColumn("new_line", F.col("command")), allow_commented=True)
+
+
+@query(
+    f"{TEXT_SQL}, {ASKED_SQL}, s AS (SELECT doc, line_no, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS s FROM lines)"
+    " SELECT a.doc, a.command, min(line_no) AS line_no, md5(arg_min(s, line_no)) AS line FROM asked a JOIN s ON s.doc = a.doc AND starts_with(s, command) GROUP BY ALL"
+)
+def win6_first_matching_lines(spark, sf):
+    """The first line itself that starts with each of several commands of a document."""
+    return render.first_lines(d.lines(spark, sf), _asked(spark, sf)).select("doc", "command", "line_no", F.md5("line").alias("line"))
+
+
+@query(
+    f"WITH {d.RUNS_SQL}, c AS (SELECT {d.CLASS_SQL} AS class FROM runs), n AS (SELECT class, count(*) AS n FROM c GROUP BY class UNION ALL SELECT 'all', count(*) FROM c), p AS (SELECT unnest([0.5, 0.9, 0.99])::DOUBLE AS probability)"
+    " SELECT class, probability, n, true AS within, CASE WHEN class = 'all' THEN (SELECT round(count(*) FILTER (class = 'teardown') / count(*) FILTER (class IN ('ok', 'teardown')), 9) FROM c) END AS crash_rate FROM n CROSS JOIN p"
+)
+def agg16_run_quantiles(spark, sf):
+    """Quantiles of wall time by class of run from sketches, and whether each is within the stated rank error: counted
+    exactly over all runs."""
+    runs = d.runs(spark, sf).withColumn("class", audit.run_class(F.col("status"), F.col("rc"), F.col("timed_out"))).select("class", "wall_s")
+    found = audit.run_quantiles(runs, "wall_s", [0.5, 0.9, 0.99])
+    both = runs.withColumn("class", F.explode(F.array(F.col("class"), F.lit("all"))))
+    ranks = both.join(found, "class").groupBy("class", "probability", "n", "crash_rate").agg(F.count_if(F.col("wall_s") < F.col("quantile")).alias("below"), F.count_if(F.col("wall_s") <= F.col("quantile")).alias("upto"))
+    low, high = (F.col("probability") - audit.RANK_ERROR) * F.col("n"), (F.col("probability") + audit.RANK_ERROR) * F.col("n")
+    # one row either way: a class may be smaller than the error's grain
+    within = (F.col("upto") >= low - 1) & (F.col("below") <= high + 1)
+    return ranks.select("class", "probability", "n", within.alias("within"), F.round("crash_rate", 9).alias("crash_rate"))
+
+
+# --- files that arrive, break, or are written anew --------------------------------------------------
+
+
+@query(
+    f"WITH {d.HITS_SQL}, r AS (SELECT sample_id, row_number() OVER (PARTITION BY sample_id ORDER BY t_ns, energy_ev, x_m, y_m, z_m) AS k FROM hits)"
+    " SELECT 'Morris_' || sample_id AS sample_name, CASE WHEN sample_id % 7 = 0 THEN 0 ELSE count(*) - CASE WHEN sample_id % 5 = 0 THEN least(count(*), 2) ELSE 0 END END AS n_rows,"
+    " CASE WHEN sample_id % 7 = 0 THEN 0 WHEN sample_id % 5 = 0 THEN 1 ELSE 0 END AS short_row, CASE WHEN sample_id % 7 <> 0 AND sample_id % 5 = 0 AND count(*) > 1 THEN 1 ELSE 0 END AS not_a_number,"
+    " CASE WHEN sample_id % 7 = 0 THEN 1 ELSE 0 END AS no_header FROM r GROUP BY sample_id"
+)
+def src2_hits_and_rejects(spark, sf):
+    """Hits files, some with cut and garbled lines and some without header, written as text and read with rejects."""
+    path, k = _fresh(spark, "hits-broken"), F.col("sample_id")
+    order = Window.partitionBy("sample_id").orderBy("t_ns", "energy_ev", "x_m", "y_m", "z_m")
+    rows = d.hits(spark, sf).withColumn("line_no", F.row_number().over(order))
+    number = lambda c: F.col(c).cast("string")
+    good = F.concat_ws(",", F.lit("7"), number("x_m"), number("energy_ev"), number("y_m"), number("z_m"), number("t_ns"))
+    cut, garbled = F.concat_ws(",", F.lit("7"), number("x_m")), F.concat_ws(",", F.lit("7"), F.lit("oops"), number("energy_ev"), number("y_m"), number("z_m"), number("t_ns"))
+    text = F.when((k % 5 == 0) & (F.col("line_no") == 1), cut).when((k % 5 == 0) & (F.col("line_no") == 2), garbled).otherwise(good)
+    header = rows.filter("line_no = 1 and sample_id % 7 <> 0").select("sample_id", F.lit(0).alias("line_no"), F.lit("Event,End X [m],Energy Deposited [eV],End Y [m],End Z [m],Final Time [ns]").alias("text"))
+    lines = rows.select("sample_id", "line_no", text.alias("text")).unionByName(header)
+    writers.write_documents(lines.withColumn("file", F.concat(F.lit("Morris_"), k.cast("string"), F.lit("_hitsfile"))), path, "file")
+    hits_read, rejects = readers.hits_csv_checked(spark, path, r"file=([^/]+?)_hitsfile")
+    n = lambda r: F.count_if(F.col("reason") == r).cast("int").alias(r.replace(" ", "_"))
+    bad = rejects.groupBy("sample_name").agg(n("short row"), n("not a number"), n("no header"))
+    counted = hits_read.groupBy("sample_name").agg(F.count("*").alias("n_rows")).join(bad, "sample_name", "full_outer")
+    return counted.select("sample_name", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n_rows", "short_row", "not_a_number", "no_header")])
+
+
+@query(f"{d.QP_WITH}, kept AS (SELECT sample_id, electrode, sum(qps) AS qps FROM qp GROUP BY ALL), n AS (SELECT sample_id, electrode, count(*) AS hits FROM (SELECT sample_id, CAST(list_position(d, list_min(d)) - 1 AS INTEGER) AS electrode FROM dist) GROUP BY ALL)"
+       " SELECT sample_id, electrode, qps, hits FROM kept JOIN n USING (sample_id, electrode)")
+def str1_stateful_totals(spark, sf):
+    """Hits files of even samples arrive, the stream takes them in and stops; then the others, and it goes on from its
+    checkpoint: totals from the state equal those of a batch."""
+    folder, out, checkpoint = (_fresh(spark, n) for n in ("arriving-hits", "arriving-totals", "arriving-state"))
+    named = d.hits(spark, sf).withColumn("sample_name", F.concat(F.lit("Morris_"), F.col("sample_id").cast("string")))
+    for part, chosen in enumerate(("sample_id % 2 = 0", "sample_id % 2 = 1")):
+        writers.write_hits_csv(named.filter(chosen).repartition("sample_name"), f"{folder}/{part}")
+        hits_stream.start_totals(spark, f"{folder}/*", d.manifest(spark, sf), out, checkpoint, pattern=r"file=([^/]+?)_hitsfile").awaitTermination()
+    return hits_stream.totals(spark, out)
+
+
+@query(
+    f"WITH {d.HITS_SQL}, {d.MANIFEST_SQL.replace('AS (SELECT s_suppkey', 'AS (SELECT * REPLACE (CASE WHEN sample_id IN (2, 3) THEN gap / 2 ELSE gap END AS gap) FROM (SELECT s_suppkey')}), {d.SURFACE_SQL}, {d.QP_SQL}, q AS (SELECT sample_id, sum(qps) AS qps, count(*) FILTER (qps > 0) AS cells FROM qp GROUP BY ALL)"
+    " SELECT m.sample_id, sample_name, gap, chip_z, list_sum(qx) AS sum_x, list_sum(qy) AS sum_y, 17 AS electrodes, 1001 AS bins, 300000.0::DOUBLE AS last_time, coalesce(qps, 0) AS qps, coalesce(cells, 0) AS cells, sample_id IN (2, 3) AS rewritten"
+    " FROM manifest m LEFT JOIN q USING (sample_id)"
+)
+def snk5_snk8_recomputed_samples(spark, sf):
+    """Whole records of every sample; then two samples are computed anew with half their gap. The files of the others
+    stay as they were."""
+    path, all_hits, manifest = _fresh(spark, "qp-records"), d.hits(spark, sf), d.manifest(spark, sf)
+    writers.write_samples(series.qp_records(hits.histogram(all_hits, manifest), manifest), path)
+    file = lambda name: spark.read.parquet(path).select("sample_id", F.col("_metadata.file_path").alias(name), F.col("_metadata.file_modification_time").alias(f"{name}_at"))
+    before = written(file("old"), "record-files")
+    again = manifest.filter("sample_id in (2, 3)").withColumn("gap", F.col("gap") / 2)
+    writers.write_samples(series.qp_records(hits.histogram(all_hits, again), again), path)
+    total = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x)
+    cells = F.flatten("qp_nos")
+    rows = spark.read.parquet(path).select(
+        "sample_id", "sample_name", "gap", "chip_z", total("qx").alias("sum_x"), total("qy").alias("sum_y"), F.size("qp_nos").alias("electrodes"), F.array_max(F.transform("qp_nos", F.size)).alias("bins"),
+        F.element_at("times", -1).alias("last_time"), total(cells).alias("qps"), F.size(F.filter(cells, lambda x: x > 0)).cast("long").alias("cells"),
+    )
+    same = file("new").join(before, "sample_id").select("sample_id", ((F.col("new") != F.col("old")) | (F.col("new_at") != F.col("old_at"))).alias("rewritten"))
+    return rows.join(same, "sample_id")
+
+
+@query(
+    f"{FOLD_SQL} SELECT f.sample_id, f.electrode, 1001 + f.n_p AS points, round(max(f.peak) * max(p.factor), 6) AS peak, round(300.0::DOUBLE + max(p.pt), 6) AS last_t, round(max(m.gap) / 4.135667696e-15::DOUBLE / 1e9, 6) AS al_gap_ghz, max(m.f_01) AS f_01, max(m.r) AS r, max(m.s) AS s, max(m.i_ph) AS i_ph, max(m.pt) AS pt,"
+    " max(m.n_cooper) AS n_cooper, max(m.height) AS height, max(m.width) AS width, max(m.thickness) AS thickness, max(m.n_sim) AS n_sim FROM fold f JOIN pairs p USING (sample_id, electrode) JOIN manifest m ON m.sample_id = f.sample_id GROUP BY ALL"
+)
+def snk6_series_records(spark, sf):
+    """Whole series with the inputs that they were computed from, written and read back."""
+    shipped(spark)
+    path = _fresh(spark, "dg-records")
+    writers.write_samples(series.dg_records(_qp(spark, sf), d.manifest(spark, sf)), path)
+    inputs = ["f_01", "r", "s", "i_ph", "pt", "n_cooper", "height", "width", "thickness", "n_sim"]
+    return spark.read.parquet(path).select(
+        F.col("sample_id").cast("long").alias("sample_id"), "electrode", F.size("t").alias("points"), F.round(F.array_max("dg"), 6).alias("peak"), F.round(F.element_at("t", -1), 6).alias("last_t"), F.round(F.col("al_gap") / 1e9, 6).alias("al_gap_ghz"), *inputs
+    )
+
+
+@query(f"WITH {d.MANIFEST_SQL} SELECT sample_name, 'Si' AS material, 3 AS lines, length('dyn ' || gap::VARCHAR) + length('decay ' || pt::VARCHAR) + length('# ' || sample_name) AS letters FROM manifest")
+def snk4_nested_documents(spark, sf):
+    """A lattice file a sample, one folder below the sample's."""
+    path = _fresh(spark, "lattices")
+    texts = F.array(F.concat(F.lit("# "), F.col("sample_name")), F.concat(F.lit("dyn "), ex.float_text(F.col("gap"))), F.concat(F.lit("decay "), ex.float_text(F.col("pt"))))
+    lines = d.manifest(spark, sf).select("sample_name", F.lit("Si").alias("material"), F.posexplode(texts).alias("line_no", "text"))
+    writers.write_documents(lines, path, "sample_name", "material")
+    back = readers.log_lines(spark, path, r"(sample_name=[^/]+/material=[^/]+)/")
+    keys = [F.regexp_extract("file", f"{k}=([^/]+)", 1).alias(k) for k in ("sample_name", "material")]
+    return back.groupBy(*keys).agg(F.count("*").cast("int").alias("lines"), F.sum(F.length("text")).alias("letters"))

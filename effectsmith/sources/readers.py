@@ -12,13 +12,55 @@ MANIFEST_SCHEMA = (
 )
 
 
-def hits_csv(spark: SparkSession, path: str, pattern: str = r"([^/]+?)_hitsfile") -> DataFrame:
-    """Hits of many CSV files; the sample's name is in the file's path. Columns are picked by header.
+def hits_csv_checked(spark: SparkSession, path: str, pattern: str = r"([^/]+?)_hitsfile") -> tuple[DataFrame, DataFrame]:
+    """(rows, rejects) of many CSV files of hits. Each file's own header says where the five columns are; other
+    columns may stand between them.
+
+    rows: (sample_name, x_m, ...); an empty field is null. rejects: (sample_name, reason, text): ``short row`` and
+    ``not a number`` with the line, ``no header`` and ``no rows`` (a header alone) once a file, ``empty file`` for
+    files without any text, zero bytes included. A file without header has all its lines rejected under that one row.
+    """
+    sample = lambda c: F.regexp_extract(c, pattern, 1)
+    options = {"recursiveFileLookup": "true"}
+    lines = spark.read.options(**options).text(path).select(F.col("_metadata.file_path").alias("file"), F.regexp_replace("value", r"\r$", "").alias("text")).filter(F.trim("text") != "")
+    names = F.transform(F.split("text", ","), lambda c: F.regexp_replace(F.trim(c), '^"|"$', ""))
+    is_header = F.forall(F.array(*[F.lit(c) for c in HITS_CSV]), lambda c: F.array_contains(names, c))
+    files = lines.groupBy("file").agg(F.max(F.when(is_header, names)).alias("header"), F.count("*").alias("n"))
+    listed = spark.read.options(**options).format("binaryFile").load(path).select(F.col("path").alias("file"))
+    empty = listed.select(sample("file").alias("sample_name")).join(files.select(sample("file").alias("sample_name")), "sample_name", "left_anti")
+    whole = [
+        empty.select("sample_name", F.lit("empty file").alias("reason")),
+        files.filter("header is null").select(sample("file").alias("sample_name"), F.lit("no header").alias("reason")),
+        files.filter("header is not null and n = 1").select(sample("file").alias("sample_name"), F.lit("no rows").alias("reason")),
+    ]
+    data = lines.filter(~is_header).join(files.filter("header is not null").select("file", "header"), "file").withColumn("parts", F.split("text", ","))
+    field = lambda c: F.trim(F.get("parts", (F.array_position("header", F.lit(c)) - 1).cast("int")))
+    typed = data.select(
+        sample("file").alias("sample_name"), "text", (F.size("parts") != F.size("header")).alias("short"),
+        *[F.when(field(a) != "", field(a)).alias(f"{b}_text") for a, b in HITS_CSV.items()],
+    )
+    typed = typed.withColumns({b: F.col(f"{b}_text").try_cast("double") for b in HITS_CSV.values()})
+    wrong = F.lit(False)
+    for b in HITS_CSV.values():
+        wrong = wrong | (F.col(f"{b}_text").isNotNull() & F.col(b).isNull())
+    reason = F.when(F.col("short"), "short row").when(wrong, "not a number")
+    judged = typed.select("sample_name", "text", reason.alias("reason"), *HITS_CSV.values())
+    rejects = judged.filter("reason is not null").select("sample_name", "reason", "text")
+    for rows in whole:
+        rejects = rejects.unionByName(rows.withColumn("text", F.lit(None).cast("string")))
+    return judged.filter("reason is null").select("sample_name", *HITS_CSV.values()), rejects
+
+
+def hits_schema(header: list[str] | None = None) -> str:
+    """Schema of hits files with this header; the five columns that count are numbers, others are text."""
+    return ", ".join(f"`{c}` {'double' if c in HITS_CSV else 'string'}" for c in header or HITS_CSV)
 
-    The header decides the place of each column, so files are read with their names and then renamed.
+
+def hits_csv(spark: SparkSession, path: str, pattern: str = r"([^/]+?)_hitsfile") -> DataFrame:
+    """Hits of many CSV files that have the five columns; the sample's name is in the file's path. Files with other
+    columns, and broken ones, are for ``hits_csv_checked``.
     """
-    names = [f"`{c}` double" for c in HITS_CSV]
-    rows = spark.read.schema(", ".join(names)).option("header", True).option("enforceSchema", False).csv(path)
+    rows = spark.read.schema(hits_schema()).option("header", True).option("enforceSchema", False).csv(path)
     named = rows.select(F.regexp_extract(F.col("_metadata.file_path"), pattern, 1).alias("sample_name"), *[F.col(f"`{a}`").alias(b) for a, b in HITS_CSV.items()])
     return named
 
@@ -55,10 +97,11 @@ def log_lines(spark: SparkSession, path: str, pattern: str | None = None) -> Dat
 
 
 def summary_csv(spark: SparkSession, path: str, electrodes: int) -> DataFrame:
-    """The study's summary with its electrode columns."""
+    """The study's summary with its electrode columns; names in lower case but for those."""
     each = ", ".join(f"electrode_{i}_QPs double" for i in range(electrodes))
-    schema = f"sample_name string, top_gap_ev double, num_surface_hits long, {each}, total_qps double, peak_dg_mhz double, total_integrated_dg double"
-    return spark.read.schema(schema).option("header", True).csv(path)
+    schema = f"sample_name string, top_gap_eV double, num_surface_hits long, {each}, total_QPs double, peak_DG_MHz double, total_integrated_DG double"
+    rows = spark.read.schema(schema).option("header", True).option("enforceSchema", False).csv(path)
+    return rows.withColumnsRenamed({c: c.lower() for c in rows.columns if not c.startswith("electrode_")})
 
 
 def file_listing(spark: SparkSession, path: str, pattern: str = r"([^/]+?)_hitsfile") -> DataFrame:

@@ -40,7 +40,9 @@ def wide_summary(summary: DataFrame, electrodes: int) -> DataFrame:
 
 
 def write_summary_csv(summary: DataFrame, electrodes: int, path: str) -> None:
-    wide_summary(summary, electrodes).orderBy("sample_name").write.mode("overwrite").option("header", True).csv(path)
+    """The summary file, under the names of its columns in the study."""
+    named = {"top_gap_ev": "top_gap_eV", "total_qps": "total_QPs", "peak_dg_mhz": "peak_DG_MHz", "total_integrated_dg": "total_integrated_DG"}
+    wide_summary(summary, electrodes).withColumnsRenamed(named).orderBy("sample_name").write.mode("overwrite").option("header", True).csv(path)
 
 
 def write_arrays(df: DataFrame, path: str) -> None:
@@ -48,6 +50,13 @@ def write_arrays(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)
 
 
+def write_samples(records: DataFrame, path: str) -> None:
+    """Records, at least one a sample, under a folder a sample. Only the folders of samples in ``records`` are replaced:
+    what other samples have stays as it is, and a recompute that is run again gives the same table."""
+    dealt = records.repartition("sample_id")
+    dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("sample_id").parquet(path)
+
+
 def write_fresh(df: DataFrame, path: str, run_id: str) -> None:
     """A run's table under its own folder; fails where the run exists."""
     df.write.mode("errorifexists").parquet(f"{path}/run_id={run_id}")
