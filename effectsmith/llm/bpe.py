@@ -27,6 +27,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from tokenizers import Regex
+from tokenizers.normalizers import NFC
 from tokenizers.pre_tokenizers import Split
 
 NONE = np.iinfo(np.int64).max
@@ -67,6 +68,12 @@ class SegmentTreeBPE:
         old = pattern.replace(r"[\p{L}]+", rf"[\p{{L}}--[{some}]]+").replace(r"[\p{N}]", rf"[\p{{N}}--[{some}]]")
         old = old.replace(r"[^\s\p{L}\p{N}]+", rf"(?:[^\s\p{{L}}\p{{N}}]|[{some}])+")
         self.old_word = regex.compile("(?V1)" + old) if some else self.word
+        # Marks of a newer Unicode are no marks to the library: nothing is ordered or composed across them.
+        marks = [c for c in map(chr, range(sys.maxunicode + 1)) if unicodedata.combining(c)]
+        low, high = "\u0334", "\u0315"  # marks of the least class, and of a high one
+        known = NFC()
+        fixed = [c for c in marks if all(known.normalize_str(t) == t != unicodedata.normalize("NFC", t) for t in self._disordered(c, low, high))]
+        self.fixed_marks = re.compile("([" + "".join(fixed) + "])") if fixed else None
         letters = byte_letters()
         self.first = np.array([vocab.get(c, -1) for c in letters], dtype=np.int64)
         self.last = np.array([vocab.get(c + self.end, -1) for c in letters], dtype=np.int64)
@@ -81,6 +88,19 @@ class SegmentTreeBPE:
         self.ids_of: dict[str, str] = {}
         self.tokens_of: dict[str, str] = {}
 
+    @staticmethod
+    def _disordered(mark: str, low: str, high: str) -> list[str]:
+        """Texts in which a mark of its class changes places with its neighbour."""
+        own = unicodedata.combining(mark)
+        texts = ["q" + mark + low] if own > unicodedata.combining(low) else []
+        return texts + (["q" + high + mark] if own < unicodedata.combining(high) else [])
+
+    def nfc(self, text: str) -> str:
+        """Canonical composition as the library has it."""
+        if self.fixed_marks is None or not self.fixed_marks.search(text):
+            return unicodedata.normalize("NFC", text)
+        return "".join([unicodedata.normalize("NFC", part) for part in self.fixed_marks.split(text)])
+
     def _rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Rank of each pair; NONE where the vocabulary has no such merge or a side is missing (-1)."""
         key = left * self.base + right
@@ -167,7 +187,7 @@ class SegmentTreeBPE:
     def pieces(self, text: str) -> list[str]:
         """Words and added tokens of a text; the latter start with a blank, which no word has."""
         if text.isalpha():
-            low = text.lower() if text.isascii() else lower(unicodedata.normalize("NFC", text))
+            low = text.lower() if text.isascii() else lower(self.nfc(text))
             if low.isalpha():
                 return [low]
         parts = self.part.split(text) if self.part and "<" in text else [text]
@@ -176,7 +196,7 @@ class SegmentTreeBPE:
             if i % 2:
                 found.append(" " + part)
             else:
-                clean = part.lower() if part.isascii() else lower(unicodedata.normalize("NFC", part))
+                clean = part.lower() if part.isascii() else lower(self.nfc(part))
                 found += (self.word if clean.isascii() or self.newer.isdisjoint(clean) else self.old_word).findall(clean)
         return found
 

@@ -33,7 +33,7 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from effectsmith.functions.lineage import written
@@ -201,6 +201,9 @@ SHINGLE, SIMILARITY = 5, 0.8
 ORDER_PART, COMMON = 8, 200_000
 #: Work of crowded runs, never results: when and how often holders are compared with a few before with all.
 FEW, CENTRES, TURNS = 4, 8, 2
+#: Parity bits of a set's runs, in 64-bit columns.
+WORDS_OF_BITS = 4
+BITS = [f"bits{k}" for k in range(WORDS_OF_BITS)]
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -253,11 +256,27 @@ def prefix_length(n: int, similarity: float) -> int:
     return n - math.ceil(similarity * n - 1e-9) + 1
 
 
+def parities(own: np.ndarray) -> np.ndarray:
+    """WORDS_OF_BITS * 64 bits: whether an odd number of the set's runs falls on each. Two sets differ in at most as
+    many bits as in runs."""
+    odd = np.bincount((own >> np.uint64(20)).astype(np.int64) % (64 * WORDS_OF_BITS), minlength=64 * WORDS_OF_BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(">i8").astype(np.int64)
+
+
 def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        names = names_of(batch.column("text"))
+        names: list[bytes] = []
+        bits: list[np.ndarray] = []
+        for start in range(0, batch.num_rows, 500):
+            for name, own in sets_of(batch.column("text").slice(start, 500).to_pylist()):
+                names.append(name)
+                bits.append(parities(own))
         nodes = pa.array([node_of(n) for n in names], pa.int64())
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(names, pa.binary()), nodes], ["doc_id", "set_id", "node"])
+        table = np.array(bits, dtype=np.int64).reshape(len(names), WORDS_OF_BITS)
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("doc_id"), pa.array(names, pa.binary()), nodes, *(pa.array(np.ascontiguousarray(table[:, k])) for k in range(WORDS_OF_BITS))],
+            ["doc_id", "set_id", "node", *BITS],
+        )
 
 
 def _shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -333,6 +352,16 @@ def may_link(a: str, b: str, similarity: float) -> Column:
     return rest >= F.lit(similarity / (1 + similarity)) * (na + nb) - 1e-9
 
 
+def may_be_alike(a: str, b: str, similarity: float) -> Column:
+    """Whether the parity bits of two sets let them be this similar: sets of a similarity s differ in at most
+    (1 - s) / (1 + s) of both their runs. Without bits they may."""
+    differ = F.lit(0)
+    for c in BITS:
+        differ = differ + F.bit_count(F.col(f"{a}{c}").bitwiseXOR(F.col(f"{b}{c}")))
+    most = F.lit((1 - similarity) / (1 + similarity)) * (F.col(f"{a}n") + F.col(f"{b}n")) + 1e-9
+    return F.coalesce(differ <= most, F.lit(True))
+
+
 def near_links(named: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """(a, b): links of set names with the same components as all pairs of at least this similarity.
 
@@ -340,30 +369,36 @@ def near_links(named: DataFrame, sets: DataFrame, similarity: float) -> DataFram
     (``may_link``). First every set is compared with one holder of each of its keys. Keys whose holders are
     still in several components go on: while they would give more than FEW pairs a row, their sets are
     compared with CENTRES other holders (at most TURNS times); at last all pairs across components are. So a
-    group of thousands of near copies costs a few rows a member, and no pair across components goes untested.
+    group of thousands of near copies costs a few rows a member, and no pair across components goes untested:
+    a pair is left out only where the places of the run or the sets' parity bits show that it is not similar.
     """
-    key = Window.partitionBy("key")
-    held = set_keys(named, similarity).withColumn("holders", F.count("*").over(key)).filter("holders > 1")
-    held = written(held.withColumn("c", F.min(F.struct("node", "n", "place")).over(key)).select("key", "node", "n", "place", F.col("c.node").alias("cnode"), F.col("c.n").alias("cn"), F.col("c.place").alias("cplace")), "near-keys")
+    keyed = written(set_keys(named, similarity), "near-prefixes")
+    shared = keyed.groupBy("key").agg(F.count("*").alias("holders"), F.min(F.struct("node", "n", "place")).alias("c")).filter("holders > 1")
+    held = written(keyed.join(shared.select("key", F.col("c.node").alias("cnode"), F.col("c.n").alias("cn"), F.col("c.place").alias("cplace")), "key"), "near-keys")
     stars = held.filter((F.col("node") != F.col("cnode")) & may_link("", "c", similarity)).select(F.col("cnode").alias("a"), F.col("node").alias("b"))
     stars = written(stars.distinct(), "near-stars")
     links, done = verified(named, sets, stars, similarity), stars
     found = links
     for turn in range(1, TURNS + 1):
         roots = components(links)
-        of = sets.join(roots.withColumnRenamed("node", "set_id"), "set_id", "left").groupBy("node").agg(F.min(F.coalesce("root", "set_id")).alias("root"))
-        rooted = held.select("key", "node", "n", "place").join(written(of, "near-roots"), "node")
-        mixed = rooted.withColumn("low", F.min("root").over(key)).withColumn("high", F.max("root").over(key)).filter("low <> high")
-        mixed = written(mixed.select("key", "node", "n", "place", "root"), "near-mixed")
-        side = lambda c, rows: rows.select("key", *[F.col(x).alias(f"{c}{x}") for x in ("node", "n", "place", "root")])
+        of = sets.join(roots.withColumnRenamed("node", "set_id"), "set_id", "left").groupBy("node").agg(
+            F.min(F.coalesce("root", "set_id")).alias("root"), *[F.when(F.count("*") == 1, F.first(c)).alias(c) for c in BITS]
+        )
+        rooted = written(held.select("key", "node", "n", "place").join(written(of, "near-roots"), "node"), "near-rooted-keys")
+        several = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("key")
+        mixed = written(rooted.join(several, "key"), "near-mixed")
+        columns = ("node", "n", "place", "root", *BITS)
+        side = lambda c, rows: rows.select("key", *[F.col(x).alias(f"{c}{x}") for x in columns])
         parts = mixed.groupBy("key", "root").agg(F.count("*").cast("double").alias("m")).groupBy("key").agg(F.sum("m").alias("m"), F.sum(F.col("m") * F.col("m")).alias("q"))
         left = parts.agg(F.sum("m").alias("rows"), F.sum((F.col("m") * F.col("m") - F.col("q")) / 2).alias("pairs")).first()
         last = turn == TURNS or (left["pairs"] or 0) <= FEW * (left["rows"] or 0) or found.isEmpty()
         others = mixed
-        if not last:  # some holders of every key, the same ones of the keys that a group shares
-            others = mixed.withColumn("at", F.row_number().over(key.orderBy(F.xxhash64("node", F.lit(turn)), "node"))).filter(f"at <= {CENTRES}")
-        across = side("x", mixed).join(side("y", others), "key").filter((F.col("xroot") != F.col("yroot")) & may_link("x", "y", similarity))
-        pairs = across.select(F.least("xnode", "ynode").alias("a"), F.greatest("xnode", "ynode").alias("b")) if not last else across.filter("xnode < ynode").select(F.col("xnode").alias("a"), F.col("ynode").alias("b"))
+        if not last:  # one holder of every key in each of CENTRES parts, the same ones of the keys that a group shares
+            part = F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(CENTRES))
+            others = mixed.groupBy("key", part.alias("part")).agg(F.min(F.struct(F.xxhash64("node", F.lit(-turn)).alias("h"), *columns)).alias("c")).select("key", "c.*").drop("h")
+        fits = (F.col("xroot") != F.col("yroot")) & may_link("x", "y", similarity) & may_be_alike("x", "y", similarity)
+        across = side("x", mixed).join(side("y", others).withColumnRenamed("key", "ykey"), (F.col("key") == F.col("ykey")) & fits & ((F.col("xnode") < F.col("ynode")) if last else F.lit(True)))
+        pairs = across.select(F.least("xnode", "ynode").alias("a"), F.greatest("xnode", "ynode").alias("b"))
         pairs = written(pairs.distinct().join(done, ["a", "b"], "left_anti"), "near-pairs")
         found = verified(named, sets, pairs, similarity)
         links, done = links.unionByName(found), done.unionByName(pairs)
@@ -396,8 +431,8 @@ def near_copies(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """
     rows = docs.select("doc_id", "text")
     kind = rows.schema["doc_id"].dataType.simpleString()
-    described = written(rows.mapInArrow(_described, f"doc_id {kind}, set_id binary, node long"), "near-rows")
-    sets = written(described.groupBy("set_id", "node").agg(F.min("doc_id").alias("first_id")), "near-sets")
+    described = written(rows.mapInArrow(_described, f"doc_id {kind}, set_id binary, node long, " + ", ".join(f"{c} long" for c in BITS)), "near-rows")
+    sets = written(described.groupBy("set_id", "node").agg(F.min("doc_id").alias("first_id"), *[F.first(c).alias(c) for c in BITS]), "near-sets")
     roots = components(near_links(rows.filter("doc_id is not null"), sets.filter("first_id is not null"), similarity))
     rooted = sets.join(roots.withColumnRenamed("node", "set_id"), "set_id", "left").select("set_id", "first_id", F.coalesce("root", "set_id").alias("root"))
     rooted = written(rooted, "near-rooted")

@@ -17,9 +17,11 @@ arguments) stays and ``n_calls`` counts them; of several results the least (pos,
 for an unknown id is a root with ``dangling`` true; on a cycle the level is null. Arguments that are
 not one JSON object (one that repeats a name is none), lack a required field, have an unknown field or a
 wrong type are not valid; ``1.0`` and whole numbers of any size are integers. A tool without schema is not
-valid. Empty tables give an empty result. Other columns are ignored.
+valid. Of several types of one field any fits, and it is required if one row says so; a null or unknown type
+fits nothing; a row with a null field only says that the tool exists. Empty tables give an empty result. Other
+columns are ignored. Turns of other roles than user, assistant and system are neither calls nor results.
 
-Canonical JSON has its names in code point order and no blanks; whole numbers without fraction or exponent
+Canonical JSON has its names in the order of their UTF-16 units and no blanks; whole numbers without fraction or exponent
 keep their digits, others have the shortest form of their 64-bit value (``1e3`` is 1000, ``1.50`` is 1.5,
 ``1e-7`` stays), so equal values have one text. It is made by splitting at quotes: texts of any length pass.
 """
@@ -99,9 +101,14 @@ def canonical_numbers(json: Column) -> Column:
 
 def validated(calls: DataFrame, schemas: DataFrame) -> DataFrame:
     """Adds ``canonical`` (sorted keys, no blanks) and ``errors`` (sorted; empty: valid)."""
-    by_tool = schemas.groupBy("name").agg(
-        F.map_from_entries(F.collect_set(F.struct("field", "type"))).alias("types"),
-        F.array_sort(F.collect_set(F.when(F.col("required"), F.col("field")))).alias("needed"),
+    wanted = F.create_map(*[F.lit(x) for pair in TYPES.items() for x in pair])
+    by_field = schemas.groupBy("name", "field").agg(
+        F.array_join(F.array_sort(F.collect_set(F.element_at(wanted, F.col("type")))), "|").alias("pattern"), F.max(F.coalesce("required", F.lit(False))).alias("required")
+    )
+    there = F.col("field").isNotNull()
+    by_tool = by_field.groupBy("name").agg(
+        F.map_from_entries(F.collect_list(F.when(there, F.struct("field", "pattern")))).alias("types"),
+        F.array_sort(F.collect_set(F.when(there & F.col("required"), F.col("field")))).alias("needed"),
     )
     read = calls.withColumn("tree", F.try_parse_json("arguments")).withColumn("fields", F.json_object_keys("arguments"))
     kinds = F.when(
@@ -115,7 +122,6 @@ def validated(calls: DataFrame, schemas: DataFrame) -> DataFrame:
             F.when(e["kind"].rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL.*)$") & number_text(e["text"]).rlike("^-?[0-9]+$"), "WHOLE").otherwise(e["kind"]).alias("kind"),
         ),
     )
-    wanted = F.create_map(*[F.lit(x) for pair in TYPES.items() for x in pair])
     joined = read.withColumn("kinds", kinds).join(by_tool, "name", "left")
     errors = (
         F.when(F.col("types").isNull(), F.array(F.lit("no schema")))
@@ -129,7 +135,7 @@ def validated(calls: DataFrame, schemas: DataFrame) -> DataFrame:
                         F.filter(
                             "kinds",
                             lambda e: F.element_at("types", e["key"]).isNotNull()
-                            & ~F.coalesce(F.regexp_like(e["kind"], F.concat(F.lit("^("), F.element_at(wanted, F.element_at("types", e["key"])), F.lit(")$"))), F.lit(False)),
+                            & ~F.coalesce(F.regexp_like(e["kind"], F.concat(F.lit("^("), F.element_at("types", e["key"]), F.lit(")$"))), F.lit(False)),
                         ),
                         lambda e: F.concat(F.lit("type "), e["key"]),
                     ),

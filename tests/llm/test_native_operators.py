@@ -184,3 +184,14 @@ def test_contamination_equals_brute_force(spark):
     assert decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), empty).count() == 0
     kept = decontaminate.clean(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
     assert {r["doc_id"] for r in kept.collect()} == {d for d, _ in docs} - {d for d, _ in brute(docs, items)}
+
+
+def test_schemas_with_several_null_and_unknown_types(spark):
+    rows = [("f", "x", "integer", False), ("f", "x", "string", True), ("f", None, "string", True), ("f", "y", None, False), ("f", "z", "date", False), ("g", None, None, None), (None, "x", "string", True)]
+    own = spark.createDataFrame(rows, "name string, field string, type string, required boolean")
+    calls = [(1, i, name, text, None, 0) for i, (name, text) in enumerate([("f", '{"x":1}'), ("f", '{"x":"a"}'), ("f", '{"x":true}'), ("f", "{}"), ("f", '{"x":1,"y":1}'), ("f", '{"x":1,"z":"2020"}'), ("g", "{}"), ("g", '{"a":1}'), (None, "{}")])]
+    frame = spark.createDataFrame(calls, "conv_id long, call_id long, name string, arguments string, after long, pos long")
+    got = tool_calls.validated(frame.withColumn("n_calls", F.lit(1)), own)
+    assert {r["call_id"]: r["errors"] for r in got.collect()} == {
+        0: [], 1: [], 2: ["type x"], 3: ["missing x"], 4: ["type y"], 5: ["type z"], 6: [], 7: ["unknown a"], 8: ["no schema"],
+    }

@@ -115,7 +115,7 @@ def test_stages_on_empty_tables(spark, tmp_path):
 
 
 def test_every_number_has_one_query():
-    assert sorted(int(k[2:].split("_")[0]) for k in registry.QUERIES if k != "pipeline") == list(range(1, 11))
+    assert sorted(int(k[2:].split("_")[0]) for k in registry.QUERIES if k != "pipeline") == list(range(1, 14))
 
 
 def test_whole_tables_give_whole_results(spark):
