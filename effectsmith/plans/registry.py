@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 from effectsmith.functions import expressions as ex
 from effectsmith.functions.lineage import shared_dir, written
 from effectsmith.functions.shipping import shipped
-from effectsmith.operators import asof, audit, compare, design, effects, hits, render, series, sites
+from effectsmith.operators import asof, audit, compare, design, effects, hits, render, series, sites, study
 from effectsmith.plans import derived as d
-from effectsmith.sources import catalog, readers, writers
+from effectsmith.sources import catalog, readers, templates, writers
 from effectsmith.streaming import hits_stream
 
 QUERIES: dict = {}
@@ -930,3 +930,63 @@ def snk4_nested_documents(spark, sf):
     back = readers.log_lines(spark, path, r"(sample_name=[^/]+/material=[^/]+)/")
     keys = [F.regexp_extract("file", f"{k}=([^/]+)", 1).alias(k) for k in ("sample_name", "material")]
     return back.groupBy(*keys).agg(F.count("*").cast("int").alias("lines"), F.sum(F.length("text")).alias("letters"))
+
+
+# --- the whole first stage --------------------------------------------------------------------------
+
+_TEXT = lambda t: "'" + t.replace("'", "''") + "'"
+_GROUPS = {r[1]: r for r in reversed(catalog.rows())}  # first element of each group
+STAGE_SQL = f"""WITH p(var_idx, grp, elem, lo, hi, is_int) AS (VALUES {", ".join(f"({r[0]}, {r[1]}, {r[4]}, {r[7]!r}::DOUBLE, {r[8]!r}::DOUBLE, {str(r[10]).lower()})" for r in catalog.rows())}),
+ g(grp, doc, command, suffix) AS (VALUES {", ".join(f"({k}, '{r[11]}', {_TEXT(r[3])}, {_TEXT(r[9])})" for k, r in sorted(_GROUPS.items()))}),
+ t(doc, line_no, text) AS (VALUES {", ".join(f"('{doc}', {n}, {_TEXT(x)})" for doc, lines in (("macro", templates.macro_lines()), ("config", templates.config_lines())) for n, x in enumerate(lines, 1))}),
+ each AS (SELECT s_suppkey AS traj, p.*, {d.HASH_SQL.format("'morris:order:' || s_suppkey || ':' || var_idx")} AS o, {d.HASH_SQL.format("'morris:level:' || s_suppkey || ':' || var_idx")} AS b FROM supplier, p),
+ f AS (SELECT *, row_number() OVER (PARTITION BY traj ORDER BY o, var_idx) AS flip FROM each),
+ l AS (SELECT *, traj * {len(catalog.rows()) + 1} + step AS sample_id, CASE WHEN (step < flip) = ((b // 2) % 2 = 0) THEN b % 2 ELSE 2 + b % 2 END AS level FROM f, (SELECT unnest(range(0, {len(catalog.rows()) + 1})) AS step)),
+ v AS (SELECT sample_id, var_idx, grp, elem, is_int, round_even((level / 3.0::DOUBLE * (hi - lo) + lo) * 1e6::DOUBLE, 0) / 1e6::DOUBLE AS value FROM l)"""
+DOCUMENTS_SQL = f"""{STAGE_SQL},
+ swept AS (SELECT sample_id, grp, g.doc, g.command, g.command || CASE WHEN g.doc = 'config' THEN ' ' ELSE '' END || replace(string_agg(CASE WHEN is_int THEN CAST(round_even(value, 0) AS INTEGER)::VARCHAR ELSE value::VARCHAR END, ',' ORDER BY elem), ',', CASE WHEN g.doc = 'config' THEN ' ' ELSE ',' END) || g.suffix AS text
+  FROM v JOIN g USING (grp) WHERE g.doc <> 'ode' GROUP BY sample_id, grp, g.doc, g.command, g.suffix),
+ fixed(doc, command, text) AS (VALUES ('macro', '/main/detector_param/setSubstrateG4Name', '/main/detector_param/setSubstrateG4Name G4_Si'), ('macro', '/main/detector_param/setSubstrateName', '/main/detector_param/setSubstrateName Si'),
+  {", ".join(f"('macro', {_TEXT(k.strip())}, {_TEXT(line)})" for k, line in catalog.PINNED.items())}),
+ every AS (SELECT sample_id, doc, trim(command) AS command, text, grp FROM swept UNION ALL SELECT sample_id, f.doc, f.command, f.text, -1 FROM fixed f, (SELECT DISTINCT sample_id FROM v)
+  UNION ALL SELECT DISTINCT sample_id, 'macro', '/g4cmp/HitsFile', '/g4cmp/HitsFile /hits/Morris_' || sample_id || '_hitsfile.txt', -1 FROM v),
+ s AS (SELECT doc, line_no, starts_with(trim(text), '#') AS off, CASE WHEN starts_with(trim(text), '#') THEN trim(substr(trim(text), 2)) ELSE trim(text) END AS b FROM t),
+ c AS (SELECT DISTINCT doc, command, grp FROM every),
+ spot AS (SELECT c.doc, c.command, c.grp, min(CASE WHEN off THEN 100000 ELSE 0 END + line_no) % 100000 AS line_no FROM c LEFT JOIN s ON s.doc = c.doc AND (b = command OR starts_with(b, command || ' ')) AND NOT (c.doc = 'config' AND off) GROUP BY ALL),
+ placed AS (SELECT doc, command, coalesce(line_no, {len(templates.config_lines())} + row_number() OVER (PARTITION BY line_no IS NULL ORDER BY grp)) AS line_no FROM spot),
+ new AS (SELECT sample_id, doc, line_no, text FROM every JOIN placed USING (doc, command)),
+ docs AS (SELECT coalesce(n.sample_id, x.sample_id) AS sample_id, coalesce(n.doc, x.doc) AS doc, CAST(coalesce(n.line_no, x.line_no) AS INTEGER) AS line_no, coalesce(n.text, x.text) AS text
+  FROM (SELECT sample_id, t.* FROM t, (SELECT DISTINCT sample_id FROM v)) x FULL JOIN new n ON n.sample_id = x.sample_id AND n.doc = x.doc AND n.line_no = x.line_no)"""
+
+
+def _study_documents(spark, sf):
+    """Design of the study's own catalog, a trajectory a supplier, and the documents of its samples."""
+    params = catalog.catalog(spark)
+    values = design.morris_design(d.trajectories(spark, sf), params).select("sample_id", "var_idx", "value")
+    swept = study.swept_commands(values, params)
+    fixed = study.fixed_commands(values.select("sample_id").distinct(), "Morris_", "/hits")
+    return values, params, study.rendered_documents(templates.template(spark), swept.unionByName(fixed))
+
+
+@query(f"{DOCUMENTS_SQL} SELECT sample_id, doc, line_no, md5(text) AS text FROM docs")
+def txt9_study_documents(spark, sf):
+    """Every line of every sample's macro and lattice file, from catalog and design."""
+    return _study_documents(spark, sf)[2].select("sample_id", "doc", "line_no", F.md5("text").alias("text"))
+
+
+_VALUE = lambda command, name: f"max(value) FILTER (var_idx = {next(r[0] for r in catalog.rows() if r[3] == command)}) AS {name}"
+
+
+@query(
+    f"{STAGE_SQL} SELECT sample_id, 'Morris_' || sample_id AS sample_name, '/hits/Morris_' || sample_id || '_hitsfile.txt' AS hits_file, {_VALUE('/main/detector_param/setTopGap ', 'gap')}, 17 AS sites, {float(sum(d.QX))!r}::DOUBLE AS sum_x, {float(sum(d.QY))!r}::DOUBLE AS sum_y,"
+    f" 525.0::DOUBLE * 1e-6::DOUBLE / 2.0::DOUBLE AS chip_z, {_VALUE('/main/electrode_param/setHeight ', 'height')}, {_VALUE('/main/electrode_param/setWidth ', 'width')}, {_VALUE('/main/detector_param/setTopThickness ', 'thickness')}, 1000000.0::DOUBLE AS n_sim,"
+    f" {', '.join(_VALUE(r[0], r[0]) for r in catalog.ODE)} FROM v GROUP BY sample_id"
+)
+def txt15_study_manifest(spark, sf):
+    """From catalog to manifest: design, documents, what they say, and the recurrence's inputs joined in; strict."""
+    values, params, lines = _study_documents(spark, sf)
+    records = study.manifest(lines, design.named_values(values, params, "ode"), "Morris_", "/hits")
+    total = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x)
+    return records.select(
+        "sample_id", "sample_name", "hits_file", "gap", F.size("qx").alias("sites"), total("qx").alias("sum_x"), total("qy").alias("sum_y"), "chip_z", "height", "width", "thickness", "n_sim", *[r[0] for r in catalog.ODE]
+    )
