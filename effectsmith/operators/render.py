@@ -70,10 +70,11 @@ def hits_of(lines: DataFrame, commands: DataFrame, allow_commented: bool) -> Dat
     return keyed.join(best, ["doc", "key"], "left").select("doc", "command", "new_line", "ord", F.col("best.line_no").alias("line_no"))
 
 
-def stopping(problems: DataFrame, message: Column) -> DataFrame:
-    """No rows, but the job fails with the message of any row of ``problems``: the check is a filter, which no
-    column pruning takes away. To be united with the rows that are to be guarded."""
-    return problems.filter(F.raise_error(message).isNull())
+def stopping(rows: DataFrame, bad: Column, message: Column) -> DataFrame:
+    """No rows, but the job fails with the message of any row that is ``bad``: the check is one filter expression,
+    which no column pruning takes away and whose message is not made before the row is known to be bad. To be
+    united with the rows that are to be guarded."""
+    return rows.filter(F.assert_true(~bad, message).isNotNull())
 
 
 def replaced_first(lines: DataFrame, commands: DataFrame, allow_commented: bool = False, append_if_missing: bool = False, required: bool = False) -> DataFrame:
@@ -86,7 +87,7 @@ def replaced_first(lines: DataFrame, commands: DataFrame, allow_commented: bool
     new = found.filter("line_no is not null").groupBy("doc", "line_no").agg(F.max_by("new_line", "ord").alias("new_line"))
     out = lines.join(new, ["doc", "line_no"], "left").select("doc", "line_no", F.coalesce("new_line", "text").alias("text"))
     if required and not append_if_missing:
-        absent = stopping(found.filter("line_no is null"), F.concat(F.lit("required command is missing from "), F.col("doc").cast("string"), F.lit(": "), F.trim("command")))
+        absent = stopping(found, F.col("line_no").isNull(), F.concat(F.lit("required command is missing from "), F.col("doc").cast("string"), F.lit(": "), F.trim("command")))
         out = out.unionByName(absent.select("doc", "line_no", F.col("new_line").alias("text")))
     if append_if_missing:
         last = lines.groupBy("doc").agg(F.max("line_no").alias("last"))
@@ -113,9 +114,10 @@ def first_lines(lines: DataFrame, commands: DataFrame) -> DataFrame:
     commands without a line are not there."""
     asked = commands.select("doc", "command").distinct()
     stripped = lines.select("doc", "line_no", F.regexp_replace("text", r"^\s+|\s+$", "").alias("line"))
-    pairs = prefix_pairs(stripped, asked, "line", whole_words=False)
-    first = pairs.groupBy("doc", "command").agg(F.min(F.struct("line_no", "line")).alias("f"))
-    return first.select("doc", "command", "f.line_no", "f.line")
+    # only line numbers meet the commands; the lines that were found are fetched by their numbers
+    pairs = prefix_pairs(stripped, asked, "line", whole_words=False).select("doc", "command", "line_no")
+    first = pairs.groupBy("doc", "command").agg(F.min("line_no").alias("line_no"))
+    return first.join(stripped, ["doc", "line_no"]).select("doc", "command", "line_no", "line")
 
 
 def rendered(template: DataFrame, overrides: DataFrame) -> DataFrame:
@@ -161,7 +163,7 @@ def checked_manifest(records: DataFrame, strict: bool = False) -> DataFrame:
     )
     checked = records.withColumn("problem", problem)
     if strict:
-        bad = stopping(checked.filter("problem is not null"), F.concat(F.col("sample_name"), F.lit(": "), F.col("problem")))
+        bad = stopping(checked, F.col("problem").isNotNull(), F.concat(F.col("sample_name"), F.lit(": "), F.col("problem")))
         return checked.filter("problem is null").unionByName(bad)
     return checked
 
