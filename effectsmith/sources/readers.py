@@ -12,6 +12,22 @@ MANIFEST_SCHEMA = (
 )
 
 
+def zero_byte_files(spark: SparkSession, path: str) -> DataFrame:
+    """(file) of files without any byte under a path or pattern: readers pass over them, so they are listed by the file
+    system, on the driver like every listing. Hidden files (``_``, ``.``) are none."""
+    jvm = spark._jvm
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    found = []
+    for status in fs.globStatus(root) or []:
+        files = fs.listFiles(status.getPath(), True)
+        while files.hasNext():
+            file = files.next()
+            if file.getLen() == 0 and file.getPath().getName()[0] not in "_.":
+                found.append((file.getPath().toString(),))
+    return spark.createDataFrame(found, "file string")
+
+
 def hits_csv_checked(spark: SparkSession, path: str, pattern: str = r"([^/]+?)_hitsfile") -> tuple[DataFrame, DataFrame]:
     """(rows, rejects) of many CSV files of hits. Each file's own header says where the five columns are; other
     columns may stand between them.
@@ -26,7 +42,7 @@ def hits_csv_checked(spark: SparkSession, path: str, pattern: str = r"([^/]+?)_h
     names = F.transform(F.split("text", ","), lambda c: F.regexp_replace(F.trim(c), '^"|"$', ""))
     is_header = F.forall(F.array(*[F.lit(c) for c in HITS_CSV]), lambda c: F.array_contains(names, c))
     files = lines.groupBy("file").agg(F.max(F.when(is_header, names)).alias("header"), F.count("*").alias("n"))
-    listed = spark.read.options(**options).format("binaryFile").load(path).select(F.col("path").alias("file"))
+    listed = spark.read.options(**options).format("binaryFile").load(path).select(F.col("path").alias("file")).unionByName(zero_byte_files(spark, path))
     empty = listed.select(sample("file").alias("sample_name")).join(files.select(sample("file").alias("sample_name")), "sample_name", "left_anti")
     whole = [
         empty.select("sample_name", F.lit("empty file").alias("reason")),
