@@ -141,12 +141,30 @@ def test_verdicts_equal_brute_force_mining(spark):
     assert sorted(got) == sorted(expected) and {v for _, v in got} == {"allow", "block"}
 
 
-def test_long_urls_have_few_tokens(spark):
+def test_long_urls_keep_all_tokens(spark):
     url = "http://" + ".".join("abcdefgh") + "/" + "/".join("s" * i for i in range(1, 300)) + "?" + "&".join(f"k{i}=1" for i in range(90))
     got = url_rules.filter_urls(spark.createDataFrame([(1, url), (None, url), (2, "http://a.net/")], "page_id long, url string"))
-    assert {(r["page_id"], r["verdict"]) for r in got.collect()} == {(1, "allow"), (None, "allow"), (2, "block")}
+    # the label a of a.net is the eighth from the end of the long URL's host
+    assert {(r["page_id"], r["verdict"]) for r in got.collect()} == {(1, "block"), (None, "block"), (2, "block")}
     frame = spark.createDataFrame([(url,)], "url string").select(url_rules.tokens_of(F.col("url"), url_rules.host_of(F.col("url")), url_rules.path_of(F.col("url"))).alias("t"))
-    assert len(frame.first()["t"]) == url_rules.LABELS + url_rules.SEGMENTS + url_rules.KEYS + 3
+    assert len(frame.first()["t"]) == 8 + 299 + 90
+
+
+def test_tokens_far_down_a_url_make_rules(spark):
+    deep = lambda i, last: f"http://h{i % 3}.x/" + "/".join(f"d{k}" for k in range(12)) + f"/{last}?a=1&b=2&c=3&d=4&e=5&f=6&g=7&{last}=1"
+    label = "a very long label of more than a hundred characters " * 3
+    rows = [(i, deep(i, "bad"), label) for i in range(40)] + [(i + 40, deep(i, "good"), "fine") for i in range(40)]
+    rows += [(100, "http://new.y/p?bad=2", None), (101, "http://new.y/p/good", None), (102, "http://new.y/d0", None)]
+    got = {r["page_id"]: r["verdict"] for r in url_rules.filter_urls(spark.createDataFrame(rows, "page_id long, url string, l string"), label_col="l", rules=(("x", "none/"),), default="?").collect()}
+    assert (got[100], got[101], got[102]) == (label, "fine", "?")
+
+
+def test_a_shared_long_url_is_one_item(spark):
+    """A third of all labelled pages have one URL of hundreds of tokens: their combinations are never listed."""
+    long = "http://a.net/" + "/".join(f"t{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(300))
+    rows = [(i, long) for i in range(60)] + [(i + 60, f"http://b.net/p{chr(97 + i % 20)}/x") for i in range(120)] + [(200, "http://q.com/tbb"), (201, "http://q.com/zz")]
+    got = {r["page_id"]: r for r in url_rules.filter_urls(spark.createDataFrame(rows, "page_id long, url string"), default="none").collect()}
+    assert got[200]["verdict"] == "block" and got[201]["verdict"] == "none"
 
 
 def brute(docs, items, threshold=0.8):
