@@ -137,16 +137,27 @@ class Model:
         return out
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        return [row[:2] for row in self.read(texts)]
+
+    def read(self, texts: list[str | None]) -> list[tuple[str, float, int, str | None, float]]:
+        """(language, score, switches, second language, its share) of every text: the language of the greatest mean
+        probability, and of the words' own labels how often they change, the most frequent other language (the
+        first by name of equal ones) and the share of words that have it; null and 0 where all words agree."""
         if not self.languages:
-            return [(UNKNOWN, 0.0)] * len(texts)
-        out = []
+            return [(UNKNOWN, 0.0, 0, None, 0.0)] * len(texts)
+        out: list[tuple[str, float, int, str | None, float]] = []
         for p in self.label(texts):
             if not len(p):
-                out.append((UNKNOWN, 0.0))
+                out.append((UNKNOWN, 0.0, 0, None, 0.0))
                 continue
             mean = p.mean(axis=0, dtype=np.float64)
             best = int(mean.argmax())
-            out.append((self.languages[best], min(max(float(mean[best]), 0.0), 1.0)))
+            words = p.argmax(axis=1)
+            held = np.bincount(words, minlength=len(self.languages))
+            held[best] = 0
+            other = int(held.argmax())
+            second = (self.languages[other], float(held[other]) / len(words)) if held[other] else (None, 0.0)
+            out.append((self.languages[best], min(max(float(mean[best]), 0.0), 1.0), int((words[1:] != words[:-1]).sum()), *second))
         return out
 
     def spans(self, text: str | None) -> list[tuple[str, str]]:
@@ -223,19 +234,18 @@ def learned(docs: DataFrame, usable=None, docs_per_language: int = DOCS_PER_LANG
 
 
 def labelled(docs: DataFrame, model: Model) -> DataFrame:
-    """(doc_id, lang_pred, score) of every row."""
+    """(doc_id, lang_pred, score, n_switches, second_lang, second_share) of every row (``Model.read``)."""
     rows = docs.select("doc_id", "text")
     shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS x languages weights
+    kinds = {"lang_pred": pa.string(), "score": pa.float64(), "n_switches": pa.int64(), "second_lang": pa.string(), "second_share": pa.float64()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for whole in batches:
             for start in range(0, whole.num_rows, 1000):
                 batch = whole.slice(start, 1000)
-                found = own.predict(batch.column("text").to_pylist())
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id"), pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())],
-                    ["doc_id", "lang_pred", "score"],
-                )
+                found = own.read(batch.column("text").to_pylist())
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array([x[i] for x in found], t) for i, t in enumerate(kinds.values()))], ["doc_id", *kinds])
 
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double")
+    columns = "lang_pred string, score double, n_switches long, second_lang string, second_share double"
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, {columns}")

@@ -19,7 +19,7 @@ PIECES = public_tokenizers.path("piece_bpe_32k.model")
 def op1_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = langid.learned(docs, usable=~fold("doc_id", 5, 0))
-    return langid.labelled(docs, model).select("doc_id", fold("doc_id", 5, 0).alias("held_out"), "lang_pred", "score")
+    return langid.labelled(docs, model).select("doc_id", fold("doc_id", 5, 0).alias("held_out"), "lang_pred", "score", "n_switches", "second_lang", "second_share")
 
 
 def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
