@@ -260,7 +260,9 @@ def train_round(chunks: DataFrame, share: np.ndarray, state: np.ndarray, turn: i
             yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([w], pa.list_(pa.float64()))], ["n", "w"])
 
     dealt = chunks.filter(F.pmod("place", F.lit(ROUNDS)) == turn).select(F.pmod(F.shiftright("place", 8), F.lit(shards)).alias("shard"), "place", "ids")
-    dealt = dealt.repartition(shards, "shard").sortWithinPartitions("shard", "place", "ids")
+    # a task takes its shards one after another, so their number is no number of tasks
+    tasks = min(shards, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    dealt = dealt.repartition(tasks, "shard").sortWithinPartitions("shard", "place", "ids")
     parts = written(dealt.mapInArrow(run, "n double, w array<double>"), "lm-shards")  # one row a shard
     parts = parts.repartition(math.isqrt(shards) + 1).mapInArrow(added, "n double, w array<double>")
     each = parts.select("n", F.posexplode("w").alias("place", "x"))
