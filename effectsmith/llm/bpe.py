@@ -31,7 +31,7 @@ from tokenizers.normalizers import NFC
 from tokenizers.pre_tokenizers import Split
 
 NONE = np.iinfo(np.int64).max
-CACHE_WORDS = 500_000
+CACHE_WORDS = 150_000
 ROWS_AT_ONCE = 1 << 21
 BLANKS = re.compile(r"[^\S\x1c-\x1f]+")
 LETTER = regex.compile(r"[\p{L}\p{N}]").match
