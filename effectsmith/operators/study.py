@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from effectsmith.functions.expressions import float_text
+from effectsmith.functions.lineage import written
 from effectsmith.operators import render
 from effectsmith.operators.design import sample_name
 from effectsmith.sources.catalog import PINNED
@@ -72,7 +73,9 @@ def places(template: DataFrame, commands: DataFrame) -> DataFrame:
 
 def rendered_documents(template: DataFrame, commands: DataFrame) -> DataFrame:
     """(sample_id, doc, line_no, text): the documents of every sample. ``commands``: (sample_id, doc, command,
-    new_line, ord); of several on one line the last in order wins."""
+    new_line, ord); of several on one line the last in order wins. They are written once: places, samples and
+    lines are all found from them."""
+    commands = written(commands, "study-commands")
     at = places(template, commands)
     overrides = commands.join(at, ["doc", "command"]).select("sample_id", "doc", "line_no", F.col("new_line").alias("text"), F.col("ord").alias("precedence"))
     added = at.join(template.select("doc", "line_no"), ["doc", "line_no"], "left_anti").select("doc", "line_no", F.lit(None).cast("string").alias("text")).distinct()
