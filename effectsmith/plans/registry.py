@@ -990,3 +990,16 @@ def txt15_study_manifest(spark, sf):
     return records.select(
         "sample_id", "sample_name", "hits_file", "gap", F.size("qx").alias("sites"), total("qx").alias("sum_x"), total("qy").alias("sum_y"), "chip_z", "height", "width", "thickness", "n_sim", *[r[0] for r in catalog.ODE]
     )
+
+
+@query(
+    f"WITH {d.MANIFEST_SQL}, t AS (SELECT sample_name, ['# ' || sample_name, '', '/main/setTopGap ' || gap::VARCHAR, '  /main/setPulse ' || pt::VARCHAR] AS l FROM manifest)"
+    " SELECT sample_name AS doc, CAST(generate_subscripts(l, 1) AS INTEGER) AS line_no, unnest(l) AS text FROM t"
+)
+def src4_text_files(spark, sf):
+    """Documents as files, read whole with line numbers."""
+    path = _fresh(spark, "macros")
+    texts = F.array(F.concat(F.lit("# "), F.col("sample_name")), F.lit(""), F.concat(F.lit("/main/setTopGap "), ex.float_text(F.col("gap"))), F.concat(F.lit("  /main/setPulse "), ex.float_text(F.col("pt"))))
+    lines = d.manifest(spark, sf).select("sample_name", F.posexplode(texts).alias("line_no", "text"))
+    writers.write_documents(lines, path, "sample_name")
+    return readers.text_lines(spark, path, r"sample_name=([^/]+)/")

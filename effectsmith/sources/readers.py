@@ -86,9 +86,12 @@ def manifest_jsonl(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(MANIFEST_SCHEMA).json(path)
 
 
-def text_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(doc, line_no, text) of text files read whole."""
-    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("doc"), "value")
+def text_lines(spark: SparkSession, path: str, pattern: str | None = None) -> DataFrame:
+    """(doc, line_no, text) of text files read whole; a line end at the end of a file starts no line. ``doc`` is the
+    file's path, or what the first group of ``pattern`` finds in it."""
+    file = F.col("_metadata.file_path")
+    doc = F.regexp_extract(file, pattern, 1) if pattern else file
+    whole = spark.read.text(path, wholetext=True).select(doc.alias("doc"), F.regexp_replace("value", r"\n\z", "").alias("value"))
     return split_lines(whole, "doc", "value")
 
 

@@ -26,6 +26,9 @@ def test_manifest_skips_blank_lines(spark, tmp_path):
 def test_text_lines(spark, tmp_path):
     (tmp_path / "a.mac").write_text("x 1\n\n# y")
     assert [(r["line_no"], r["text"]) for r in readers.text_lines(spark, str(tmp_path)).orderBy("line_no").collect()] == [(1, "x 1"), (2, ""), (3, "# y")]
+    (tmp_path / "b.mac").write_text("x\n\n")
+    named = readers.text_lines(spark, str(tmp_path), r"/([^/]+)\.mac$").filter("doc = 'b'").orderBy("line_no").collect()
+    assert [tuple(r) for r in named] == [("b", 1, "x"), ("b", 2, "")]
 
 
 def test_fresh_run_and_overwrite(spark, tmp_path):
