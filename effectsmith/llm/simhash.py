@@ -372,21 +372,23 @@ def near_links(named: DataFrame, sets: DataFrame, similarity: float) -> DataFram
     group of thousands of near copies costs a few rows a member, and no pair across components goes untested:
     a pair is left out only where the places of the run or the sets' parity bits show that it is not similar.
     """
-    keyed = written(set_keys(named, similarity), "near-prefixes")
+    keyed = set_keys(named, similarity)  # dealt by key once: counts and the join below stay where the rows are
     shared = keyed.groupBy("key").agg(F.count("*").alias("holders"), F.min(F.struct("node", "n", "place")).alias("c")).filter("holders > 1")
-    held = written(keyed.join(shared.select("key", F.col("c.node").alias("cnode"), F.col("c.n").alias("cn"), F.col("c.place").alias("cplace")), "key"), "near-keys")
+    held = written(keyed.join(shared.select("key", "holders", F.col("c.node").alias("cnode"), F.col("c.n").alias("cn"), F.col("c.place").alias("cplace")), "key"), "near-keys")
     stars = held.filter((F.col("node") != F.col("cnode")) & may_link("", "c", similarity)).select(F.col("cnode").alias("a"), F.col("node").alias("b"))
     stars = written(stars.distinct(), "near-stars")
     links, done = verified(named, sets, stars, similarity), stars
     found = links
+    # with two holders the pair is compared; later turns only see keys that were mixed before
+    undecided = held.filter("holders > 2").select("key", "node", "n", "place")
+    bits = sets.groupBy("node").agg(*[F.when(F.count("*") == 1, F.first(c)).alias(c) for c in BITS])
     for turn in range(1, TURNS + 1):
         roots = components(links)
-        of = sets.join(roots.withColumnRenamed("node", "set_id"), "set_id", "left").groupBy("node").agg(
-            F.min(F.coalesce("root", "set_id")).alias("root"), *[F.when(F.count("*") == 1, F.first(c)).alias(c) for c in BITS]
-        )
-        rooted = written(held.select("key", "node", "n", "place").join(written(of, "near-roots"), "node"), "near-rooted-keys")
+        of = sets.join(roots.withColumnRenamed("node", "set_id"), "set_id", "left").groupBy("node").agg(F.min(F.coalesce("root", "set_id")).alias("root"))
+        rooted = undecided.join(written(of, "near-roots"), "node").repartition("key")
         several = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("key")
-        mixed = written(rooted.join(several, "key"), "near-mixed")
+        mixed = written(rooted.join(several, "key").join(bits, "node"), "near-mixed")
+        undecided = mixed.select("key", "node", "n", "place")
         columns = ("node", "n", "place", "root", *BITS)
         side = lambda c, rows: rows.select("key", *[F.col(x).alias(f"{c}{x}") for x in columns])
         parts = mixed.groupBy("key", "root").agg(F.count("*").cast("double").alias("m")).groupBy("key").agg(F.sum("m").alias("m"), F.sum(F.col("m") * F.col("m")).alias("q"))
