@@ -127,8 +127,8 @@ def rendered(template: DataFrame, overrides: DataFrame) -> DataFrame:
     """
     samples = overrides.select("sample_id", "doc").distinct()
     best = overrides.groupBy("sample_id", "doc", "line_no").agg(F.max_by("text", "precedence").alias("new_text"))
-    every = samples.join(template, "doc")
-    return every.join(best, ["sample_id", "doc", "line_no"], "left").select("sample_id", "doc", "line_no", F.coalesce("new_text", "text").alias("text"))
+    every = samples.join(F.broadcast(template), "doc")  # a row a line of the template
+    return every.join(best.hint("merge"), ["sample_id", "doc", "line_no"], "left").select("sample_id", "doc", "line_no", F.coalesce("new_text", "text").alias("text"))
 
 
 def command_values(lines: DataFrame, commands: DataFrame) -> DataFrame:

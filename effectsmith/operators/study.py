@@ -29,7 +29,7 @@ def swept_commands(design: DataFrame, catalog: DataFrame) -> DataFrame:
     order, with commas in macros but blanks between whole numbers and in lattice files, whose keys keep their blank.
     """
     named = catalog.filter("target <> 'ode'").select("var_idx", "grp_ord", "command", "elem", "suffix", "is_int", F.col("target").alias("doc"))
-    rows = design.select("sample_id", "var_idx", "value").join(named, "var_idx")
+    rows = design.select("sample_id", "var_idx", "value").join(F.broadcast(named), "var_idx")  # a row a variable
     number = F.when(F.col("is_int"), F.rint("value").cast("int").cast("string")).otherwise(float_text(F.col("value")))
     items = F.array_sort(F.collect_list(F.struct("elem", number.alias("t"))))
     grouped = rows.groupBy("sample_id", "doc", "grp_ord", "command", "suffix", "is_int").agg(F.transform(items, lambda e: e["t"]).alias("items"))
@@ -74,10 +74,11 @@ def places(template: DataFrame, commands: DataFrame) -> DataFrame:
 def rendered_documents(template: DataFrame, commands: DataFrame) -> DataFrame:
     """(sample_id, doc, line_no, text): the documents of every sample. ``commands``: (sample_id, doc, command,
     new_line, ord); of several on one line the last in order wins. They are written once: places, samples and
-    lines are all found from them."""
+    lines are all found from them. Places and template have a row a line of the template: they are the sides that are
+    broadcast, never the samples' commands, which Parquet's compression lets the planner take for small."""
     commands = written(commands, "study-commands")
     at = places(template, commands)
-    overrides = commands.join(at, ["doc", "command"]).select("sample_id", "doc", "line_no", F.col("new_line").alias("text"), F.col("ord").alias("precedence"))
+    overrides = commands.join(F.broadcast(at), ["doc", "command"]).select("sample_id", "doc", "line_no", F.col("new_line").alias("text"), F.col("ord").alias("precedence"))
     added = at.join(template.select("doc", "line_no"), ["doc", "line_no"], "left_anti").select("doc", "line_no", F.lit(None).cast("string").alias("text")).distinct()
     return render.rendered(template.unionByName(added), overrides)
 
@@ -107,4 +108,4 @@ def manifest(lines: DataFrame, ode: DataFrame, prefix: str, hits_folder: str, st
         render.number_list(F.col("x")).alias("qx"), render.number_list(F.col("y")).alias("qy"), render.chip_z(F.col("sub").try_cast("double")).alias("chip_z"),
         number("height"), number("width"), render.first_number(F.col("top")).alias("thickness"), F.col("beam").try_cast("double").alias("n_sim"),
     )
-    return render.checked_manifest(records, strict).join(ode, "sample_id", "left")
+    return render.checked_manifest(records, strict).join(ode.hint("merge"), "sample_id", "left")
