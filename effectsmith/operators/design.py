@@ -260,7 +260,7 @@ def first_samples(design: DataFrame, most: int) -> DataFrame:
 def named_values(design: DataFrame, params: DataFrame, target: str) -> DataFrame:
     """One column for each variable of a target, one row a sample."""
     names = [r["name"] for r in params.filter(F.col("target") == target).orderBy("var_idx").select("name").collect()]
-    rows = design.join(params.select("var_idx", "name"), "var_idx").filter(F.col("name").isin(names))
+    rows = design.join(F.broadcast(params.select("var_idx", "name")), "var_idx").filter(F.col("name").isin(names))
     return rows.groupBy("sample_id").pivot("name", names).agg(F.first("value"))
 
 
