@@ -37,14 +37,16 @@ def state(spark: SparkSession, out: str) -> DataFrame:
 
 
 def start_totals(
-    spark: SparkSession, hits_path: str, manifest: DataFrame, out: str, checkpoint: str, files_per_batch: int = 200, header: list[str] | None = None, pattern: str = r"([^/]+?)_hitsfile"
+    spark: SparkSession, hits_path: str, manifest: DataFrame, out: str, checkpoint: str, files_per_batch: int = 200, header: list[str] | None = None, pattern: str | None = r"([^/]+?)_hitsfile"
 ):
-    """Starts the query over the hits CSV files there; returns it. The sample's name is in a file's path; ``header``
-    names the files' columns where they have others beside the five. Files without manifest entry wait for nobody:
+    """Starts the query over the hits CSV files there; returns it. The sample's name is in a file's path, or,
+    without ``pattern``, in the column sample_name of files of many samples; ``header`` names the files' columns where
+    they have others beside the five. Files without manifest entry wait for nobody:
     their hits are in no total."""
     source = spark.readStream.schema(hits_schema(header)).option("header", True).option("enforceSchema", False)
     files = source.option("recursiveFileLookup", True).option("maxFilesPerTrigger", files_per_batch).csv(hits_path)
-    hits = files.select(F.regexp_extract("_metadata.file_path", pattern, 1).alias("sample_name"), *[F.col(f"`{a}`").alias(b) for a, b in HITS_CSV.items()])
+    name = F.regexp_extract("_metadata.file_path", pattern, 1).alias("sample_name") if pattern else F.col("sample_name")
+    hits = files.select(name, *[F.col(f"`{a}`").alias(b) for a, b in HITS_CSV.items()])
     joined = hits.join(manifest.select("sample_name", "sample_id", "gap", "chip_z", "qx", "qy"), "sample_name")
     totals = assigned(surface_hits(joined)).groupBy("sample_id", "electrode").agg(F.sum("qps").alias("qps"), F.count("*").alias("hits"))
 

@@ -2,10 +2,12 @@
 
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from effectsmith.operators import design, render, series, study
-from effectsmith.sources import catalog, templates
+from effectsmith.plans import registry
+from effectsmith.sources import catalog, readers, templates, writers
 
 
 def planned(frame):
@@ -34,3 +36,55 @@ def test_series_records_are_not_shuffled(spark, tmp_path):
     plan = series.dg_records(qp, manifest)._jdf.queryExecution().executedPlan().toString()
     above = plan[: plan.index("MapInPandas")]
     assert "Exchange" not in above and "Join" not in above, above
+
+
+def files_under(path):
+    return [f for f in path.rglob("*") if f.is_file() and f.suffix in (".parquet", ".csv", ".txt")]
+
+
+FILE_QUERIES = ["src2_hits_and_rejects", "src2_src7_hits_csv", "src4_text_files", "src6_snk3_snk4_documents", "src7_file_listing", "snk4_nested_documents", "snk5_snk8_recomputed_samples", "str1_stateful_totals"]
+
+
+@pytest.mark.parametrize("name", FILE_QUERIES)
+def test_files_do_not_go_by_samples(spark, tmp_path, name, monkeypatch):
+    monkeypatch.setattr(registry, "_fresh", lambda spark, n: str(tmp_path / n))
+    sf = tmp_path / "sf"
+    sf.mkdir()
+    for t in ("supplier", "lineitem", "documents"):
+        spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet").coalesce(1).write.parquet(f"{sf}/{t}.parquet")
+    registry.QUERIES[name](spark, str(sf)).collect()
+    found = [f for f in files_under(tmp_path) if sf not in f.parents and "arriving-state" not in str(f)]
+    assert 0 < len(found) <= 40, len(found)  # of 100 samples and 1,000 documents
+
+
+def test_packed_files_are_read_as_loose_ones(spark, tmp_path):
+    rows = [("a/b", "Si", 1, "x 1"), ("a/b", "Si", 2, ""), ("a/b", "Si", 3, "# é"), (None, "Ge", 1, "z"), ("none", "Si", 1, None)]
+    writers.write_packed(spark.createDataFrame(rows, "name string, material string, line_no int, text string"), str(tmp_path / "p"), "name", "material")
+    lines = {(r["doc"], r["line_no"]): r["text"] for r in readers.packed_lines(spark, str(tmp_path / "p"), r"name=([^/]+)/").collect()}
+    assert lines == {("a%2Fb", 1): "x 1", ("a%2Fb", 2): "", ("a%2Fb", 3): "# é", ("__HIVE_DEFAULT_PARTITION__", 1): "z"}
+    listed = {r["sample_name"]: r["length"] for r in readers.packed_listing(spark, str(tmp_path / "p"), r"name=([^/]+)/").collect()}
+    assert listed == {"a%2Fb": 4 + 1 + 5, "__HIVE_DEFAULT_PARTITION__": 2, "none": 0}
+
+
+def test_packed_hits_are_judged_as_loose_ones(spark, tmp_path):
+    header = ",".join(readers.HITS_CSV)
+    files = {"Fine": [header, "1,2,3,4,5\r", "1,,3,4,5"], "Bare": ["1,2,3,4,5"], "Only": [header], "Blank": [" "], "Cut": ['"Event",' + header, "9,1,2,3", "9,x,2,3,4,5"], "Zero": [None]}
+    (tmp_path / "loose").mkdir()
+    for name, own in files.items():
+        (tmp_path / "loose" / f"{name}_hitsfile.txt").write_text("\n".join(t for t in own if t is not None))
+    lines = [(f"{name}_hitsfile", n, t) for name, own in files.items() for n, t in enumerate(own, 1)]
+    writers.write_packed(spark.createDataFrame(lines, "file string, line_no int, text string"), str(tmp_path / "packed"), "file")
+    both = [readers.hits_csv_checked(spark, str(tmp_path / "loose")), readers.packed_hits_checked(spark, str(tmp_path / "packed"), r"file=([^/]+?)_hitsfile")]
+    for loose, own in zip(*both, strict=True):
+        assert sorted(map(str, loose.collect())) == sorted(map(str, own.collect()))
+
+
+def test_last_run_of_every_sample_is_read(spark, tmp_path):
+    path = str(tmp_path / "records")
+    frame = lambda rows: spark.createDataFrame(rows, "sample_id long, v double")
+    writers.write_run(frame([(k, float(k)) for k in range(4)]), path, 0)
+    for _ in range(2):  # and again
+        writers.write_run(frame([(1, 10.0), (1, 11.0)]), path, 1)
+    got = readers.latest_records(spark, path)
+    assert sorted((r["sample_id"], r["v"]) for r in got.collect()) == [(0, 0.0), (1, 10.0), (1, 11.0), (2, 2.0), (3, 3.0)]
+    assert {r["sample_id"] for r in got.filter("run = 1").collect()} == {1}
