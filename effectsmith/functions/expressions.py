@@ -30,8 +30,13 @@ def nearest_bin(t_ns: Column) -> Column:
 
 def nearest_site(x_mm: Column, y_mm: Column, qx: Column, qy: Column) -> Column:
     """Index of the site of least distance, lowest index on ties; null without sites."""
-    distances = F.zip_with(qx, qy, lambda a, b: F.sqrt((x_mm - a) * (x_mm - a) + (y_mm - b) * (y_mm - b)))
-    return F.when(F.size(qx) > 0, (F.array_position(distances, F.array_min(distances)) - 1).cast("int"))
+    # one pass: the distances stand with their index, so they are not computed again to find it
+    def place(a: Column, i: Column) -> Column:
+        b = F.get(qy, i)
+        far = F.sqrt((x_mm - a) * (x_mm - a) + (y_mm - b) * (y_mm - b))
+        return F.when(x_mm.isNotNull() & y_mm.isNotNull() & a.isNotNull() & b.isNotNull(), F.struct(far.alias("far"), i.alias("i")))
+
+    return F.when(F.size(qx) > 0, F.array_min(F.transform(qx, place))["i"].cast("int"))
 
 
 def float_text(x: Column) -> Column:

@@ -9,6 +9,11 @@ the join is split.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -59,24 +64,38 @@ def totals_rollup(qp: DataFrame) -> DataFrame:
 
 
 def dense(qp: DataFrame, manifest: DataFrame) -> DataFrame:
-    """(sample_id, electrode, held_bins, qps array of all bins) for every site of every sample, zeros filled in.
+    """(sample_id, electrode, held_bins, qps array of all bins, their total) for every site of every sample, zeros filled in.
 
-    Arrays are built where the sparse counts already are, a bounded number of bins a key: the held bins in
-    order, each behind the zeros since the one before it.
+    Arrays are built where the sparse counts already are, a bounded number of bins a key: numpy puts the held bins of
+    some hundred keys into zeros at once.
     """
-    filled = qp.groupBy("sample_id", "electrode").agg(F.array_sort(F.collect_list(F.struct("bin", "qps"))).alias("held"))
+    filled = qp.groupBy("sample_id", "electrode").agg(F.collect_list(F.struct("bin", "qps")).alias("held"))
     sites = manifest.select("sample_id", F.explode(F.sequence(F.lit(0), F.size("qx") - 1)).alias("electrode"))
-    joined = sites.join(filled, ["sample_id", "electrode"], "left")
-    zeros = lambda n: F.array_repeat(F.lit(0.0), n)
-    last = F.concat(F.array(F.lit(-1)), F.col("held.bin"))
-    pieces = F.zip_with("held", F.slice(last, 1, F.size("held")), lambda h, p: F.concat(zeros((h["bin"] - p - 1).cast("int")), F.array(h["qps"])))
-    filled = F.concat(F.flatten(pieces), zeros((F.lit(BINS - 1) - F.element_at("held", -1)["bin"]).cast("int")))
-    return joined.select(
-        "sample_id",
-        "electrode",
-        F.coalesce(F.size("held"), F.lit(0)).cast("long").alias("held_bins"),
-        F.when(F.col("held").isNull(), zeros(F.lit(BINS))).otherwise(filled).alias("qps"),
-    )
+    joined = sites.join(filled, ["sample_id", "electrode"], "left").select("sample_id", "electrode", F.col("held.bin").alias("bin"), F.col("held.qps").alias("count"))
+    return joined.mapInArrow(_filled, f"sample_id {joined.schema['sample_id'].dataType.simpleString()}, electrode int, held_bins long, qps array<double>, total double")
+
+
+def zeros_filled(row: np.ndarray, count: pa.Array, size: int) -> pa.Array:
+    """``size`` numbers, each count at its place and zero elsewhere; null counts stay null."""
+    flat, known = np.zeros(size), count.is_valid().to_numpy(zero_copy_only=False)
+    flat[row] = count.to_numpy(zero_copy_only=False)
+    if known.all():
+        return pa.array(flat)
+    unknown = np.zeros(size, dtype=bool)
+    unknown[row[~known]] = True
+    return pa.array(flat, mask=unknown)
+
+
+def _filled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for whole in batches:
+        for start in range(0, whole.num_rows, 512):
+            batch = whole.slice(start, 512)
+            held = pc.fill_null(pc.list_value_length(batch.column("bin")), 0).to_numpy(zero_copy_only=False)
+            row = np.repeat(np.arange(batch.num_rows), held) * BINS + batch.column("bin").flatten().to_numpy(zero_copy_only=False)
+            flat = zeros_filled(row, batch.column("count").flatten(), batch.num_rows * BINS)
+            qps = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * BINS), flat)
+            total = pa.array(flat.to_numpy(zero_copy_only=False).reshape(-1, BINS).sum(axis=1), from_pandas=flat.null_count > 0)
+            yield pa.RecordBatch.from_arrays([batch.column("sample_id"), batch.column("electrode"), pa.array(held.astype(np.int64)), qps, total], ["sample_id", "electrode", "held_bins", "qps", "total"])
 
 
 def hit_counts(hits: DataFrame, manifest: DataFrame) -> DataFrame:

@@ -5,7 +5,8 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from effectsmith.operators import design, render, series, study
+from effectsmith.functions import expressions
+from effectsmith.operators import design, hits, render, series, study
 from effectsmith.plans import registry
 from effectsmith.sources import catalog, readers, templates, writers
 
@@ -88,3 +89,18 @@ def test_last_run_of_every_sample_is_read(spark, tmp_path):
     got = readers.latest_records(spark, path)
     assert sorted((r["sample_id"], r["v"]) for r in got.collect()) == [(0, 0.0), (1, 10.0), (1, 11.0), (2, 2.0), (3, 3.0)]
     assert {r["sample_id"] for r in got.filter("run = 1").collect()} == {1}
+
+
+def test_nearest_site_looks_at_every_site_once(spark):
+    frame = spark.createDataFrame([(0.0, 0.0, [1.0, -1.0, None, 0.5], [0.0, 0.0, 0.0]), (0.0, 0.0, [], []), (None, 0.0, [1.0], [1.0])], "x double, y double, qx array<double>, qy array<double>")
+    site = expressions.nearest_site(F.col("x"), F.col("y"), F.col("qx"), F.col("qy"))
+    assert [r[0] for r in frame.select(site.alias("s")).collect()] == [0, None, None]  # the lower of a tie; a site without y is none
+    assert site._jc.toString().lower().count("sqrt") == 1
+
+
+def test_dense_grid_has_its_totals(spark):
+    qp = spark.createDataFrame([(1, 1, 5, 2.0), (1, 1, 1000, 3.0), (1, 0, 0, None)], "sample_id long, electrode int, bin int, qps double")
+    own = spark.createDataFrame([(1, [0.0, 1.0, 2.0])], "sample_id long, qx array<double>")
+    rows = {r["electrode"]: r for r in hits.dense(qp, own).collect()}
+    assert {k: (r["held_bins"], len(r["qps"]), r["total"]) for k, r in rows.items()} == {0: (1, 1001, None), 1: (2, 1001, 5.0), 2: (0, 1001, 0.0)}
+    assert [b for b, x in enumerate(rows[1]["qps"]) if x] == [5, 1000] and rows[0]["qps"][0] is None
