@@ -194,7 +194,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return hashed.join(written(labels, "simhash-labels"), "fp")
 
 
-# --- near copies: prefix-filter join on five-word runs, exact verification ---------------------------
+# --- near copies: SimHash links, prefix-filter join on five-word runs, exact verification ---------------------------
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: The order of runs: one in ORDER_PART texts is counted for it, at most COMMON runs come last.
@@ -267,15 +267,18 @@ def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         names: list[bytes] = []
         bits: list[np.ndarray] = []
+        fps: list[int] = []
         for start in range(0, batch.num_rows, 500):
-            for name, own in sets_of(batch.column("text").slice(start, 500).to_pylist()):
+            texts = batch.column("text").slice(start, 500).to_pylist()
+            fps += map(fingerprint, texts)
+            for name, own in sets_of(texts):
                 names.append(name)
                 bits.append(parities(own))
         nodes = pa.array([node_of(n) for n in names], pa.int64())
         table = np.array(bits, dtype=np.int64).reshape(len(names), WORDS_OF_BITS)
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array(names, pa.binary()), nodes, *(pa.array(np.ascontiguousarray(table[:, k])) for k in range(WORDS_OF_BITS))],
-            ["doc_id", "set_id", "node", *BITS],
+            [batch.column("doc_id"), pa.array(names, pa.binary()), nodes, pa.array(np.array(fps, dtype=np.uint64).view(np.int64)), *(pa.array(np.ascontiguousarray(table[:, k])) for k in range(WORDS_OF_BITS))],
+            ["doc_id", "set_id", "node", "fp", *BITS],
         )
 
 
@@ -362,10 +365,22 @@ def may_be_alike(a: str, b: str, similarity: float) -> Column:
     return F.coalesce(differ <= most, F.lit(True))
 
 
+def fingerprint_pairs(sets: DataFrame) -> DataFrame:
+    """(a, b) nodes whose SimHash fingerprints link: by op9's Golay keys, a star within each fingerprint and a pair for
+    each link between two, so thousands of near copies are a row a member. ``sets``: node and fp."""
+    firsts = written(sets.groupBy("fp").agg(F.min("node").alias("first")), "near-fingerprints")
+    within = sets.join(firsts, "fp").select(F.col("first").alias("x"), F.col("node").alias("y"))
+    end = lambda c, n: firsts.select(F.col("fp").alias(c), F.col("first").alias(n))
+    between = links(firsts.select("fp")).join(end("a", "x"), "a").join(end("b", "y"), "b").select("x", "y")
+    both = within.unionByName(between).filter("x <> y")
+    return both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
 def near_links(named: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """(a, b): links of set names with the same components as all pairs of at least this similarity.
 
-    Two such sets share a run of their prefixes, and at the first they share the rest of both is long enough
+    SimHash gives the first pairs (``fingerprint_pairs``), verified like all others. At this similarity fingerprints may
+    differ in more bits than they link at, so the runs give the pairs that are left. Two such sets share a run of their prefixes, and at the first they share the rest of both is long enough
     (``may_link``). First every set is compared with one holder of each of its keys. Keys whose holders are
     still in several components go on: while they would give more than FEW pairs a row, their sets are
     compared with CENTRES other holders (at most TURNS times); at last all pairs across components are. So a
@@ -376,14 +391,15 @@ def near_links(named: DataFrame, sets: DataFrame, similarity: float) -> DataFram
     shared = keyed.groupBy("key").agg(F.count("*").alias("holders"), F.min(F.struct("node", "n", "place")).alias("c")).filter("holders > 1")
     held = written(keyed.join(shared.select("key", "holders", F.col("c.node").alias("cnode"), F.col("c.n").alias("cn"), F.col("c.place").alias("cplace")), "key"), "near-keys")
     stars = held.filter((F.col("node") != F.col("cnode")) & may_link("", "c", similarity)).select(F.col("cnode").alias("a"), F.col("node").alias("b"))
-    stars = written(stars.distinct(), "near-stars")
-    links, done = verified(named, sets, stars, similarity), stars
-    found = links
+    near = written(fingerprint_pairs(sets), "near-simhash")
+    stars = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(near, ["a", "b"], "left_anti")
+    done = written(near.unionByName(stars), "near-stars")
+    edges = found = verified(named, sets, done, similarity)
     # with two holders the pair is compared; later turns only see keys that were mixed before
     undecided = held.filter("holders > 2").select("key", "node", "n", "place")
     bits = sets.groupBy("node").agg(*[F.when(F.count("*") == 1, F.first(c)).alias(c) for c in BITS])
     for turn in range(1, TURNS + 1):
-        roots = components(links)
+        roots = components(edges)
         of = sets.join(roots.withColumnRenamed("node", "set_id"), "set_id", "left").groupBy("node").agg(F.min(F.coalesce("root", "set_id")).alias("root"))
         rooted = undecided.join(written(of, "near-roots"), "node").repartition("key")
         several = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("key")
@@ -403,10 +419,10 @@ def near_links(named: DataFrame, sets: DataFrame, similarity: float) -> DataFram
         pairs = across.select(F.least("xnode", "ynode").alias("a"), F.greatest("xnode", "ynode").alias("b"))
         pairs = written(pairs.distinct().join(done, ["a", "b"], "left_anti"), "near-pairs")
         found = verified(named, sets, pairs, similarity)
-        links, done = links.unionByName(found), done.unionByName(pairs)
+        edges, done = edges.unionByName(found), done.unionByName(pairs)
         if last:
             break
-    return links
+    return edges
 
 
 def verified(named: DataFrame, sets: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
@@ -433,8 +449,8 @@ def near_copies(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """
     rows = docs.select("doc_id", "text")
     kind = rows.schema["doc_id"].dataType.simpleString()
-    described = written(rows.mapInArrow(_described, f"doc_id {kind}, set_id binary, node long, " + ", ".join(f"{c} long" for c in BITS)), "near-rows")
-    sets = written(described.groupBy("set_id", "node").agg(F.min("doc_id").alias("first_id"), *[F.first(c).alias(c) for c in BITS]), "near-sets")
+    described = written(rows.mapInArrow(_described, f"doc_id {kind}, set_id binary, node long, fp long, " + ", ".join(f"{c} long" for c in BITS)), "near-rows")
+    sets = written(described.groupBy("set_id", "node").agg(F.min("doc_id").alias("first_id"), F.min("fp").alias("fp"), *[F.first(c).alias(c) for c in BITS]), "near-sets")
     roots = components(near_links(rows.filter("doc_id is not null"), sets.filter("first_id is not null"), similarity))
     rooted = sets.join(roots.withColumnRenamed("node", "set_id"), "set_id", "left").select("set_id", "first_id", F.coalesce("root", "set_id").alias("root"))
     rooted = written(rooted, "near-rooted")

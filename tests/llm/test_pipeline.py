@@ -136,3 +136,18 @@ def test_query_equals_sql(spark, name):
     for f in glob.glob(f"{SF}/*.parquet"):
         con.execute(f"create view {os.path.basename(f)[:-8]} as select * from '{f}'")
     assert rows_of(registry.QUERIES[name](spark, SF).toPandas()) == rows_of(con.execute(registry.ORACLES[name]).df())
+
+
+def test_near_duplicates_come_from_fingerprints_first(spark, monkeypatch):
+    from effectsmith.llm import simhash
+
+    docs, _ = odd_documents(spark)
+    seen = []
+    pairs, keys = simhash.fingerprint_pairs, simhash.set_keys
+    monkeypatch.setattr(simhash, "fingerprint_pairs", lambda sets: seen.append(pairs(sets)) or seen[-1])
+    monkeypatch.setattr(simhash, "set_keys", lambda rows, s: keys(rows, s).limit(0))  # without the join on runs
+    long = " ".join(f"word{k}" for k in range(400))
+    other = next(t for t in (f"{long} more{k}" for k in range(100)) if bin(simhash.fingerprint(t) ^ simhash.fingerprint(long)).count("1") in (1, 2))
+    docs = docs.limit(0).unionByName(spark.createDataFrame([(1, long, None, None, 0, None, None), (2, other, None, None, 0, None, None), (3, "wholly other words", None, None, 0, None, None)], ODD))
+    assert {r["doc_id"] for r in corpus_pipeline.near_duplicate_stage(spark, docs, SF).collect()} == {1, 3}
+    assert len(seen) == 1 and seen[0].count() == 1
