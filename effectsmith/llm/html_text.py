@@ -29,10 +29,10 @@ import html
 import math
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -44,7 +44,7 @@ LOOSE_SHARE, ARTICLE_SHARE = 0.01, 0.5
 SLICE = 1000
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
-BLANKS = re.compile(r"\s+")
+WINDOW = 1 << 16
 # Elements of HTML by what they do to text.
 RAW = frozenset("script style textarea title noscript template iframe svg math object xmp noembed noframes".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
@@ -62,6 +62,7 @@ MARKS = frozenset(
     " footer header masthead comment comments disqus replies reply respond share sharing social related recommended login signup"
     " toolbar pagination pager skip".split()
 )
+RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.I) for tag in RAW}
 NAME_PARTS = re.compile(r"[a-z]+")
 CLOSED_BY = {"p": BLOCK - {"body", "html"}, "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "td": frozenset(["td", "th", "tr"]), "th": frozenset(["td", "th", "tr"]), "tr": frozenset(["tr"]), "option": frozenset(["option", "optgroup"])}
 LOOSE, ARTICLE, BOILER = 0, 1, 2
@@ -87,6 +88,9 @@ def is_furniture(tag: str, attributes: str) -> bool:
     return False
 
 
+known_furniture = lru_cache(1 << 14)(is_furniture)
+
+
 def blocks_of(page: str | None) -> list[tuple[int, str]]:
     """(place, text) of every block with text, in page order."""
     out: list[tuple[int, str]] = []
@@ -99,49 +103,59 @@ def blocks_of(page: str | None) -> list[tuple[int, str]]:
     raw_until = ""
 
     def flush() -> None:
-        if parts:
-            text = BLANKS.sub(" ", html.unescape("".join(parts))).strip()
-            if text:
-                out.append((place, text))
-            parts.clear()
+        text = parts[0] if len(parts) == 1 else "".join(parts)
+        parts.clear()
+        if "&" in text:
+            text = html.unescape(text)
+        text = " ".join(text.split())
+        if text:
+            out.append((place, text))
 
     for m in TAG.finditer(page):
-        tag = (m[3] or "").lower()
+        data, closing, name, attributes = m.groups()
+        tag = name.lower() if name else ""
         if raw_until:
-            if m[2] and tag == raw_until:
+            if closing and tag == raw_until:
                 raw_until, at = "", m.end()
             continue
-        if m.start() > at:
-            parts.append(page[at : m.start()])
-        at = m.end()
+        start, end = m.span()
+        if start > at:
+            parts.append(page[at:start])
+        at = end
         if not tag:
-            if m[1]:
-                parts.append(html.escape(m[1]))
+            if data:
+                parts.append(html.escape(data))
             continue
-        if tag in BLOCK:
-            flush()
+        block = tag in BLOCK
+        if block:
+            if parts:
+                flush()
         elif tag == "br":
             parts.append(" ")
-        if m[2]:
+        if closing:
+            if stack and stack[-1][0] == tag:
+                stack.pop()
+                place = stack[-1][1] if stack else LOOSE
+                continue
             for depth in range(len(stack) - 1, -1, -1):
                 if stack[depth][0] == tag:
-                    if tag not in BLOCK and any(t in BLOCK for t, _ in stack[depth + 1 :]):
+                    if not block and any(t in BLOCK for t, _ in stack[depth + 1 :]):
                         break
                     del stack[depth:]
                     place = stack[-1][1] if stack else LOOSE
                     break
             continue
         if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I).search(page, at)
-            if m[4].endswith("/") and tag in ("svg", "math"):
+            if attributes.endswith("/") and tag in ("svg", "math"):
                 continue
-            if end is None:
+            found = RAW_END[tag].search(page, at)
+            if found is None:
                 at = len(page)
                 break
             raw_until = tag
-            at = end.start()
+            at = found.start()
             continue
-        if tag in BLOCK:
+        if block:
             for depth in range(len(stack) - 1, -1, -1):
                 top = stack[depth][0]
                 if top in CLOSED_BY:
@@ -151,42 +165,65 @@ def blocks_of(page: str | None) -> list[tuple[int, str]]:
                     break
                 if top in BLOCK:
                     break
-        if tag in VOID or m[4].endswith("/"):
+        if tag in VOID or attributes.endswith("/"):
             continue
-        if place == BOILER or is_furniture(tag, m[4]):
+        if place == BOILER or tag in FURNITURE or (attributes and (known_furniture if len(attributes) < 200 else is_furniture)(tag, attributes)):
             inner = BOILER
         elif tag in CORE:
             inner = ARTICLE
         else:
             inner = place
-        if inner != place and tag not in BLOCK:
+        if inner != place and not block:
             inner = place if inner != BOILER else BOILER
-            flush()
+            if parts:
+                flush()
         stack.append((tag, inner))
         place = inner
     if not raw_until and at < len(page):
         parts.append(page[at:])
-    flush()
+    if parts:
+        flush()
     return out
 
 
+def stable_order(key: np.ndarray) -> np.ndarray:
+    """As a stable argsort; where 63 bits hold key and place, they are sorted together, which is several times faster."""
+    n = len(key)
+    low, bits = (key.min(), n.bit_length()) if n else (0, 0)
+    if n and int(key.max() - low).bit_length() + bits < 63:
+        both = (key - low << bits) | np.arange(n)
+        both.sort()
+        return both & ((1 << bits) - 1)
+    return np.argsort(key, kind="stable")
+
+
 def suffix_array(stream: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     """Suffixes sorted by their first ``depth`` tokens, and the rank of each; equal rank, equal prefix.
 
-    Prefix doubling: ranks by one token, then by 2, 4 ... tokens, each round from pairs of earlier ranks.
+    Prefix doubling: ranks by one token, then by 2, 4 ... tokens, each round from pairs of earlier ranks. A rank
+    is the place where its group of equal prefixes begins, so only groups of several suffixes are sorted again.
     """
     n = len(stream)
-    _, rank = np.unique(stream, return_inverse=True)
-    rank = rank.astype(np.int64) + 1
+    order = stable_order(stream)
+    rank = np.empty(n, dtype=np.int64)
+    slots, suffixes, key = np.arange(n), order, stream[order]
     have = 1
-    while have < depth:
+    while True:
+        first = np.ones(len(slots), dtype=bool)
+        first[1:] = key[1:] != key[:-1]
+        rank[suffixes] = slots[np.maximum.accumulate(np.where(first, np.arange(len(slots)), 0))]
+        if have >= depth:
+            return order, rank
+        shared = ~first
+        shared[:-1] |= shared[1:]
+        slots, suffixes = slots[shared], suffixes[shared]
         step = min(have, depth - have)
-        other = np.zeros(n, dtype=np.int64)
-        other[: n - step] = rank[step:]
-        _, rank = np.unique(rank * (n + 2) + other, return_inverse=True)
-        rank = rank.astype(np.int64) + 1
+        after = suffixes + step
+        key = rank[suffixes] * (n + 1) + np.where(after < n, rank[np.minimum(after, n - 1)] + 1, 0)
+        by = stable_order(key)
+        suffixes, key = suffixes[by], key[by]
+        order[slots] = suffixes
         have += step
-    return np.argsort(rank, kind="stable"), rank
 
 
 def run_pages(stream: np.ndarray, page: np.ndarray, min_run: int = MIN_RUN) -> np.ndarray:
@@ -221,27 +258,46 @@ def covered(starts: np.ndarray, min_run: int = MIN_RUN) -> np.ndarray:
 Block = tuple[int, str]
 
 
-def streams(pages: list[tuple[object, list[Block]]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Tokens (32-bit word hashes; block ends are negative and unique), page numbers and places."""
-    code: dict[str, int] = {}
-    number: dict[object, int] = {}
-    tokens: list[int] = []
-    of_page: list[int] = []
-    of_place: list[int] = []
-    end = -1
-    for page, blocks in pages:
-        who = number.setdefault(page, len(number))
-        for place, text in blocks:
-            words = text.split(" ")
-            for w in words:
-                if w not in code:
-                    code[w] = xxhash.xxh32_intdigest(w.encode("utf-8", "surrogatepass"))
-            tokens += map(code.__getitem__, words)
-            tokens.append(end)
-            end -= 1
-            of_page += [who] * (len(words) + 1)
-            of_place += [place] * (len(words) + 1)
-    return np.array(tokens, dtype=np.int64), np.array(of_page, dtype=np.int64), np.array(of_place, dtype=np.int64)
+def window_codes(lines: str) -> np.ndarray:
+    """32-bit hash of every word of the lines, never 0, and a 0 behind each line; all lines end with a line end.
+
+    A multilinear hash: the sum of the word's bytes, each times a 64-bit number of its place in the word.
+    """
+    raw = np.frombuffer(lines.encode("utf-8", "surrogatepass"), dtype=np.uint8)
+    ends = np.flatnonzero((raw == 32) | (raw == 10))
+    starts = np.concatenate([[0], ends[:-1] + 1])
+    place = np.arange(len(raw)) - np.repeat(starts, ends - starts + 1)
+    weight = np.arange(1, int(place.max()) + 2, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        weight = (weight ^ (weight >> np.uint64(shift))) * np.uint64(factor)
+    value = (weight ^ (weight >> np.uint64(31)))[place]
+    value *= raw.astype(np.uint16) + np.uint16(1)
+    value[ends] = 0
+    line_end = raw[ends] == 10
+    out = np.zeros(len(ends) + int(line_end.sum()), dtype=np.uint32)
+    out[np.arange(len(ends)) + np.cumsum(line_end) - line_end] = np.maximum(np.add.reduceat(value, starts) >> np.uint64(32), 1)
+    return out
+
+
+def codes_of(texts: list[str]) -> np.ndarray:
+    """Word hashes of the texts (of blocks), a 0 behind each text; WINDOW characters or one text at a time."""
+    windows: list[list[str]] = []
+    size = WINDOW
+    for text in texts:
+        if size >= WINDOW:
+            windows.append([])
+            size = 0
+        windows[-1].append(text)
+        size += len(text)
+    return np.concatenate([np.zeros(0, dtype=np.uint32), *(window_codes("\n".join([*w, ""])) for w in windows)])
+
+
+def with_ends(tokens: np.ndarray) -> np.ndarray:
+    """Tokens with block ends (0) made negative and unique."""
+    stream = tokens.astype(np.int64)
+    ends = np.flatnonzero(stream == 0)
+    stream[ends] = -1 - np.arange(len(ends))
+    return stream
 
 
 def run_hashes(stream: np.ndarray, min_run: int = MIN_RUN) -> np.ndarray:
@@ -271,10 +327,17 @@ def texts_of(pages: list[tuple[object, list[Block]]], n_pages: int | None = None
     Of a slice ``n_pages`` is the number of the whole host's pages and ``known`` has ascending hashes of its
     runs on enough pages and the number of their pages; else both come from the pages given.
     """
-    stream, of_page, of_place = streams(pages)
+    number: dict[object, int] = {}
+    who = [number.setdefault(page, len(number)) for page, _ in pages]
+    stream = with_ends(codes_of([text for _, blocks in pages for _, text in blocks]))
+    ends = np.flatnonzero(stream < 0)
+    firsts = np.concatenate([[0], ends + 1])[:-1]
+    lengths = ends - firsts + 1
+    of_place = np.repeat(np.array([place for _, blocks in pages for place, _ in blocks], dtype=np.int64), lengths)
     if known is None:
-        n_pages = len({p for p, _ in pages})
-        count = run_pages(stream, of_page, min_run)
+        n_pages = len(number)
+        owner = np.repeat(np.array(who, dtype=np.int64), [len(blocks) for _, blocks in pages])
+        count = run_pages(stream, np.repeat(owner, lengths), min_run)
     else:
         runs, held = known
         count = np.ones(len(stream), dtype=np.int64)
@@ -284,19 +347,21 @@ def texts_of(pages: list[tuple[object, list[Block]]], n_pages: int | None = None
             count[: len(own)] = np.where((runs[at] == own) & whole_runs(stream, min_run), held[at], 1)
     enough = np.where(of_place == ARTICLE, needed(ARTICLE_SHARE, n_pages, min_pages), needed(LOOSE_SHARE, n_pages, min_pages))
     boilerplate = covered(count >= enough, min_run) | (of_place == BOILER)
-    out, first = [], 0
+    upto = np.concatenate([[0], np.cumsum(boilerplate)])
+    sizes = zip(firsts.tolist(), ends.tolist(), (upto[ends] - upto[firsts]).tolist(), strict=True)
+    out = []
     for _, blocks in pages:
-        kept: list[tuple[int, list[str]]] = []
-        for place, text in blocks:
-            words = text.split(" ")
-            unique = [w for w, c in zip(words, boilerplate[first : first + len(words)].tolist(), strict=True) if not c]
-            first += len(words) + 1
-            if unique:
-                kept.append((place, unique))
-        words_in = {p: sum(len(u) for q, u in kept if q == p) for p in (LOOSE, ARTICLE)}
-        if words_in[ARTICLE] >= words_in[LOOSE]:
-            kept = [(p, u) for p, u in kept if p == ARTICLE]
-        out.append(" ".join(" ".join(u) for _, u in kept))
+        kept: list[tuple[int, str]] = []
+        words_in = [0, 0, 0]
+        for (place, text), (first, end, gone) in zip(blocks, sizes, strict=False):
+            if gone == end - first:
+                continue
+            if gone:
+                text = " ".join(w for w, c in zip(text.split(" "), boilerplate[first:end].tolist(), strict=True) if not c)
+            kept.append((place, text))
+            words_in[place] += end - first - gone
+        whole = words_in[ARTICLE] < words_in[LOOSE]
+        out.append(" ".join(text for place, text in kept if whole or place == ARTICLE))
     return out
 
 
@@ -307,15 +372,28 @@ def main_texts(pages: list[tuple[object, str | None]], min_run: int = MIN_RUN, m
 
 def _coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        codes = [streams([(0, blocks_of(source))])[0] for source in batch.column("html").to_pylist()]
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("host", "slice", "page")), pa.array([np.maximum(c, -1).astype(np.int64) for c in codes], pa.list_(pa.int64()))], ["host", "slice", "page", "codes"])
+        for start in range(0, batch.num_rows, 500):
+            part = batch.slice(start, 500)
+            found = [blocks_of(source) for source in part.column("html").to_pylist()]
+            codes = codes_of([text for blocks in found for _, text in blocks])
+            block_ends = np.concatenate([[0], np.flatnonzero(codes == 0) + 1])
+            offsets = block_ends[np.cumsum([0, *map(len, found)])]
+            lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(codes.view(np.int32)))
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("host", "slice", "page")), lists], ["host", "slice", "page", "codes"])
+
+
+def _tokens(codes: pa.ListArray) -> list[np.ndarray]:
+    """The codes of every page, block ends 0."""
+    offsets = codes.offsets.to_numpy()
+    values = codes.values.to_numpy().view(np.uint32)
+    return [values[a:b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
 
 
 def _slices(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[list[tuple]]:
     """Consecutive rows of equal host and slice: about SLICE pages."""
     group: list[tuple] = []
     for batch in batches:
-        for row in zip(*(batch.column(c).to_pylist() for c in columns), strict=True):
+        for row in zip(*(_tokens(batch.column(c)) if c == "codes" else batch.column(c).to_pylist() for c in columns), strict=True):
             if group and group[0][:2] != row[:2]:
                 yield group
                 group = []
@@ -327,9 +405,7 @@ def _slices(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[l
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for group in _slices(batches, ["host", "slice", "page", "codes"]):
         pages = {row[2]: row[3] for row in group}
-        stream = np.array([x for codes in pages.values() for x in codes], dtype=np.int64)
-        ends = stream < 0
-        stream[ends] = -1 - np.arange(int(ends.sum()))  # block ends occur once
+        stream = with_ends(np.concatenate(list(pages.values())))
         count = run_pages(stream, np.repeat(np.arange(len(pages)), [len(c) for c in pages.values()]))
         own = run_hashes(stream)
         chosen = np.unique(own[(count[: len(own)] >= math.ceil(LOOSE_SHARE * len(pages) - 1e-9)) & whole_runs(stream)])
@@ -340,10 +416,12 @@ def _page_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for start in range(0, batch.num_rows, 200):
             part = batch.slice(start, 200)
-            streams_ = [np.array(c, dtype=np.int64) for c in part.column("codes").to_pylist()]
-            runs = [np.unique(run_hashes(s)[whole_runs(s)]) for s in streams_]
-            owner = pa.array(np.repeat(np.arange(len(runs)), [len(r) for r in runs]))
-            yield pa.RecordBatch.from_arrays([part.column("host").take(owner), part.column("page").take(owner), pa.array(np.concatenate(runs) if runs else [], pa.int64())], ["host", "page", "run"])
+            pages = _tokens(part.column("codes"))
+            stream = with_ends(np.concatenate(pages))
+            inside = np.flatnonzero(whole_runs(stream))  # pages end with a block's end, so no run crosses them
+            owner = pa.array(np.repeat(np.arange(len(pages)), [len(p) for p in pages])[inside])
+            runs = pa.array(run_hashes(stream)[inside], pa.int64())
+            yield pa.RecordBatch.from_arrays([part.column("host").take(owner), part.column("page").take(owner), runs], ["host", "page", "run"])
 
 
 def decided(rows: DataFrame, hot: DataFrame) -> DataFrame:
@@ -352,7 +430,7 @@ def decided(rows: DataFrame, hot: DataFrame) -> DataFrame:
     ``rows``: (host, slice, page, html) of these hosts. A run needs LOOSE_SHARE of the pages, so a host's
     runs are at most 1 / LOOSE_SHARE times the tokens of a mean page.
     """
-    coded = rows.mapInArrow(_coded, "host string, slice long, page long, codes array<long>")
+    coded = rows.mapInArrow(_coded, "host string, slice long, page long, codes array<int>")
     sliced = coded.repartition("host", "slice").sortWithinPartitions("host", "slice", "page")
     candidates = written(sliced.mapInArrow(_candidates, "host string, run long").distinct(), "html-candidates")
     met = coded.select("host", "page", "codes").mapInArrow(_page_runs, "host string, page long, run long").join(candidates, ["host", "run"], "left_semi")
@@ -365,6 +443,8 @@ def decided(rows: DataFrame, hot: DataFrame) -> DataFrame:
 def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         found = [blocks_of(source) for source in batch.column("html").to_pylist()]
+        # furniture of hosts of many slices has been counted and is never main text
+        found = [[b for b in blocks if b[0] != BOILER] if hot else blocks for blocks, hot in zip(found, batch.column("hot").to_pylist(), strict=True)]
         columns = [pa.array([[p for p, _ in b] for b in found], pa.list_(pa.int32())), pa.array([[t for _, t in b] for b in found], pa.list_(pa.string()))]
         yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("host", "slice", "page", "page_id", "url")), *columns], ["host", "slice", "page", "page_id", "url", "places", "texts"])
 
@@ -399,7 +479,7 @@ def extracted(pages: DataFrame, slice_pages: int = SLICE) -> DataFrame:
     dealt = rows.join(hot, "host", "left").withColumn("slice", F.when(F.col("slices").isNull(), F.lit(0)).otherwise(F.pmod("page", F.col("slices"))).cast("long"))
     known = decided(dealt.filter("slices is not null").select("host", "slice", "page", "html"), hot)
     first = known.select("host", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1)).alias("slice"), "n", "runs", "counts")
-    texts = dealt.select("host", "slice", "page", "page_id", "url", "html").mapInArrow(
+    texts = dealt.select("host", "slice", "page", "page_id", "url", "html", F.col("slices").isNotNull().alias("hot")).mapInArrow(
         _parsed, "host string, slice long, page long, page_id long, url string, places array<int>, texts array<string>"
     )
     every = texts.unionByName(first, allowMissingColumns=True).repartition("host", "slice")

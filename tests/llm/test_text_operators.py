@@ -3,10 +3,12 @@ import math
 import os
 import random
 import re
+import time
 import unicodedata
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -155,6 +157,63 @@ def test_suffix_array_against_sorting():
     assert all((rank[i] == rank[j]) == (key(i) == key(j)) for i in range(0, 300, 7) for j in range(0, 300, 11))
 
 
+def test_suffix_array_of_fewer_tokens_than_its_depth():
+    for n in range(1, 6):
+        stream = np.arange(n) % 2
+        order, rank = html_text.suffix_array(stream, 8)
+        assert list(order) == sorted(range(n), key=lambda i: tuple(stream[i:]))  # noqa: B023
+        assert len(set(rank.tolist())) == n
+
+
+def test_word_codes_are_the_same_in_every_window():
+    words = sorted({"é", "\0", "\0\0", "a", "aa", "😀", "z" * 5000, *(f"w{i}" for i in range(30_000))})
+    together = html_text.codes_of([" ".join(words)])
+    alone = html_text.codes_of(words * 3)
+    assert together[-1] == 0 and len(set(together.tolist())) >= len(words)  # of 30,000 words 0.1 pairs are expected to meet
+    assert (alone[::2] == np.tile(together[:-1], 3)).all() and not alone[1::2].any()
+    assert html_text.codes_of([]).tolist() == []
+
+
+def test_extraction_costs_a_few_scans_of_the_page():
+    """CPU time of one slice of a large host through all its steps, in scans of its tags: 20 to 24, 47 before."""
+    r = random.Random(2)
+    words = ["".join(r.choice("aeinrst") for _ in range(r.randint(2, 9))) for _ in range(30_000)]
+    say = lambda n: " ".join(r.choice(words) for _ in range(n))
+    link = lambda: f'<li><a href="/{say(1)}">{say(1)}</a></li>'
+    pages = [
+        f"<html><head><title>{say(5)}</title><style>p{{}}</style></head><body><nav><ul>{''.join(link() for _ in range(6))}</ul></nav><div class='ad'>{say(6)}</div>"
+        f"<article>{''.join(f'<p>{say(40)} &amp; <b>{say(2)}</b><br>{say(5)}</p>' for _ in range(12))}</article><footer>same words below each page of this host</footer></body></html>"
+        for _ in range(600)
+    ]
+    columns = {"host": ["h"] * 600, "slice": [0] * 600, "page": list(range(600)), "page_id": list(range(600)), "url": ["u"] * 600, "html": pages, "hot": [True] * 600}
+    first = {"host": "h", "slice": 0, "n": 600, "runs": [1, 2], "counts": [600, 600]}
+
+    batch = pa.RecordBatch.from_pydict(columns)
+    coded = list(html_text._coded(iter([batch])))
+    parsed = pa.Table.from_batches(html_text._parsed(iter([batch]))).to_pylist()
+    dealt = pa.Table.from_pylist([first | dict.fromkeys(["page", "page_id", "url", "places", "texts"]), *(row | dict.fromkeys(["n", "runs", "counts"]) for row in parsed)])
+    extract = lambda: [t for out in html_text._extract(iter(dealt.to_batches())) for t in out.column("text").to_pylist()]
+
+    def cost(run):
+        times = []
+        for _ in range(4):
+            began = time.process_time()
+            run()
+            times.append(time.process_time() - began)
+        return min(times)
+
+    scan = cost(lambda: [sum(1 for _ in html_text.TAG.finditer(p)) for p in pages])
+    steps = [
+        2 * cost(lambda: list(html_text._coded(iter([batch])))),  # for the candidates and for their count
+        cost(lambda: list(html_text._candidates(iter(coded)))),
+        cost(lambda: list(html_text._page_runs(iter(coded)))),
+        cost(lambda: list(html_text._parsed(iter([batch])))),
+        cost(extract),
+    ]
+    assert len(extract()) == 600 and all(" & " in t and "below" not in t for t in extract())
+    assert sum(steps) < 36 * scan
+
+
 def test_extraction_over_hosts(spark):
     rows = [(1, "http://a.x/1", "<article>hi</article>"), (2, None, None), (1, "http://a.x/1", "<article>hi</article>")]
     got = html_text.extracted(spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("host", F.lit(1))).collect()
