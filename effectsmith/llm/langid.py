@@ -8,8 +8,10 @@ language is the label with the greatest mean probability, which is its score.
 
 Training: all windows of WINDOW words of the whole texts of at most DOCS_PER_LANGUAGE documents a language
 (those of least hash of the id and text, a bound on rows). Every word of a window carries its document's
-label; some windows are spliced from two languages, which teaches the transitions. Languages are those
-that occur in the training rows and are taken to be few (their weights fit the driver).
+label; some windows are spliced from two languages, which teaches the transitions. Each round computes the
+gradient of chunks of CHUNK windows in tasks, as whole multiples of 1 / STEPS, so the sum is the same in any order;
+the driver gets at most PARTS gradients of fixed size and no text. Languages are those that occur in the
+training rows and are taken to be few (their weights fit the driver).
 
 Defined results: null text or text without letters: ``und`` with score 0, no labels; a text whose labels
 tie gets the first language by name; repeated rows are labelled each; without any training row all texts
@@ -27,8 +29,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from effectsmith.functions.lineage import written
+
 DOCS_PER_LANGUAGE = 250
 WINDOW = 24
+#: Windows of a chunk, tasks of a round, and steps of a gradient from 0 to 1.
+CHUNK = 4096
+PARTS = 8
+STEPS = float(1 << 32)
 BUCKETS = 1 << 16
 ROUNDS = 18
 UNKNOWN = "und"
@@ -166,42 +174,115 @@ class Model:
         return [(w, self.languages[int(i)]) for w, i in zip(words_of(text), p.argmax(axis=1) if len(p) else [], strict=True)]
 
 
-def train(windows: list[tuple[str, list[str]]], rounds: int = ROUNDS) -> Model:
-    """Model from windows (language, words): gradient of the log-likelihood, step sizes by Adagrad."""
-    languages = sorted({lang for lang, _ in windows})
-    k = len(languages)
-    if not k:
-        return Model([], np.zeros((BUCKETS, 0)), np.zeros((0, 0)))
+@dataclass
+class Chunk:
+    """Coded windows: ``grid`` the word numbers and ``gold`` the labels by (place, window), ``length`` the words of each
+    window, ``size`` the features of each word and ``bucket`` these features, word by word."""
+
+    grid: np.ndarray
+    gold: np.ndarray
+    length: np.ndarray
+    size: np.ndarray
+    bucket: np.ndarray
+
+    def pack(self) -> list[bytes]:
+        return [x.astype(t).tobytes() for x, t in zip((self.grid, self.gold, self.length, self.size, self.bucket), PACKED.values(), strict=True)]
+
+    @classmethod
+    def unpack(cls, packed: list[bytes]) -> Chunk:
+        grid, gold, length, size, bucket = (np.frombuffer(x, dtype=t).astype(np.intp) for x, t in zip(packed, PACKED.values(), strict=True))
+        return cls(grid.reshape(WINDOW, -1), gold.reshape(WINDOW, -1), length, size, bucket)
+
+    def gradient(self, weights: np.ndarray, transition: np.ndarray) -> np.ndarray:
+        """Gradient of the log-likelihood by the weights, then by the transitions, in steps."""
+        k, n_words = len(transition), len(self.size)
+        row = np.repeat(np.arange(n_words), self.size)
+        live = np.arange(WINDOW)[:, None] < self.length[None, :]
+        e = np.column_stack([np.bincount(row, weights=w.take(self.bucket), minlength=n_words) for w in weights.T.copy()])
+        p, moves = forward_backward(e[self.grid], self.length, transition)
+        seen = np.bincount((self.gold[:-1] * k + self.gold[1:])[live[1:]], minlength=k * k).reshape(k, k)
+        off = (np.eye(k)[self.gold] - p)[live].T
+        words = self.grid[live]
+        by_word = [np.bincount(words, weights=x, minlength=n_words) for x in off]
+        g = np.column_stack([np.bincount(self.bucket, weights=x.take(row), minlength=BUCKETS) for x in by_word])
+        return np.rint(np.concatenate([g, seen - moves]) * STEPS).astype(np.int64)
+
+
+#: A chunk's columns of bytes; a bucket is below 2^16.
+PACKED = {"grid": np.int32, "gold": np.int32, "length": np.int32, "size": np.int32, "bucket": np.uint16}
+
+
+def coded(windows: pa.Table, languages: list[str]) -> pa.Table:
+    """One packed chunk of windows (at, lang, words, other, more): the first half of a window with ``more`` is followed by
+    that of ``more``, which is in the language ``other``."""
     of = {lang: i for i, lang in enumerate(languages)}
-    number: dict[str, int] = {}
-    n = len(windows)
+    windows = windows.sort_by("at")
+    n, half = windows.num_rows, WINDOW // 2
     grid, gold = np.zeros((WINDOW, n), dtype=np.int64), np.zeros((WINDOW, n), dtype=np.int64)
     length = np.zeros(n, dtype=np.int64)
-    half = WINDOW // 2
-    for j, (lang, words) in enumerate(windows):
-        parts = [(of[lang], words)]
-        if j % 3 == 0 and n > 1:  # splice with a window from elsewhere
-            other, more = windows[(j * 7919 + 13) % n]
-            parts = [(of[lang], words[:half]), (of[other], more[:half])]
-        flat = [(y, w) for y, ws in parts for w in ws][:WINDOW]
+    number: dict[str, int] = {}
+    columns = [windows.column(c).to_pylist() for c in ("lang", "words", "other", "more")]
+    for j, (lang, words, other, more) in enumerate(zip(*columns, strict=True)):
+        parts = [(of[lang], words)] if more is None else [(of[lang], words[:half]), (of[other], more[:half])]
+        flat = [(y, w) for y, ws in parts for w in ws]
         length[j] = len(flat)
         for t, (y, w) in enumerate(flat):
             grid[t, j], gold[t, j] = number.setdefault(w, len(number)), y
     row, bucket = features(list(number))
+    packed = Chunk(grid, gold, length, np.bincount(row, minlength=len(number)), bucket[np.argsort(row, kind="stable")]).pack()
+    return pa.table({"chunk": windows.column("chunk").slice(0, 1)} | {c: pa.array([x], pa.binary()) for c, x in zip(PACKED, packed, strict=True)})
+
+
+def chunks(windows: DataFrame) -> tuple[DataFrame, list[str], int]:
+    """(Packed chunks, languages, number) of the windows (lang, words) in the order of language and words."""
+    spark = windows.sparkSession
+    rows = windows.orderBy("lang", "words").withColumn("id", F.monotonically_increasing_id())
+    rows = written(rows, "language-windows").withColumn("part", F.shiftright("id", 33))
+    counts = sorted(rows.groupBy("part", "lang").agg(F.count("*").alias("n")).collect())  # by tasks of a sort and languages
+    n, before = 0, {}
+    for part, _, found in counts:
+        before.setdefault(part, n)
+        n += found
+    languages = sorted({lang for _, lang, _ in counts})
+    starts = spark.createDataFrame(list(before.items()), "part long, before long")
+    rows = rows.join(F.broadcast(starts), "part").select((F.col("before") + F.col("id").bitwiseAND((1 << 33) - 1)).alias("at"), "lang", "words")
+    # every third window is spliced with one from elsewhere
+    elsewhere = F.when((F.col("at") % 3 == 0) & F.lit(n > 1), (F.col("at") * 7919 + 13) % max(n, 1))
+    others = rows.select(F.col("at").alias("with"), F.col("lang").alias("other"), F.col("words").alias("more"))
+    rows = rows.withColumn("with", elsewhere).join(others, "with", "left").withColumn("chunk", F.floor(F.col("at") / CHUNK)).drop("with")
+    dealt = rows.repartitionByRange(PARTS, "chunk").groupBy("chunk")
+    packed = dealt.applyInArrow(lambda table: coded(table, languages), "chunk long, " + ", ".join(f"{c} binary" for c in PACKED))
+    return written(packed, "language-chunks"), languages, n
+
+
+def summed_gradient(packed: DataFrame, weights: np.ndarray, transition: np.ndarray) -> np.ndarray:
+    """The chunks' gradients, summed."""
+    shared = packed.sparkSession.sparkContext.broadcast((weights, transition))  # BUCKETS x languages
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: np.ndarray | None = None
+        for batch in batches:
+            for row in range(batch.num_rows):
+                own = Chunk.unpack([batch.column(c)[row].as_buffer() for c in PACKED]).gradient(*shared.value)
+                total = own if total is None else total + own
+        yield pa.RecordBatch.from_arrays([pa.array([] if total is None else [total.tobytes()], pa.binary())], ["gradient"])
+
+    total = np.zeros((len(weights) + len(transition), len(transition)), dtype=np.int64)
+    for row in packed.coalesce(PARTS).mapInArrow(run, "gradient binary").collect():  # at most PARTS rows of a fixed size
+        total += np.frombuffer(row["gradient"], dtype=np.int64).reshape(total.shape)
+    shared.destroy()
+    return total / STEPS
+
+
+def train(windows: DataFrame, rounds: int = ROUNDS) -> Model:
+    """Model from windows (lang, words): gradient of the log-likelihood, step sizes by Adagrad."""
+    packed, languages, n = chunks(windows)
+    k = len(languages)
     weights, transition = np.zeros((BUCKETS, k)), np.zeros((k, k))
-    live = np.arange(WINDOW)[:, None] < length[None, :]
-    truth = np.eye(k)[gold] * live[:, :, None]
-    seen = np.zeros((k, k))
-    np.add.at(seen, (gold[:-1][live[1:]], gold[1:][live[1:]]), 1)
-    flat_words = grid[live]
     past_w, past_t = np.full_like(weights, 1e-6), np.full_like(transition, 1e-6)
-    for _ in range(rounds):
-        e = np.column_stack([np.bincount(row, weights=weights[bucket, c], minlength=len(number)) for c in range(k)])
-        p, moves = forward_backward(e[grid], length, transition)
-        off = (truth - p)[live] / n
-        by_word = np.column_stack([np.bincount(flat_words, weights=off[:, c], minlength=len(number)) for c in range(k)])
-        g = np.column_stack([np.bincount(bucket, weights=by_word[row, c], minlength=BUCKETS) for c in range(k)]) - 1e-6 * weights
-        gt = (seen - moves) / n
+    for _ in range(rounds if n else 0):
+        g = summed_gradient(packed, weights, transition) / n
+        g, gt = g[:BUCKETS] - 1e-6 * weights, g[BUCKETS:]
         past_w += g * g
         past_t += gt * gt
         weights += 0.3 * g / np.sqrt(past_w)
@@ -211,13 +292,10 @@ def train(windows: list[tuple[str, list[str]]], rounds: int = ROUNDS) -> Model:
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        langs, found = [], []
-        for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
-            words = words_of(text)
-            for s in range(0, len(words), WINDOW):
-                langs.append(lang)
-                found.append(words[s : s + WINDOW])
-        yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(found, pa.list_(pa.string()))], ["lang", "words"])
+        for lang, text in zip(batch.column("lang"), batch.column("text"), strict=True):
+            words = words_of(text.as_py())
+            found = [words[s : s + WINDOW] for s in range(0, len(words), WINDOW)]
+            yield pa.RecordBatch.from_arrays([pa.array([lang.as_py()] * len(found), pa.string()), pa.array(found, pa.list_(pa.string()))], ["lang", "words"])
 
 
 def learned(docs: DataFrame, usable=None, docs_per_language: int = DOCS_PER_LANGUAGE) -> Model:
@@ -227,10 +305,7 @@ def learned(docs: DataFrame, usable=None, docs_per_language: int = DOCS_PER_LANG
     place = F.xxhash64("doc_id", "text", F.lit(7))
     ranked = rows.select("lang", "text", F.row_number().over(Window.partitionBy("lang").orderBy(place, "doc_id")).alias("k"))
     picked = ranked.filter(F.col("k") <= docs_per_language).select("lang", "text")
-    got = picked.mapInArrow(_windows, "lang string, words array<string>").toPandas()
-    got["words"] = [list(w) for w in got["words"]]
-    pairs = sorted(zip(got["lang"], got["words"], strict=True))
-    return train([(lang, words) for lang, words in pairs if words])
+    return train(written(picked.mapInArrow(_windows, "lang string, words array<string>"), "language-sample"))
 
 
 def labelled(docs: DataFrame, model: Model) -> DataFrame:

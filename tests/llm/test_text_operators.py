@@ -720,3 +720,36 @@ def test_word_labels_of_code_switched_texts_go_through_the_transitions(spark):
             assert (own[0], *own[2:]) == (bound[i][0], *bound[i][2:]) and own[1] == pytest.approx(bound[i][1], abs=1e-6)
     assert found[4] == found[5] == found[6] == (langid.UNKNOWN, 0.0, 0, None, 0.0)
     assert langid.labelled(twice.limit(0), model).count() == 0
+
+
+def prose(language: int, n: int, different: int = 2000) -> str:
+    """n words of an invented language, of different ones as many as given."""
+    return " ".join("".join(chr(97 + (language * 5 + w // 26**i + i) % 26) for i in range(3, -1, -1)) for w in (k * 7 % different for k in range(n)))
+
+
+def test_learning_languages_leaves_texts_on_the_executors(spark):
+    import tracemalloc
+
+    rows = [(i, prose(i % 2, 20_000), "ab"[i % 2]) for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4).localCheckpoint()
+    tracemalloc.start()
+    try:
+        model = langid.learned(docs)
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert model.languages == ["a", "b"]
+    assert most < 30e6  # gradients of a fixed size; the windows of these 400,000 words alone took more
+
+
+def test_training_does_not_depend_on_chunks_or_partitions(spark, monkeypatch):
+    rows = [(i, prose(i % 2, 40 + 30 * i), "ab"[i % 2]) for i in range(12)] + [(50, "one", "c")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.learned(docs.repartition(1))
+    again = langid.learned(docs.repartition(3))
+    assert model.weights.tobytes() == again.weights.tobytes() and model.transition.tobytes() == again.transition.tobytes()
+    monkeypatch.setattr(langid, "CHUNK", 5)  # 13 documents, more than 100 windows
+    split = langid.learned(docs)
+    assert split.languages == model.languages == ["a", "b", "c"]
+    np.testing.assert_allclose(split.weights, model.weights, rtol=0, atol=1e-6)
+    np.testing.assert_allclose(split.transition, model.transition, rtol=0, atol=1e-6)
