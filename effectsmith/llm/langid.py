@@ -10,7 +10,7 @@ Training: all windows of WINDOW words of the whole texts of at most DOCS_PER_LAN
 (those of least hash of the id and text, a bound on rows). Every word of a window carries its document's
 label; some windows are spliced from two languages, which teaches the transitions. Each round computes the
 gradient of chunks of CHUNK windows in tasks, as whole multiples of 1 / STEPS, so the sum is the same in any order;
-the driver gets at most PARTS gradients of fixed size and no text. Languages are those that occur in the
+the driver gets at most PARTS gradients of bounded size and no text. Languages are those that occur in the
 training rows and are taken to be few (their weights fit the driver).
 
 Defined results: null text or text without letters: ``und`` with score 0, no labels; a text whose labels
@@ -265,11 +265,13 @@ def summed_gradient(packed: DataFrame, weights: np.ndarray, transition: np.ndarr
             for row in range(batch.num_rows):
                 own = Chunk.unpack([batch.column(c)[row].as_buffer() for c in PACKED]).gradient(*shared.value)
                 total = own if total is None else total + own
-        yield pa.RecordBatch.from_arrays([pa.array([] if total is None else [total.tobytes()], pa.binary())], ["gradient"])
+        if total is not None:
+            places = np.flatnonzero(total.any(axis=1)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (places, total[places])], ["places", "gradient"])
 
     total = np.zeros((len(weights) + len(transition), len(transition)), dtype=np.int64)
-    for row in packed.coalesce(PARTS).mapInArrow(run, "gradient binary").collect():  # at most PARTS rows of a fixed size
-        total += np.frombuffer(row["gradient"], dtype=np.int64).reshape(total.shape)
+    for row in packed.coalesce(PARTS).mapInArrow(run, "places binary, gradient binary").collect():  # at most PARTS rows of a bounded size
+        total[np.frombuffer(row["places"], dtype=np.int32)] += np.frombuffer(row["gradient"], dtype=np.int64).reshape(-1, total.shape[1])
     shared.destroy()
     return total / STEPS
 
