@@ -19,13 +19,14 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def written(df: DataFrame, name: str = "step") -> DataFrame:
+def written(df: DataFrame, name: str = "step", group_rows: int | None = None) -> DataFrame:
     """``df`` written once as Parquet in the shared folder and read again.
 
     Every executor can read the files, so a lost executor costs a task retry only, and the next plan
-    sees true sizes (adaptive execution picks its joins by them).
+    sees true sizes (adaptive execution picks its joins by them). Rows with long arrays need ``group_rows``: the
+    reader unfolds up to 4096 rows of a row group at once, and the writer holds a group of encoded rows.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**({"parquet.block.row.count.limit": group_rows} if group_rows else {})).parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -8,6 +8,7 @@ overlap. Places where tokens of both sides end cut the tokens into groups.
 How often a pair of ids is linked corpus-wide, in documents, needs one pass: each batch keeps its distinct
 pairs with the number of its documents that hold them, so the shuffle carries distinct pairs of batches and
 not links, whatever text is common. The counts go back to the batches by the same key; nothing is broadcast.
+They meet the batch's documents as sorted rows, a batch at a time, so no task holds the lists of several batches.
 
 Defined results: null and empty texts, and texts whose joined tokens are not the bytes of blank and text on
 either side (U+2581 in a text, say), have no tokens: zeros and ''. Repeated rows are aligned each, and each
@@ -37,6 +38,8 @@ from effectsmith.llm.bpe import byte_letters
 
 #: Rows and characters of a batch of documents.
 BATCH_ROWS, BATCH_CHARS = 1000, 1_000_000
+#: Batches of a row group of the table between the passes: a row has up to some hundred thousand links.
+GROUP_BATCHES = 8
 CACHE_SEGMENTS = 500_000
 #: Texts of these characters have no white space but blank and line end. No token of either side goes on over the
 #: place between another character and one of these two, or between a letter and a mark: the segments between
@@ -259,18 +262,18 @@ def _batch_links(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
                 "n_links": count(doc), "groups_sha256": pa.array(digest, pa.string()), "n_pairs": count(doc_of),
             }
             table = pa.StructArray.from_arrays(list(fields.values()), list(fields))
-            one = lambda x: pa.array([x], pa.list_(pa.int64()))
+            one = lambda x, kind=pa.int32(): pa.array([x], pa.list_(kind))
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array([number], pa.int64()), pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), table), one(codes),
+                    pa.array([number], pa.int64()), pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), table), one(codes, pa.int64()),
                     one(np.bincount(place_of, minlength=len(codes))), one(place_of), one(occurs),
                 ],
                 ["batch", "docs", "codes", "n_docs", "place_of", "occurs"],
             )
 
     each = f"doc_id:{kind},n_a:bigint,n_b:bigint,n_groups:bigint,n_links:bigint,groups_sha256:string,n_pairs:bigint"
-    lists = ", ".join(f"{c} array<long>" for c in ("codes", "n_docs", "place_of", "occurs"))
-    return rows.mapInArrow(run, f"batch long, docs array<struct<{each}>>, {lists}")
+    lists = ", ".join(f"{c} array<int>" for c in ("n_docs", "place_of", "occurs"))
+    return rows.mapInArrow(run, f"batch long, docs array<struct<{each}>>, codes array<long>, {lists}")
 
 
 def aligned(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
@@ -279,31 +282,28 @@ def aligned(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
     A pair's count is the number of documents that hold it linked; ``n_best`` counts links whose count is the
     highest of their A id, ``count_sum`` adds the counts of all links.
     """
-    batches = written(_batch_links(docs, a_path, b_path), "token-links")
+    batches = written(_batch_links(docs, a_path, b_path), "token-links", GROUP_BATCHES)
     width = aligner(a_path, b_path).width
     pairs = batches.select("batch", F.posexplode(F.arrays_zip("codes", "n_docs")).alias("place", "p")).select("batch", "place", "p.codes", "p.n_docs")
     counts = pairs.groupBy("codes").agg(F.sum("n_docs").alias("count"))
     of_a = Window.partitionBy(F.floor(F.col("codes") / width))  # at most as many pairs as B has pieces
     counts = counts.select("codes", "count", (F.col("count") == F.max("count").over(of_a)).alias("best"))
-    looked = pairs.join(counts, "codes").groupBy("batch").agg(F.collect_list(F.struct("place", "count", "best")).alias("found"))
+    looked = pairs.join(counts, "codes").select(F.col("batch").alias("of_batch"), "place", "count", "best")
     kind = docs.schema["doc_id"].dataType.simpleString()
 
-    def sums(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for several in rows:
-            for k in range(several.num_rows):
-                row = {c: several.column(c).slice(k, 1).flatten() for c in ("docs", "found", "place_of", "occurs")}
-                table, found = row["docs"], row["found"]
-                place = found.field("place").to_numpy()
-                count, best = np.zeros(len(place), np.int64), np.zeros(len(place), np.int64)
-                count[place] = found.field("count").to_numpy()
-                best[place] = found.field("best").to_numpy(zero_copy_only=False)
-                at, occurs = row["place_of"].to_numpy(), row["occurs"].to_numpy()
-                ends = np.cumsum(table.field("n_pairs").to_numpy())
-                add = lambda x: np.diff(np.concatenate([[0], np.concatenate([[0], np.cumsum(x)])[ends]]))
-                own = {c: table.field(c) for c in ("doc_id", "n_a", "n_b", "n_groups", "n_links")}
-                own |= {"n_best": pa.array(add(occurs * best[at])), "count_sum": pa.array(add(occurs * count[at])), "groups_sha256": table.field("groups_sha256")}
-                yield pa.RecordBatch.from_arrays(list(own.values()), list(own))
+    def sums(own: pa.Table, found: pa.Table) -> pa.Table:
+        """Of one batch; ``found`` is empty where no document has a token."""
+        flat = lambda t, c: t.column(c).combine_chunks()
+        table, at, occurs = (flat(own, c).flatten() for c in ("docs", "place_of", "occurs"))
+        at, occurs, place = at.to_numpy(), occurs.to_numpy(), flat(found, "place").to_numpy()
+        count, best = np.zeros(len(place), np.int64), np.zeros(len(place), np.int64)
+        count[place] = flat(found, "count").to_numpy()
+        best[place] = flat(found, "best").to_numpy(zero_copy_only=False)
+        ends = np.cumsum(table.field("n_pairs").to_numpy())
+        add = lambda x: np.diff(np.concatenate([[0], np.concatenate([[0], np.cumsum(x)])[ends]]))
+        out = {c: table.field(c) for c in ("doc_id", "n_a", "n_b", "n_groups", "n_links")}
+        return pa.table(out | {"n_best": add(occurs * best[at]), "count_sum": add(occurs * count[at]), "groups_sha256": table.field("groups_sha256")})
 
     schema = f"doc_id {kind}, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
-    joined = batches.select("batch", "docs", "place_of", "occurs").join(looked, "batch", "left")
-    return joined.select("docs", F.coalesce("found", F.array().cast("array<struct<place:int,count:bigint,best:boolean>>")).alias("found"), "place_of", "occurs").mapInArrow(sums, schema)
+    own = batches.select("batch", "docs", "place_of", "occurs")
+    return own.groupBy("batch").cogroup(looked.groupBy("of_batch")).applyInArrow(sums, schema)

@@ -5,8 +5,11 @@ from collections import Counter, defaultdict
 
 import pandas as pd
 import public_tokenizers
+import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
+from effectsmith.functions import lineage
 from effectsmith.llm import align
 from effectsmith.llm.registry import BYTE_BPE, PIECES, QUERIES
 
@@ -103,6 +106,20 @@ def test_null_ids_repeated_rows_and_empty_table(spark):
     assert align.aligned(frame.limit(0), BYTE_BPE, PIECES).count() == 0
 
 
+def test_no_task_holds_the_links_of_many_batches(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(lineage, "shared_dir", lambda spark: str(tmp_path))
+    rows = align._batch_links
+    monkeypatch.setattr(align, "_batch_links", lambda *x: rows(*x).withColumn("batch", F.explode(F.sequence(F.lit(0), F.lit(99)))).coalesce(1))
+    frame = spark.createDataFrame([(1, "one text.")], "doc_id long, text string")
+    found = align.aligned(frame, BYTE_BPE, PIECES)  # as if 100 batches were in one file
+    files = [pq.ParquetFile(f) for f in tmp_path.rglob("token-links*/*.parquet")]
+    groups = [f.metadata.row_group(k).num_rows for f in files for k in range(f.num_row_groups)]
+    assert sum(groups) == 100 and max(groups) <= 8  # a reader unfolds a whole group of them
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "collect_list" not in plan  # it keeps the lists of up to 128 batches as objects
+    assert [tuple(r)[4:7] for r in found.collect()] == [(3, 3, 300)] * 100
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="needs the driver's tables")
 def test_query_equals_brute_force(spark, own):
     docs = pd.read_parquet(f"{SF}/documents.parquet")
