@@ -148,10 +148,8 @@ def morris_design(trajectories: DataFrame, params: DataFrame, seed: str = "morri
     order = hash_int(F.lit(seed), F.lit("order"), F.col("traj"), F.col("var_idx"))
     bits = hash_int(F.lit(seed), F.lit("level"), F.col("traj"), F.col("var_idx"))
     flip = F.row_number().over(Window.partitionBy("traj").orderBy("o", "var_idx"))
-    up = F.floor(F.col("b") / 2) % 2 == 0
     each = each.withColumns({"o": order, "b": bits}).withColumn("flip", flip)
-    base = F.when(up, F.col("b") % 2).otherwise(2 + F.col("b") % 2)
-    after = F.when(up, 2 + F.col("b") % 2).otherwise(F.col("b") % 2)
+    base, after = _levels(F.col("b"))
     steps = each.withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(n))))
     level = F.when(F.col("step") < F.col("flip"), base).otherwise(after).cast("int")
     u = F.col("level") / F.lit(3.0)
@@ -162,6 +160,27 @@ def morris_design(trajectories: DataFrame, params: DataFrame, seed: str = "morri
     )
 
 
+def _levels(b: Column) -> tuple[Column, Column]:
+    """The levels before and after a variable's step, by its random bits: two thirds up or down."""
+    up = F.floor(b / 2) % 2 == 0
+    return F.when(up, b % 2).otherwise(2 + b % 2), F.when(up, 2 + b % 2).otherwise(b % 2)
+
+
+def morris_paths(trajectories: DataFrame, params: DataFrame, seed: str = "morris") -> DataFrame:
+    """(traj, path): ``morris_design`` as one row a trajectory, without a shuffle. ``path`` has (var_idx, flip, before,
+    after) in order of var_idx: the variable's value is ``before`` in the steps below ``flip``, then ``after``."""
+    listed, _ = catalog_array(params, "lo", "hi")
+    number = lambda use, p: hash_int(F.lit(seed), F.lit(use), F.col("traj"), p["var_idx"])
+    drawn = lambda p: F.struct(number("order", p).alias("o"), p["var_idx"].alias("var_idx"), number("level", p).alias("b"), p["lo"].alias("lo"), p["hi"].alias("hi"))
+
+    def moved(x: Column, i: Column) -> Column:
+        before, after = (rounded(scaled(level.cast("int") / F.lit(3.0), x["lo"], x["hi"]), 6) for level in _levels(x["b"]))
+        return F.struct(x["var_idx"].alias("var_idx"), (i + 1).alias("flip"), before.alias("before"), after.alias("after"))
+
+    in_order = F.array_sort(F.transform(listed, drawn))  # by o, then var_idx
+    return trajectories.select("traj", F.array_sort(F.transform(in_order, moved)).alias("path"))
+
+
 def scaled(u: Column, lo: Column, hi: Column) -> Column:
     """Unit interval to bounds, in this order of operations."""
     return u * (hi - lo) + lo

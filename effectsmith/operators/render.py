@@ -163,8 +163,7 @@ def checked_manifest(records: DataFrame, strict: bool = False) -> DataFrame:
     )
     checked = records.withColumn("problem", problem)
     if strict:
-        bad = stopping(checked, F.col("problem").isNotNull(), F.concat(F.col("sample_name"), F.lit(": "), F.col("problem")))
-        return checked.filter("problem is null").unionByName(bad)
+        return checked.filter(F.assert_true(F.col("problem").isNull(), F.concat(F.col("sample_name"), F.lit(": "), F.col("problem"))).isNull())
     return checked
 
 
