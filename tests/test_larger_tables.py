@@ -6,7 +6,7 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from effectsmith.functions import expressions
+from effectsmith.functions import expressions, lineage
 from effectsmith.operators import design, hits, render, series, study
 from effectsmith.plans import registry
 from effectsmith.sources import catalog, readers, templates, writers
@@ -117,3 +117,35 @@ def test_records_stand_in_small_row_groups(spark, tmp_path):
         files = [pq.ParquetFile(f) for f in (tmp_path / folder).rglob("*.parquet")]
         assert sum(f.metadata.num_rows for f in files) == 1000
         assert max(f.metadata.row_group(k).num_rows for f in files for k in range(f.num_row_groups)) <= 128
+
+
+@pytest.mark.parametrize("name", ["txt9_study_documents", "txt15_study_manifest"])
+def test_samples_are_not_shuffled(spark, tmp_path, monkeypatch, name):
+    monkeypatch.setattr(lineage, "shared_dir", lambda spark: str(tmp_path))
+    plan = planned(registry.QUERIES[name](spark, "/root/testdata/sf0.001"))
+    exchanges = [line for line in plan.splitlines() if re.search(r"[ +-]Exchange ", line)]
+    assert exchanges and not any("sample_id" in line for line in exchanges), plan
+    assert "SortMergeJoin" not in plan[: plan.index("BroadcastNestedLoopJoin")] and not files_under(tmp_path), plan
+
+
+def test_path_documents_are_the_rendered_documents(spark):
+    params, template = catalog.catalog(spark), templates.template(spark)
+    trajectories = spark.range(300).filter("id % 100 = 7").select(F.col("id").alias("traj"))
+    values = design.morris_design(trajectories, params).select("sample_id", "var_idx", "value")
+    fixed = study.fixed_commands(values.select("sample_id").distinct(), "Morris_", "/hits")
+    expected = study.rendered_documents(template, study.swept_commands(values, params).unionByName(fixed))
+    found = study.path_documents(design.morris_paths(trajectories, params), params, template, "Morris_", "/hits")
+    lines = found.select("sample_id", "doc", F.inline("lines"))
+    assert sorted(map(tuple, lines.collect())) == sorted(map(tuple, expected.collect()))
+    names = [c for c in found.columns if c not in ("sample_id", "doc", "lines")]
+    ode = design.named_values(values, params, "ode").select("sample_id", *names)
+    assert sorted(map(tuple, found.filter("doc = 'macro'").select("sample_id", *names).collect())) == sorted(map(tuple, ode.collect()))
+    with pytest.raises(Exception, match="required command is missing"):
+        study.path_documents(design.morris_paths(trajectories, params), params, template.filter("text not like '%setWidth%'"), "Morris_", "/hits").count()
+
+
+def test_document_values_are_those_of_the_first_line(spark):
+    lines = [(1, "# /a 0"), (2, "\t /ab 1 "), (3, "/a 2"), (4, None)]
+    documents = spark.createDataFrame([(1, lines), (2, [])], "sample_id long, lines array<struct<line_no:int,text:string>>")
+    rows = study.document_values(documents, {"x": "/a", "y": "/a ", "z": "/c"}).orderBy("sample_id").collect()
+    assert [tuple(r) for r in rows] == [(1, "b 1", "2", None), (2, None, None, None)]
